@@ -54,3 +54,11 @@ def partitions(spark: SparkSession) -> int:
 def id_crc_mod(col: str, mod: int):
     """crc32 of the identifier as decimal text, modulo mod: the split of learning and held-out rows."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % F.lit(mod)
+
+
+def bounded_sample(df: DataFrame, id_col: str, rows: int) -> DataFrame:
+    """At most `rows` identifiers of df, those with the smallest hashes: a documented bound for fitting models.
+
+    Only the identifiers are sorted (a top-k, so each task sends at most `rows` of them). Null identifiers are not drawn.
+    """
+    return df.select(id_col).filter(F.col(id_col).isNotNull()).distinct().orderBy(F.xxhash64(id_col), id_col).limit(rows)

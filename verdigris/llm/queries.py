@@ -30,6 +30,13 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from verdigris.llm.toxicity import score_documents, train
+
+    docs = table(spark, sf_dir, "documents")
+    return score_documents(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from verdigris.llm.exact_dedup import exact_groups
 
@@ -49,6 +56,7 @@ QUERIES = {
     "op2_sharding": op2_sharding,
     "op3_bpe": op3_bpe,
     "op4_decontamination": op4_decontamination,
+    "op5_toxicity": op5_toxicity,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_chat_format": op8_chat_format,
 }
