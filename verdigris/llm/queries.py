@@ -52,6 +52,13 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_conversations(real.unionByName(extra))).drop("rewrites_history")
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from verdigris.llm.secrets import fit, scan
+
+    docs = table(spark, sf_dir, "documents")
+    return scan(docs, fit(docs))
+
+
 QUERIES = {
     "op2_sharding": op2_sharding,
     "op3_bpe": op3_bpe,
@@ -59,6 +66,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_chat_format": op8_chat_format,
+    "op9_secrets": op9_secrets,
 }
 
 ORACLE_SQL = {
