@@ -43,6 +43,12 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from verdigris.llm.html_extract import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from verdigris.llm.chat import format_conversations, read_back
 
@@ -65,6 +71,7 @@ QUERIES = {
     "op4_decontamination": op4_decontamination,
     "op5_toxicity": op5_toxicity,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_html_extraction": op7_html_extraction,
     "op8_chat_format": op8_chat_format,
     "op9_secrets": op9_secrets,
 }
