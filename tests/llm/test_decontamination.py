@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 
-from verdigris.llm.decontamination import WuManber, contamination
+from verdigris.llm.decontamination import WuManber, contamination, drop_contaminated
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
@@ -52,5 +52,7 @@ def test_contamination(spark):
     b = spark.createDataFrame(items, "item_id long, text string")
     for block in (200_000, 25):
         assert sorted(map(tuple, contamination(d, b, pattern_block=block).collect()), key=str) == brute(docs, items)
+        kept = drop_contaminated(d, b, pattern_block=block)
+        assert kept.columns == d.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r[0]) for r in brute(docs, items) if not r[5])
     assert contamination(d.limit(0), b).count() == 0
     assert {r.contaminated for r in contamination(d, b.limit(0)).collect()} == {False}

@@ -131,17 +131,22 @@ def _screened(batch, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", pattern_block: int = PATTERN_BLOCK) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated; one row per document."""
-    spark = docs.sparkSession
+def pattern_blocks(benchmark: DataFrame, item_col: str, pattern_block: int):
+    """The number of blocks of patterns, and a function that broadcasts one of them (about pattern_block rows)."""
     patterns = durable(windows(benchmark, item_col, "text"), "windows")
     blocks = max(1, -(-patterns.count() // pattern_block))
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def block(k: int):
-        own = patterns.filter(F.pmod(F.xxhash64("window"), F.lit(blocks)) == k).collect()  # about pattern_block rows
-        return spark.sparkContext.broadcast([(r["window"], r["items"]) for r in own])
+        own = patterns.filter(F.pmod(F.xxhash64("window"), F.lit(blocks)) == k).collect()
+        return benchmark.sparkSession.sparkContext.broadcast([(r["window"], r["items"]) for r in own])
+
+    return blocks, block
+
 
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", pattern_block: int = PATTERN_BLOCK) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated; one row per document."""
+    blocks, block = pattern_blocks(benchmark, item_col, pattern_block)
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     if blocks == 1:
         table = block(0)
 
@@ -184,3 +189,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             yield _screened(batch, rows)
 
     return map_batches(merged.select("doc_id", "n_words", "spans", "items"), finish, SCHEMA)
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", pattern_block: int = PATTERN_BLOCK) -> DataFrame:
+    """The documents without any hit word, with all their columns: one filtering map for each block of patterns."""
+    blocks, block = pattern_blocks(benchmark, item_col, pattern_block)
+    at = docs.columns.index(text_col)
+
+    def clean(table):
+        def run(batches):
+            screen = Screen(table.value)
+            for batch in batches:
+                yield batch.filter(pa.array([not screen.find(words_of(t.as_py()))[0] for t in batch.column(at)], pa.bool_()))
+
+        return run
+
+    for k in range(blocks):
+        docs = map_batches(docs, clean(block(k)), docs.schema)
+    return docs

@@ -10,6 +10,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from verdigris.llm.near_join import near_join
+
+    return near_join(table(spark, sf_dir, "documents"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from verdigris.llm.sharding import shard
 
@@ -66,6 +72,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_near_join": op1_near_join,
     "op2_sharding": op2_sharding,
     "op3_bpe": op3_bpe,
     "op4_decontamination": op4_decontamination,
