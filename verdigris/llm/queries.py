@@ -71,6 +71,12 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(docs, fit(docs))
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from verdigris.llm.lm_score import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_near_join": op1_near_join,
     "op2_sharding": op2_sharding,
@@ -81,6 +87,7 @@ QUERIES = {
     "op7_html_extraction": op7_html_extraction,
     "op8_chat_format": op8_chat_format,
     "op9_secrets": op9_secrets,
+    "op10_lm_score": op10_lm_score,
 }
 
 ORACLE_SQL = {
