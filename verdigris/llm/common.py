@@ -65,13 +65,14 @@ def bounded_sample(df: DataFrame, id_col: str, rows: int) -> DataFrame:
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, key: list[str], size: str, share: int = 1000) -> DataFrame:
-    """rows with the columns of their group; every row has one, and `size` counts the rows of a group.
+    """rows with the columns of their group, if they have one; `size` counts the rows of a group.
 
     Groups with more than 1/share of all rows are fewer than `share`, so they are broadcast; the others go through a
     shuffled join in which no key holds more than that share. rows and groups are to be durable: they are read twice.
+    What grows with the corpus is merged, not broadcast, at every size, so plans do not change as tables grow.
     """
     least = rows.count() / share
     hot = groups.filter(F.col(size) > F.lit(least))
     done = rows.join(F.broadcast(hot), key)
-    cold = rows.join(F.broadcast(hot.select(*key)), key, "left_anti").join(groups.filter(F.col(size) <= F.lit(least)), key)
+    cold = rows.join(F.broadcast(hot.select(*key)), key, "left_anti").join(groups.filter(F.col(size) <= F.lit(least)).hint("merge"), key)
     return done.unionByName(cold)

@@ -177,6 +177,20 @@ def verify(sets: list[np.ndarray], pairs: Iterator[tuple[int, np.ndarray]], thre
             yield i, linked
 
 
+def likely(rows: DataFrame, wanted: DataFrame, key: str, most_bits: int = 1 << 24) -> DataFrame:
+    """The rows whose key may be among the wanted ones, by a bitmap of hashes: most others never reach the shuffle.
+
+    The bitmap is broadcast as words of 64 bits: most_bits / 64 of them at most (262,144), whatever the input. With more
+    wanted keys than it can tell apart it lets more rows through; the join after it decides.
+    """
+    bits = min(most_bits, 1 << max(10, (16 * wanted.count()).bit_length()))
+    at = F.pmod(F.xxhash64(key), F.lit(bits))
+    words = wanted.select(F.expr(f"pmod(xxhash64({key}), {bits}L) div 64").alias("_word"), F.expr(f"shiftleft(1L, CAST(pmod(xxhash64({key}), {bits}L) % 64 AS INT))").alias("_bit"))
+    words = words.groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    marked = rows.withColumns({"_word": F.expr(f"pmod(xxhash64({key}), {bits}L) div 64"), "_at": (at % 64).cast("int")})
+    return marked.join(F.broadcast(words), "_word").filter(F.expr("(_bits >> _at) & 1L = 1L")).drop("_word", "_bits", "_at")
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(sketched rows, one row per document: rid, doc_id, class_id, n_links, n_copies, kept)."""
     rows = durable(sketch(docs, id_col, text_col), "sketch")
@@ -198,7 +212,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     paths = durable(map_batches(leaders.select("node", "signature"), prefixes, "tree int, prefix long, node long"), "paths")
     met = durable(paths.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("met")).filter("met > 1"), "tries")
     blocks = F.ceil(F.col("met") / F.lit(block)).cast("int")
-    members = join_groups(paths.join(met.select("tree", "prefix"), ["tree", "prefix"], "left_semi").transform(lambda d: durable(d, "crowded")), met, ["tree", "prefix"], "met")
+    members = join_groups(paths, met, ["tree", "prefix"], "met")
     members = members.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("node"), blocks).cast("int")})
     # a member of a node in k blocks takes part in k block pairs (its own with itself among them)
     members = members.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("tree", "prefix", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "node")
@@ -219,7 +233,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 k = len(at)
                 yield pa.RecordBatch.from_arrays([pa.array([tree] * k, pa.int32()), pa.array([prefix] * k, pa.int64()), pa.array([low] * k, pa.int32()), pa.array([high] * k, pa.int32()), pa.array(block_of[at].astype(np.int32)), pa.array(node[at])], names=["tree", "prefix", "low", "high", "block", "node"])
 
-    signed = together(members.join(leaders.select("node", "n", "signature"), "node").select("tree", "prefix", "low", "high", "block", "node", "n", "signature"))
+    signed = together(members.join(leaders.select("node", "n", "signature").hint("merge"), "node").select("tree", "prefix", "low", "high", "block", "node", "n", "signature"))
     needed = durable(map_batches(signed, pick, "tree int, prefix long, low int, high int, block int, node long"), "needed")
 
     def check(batches):
@@ -246,8 +260,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(node[[find(int(i)) for i in at]]), pa.array(links[at])], names=["node", "root", "links"])
 
     wanted = needed.select("node").distinct()
-    texts = rows.select(F.col("rid").alias("node"), "text").join(wanted, "node", "left_semi")
-    read = needed.join(leaders, "node").join(texts, "node").select("tree", "prefix", "low", "high", "block", "node", "n", "signature", "n_copies", "text")
+    texts = likely(rows.select(F.col("rid").alias("node"), "text"), wanted, "node").join(wanted.hint("merge"), "node", "left_semi")
+    read = needed.join(leaders.hint("merge"), "node").join(texts.hint("merge"), "node").select("tree", "prefix", "low", "high", "block", "node", "n", "signature", "n_copies", "text")
     linked = durable(map_batches(together(read), check, "node long, root long, links long"), "links")
     labels = components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")))
     counts = linked.groupBy("node").agg(F.sum("links").alias("links"))
@@ -256,7 +270,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     leading = durable(named.groupBy("label").agg(F.min("first").alias("lead"), F.count(F.lit(1)).alias("_classes")), "leading")
     full = durable(join_groups(named, leading, ["label"], "_classes").select("key", "n_copies", "n_links", "lead"), "full")
     narrow = rows.select("rid", "doc_id", "key")
-    placed = join_groups(durable(narrow.filter(F.col("key").isNotNull()), "keyed"), full, ["key"], "n_copies")
+    placed = join_groups(narrow.filter(F.col("key").isNotNull()), full, ["key"], "n_copies")
     alone = narrow.filter(F.col("key").isNull()).select("rid", "doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"), F.lit(True).alias("kept"))
     return rows, placed.select("rid", "doc_id", F.col("lead.doc_id").alias("class_id"), "n_links", "n_copies", (F.col("lead.rid") == F.col("rid")).alias("kept")).unionByName(alone)
 
