@@ -12,16 +12,24 @@ STRATEGIES = ("legacy_zero_v1", "indicator_neutral_v1", "disclosed_weight_v1")
 DIMENSIONS = ("E", "S", "G")
 KINDS = ("quantitative", "qualitative")
 
-OBSERVATION = T.StructType.fromDDL(
+_TYPES = {"string": T.StringType(), "int": T.IntegerType(), "long": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "decimal(28,8)": T.DecimalType(28, 8)}
+
+
+def _schema(text: str) -> T.StructType:
+    """A flat schema from 'name type' pairs, without a running session."""
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (field.split() for field in text.split(", "))])
+
+
+OBSERVATION = _schema(
     "company_code string, company_name string, report_year int, indicator_code string, value double, status string, "
     "source_url string, source_file string, source_page int, evidence_text string, confidence double"
 )
-INDICATOR = T.StructType.fromDDL(
+INDICATOR = _schema(
     "code string, dimension string, level2 string, name string, kind string, weight double, direction string, unit string, formula string, benchmark double, key_indicator boolean"
 )
-FINANCIAL_FACT = T.StructType.fromDDL("company_code string, company_name string, report_year int, fact_code string, value decimal(28,8), source_url string, source_file string, source_page int")
-UNIVERSE = T.StructType.fromDDL("stock_code string, company_name string, exchange string, sub_industry string, included boolean, exclusion_reason string, entity_id string, source_url string, as_of_date string")
-DOCUMENT = T.StructType.fromDDL("company_code string, company_name string, report_year int, document_type string, source_url string, retrieval_url string, local_path string, sha256 string, size long")
+FINANCIAL_FACT = _schema("company_code string, company_name string, report_year int, fact_code string, value decimal(28,8), source_url string, source_file string, source_page int")
+UNIVERSE = _schema("stock_code string, company_name string, exchange string, sub_industry string, included boolean, exclusion_reason string, entity_id string, source_url string, as_of_date string")
+DOCUMENT = _schema("company_code string, company_name string, report_year int, document_type string, source_url string, retrieval_url string, local_path string, sha256 string, size long")
 KEY = ["company_code", "report_year", "indicator_code"]
 
 
