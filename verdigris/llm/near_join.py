@@ -260,7 +260,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(node[[find(int(i)) for i in at]]), pa.array(links[at])], names=["node", "root", "links"])
 
     wanted = needed.select("node").distinct()
-    texts = likely(rows.select(F.col("rid").alias("node"), "text"), wanted, "node").join(wanted.hint("merge"), "node", "left_semi")
+    # no semi-join here: the optimizer would move it below the bitmap, and all texts would be shuffled
+    texts = likely(rows.select(F.col("rid").alias("node"), "text"), wanted, "node")
     read = needed.join(leaders.hint("merge"), "node").join(texts.hint("merge"), "node").select("tree", "prefix", "low", "high", "block", "node", "n", "signature", "n_copies", "text")
     linked = durable(map_batches(together(read), check, "node long, root long, links long"), "links")
     labels = components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")))
