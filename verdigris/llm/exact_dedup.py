@@ -83,6 +83,9 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         "_id_text": F.coalesce(F.col(id_col).cast("string"), F.lit("none")), "_sha": F.unhex(F.sha2(text, 256)), "_len": F.octet_length(text), "_xx": F.xxhash64(text),
     })
     names = ["_id_text", *KEY]
+    again = durable(again, "repeated")
+    if again.isEmpty():  # the usual case: identifiers are unique
+        return keyed.join(keep, names, "left_semi").select(*docs.columns)
     kept = keyed.join(keep.join(again, names, "left_anti"), names, "left_semi")
     repeated = keyed.join(keep.join(again, names, "left_semi"), names, "left_semi").dropDuplicates(names)
     return kept.unionByName(repeated).select(*docs.columns)
