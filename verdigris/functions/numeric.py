@@ -17,27 +17,29 @@ ERF_P = 1.63153871373020978e-2, 3.05326634961232344e-1, 3.60344899949804439e-1,
 ERF_Q = 1.0, 2.56852019228982242e0, 1.87295284992346725e0, 5.27905102951428412e-1, 6.05183413124413191e-2, 2.33520497626869185e-3
 
 
-def _polynomial(x: Column, coefficients: tuple[float, ...]) -> Column:
-    out = F.lit(coefficients[0])
+def _polynomial(x: str, coefficients: tuple[float, ...]) -> str:
+    out = f"{coefficients[0]!r}D"
     for c in coefficients[1:]:
-        out = out * x + F.lit(c)
+        out = f"({out} * {x} + {c!r}D)"
     return out
 
 
-def erf(x: Column) -> Column:
-    """The error function to double precision, as arithmetic."""
-    y = F.abs(x)
-    small = x * _polynomial(y * y, ERF_A) / _polynomial(y * y, ERF_B)
-    middle = F.signum(x) * (1 - F.exp(-y * y) * _polynomial(y, ERF_C) / _polynomial(y, ERF_D))
-    safe = F.greatest(y, F.lit(1.0))
-    z = 1 / (safe * safe)
-    tail = (F.lit(1 / math.sqrt(math.pi)) - z * _polynomial(z, ERF_P) / _polynomial(z, ERF_Q)) / safe
-    large = F.signum(x) * (1 - F.exp(-y * y) * tail)
-    return F.when(y <= 0.46875, small).when(y <= 4, middle).when(y < 6, large).otherwise(F.signum(x))
+def erf_text(x: str) -> str:
+    """The error function of a SQL expression, to double precision, as SQL text: one call parses all of it."""
+    y, xx = f"abs({x})", f"(({x}) * ({x}))"
+    small = f"({x}) * {_polynomial(xx, ERF_A)} / {_polynomial(xx, ERF_B)}"
+    middle = f"signum({x}) * (1 - exp(-{xx}) * {_polynomial(y, ERF_C)} / {_polynomial(y, ERF_D)})"
+    z = f"(1 / greatest({xx}, 1D))"
+    tail = f"({1 / math.sqrt(math.pi)!r}D - {z} * {_polynomial(z, ERF_P)} / {_polynomial(z, ERF_Q)}) / greatest({y}, 1D)"
+    return f"(CASE WHEN {y} <= 0.46875D THEN {small} WHEN {y} <= 4D THEN {middle} WHEN {y} < 6D THEN signum({x}) * (1 - exp(-{xx}) * {tail}) ELSE signum({x}) END)"
 
 
-def normal_cdf(z: Column) -> Column:
-    return 0.5 * (1 + erf(z / F.lit(math.sqrt(2))))
+def normal_cdf_text(z: str) -> str:
+    return f"(0.5D * (1 + {erf_text(f'({z} / {math.sqrt(2)!r}D)')}))"
+
+
+def rounded_text(x: str, digits: int) -> str:
+    return f"(floor(({x}) * 1e{digits}D + 0.5D) / 1e{digits}D)"
 
 
 def rounded(x: Column, digits: int) -> Column:

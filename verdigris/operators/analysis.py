@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from verdigris.functions.numeric import ratio, rounded
 from verdigris.operators.scoring import confirmed, ranking
 from verdigris.schemas import STRATEGIES
+from verdigris.sources.shared import staged
 
 TIERS = {
     "BASIC": {"statuses": ("confirmed",), "strategy": "legacy_zero_v1"},
@@ -34,7 +35,7 @@ def strategy_pairs(rankings: DataFrame, top: int, order: tuple[str, ...] = STRAT
 
     The strategies' ranks are pivoted to columns once; no self-join of companies.
     """
-    wide = rankings.groupBy("company_code").pivot("strategy", list(order)).agg(F.first("rank"))
+    wide = staged(rankings.groupBy("company_code").pivot("strategy", list(order)).agg(F.first("rank")), "ranks")
     out = None
     for i, left in enumerate(order):
         for right in order[i + 1 :]:

@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdigris.functions.numeric import clip, normal_cdf, rounded
+from verdigris.functions.numeric import normal_cdf_text, rounded, rounded_text
 from verdigris.schemas import DIMENSIONS, KEY, KINDS, STRATEGIES
+from verdigris.sources.shared import staged
 
 WINSOR_LEAST, MINIMUM_POPULATION = 20, 20
 RATIOS = {"quantitative": 0.8, "qualitative": 0.2}
@@ -42,19 +43,12 @@ def population_stats(obs: DataFrame, minimum: int = MINIMUM_POPULATION) -> DataF
     )
 
 
-def score_value(value: Column, kind: Column, direction: Column, benchmark: Column, mean: Column, stddev: Column) -> Column:
-    """A confirmed value on 0..100 against its population and benchmark."""
-    z = (value - mean) / stddev
-    near = lambda centre: 100 * F.exp(-0.5 * ((value - centre) / stddev) * ((value - centre) / stddev))
-    beyond = ((direction == "positive") & (value >= benchmark)) | ((direction == "negative") & (value <= benchmark))
-    return (
-        F.when(kind == "qualitative", clip(value, 0.0, 100.0))
-        .when(stddev.isNull() | (stddev <= 1e-12), F.lit(50.0))
-        .when(benchmark.isNotNull(), F.when(beyond, F.lit(100.0)).otherwise(near(benchmark)))
-        .when(direction == "negative", 100 * (1 - normal_cdf(z)))
-        .when(direction == "bidirectional", near(mean))
-        .otherwise(100 * normal_cdf(z))
-    )
+NEAR = "100D * exp(-0.5D * ((value - {c}) / stddev) * ((value - {c}) / stddev))"
+#: A confirmed value on 0..100 against its population and benchmark, over the columns of scored_cells.
+SCORE = f"""CASE WHEN status <> 'confirmed' OR value IS NULL THEN NULL WHEN kind = 'qualitative' THEN least(greatest(value, 0D), 100D) WHEN stddev IS NULL OR stddev <= 1e-12D THEN 50D
+  WHEN benchmark IS NOT NULL THEN CASE WHEN (direction = 'positive' AND value >= benchmark) OR (direction = 'negative' AND value <= benchmark) THEN 100D ELSE {NEAR.format(c="benchmark")} END
+  WHEN direction = 'bidirectional' THEN {NEAR.format(c="mean")}
+  ELSE 100D * {normal_cdf_text("((value - mean) / stddev * CASE WHEN direction = 'negative' THEN -1D ELSE 1D END)")} END"""
 
 
 def default_score(strategy: str, status: Column) -> Column:
@@ -65,12 +59,12 @@ def default_score(strategy: str, status: Column) -> Column:
 def scored_cells(obs: DataFrame, indicators: DataFrame, stats: DataFrame) -> DataFrame:
     """Present cells with the indicator's columns, statistics and the score of confirmed ones (else null)."""
     meta = F.broadcast(indicators.withColumnRenamed("code", "indicator_code").join(F.broadcast(stats), "indicator_code", "left"))
-    score = score_value(*map(F.col, ("value", "kind", "direction", "benchmark", "mean", "stddev")))
-    return obs.join(meta, "indicator_code").withColumn("score", F.when(confirmed(), score))
+    return obs.join(meta, "indicator_code").withColumn("score", F.expr(SCORE))
 
 
 def score_details(obs: DataFrame, indicators: DataFrame, strategy: str, stats: DataFrame | None = None) -> DataFrame:
     """Every company and indicator, absent cells too: company_code, indicator_code, raw, normalized, weighted, status, ..."""
+    obs = staged(obs.select(*KEY, "company_name", "value", "status", "_ord"), "observations")
     stats = population_stats(obs) if stats is None else stats
     cells = scored_cells(latest_rows(obs), indicators, stats).select("company_code", "indicator_code", "value", "status", "score")
     # the methodology's indicators (80 at most) for each company: an explode of a small array
@@ -91,33 +85,29 @@ def roll_up(cells: DataFrame, indicators: DataFrame, strategies: tuple[str, ...]
     All strategies come from one aggregation of the present cells: what a company lacks counts by the totals of weights.
     """
     pairs = [(k, d) for k in KINDS for d in DIMENSIONS]
-    own = lambda k, d: (F.col("kind") == k) & (F.col("dimension") == d)
-    sums = [F.min_by("company_name", "_ord").alias("company_name"), F.count_if(F.col("score").isNotNull()).alias("confirmed")]
+    sums = ["min_by(company_name, _ord) AS company_name", "count(score) AS confirmed"]
+    totals = ["count(*) AS indicators"]
     for k, d in pairs:
+        own = f"kind = '{k}' AND dimension = '{d}'"
         sums += [
-            F.coalesce(F.sum(F.when(own(k, d), F.col("score") * F.col("weight") / 100)), F.lit(0.0)).alias(f"s_{k}_{d}"),
-            F.coalesce(F.sum(F.when(own(k, d) & F.col("score").isNotNull(), F.col("weight"))), F.lit(0.0)).alias(f"w_{k}_{d}"),
-            F.coalesce(F.sum(F.when(own(k, d) & (F.col("status") == "not_applicable"), F.col("weight"))), F.lit(0.0)).alias(f"n_{k}_{d}"),
+            f"coalesce(sum(score * weight / 100) FILTER (WHERE {own}), 0D) AS s_{k}_{d}", f"coalesce(sum(weight) FILTER (WHERE {own} AND score IS NOT NULL), 0D) AS w_{k}_{d}",
+            f"coalesce(sum(weight) FILTER (WHERE {own} AND status = 'not_applicable'), 0D) AS n_{k}_{d}",
         ]
-    by_company = cells.groupBy("company_code").agg(*sums)
-    totals = indicators.agg(F.count(F.lit(1)).alias("indicators"), *[F.coalesce(F.sum(F.when(own(k, d), F.col("weight"))), F.lit(0.0)).alias(f"t_{k}_{d}") for k, d in pairs])
-    wide = by_company.crossJoin(F.broadcast(totals))  # one row of weight totals
+        totals.append(f"coalesce(sum(weight) FILTER (WHERE {own}), 0D) AS t_{k}_{d}")
+    by_company = cells.groupBy("company_code").agg(*map(F.expr, sums))
+    wide = by_company.crossJoin(F.broadcast(indicators.agg(*map(F.expr, totals))))  # one row of weight totals
     out = None
     for strategy in strategies:
-        part: dict[tuple[str, str], Column] = {}
-        for k, d in pairs:
-            s, w, n, t = (F.col(f"{x}_{k}_{d}") for x in "swnt")
-            part[k, d] = s + (0.5 * (t - w - n) if strategy == "indicator_neutral_v1" else F.lit(0.0))
-        kind = {k: sum((part[k, d] for d in DIMENSIONS), F.lit(0.0)) for k in KINDS}
+        part = {(k, d): f"(s_{k}_{d} + 0.5D * (t_{k}_{d} - w_{k}_{d} - n_{k}_{d}))" if strategy == "indicator_neutral_v1" else f"s_{k}_{d}" for k, d in pairs}
+        kind = {k: "(" + " + ".join(part[k, d] for d in DIMENSIONS) + ")" for k in KINDS}
         if strategy == "disclosed_weight_v1":
-            total_w = {k: sum((F.col(f"t_{k}_{d}") for d in DIMENSIONS), F.lit(0.0)) for k in KINDS}
-            known_w = {k: sum((F.col(f"w_{k}_{d}") for d in DIMENSIONS), F.lit(0.0)) for k in KINDS}
-            kind = {k: F.when(known_w[k] > 0, kind[k] * total_w[k] / known_w[k]).otherwise(F.lit(0.0)) for k in KINDS}
-            part = {(k, d): F.when(F.col(f"w_{k}_{d}") > 0, p * F.col(f"t_{k}_{d}") / F.col(f"w_{k}_{d}")).otherwise(F.lit(0.0)) for (k, d), p in part.items()}
-        one = wide.select(
-            F.lit(strategy).alias("strategy"), "company_code", "company_name", rounded(kind["quantitative"], 4).alias("quantitative_score"), rounded(kind["qualitative"], 4).alias("qualitative_score"),
-            *[rounded(sum((F.lit(RATIOS[k]) * part[k, d] for k in KINDS), F.lit(0.0)), 2).alias(f"{d.lower()}_score") for d in DIMENSIONS],
-            rounded(sum((F.lit(RATIOS[k]) * kind[k] for k in KINDS), F.lit(0.0)), 2).alias("total_score"), rounded(F.col("confirmed") * 100.0 / F.col("indicators"), 2).alias("disclosure_rate"),
+            every = lambda x, k: "(" + " + ".join(f"{x}_{k}_{d}" for d in DIMENSIONS) + ")"
+            kind = {k: f"(CASE WHEN {every('w', k)} > 0 THEN {kind[k]} * {every('t', k)} / {every('w', k)} ELSE 0D END)" for k in KINDS}
+            part = {(k, d): f"(CASE WHEN w_{k}_{d} > 0 THEN {p} * t_{k}_{d} / w_{k}_{d} ELSE 0D END)" for (k, d), p in part.items()}
+        mix = lambda x: " + ".join(f"{RATIOS[k]}D * {x(k)}" for k in KINDS)
+        one = wide.selectExpr(
+            f"'{strategy}' AS strategy", "company_code", "company_name", *[f"{rounded_text(kind[k], 4)} AS {k}_score" for k in KINDS],
+            *[f"{rounded_text(mix(lambda k, d=d: part[k, d]), 2)} AS {d.lower()}_score" for d in DIMENSIONS], f"{rounded_text(mix(kind.get), 2)} AS total_score", f"{rounded_text('confirmed * 100.0D / indicators', 2)} AS disclosure_rate",
         )
         out = one if out is None else out.unionByName(one)
     return out
@@ -148,11 +138,16 @@ def dense_ranks(df: DataFrame, by: str = "total_score", within: tuple[str, ...]
 
 
 def ranking(obs: DataFrame, indicators: DataFrame, strategies: tuple[str, ...] = STRATEGIES, universe: DataFrame | None = None, minimum: int = MINIMUM_POPULATION) -> DataFrame:
-    """Companies of one year's observations, scored, graded and ranked under each strategy."""
+    """Companies of one year's observations, scored, graded and ranked under each strategy.
+
+    Observations are read by three branches (quantiles, statistics, scores) and scores by two (distinct values, rows), so
+    both are staged: each source is scanned once.
+    """
     if universe is not None:
         obs = obs.join(universe.select("company_code").distinct(), "company_code", "left_semi")
+    obs = staged(obs.select(*KEY, "company_name", "value", "status", "_ord"), "observations")
     stats = population_stats(obs, minimum)
-    scores = roll_up(scored_cells(latest_rows(obs), indicators, stats), indicators, strategies)
+    scores = staged(roll_up(scored_cells(latest_rows(obs), indicators, stats), indicators, strategies), "scores")
     return dense_ranks(grades(scores), within=("strategy",))
 
 
@@ -172,11 +167,13 @@ def changed_scores(obs: DataFrame, changes: DataFrame, indicators: DataFrame, ca
     One changed value moves an indicator's population, and so the score of every company with a confirmed value of it.
     Others keep their cached row.
     """
-    after = obs.join(changes.select(*KEY), KEY, "left_anti").unionByName(changes.select(*obs.columns))
+    columns = [*KEY, "company_name", "value", "status", "_ord"]
+    obs, changes = staged(obs.select(*columns), "before"), staged(changes.select(*columns), "changes")
+    after = staged(obs.join(changes.select(*KEY), KEY, "left_anti").unionByName(changes), "after")
     moved = F.broadcast(changes.select("indicator_code").distinct())  # indicators of one methodology
     touched = after.unionByName(obs).join(moved, "indicator_code", "left_semi").select("company_code").distinct()
     stats = population_stats(after)
     again = after.join(touched, "company_code", "left_semi")
     fresh = roll_up(scored_cells(latest_rows(again), indicators, stats), indicators, (strategy,))
     kept = cached.join(touched, "company_code", "left_anti").select(*fresh.columns)
-    return dense_ranks(grades(kept.unionByName(fresh)), within=("strategy",))
+    return dense_ranks(grades(staged(kept.unionByName(fresh), "scores")), within=("strategy",))

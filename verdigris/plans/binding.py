@@ -21,21 +21,19 @@ def code(col: str):
 
 def observations(spark: SparkSession, sf_dir: str, year: int | None = None) -> DataFrame:
     """One row per supplier, ship year and brand: the mean quantity, with a status and confidence made from the keys."""
-    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", "l_quantity", F.year("l_shipdate").alias("report_year"))
+    lines = table(spark, sf_dir, "lineitem").selectExpr("l_suppkey", "l_partkey", "l_quantity", "year(l_shipdate) AS report_year")
     if year is not None:
-        lines = lines.filter(F.col("report_year") == year)
+        lines = lines.filter(f"report_year = {year}")
     cells = (
-        lines.join(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
-        .groupBy("l_suppkey", "report_year", "p_brand").agg(F.avg("l_quantity").alias("value"), F.count(F.lit(1)).alias("n"))
+        lines.join(table(spark, sf_dir, "part").selectExpr("p_partkey AS l_partkey", "p_brand"), "l_partkey")
+        .groupBy("l_suppkey", "report_year", "p_brand").agg(F.expr("avg(l_quantity) AS value"), F.expr("count(*) AS n"))
     )
-    brand = F.substring("p_brand", 7, 9).cast("int")
-    m = (F.col("l_suppkey") * 7 + brand * 3 + F.col("report_year")) % 13
-    status = F.when(m == 0, "pending").when(m == 1, "derived").when(m == 2, "predicted").when(m == 3, "imputed").when(m == 4, "not_applicable").otherwise("confirmed")
-    suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
-    return cells.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey")).select(
-        code("l_suppkey").alias("company_code"), F.col("s_name").alias("company_name"), "report_year", F.col("p_brand").alias("indicator_code"), "value", status.alias("status"),
-        F.concat(F.lit("https://example.org/"), code("l_suppkey")).alias("source_url"), F.concat(F.lit("report-"), F.col("report_year").cast("string")).alias("source_file"),
-        F.col("n").cast("int").alias("source_page"), F.concat(F.lit("brand "), brand.cast("string")).alias("evidence_text"), (0.5 + (F.col("n") % 6) / 10.0).alias("confidence"), brand.cast("long").alias("_ord"),
+    suppliers = table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS l_suppkey", "s_name")
+    numbered = cells.join(suppliers, "l_suppkey").selectExpr("*", "CAST(substring(p_brand, 7, 9) AS INT) AS b", "lpad(CAST(l_suppkey AS STRING), 6, '0') AS company_code")
+    return numbered.selectExpr(
+        "company_code", "s_name AS company_name", "report_year", "p_brand AS indicator_code", "value",
+        "CASE (l_suppkey * 7 + b * 3 + report_year) % 13 WHEN 0 THEN 'pending' WHEN 1 THEN 'derived' WHEN 2 THEN 'predicted' WHEN 3 THEN 'imputed' WHEN 4 THEN 'not_applicable' ELSE 'confirmed' END AS status",
+        "concat('https://example.org/', company_code) AS source_url", "concat('report-', CAST(report_year AS STRING)) AS source_file", "CAST(n AS INT) AS source_page", "concat('brand ', CAST(b AS STRING)) AS evidence_text", "0.5D + (n % 6) / 10.0D AS confidence", "CAST(b AS LONG) AS _ord",
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.functions.numeric import erf, normal_cdf, plain_number, rounded
+from verdigris.functions.numeric import erf_text, normal_cdf_text, plain_number, rounded
 from verdigris.operators import analysis, scoring
 from verdigris.plans.binding import IND, OBS, YEAR, indicators, observations, sql_erf, sql_round, sql_with
 from verdigris.schemas import STRATEGIES, methodology_faults
@@ -86,8 +86,8 @@ def faults(spark, d):
 
 @query("erf_table", f"SELECT i, {sql_round(sql_erf('((i - 400) / 100.0)'), 9)} AS erf, {sql_round('0.5 * (1 + ' + sql_erf('((i - 400) / 100.0 / sqrt(2.0))') + ')', 9)} AS cdf FROM (SELECT CAST(range AS BIGINT) AS i FROM range(0, 801))")
 def erf_table(spark, d):
-    x = (F.col("i") - 400) / 100.0
-    return spark.range(0, 801).withColumnRenamed("id", "i").select("i", rounded(erf(x), 9).alias("erf"), rounded(normal_cdf(x), 9).alias("cdf"))
+    x = "((i - 400) / 100.0D)"
+    return spark.range(0, 801).withColumnRenamed("id", "i").select("i", rounded(F.expr(erf_text(x)), 9).alias("erf"), rounded(F.expr(normal_cdf_text(x)), 9).alias("cdf"))
 
 
 @query("population_stats", sql_with(OBS, IND, ONE_YEAR, STATS, f"SELECT indicator_code, population_count, {sql_round('mean', 6)} AS mean, {sql_round('stddev', 6)} AS stddev, thin_population FROM stats"))

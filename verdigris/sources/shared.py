@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -18,3 +19,13 @@ def shared_dir(spark: SparkSession) -> str:
         named = "file://" + tempfile.mkdtemp(prefix="verdigris-")
         sc.setCheckpointDir(named)
     return named.rstrip("/")
+
+
+def staged(df: DataFrame, name: str = "stage") -> DataFrame:
+    """df written as Parquet in the shared folder and read back: what several branches of a plan need is computed once.
+
+    The table outlives lost executors, cuts lineage, and keeps column pruning.
+    """
+    path = f"{shared_dir(df.sparkSession)}/verdigris/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
