@@ -58,4 +58,5 @@ def clip(x: Column, low: float, high: float) -> Column:
 
 def plain_number(x: Column, digits: int = 4) -> Column:
     """Fixed decimals without trailing zeros, as text."""
-    return F.regexp_replace(F.regexp_replace(F.format_string(f"%.{digits}f", x), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    shown = F.regexp_replace(F.regexp_replace(F.format_string(f"%.{digits}f", x), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    return F.when(x.isNotNull(), shown)
