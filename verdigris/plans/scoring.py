@@ -191,7 +191,16 @@ def tier_summary(spark, d):
     return analysis.tier_summary(year(spark, d))
 
 
-@query("tier_compare")
+def _tier_sql(n: int, statuses: str) -> str:
+    """The chain for one tier, its tables numbered so that two chains fit into one statement."""
+    import re
+
+    chain = ",\n".join([ONE_YEAR, STATS, CELLS, GRID, ROLLED]).replace(f"WHERE report_year = {YEAR})", f"WHERE report_year = {YEAR} AND status IN {statuses})", 1)
+    return re.sub(r"\b(base|lim|stats|cells|grid|kinds|byk|byd|disclosed|rolled|dims|ranked)\b", rf"\g<1>{n}", chain)
+
+
+@query("tier_compare", sql_with(OBS, IND, _tier_sql(1, "('confirmed')"), _tier_sql(2, "('confirmed', 'predicted', 'imputed', 'derived')"), f"""SELECT company_code, rank_0, rank_1, rank_0 - rank_1 AS rank_change, {sql_round('s1 - s0', 2)} AS score_change, CASE WHEN rank_0 > rank_1 THEN 'up' WHEN rank_0 < rank_1 THEN 'down' ELSE 'same' END AS movement
+  FROM (SELECT company_code, rank AS rank_0, total_score AS s0 FROM ranked1 WHERE strategy = 'legacy_zero_v1') a JOIN (SELECT company_code, rank AS rank_1, total_score AS s1 FROM ranked2 WHERE strategy = 'indicator_neutral_v1') b USING (company_code)"""))
 def tier_compare(spark, d):
     return analysis.tier_compare(year(spark, d), indicators(spark))
 
