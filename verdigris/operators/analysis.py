@@ -134,3 +134,19 @@ def minmax_scores(df: DataFrame, by: str, scale: float) -> DataFrame:
     """`by` mapped to 0..scale between its smallest and largest value."""
     ends = df.agg(F.min(by).alias("_low"), F.max(by).alias("_high"))
     return df.crossJoin(F.broadcast(ends)).withColumn("minmax_score", rounded(F.coalesce((F.col(by) - F.col("_low")) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0)) * scale, F.lit(0.0)), 4)).drop("_low", "_high")
+
+
+def movers(df: DataFrame, change: str, tie: str, k: int = 10) -> DataFrame:
+    """The k largest gains and the k largest losses, each in order."""
+    side = lambda name, order, keep: df.filter(keep).orderBy(order, tie).limit(k).withColumn("side", F.lit(name))
+    return side("up", F.desc(change), F.col(change) > 0).unionByName(side("down", F.asc(change), F.col(change) < 0))
+
+
+def reprioritised(df: DataFrame, first: Column, *order: Column) -> DataFrame:
+    """Places by (first, order): a global order through range-partitioned counts is not needed for review lists of bounded size."""
+    return df.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(first, *order)))
+
+
+def access(df: DataFrame, tier: str, allowed: dict[str, tuple[str, ...]]) -> DataFrame:
+    """The columns of an export that a tier may see; an unknown tier sees none."""
+    return df.select(*[c for c in df.columns if c in allowed.get(tier, ())])

@@ -301,3 +301,63 @@ def reconcile_values(df: DataFrame, key: list[str], value: str, spread: float =
     """One value per key where all agree within a relative spread; keys that disagree are dropped."""
     out = df.groupBy(*key).agg(F.min(value).alias("_low"), F.max(value).alias("_high"), F.count(F.lit(1)).alias("n"))
     return out.filter((F.col("_high") - F.col("_low")) <= spread * F.greatest(F.abs("_high"), F.abs("_low"))).withColumnRenamed("_low", value).drop("_high")
+
+
+def page_context(pages: DataFrame, keep: list[str], before: int = 1) -> DataFrame:
+    """Pages with the text of the pages before them, for rows whose header stands on an earlier page."""
+    w = Window.partitionBy(*keep).orderBy("page").rowsBetween(-before, -1)
+    return pages.withColumn("context", F.array_join(F.collect_list("page_text").over(w), "\n"))
+
+
+def aligned_rows(pages: DataFrame, labels: dict[str, str], keep: list[str]) -> DataFrame:
+    """Rows of text tables aligned by tabs or three and more spaces: the label's first number. No row fails the page."""
+    lines = pages.select(*keep, "page", F.explode(F.split("page_text", "\n")).alias("line"))
+    cells = F.transform(F.split(F.trim("line"), r"\t+| {3,}"), lambda c: F.trim(c))
+    code = F.lit(None).cast("string")
+    for name, pattern in reversed(list(labels.items())):
+        code = F.when(F.col("cells")[0].rlike(f"(?i)^(?:{pattern})"), name).otherwise(code)
+    numbers = F.filter(F.transform(F.slice("cells", 2, F.size("cells")), lambda c: F.regexp_replace(c, ",", "").try_cast("double")), lambda v: v.isNotNull())
+    rows = lines.withColumn("cells", cells).filter(F.size("cells") >= 2).withColumns({"indicator_code": code, "numbers": numbers})
+    return rows.filter(F.col("indicator_code").isNotNull() & (F.size("numbers") > 0)).select(*keep, "page", "indicator_code", F.col("numbers")[0].alias("value"), F.col("line").alias("evidence_text"), F.lit(0.7).alias("confidence"))
+
+
+def extract_candidates(pages: DataFrame, labels: dict[str, str], keep: list[str]) -> DataFrame:
+    """All rules over a document's pages: one row per (indicator, page, value), the surest evidence of each."""
+    rows = unit_candidates(pages, keep).unionByName(rate_candidates(pages, keep)).unionByName(aligned_rows(pages, labels, keep))
+    best = F.max_by(F.struct("evidence_text", "confidence"), F.struct("confidence", "evidence_text"))
+    return rows.groupBy(*keep, "page", "indicator_code", "value").agg(best.alias("b")).select(*keep, "page", "indicator_code", "value", "b.evidence_text", "b.confidence")
+
+
+def extraction_coverage(found: DataFrame, keep: list[str]) -> DataFrame:
+    return found.groupBy("indicator_code").agg(F.count(F.lit(1)).alias("candidates"), F.count_distinct(*keep).alias("documents"), F.max("confidence").alias("max_confidence"))
+
+
+def money_rates(totals: DataFrame, revenue: DataFrame, key: list[str], bounds: dict[str, tuple[float, float]]) -> DataFrame:
+    """Totals as a percentage of revenue, inside each indicator's bounds; companies whose revenues disagree get none."""
+    agreed = reconcile_values(revenue, key, "revenue").select(*key, "revenue")
+    rate = F.col("total") * 100 / F.nullif("revenue", F.lit(0.0))
+    inside = F.lit(False)
+    for code, (low, high) in bounds.items():
+        inside = inside | ((F.col("indicator_code") == code) & rate.between(low, high))
+    return totals.join(agreed, key).withColumn("value", rate).filter(inside)
+
+
+def usable_denominator(evidence: Column) -> Column:
+    """False where the evidence divides by output instead of revenue, or states a zero that is no measurement."""
+    return ~evidence.rlike("(?i)产值|产量|发电量|单位产品|per mwh|per unit") & ~evidence.rlike(r"(?<![\d.])0(?:\.0+)?(?![\d.])")
+
+
+def title_kind(title: Column, year: int) -> Column:
+    """annual_report or esg_report for full reports of the year; summaries, notices and other years are neither."""
+    t = F.regexp_replace(F.lower(title), r"\s+", "")
+    other = t.rlike("摘要|公告|取消|更正|summary|notice|半年|interim|季度|quarter")
+    return F.when(other, F.lit(None)).when(t.rlike(f"{year}年?年度报告|{year}年报|annualreport{year}|{year}annualreport"), "annual_report").when(t.rlike("esg|sustainability|社会责任|可持续"), "esg_report")
+
+
+def title_preference(title: Column, kind: Column) -> Column:
+    """Smaller is better: full local text, then parallel listings, then translations."""
+    return F.when(title.rlike("(?i)english|英文"), 3).when((kind == "annual_report") & title.rlike("H股|同步披露"), 2).otherwise(0)
+
+
+def https_ready(url: Column) -> Column:
+    return F.coalesce(url.rlike(r"^https://[^/]+"), F.lit(False)) & plausible_issuer(host_of(url))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -110,3 +110,29 @@ def first_existing(df: DataFrame, candidates: DataFrame, key: str) -> DataFrame:
     """The path of the smallest priority that exists for each key."""
     best = candidates.filter("exists").groupBy(key).agg(F.min_by("path", "priority").alias("path"))
     return df.join(best, key, "left")
+
+
+def equity_list(df: DataFrame) -> DataFrame:
+    """Rows of an exchange's full list that are shares of its main or growth board, with padded codes."""
+    board = F.col("category").isin("Equity") & F.col("sub_category").isin("Equity Securities (Main Board)", "Equity Securities (GEM)")
+    return df.filter(board).select(F.concat(F.lpad(F.regexp_extract("stock_code", r"(\d+)", 1), 5, "0"), F.lit(".HK")).alias("stock_code"), F.trim("company_name").alias("company_name"))
+
+
+def table_cells(df: DataFrame, html: str, keep: list[str]) -> DataFrame:
+    """Rows of HTML tables as arrays of cell texts."""
+    rows = F.regexp_extract_all(html, F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1))
+    one = df.select(*keep, F.posexplode(rows).alias("row", "r"))
+    cells = F.transform(F.regexp_extract_all("r", F.lit(r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]>"), F.lit(1)), lambda c: F.trim(F.regexp_replace(c, "<[^>]+>", "")))
+    return one.select(*keep, "row", cells.alias("cells"))
+
+
+def embedded_payload(df: DataFrame, page: str, name: str, schema: str, keep: list[str]) -> DataFrame:
+    """The JSON object that a page's script assigns to a name."""
+    text = F.regexp_extract(page, rf"(?s){name}\s*=\s*(\{{.*?\}})\s*;", 1)
+    return df.select(*keep, F.from_json(F.nullif(text, F.lit("")), schema).alias("p")).select(*keep, "p.*")
+
+
+def unclassified(industry: Column) -> Column:
+    """Blank, to be classified, or to be checked."""
+    t = F.trim(F.coalesce(industry, F.lit("")))
+    return (t == "") | t.contains("待分类") | (t.contains("待") & t.contains("复核"))
