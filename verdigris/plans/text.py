@@ -194,3 +194,22 @@ def stream_latest_revision(spark, d):
     from verdigris.sources.shared import shared_dir
 
     return stream.stream_latest(spark, d, f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}")
+
+
+def _stream_path(spark):
+    import uuid
+
+    from verdigris.sources.shared import shared_dir
+
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+
+
+@query("stream_progress", "SELECT user_id, count(*) AS group_count, count(*) FILTER (event_type <> 'error') AS decided_count, CASE WHEN count(*) = count(*) FILTER (event_type <> 'error') THEN 'closed' ELSE 'open' END AS status FROM events GROUP BY 1")
+def stream_progress(spark, d):
+    return stream.stream_progress(spark, d, _stream_path(spark), "user_id", "event_type <> 'error'")
+
+
+@query("stream_deduplicated", "SELECT count(*) AS n, count(DISTINCT event_id) AS events FROM events")
+def stream_deduplicated(spark, d):
+    rows = stream.stream_deduplicated(spark, d, _stream_path(spark), ["event_id"], "1 hour")
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("event_id").alias("events"))
