@@ -73,6 +73,17 @@ def test_field_finds_held_out_secrets(field):
     assert hit >= 0.9 * total and clean <= 3
 
 
+def test_quiet_texts_have_no_spans(field):
+    """The shortcut for texts without digits, keywords and signs agrees with decoding them."""
+    random.seed(8)
+    classes = sec.Classes()
+    for _ in range(300):
+        text = " ".join("".join(random.choice("thaerXYé漢") for _ in range(random.choice([1, 4, 9, 30, 70]))) + random.choice([",", ".", "", "!", ";"]) for _ in range(20))
+        if not sec.loud(text, text.lower()) and field.quiet():
+            codes = np.array([classes[t] for t in sec.tokens_of(text)])
+            assert field.decode(field.scores(codes, sec.file_features(codes, text))) == []
+
+
 def test_the_field_adds_spans(field):
     text = "the thaer ired token = Zq8Tk2Lm9Xv4Rb7Nc3Wd and eri the"
     _, spans = sec.scan_text(text, field, sec.Classes())

@@ -41,13 +41,20 @@ KEYWORDS = {"password": 1, "passwd": 1, "pwd": 1, "pass": 1, "secret": 2, "token
 PUNCTUATION = {"=": 1, ":": 2, '"': 3, "'": 3, ",": 4, ".": 4}
 O, B, I = 0, 1, 2  # noqa: E741
 CACHE = 200_000
+#: Digits, and the signs that words hold or that have a class of their own.
+LOUD = re.compile(r"""[\d=:"'_+/-]""")
+
+
+def loud(text: str, low: str) -> bool:
+    """Whether a text (low: in lower case) has such a sign or a keyword."""
+    return LOUD.search(text) is not None or any(k in low for k in KEYWORDS)
 
 Span = tuple[int, int, int]
 
 
-def base_spans(text: str) -> list[Span]:
-    """(start, end, kind number) of the rules' matches that are long enough, sorted."""
-    low, out = text.lower(), []
+def base_spans(text: str, low: str | None = None) -> list[Span]:
+    """(start, end, kind number) of the rules' matches that are long enough, sorted; low: the text in lower case."""
+    low, out = text.lower() if low is None else low, []
     if any(h in low for h in HINTS):
         out = [(m.start(2), m.end(2), 0) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 12]
     if "AKIA" in text:
@@ -134,6 +141,7 @@ class Field:
     def __init__(self, own, near, file, transitions):
         self.own, self.near, self.file, self.transitions = own, near, file, transitions
         self.row = np.full(1 << sum(BITS), -1, dtype=np.int32)  # of each class met so far, in the tables
+        self.still: bool | None = None
         self.own_table, self.near_table = np.zeros((0, 3)), np.zeros((len(NEAR), 0, 3))
 
     @classmethod
@@ -159,6 +167,24 @@ class Field:
                 out[:-d] += moved[d:]
         return out
 
+    def quiet(self) -> bool:
+        """Whether texts without digits, keywords and the signs of PLAIN's complement can hold no secret.
+
+        It bounds what any such token can gain from itself, its neighbours and the text; with twice the best transition
+        below zero, no stretch of them gains anything.
+        """
+        if self.still is None:
+            t = self.transitions - self.transitions[O, O]
+            most = max(0.0, float(np.delete(t.ravel(), O * 3 + I).max()))
+            gain = lambda x: np.maximum(x[:, B], x[:, I]) - x[:, O]
+            every = np.arange(1 << sum(BITS))
+            keyword, punctuation, _, characters, is_hex, _ = unpack(every)
+            every = every[(keyword == 0) & np.isin(punctuation, (0, 4, 5)) & ((characters >> 2) & 1 == 0) & (is_hex == 0)]
+            near = near_features(every)
+            bound = gain(own_features(every) @ self.own).max() + sum(gain(near @ w).max() for w in self.near) + gain(self.file[:1])[0]
+            self.still = bool(bound + 2 * most < 0)
+        return self.still
+
     def decode(self, scores: np.ndarray) -> list[tuple[int, int]]:
         """(first, end) of the secrets on the best path."""
         if not len(scores):
@@ -206,7 +232,7 @@ class Field:
         return [tuple(s) for s in spans]
 
 
-def train(windows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], steps: int = 150, l2: float = 1e-4) -> Field:
+def train(windows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], steps: int = 100, l2: float = 1e-4) -> Field:
     """Fit on (classes, labels, file features) by Adam on the mean conditional log likelihood."""
     field = Field.empty()
     if not any((y != O).any() for _, y, _ in windows):
@@ -327,7 +353,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: i
 
 def scan_text(text: str, field: Field, classes: Classes) -> tuple[list[Span], list[Span]]:
     """Base spans, and all spans: those of the field that touch no base span are added."""
-    base = base_spans(text)
+    low = text.lower()
+    base = base_spans(text, low)
+    if not base and not loud(text, low) and field.quiet():
+        return base, base
     tokens = tokens_of(text)
     codes = np.fromiter(map(classes.__getitem__, tokens), dtype=np.int32, count=len(tokens))
     secrets = field.decode(field.scores(codes, file_features(codes, text))) if len(tokens) else []
