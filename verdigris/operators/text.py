@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from verdigris.functions.numeric import rounded
 
+#: White space of any script, spelled out: Unicode character classes are several times slower.
+SPACES = r"[\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 PAGE_MARK = r"\n=== PAGE (\d+) ===\n"
 
 
@@ -25,7 +27,7 @@ def split_pages(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
 
 def normal_text(x: Column) -> Column:
     """NUL out, white space of any script to one space, full-width brackets to ASCII, scientific notation written out."""
-    x = F.regexp_replace(F.replace(x, F.lit("\x00"), F.lit("")), r"(?U)\s+", " ")
+    x = F.regexp_replace(F.replace(x, F.lit("\x00"), F.lit("")), f"{SPACES}+", " ")
     return F.translate(x, "（）：％", "():%")
 
 
@@ -134,7 +136,7 @@ def thin_class(chars: Column, size: Column, pages: Column, missing: Column, crit
 
 
 def visible_chars(text: Column) -> Column:
-    return F.length(F.regexp_replace(text, r"(?U)\s", ""))
+    return F.length(F.regexp_replace(text, SPACES, ""))
 
 
 FAILURES = (
