@@ -125,7 +125,7 @@ def population_baseline(spark, d):
     return scoring.population_baseline(year(spark, d), indicators(spark), 80)
 
 
-@query("grade_bands", f"""WITH s AS (SELECT s_suppkey, s_acctbal, s_nationkey, CASE WHEN s_acctbal > 0 THEN {sql_round('s_acctbal / 100', 2)} ELSE 0.0 END AS total_score, 30.0 + s_nationkey * 3 AS disclosure_rate FROM supplier)
+@query("grade_bands", f"""WITH s AS (SELECT s_suppkey, s_acctbal, s_nationkey, CASE WHEN s_acctbal > 0 THEN {sql_round('s_acctbal / 100', 2)} ELSE 0.0 END AS total_score, CAST(30.0 + s_nationkey * 3 AS DOUBLE) AS disclosure_rate FROM supplier)
 SELECT s_suppkey, total_score, disclosure_rate, CASE WHEN s_nationkey = 24 THEN 'major_safety_incident' WHEN s_nationkey = 23 THEN 'accident_misreport' WHEN disclosure_rate < 50 THEN 'disclosure_below_half' END AS grade_reason,
   CASE WHEN s_nationkey >= 23 OR disclosure_rate < 50 THEN 'NA' WHEN total_score >= 90 THEN 'AAA' WHEN total_score >= 75 THEN 'AA' WHEN total_score >= 60 THEN 'A' WHEN total_score >= 50 THEN 'BBB' WHEN total_score >= 40 THEN 'BB' WHEN total_score >= 30 THEN 'B' WHEN total_score >= 20 THEN 'C' ELSE 'NA' END AS grade FROM s""")
 def grade_bands(spark, d):
