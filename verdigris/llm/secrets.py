@@ -259,32 +259,29 @@ def train(windows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], steps: int =
                 scores[:, -d:] += moved[:, :d]
             else:
                 scores[:, :-d] += moved[:, d:]
-        allowed = field.transitions.copy()
-        allowed[O, I] = -1e4
-        alpha, beta = np.empty_like(scores), np.zeros_like(scores)
-        alpha[:, 0] = scores[:, 0] + np.array([0, 0, -1e4])
+        # forward and backward in probabilities, each step scaled to sum to one
+        steps_on = np.exp(field.transitions)
+        steps_on[O, I] = 0.0
+        local = np.exp(scores - scores.max(axis=2, keepdims=True))
+        alpha, beta = np.empty_like(local), np.ones_like(local)
+        first_step = local[:, 0] * np.array([1.0, 1.0, 0.0])
+        alpha[:, 0] = first_step / first_step.sum(axis=1, keepdims=True)
         for t in range(1, length):
-            move = np.logaddexp.reduce(alpha[:, t - 1, :, None] + allowed, axis=1) + scores[:, t]
-            alpha[:, t] = np.where(mask[:, t, None], move, alpha[:, t - 1])
+            move = (alpha[:, t - 1] @ steps_on) * local[:, t]
+            alpha[:, t] = np.where(mask[:, t, None], move / move.sum(axis=1, keepdims=True), alpha[:, t - 1])
         for t in range(length - 2, -1, -1):
-            move = np.logaddexp.reduce(allowed + (scores[:, t + 1] + beta[:, t + 1])[:, None, :], axis=2)
-            beta[:, t] = np.where(mask[:, t + 1, None], move, 0)
-        log_z = np.logaddexp.reduce(alpha[:, -1], axis=1)
-        at_end = alpha + beta - log_z[:, None, None]
-        expected = np.exp(np.minimum(at_end, 0)) * mask[..., None]
-        pair = alpha[:, :-1, :, None] + allowed + (scores[:, 1:] + beta[:, 1:])[:, :, None, :] - log_z[:, None, None, None]
-        moves = (np.exp(np.minimum(pair, 0)) * mask[:, 1:, None, None]).sum((0, 1))
+            move = (local[:, t + 1] * beta[:, t + 1]) @ steps_on.T
+            beta[:, t] = np.where(mask[:, t + 1, None], move / move.sum(axis=1, keepdims=True), 1.0)
+        expected = alpha * beta
+        expected = expected / expected.sum(axis=2, keepdims=True) * mask[..., None]
+        right = local[:, 1:] * beta[:, 1:]
+        total = np.einsum("nta,ab,ntb->nt", alpha[:, :-1], steps_on, right)
+        moves = np.einsum("nta,ntb->ab", alpha[:, :-1], right / total[..., None] * mask[:, 1:, None]) * steps_on
         rest = (gold - expected) / n
-        flat = np.zeros((len(values), 3))
-        np.add.at(flat, index.ravel(), rest.reshape(-1, 3))
-        grads = [own.T @ flat, np.zeros_like(field.near), files.T @ rest.sum(1), (gold_moves - moves) / n]
+        by_class = lambda i, r: np.stack([np.bincount(i.ravel(), weights=r[..., y].ravel(), minlength=len(values)) for y in range(3)], axis=1)
+        grads = [own.T @ by_class(index, rest), np.zeros_like(field.near), files.T @ rest.sum(1), (gold_moves - moves) / n]
         for k, d in enumerate(NEAR):
-            flat = np.zeros((len(values), 3))
-            if d < 0:
-                np.add.at(flat, index[:, :d].ravel(), rest[:, -d:].reshape(-1, 3))
-            else:
-                np.add.at(flat, index[:, d:].ravel(), rest[:, :-d].reshape(-1, 3))
-            grads[1][k] = shown.T @ flat
+            grads[1][k] = shown.T @ (by_class(index[:, :d], rest[:, -d:]) if d < 0 else by_class(index[:, d:], rest[:, :-d]))
         for p, g, a, b in zip(params, grads, first, second, strict=True):
             g = g - l2 * p
             a += 0.1 * (g - a)
