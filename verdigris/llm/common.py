@@ -30,14 +30,18 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def durable(df: DataFrame, name: str = "stage") -> DataFrame:
+def durable(df: DataFrame, name: str = "stage", narrow: bool = False, deal: bool = False) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
-    This cuts lineage like checkpoint(), survives lost executors, and keeps column pruning and compression.
+    This cuts lineage like checkpoint(), survives lost executors, and keeps column pruning and compression. A narrow
+    table is written as one file for each core of the cluster instead of one for each shuffle partition: every small file
+    costs renames and permissions, and on a local file system a spawned process. With `deal` its rows are dealt out anew
+    (a shuffle of the narrow rows), where the stage that makes them needs all its tasks.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/verdigris/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    cores = max(1, spark.sparkContext.defaultParallelism)
+    (df.repartition(cores) if deal else df.coalesce(cores) if narrow else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -19,7 +19,7 @@ def components(edges: DataFrame) -> DataFrame:
     until every edge points at its component's smallest node; rounds grow with the logarithm of the longest path.
     A node's neighbours are never gathered: only their minimum is, by partial aggregation, and joined back.
     """
-    now = durable(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    now = durable(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", narrow=True)
     before = None
     while (state := _fingerprint(now)) != before and state[0]:
         before = state
@@ -29,5 +29,5 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(least, "a")
         small = joined.filter("b != m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        now = durable(small.distinct(), "small")
+        now = durable(small.distinct(), "small", narrow=True)
     return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())

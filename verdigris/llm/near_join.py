@@ -199,8 +199,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
     worded = rows.filter(F.col("key").isNotNull())
     classes = worded.groupBy("key").agg(F.min("rid").alias("node"), F.count(F.lit(1)).alias("n_copies"), F.min(first).alias("first"))
-    classes = durable(classes, "classes")
-    leaders = durable(worded.join(classes.select(F.col("node").alias("rid"), "n_copies"), "rid").select(F.col("rid").alias("node"), "n", "signature", "n_copies"), "leaders")
+    classes = durable(classes, "classes", narrow=True)
+    leaders = durable(worded.join(classes.select(F.col("node").alias("rid"), "n_copies"), "rid").select(F.col("rid").alias("node"), "n", "signature", "n_copies"), "leaders", narrow=True)
 
     def prefixes(batches):
         for batch in batches:
@@ -210,7 +210,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([trees, pa.array(keys.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), TREES))], names=["tree", "prefix", "node"])
 
     paths = durable(map_batches(leaders.select("node", "signature"), prefixes, "tree int, prefix long, node long"), "paths")
-    met = durable(paths.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("met")).filter("met > 1"), "tries")
+    met = durable(paths.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("met")).filter("met > 1"), "tries", narrow=True)
     blocks = F.ceil(F.col("met") / F.lit(block)).cast("int")
     members = join_groups(paths, met, ["tree", "prefix"], "met")
     members = members.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("node"), blocks).cast("int")})
@@ -234,7 +234,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_arrays([pa.array([tree] * k, pa.int32()), pa.array([prefix] * k, pa.int64()), pa.array([low] * k, pa.int32()), pa.array([high] * k, pa.int32()), pa.array(block_of[at].astype(np.int32)), pa.array(node[at])], names=["tree", "prefix", "low", "high", "block", "node"])
 
     signed = together(members.join(leaders.select("node", "n", "signature").hint("merge"), "node").select("tree", "prefix", "low", "high", "block", "node", "n", "signature"))
-    needed = durable(map_batches(signed, pick, "tree int, prefix long, low int, high int, block int, node long"), "needed")
+    needed = durable(map_batches(signed, pick, "tree int, prefix long, low int, high int, block int, node long"), "needed", deal=True)
 
     def check(batches):
         for (tree, _, low, high), table in groups_of(batches, 4):
@@ -263,13 +263,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # no semi-join here: the optimizer would move it below the bitmap, and all texts would be shuffled
     texts = likely(rows.select(F.col("rid").alias("node"), "text"), wanted, "node")
     read = needed.join(leaders.hint("merge"), "node").join(texts.hint("merge"), "node").select("tree", "prefix", "low", "high", "block", "node", "n", "signature", "n_copies", "text")
-    linked = durable(map_batches(together(read), check, "node long, root long, links long"), "links")
+    linked = durable(map_batches(together(read), check, "node long, root long, links long"), "links", deal=True)
     labels = components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")))
     counts = linked.groupBy("node").agg(F.sum("links").alias("links"))
     named = classes.join(labels, "node", "left").join(counts, "node", "left").select("key", "n_copies", "first", F.coalesce("label", "node").alias("label"), (F.coalesce("links", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"))
-    named = durable(named, "named")
-    leading = durable(named.groupBy("label").agg(F.min("first").alias("lead"), F.count(F.lit(1)).alias("_classes")), "leading")
-    full = durable(join_groups(named, leading, ["label"], "_classes").select("key", "n_copies", "n_links", "lead"), "full")
+    named = durable(named, "named", narrow=True)
+    leading = durable(named.groupBy("label").agg(F.min("first").alias("lead"), F.count(F.lit(1)).alias("_classes")), "leading", narrow=True)
+    full = durable(join_groups(named, leading, ["label"], "_classes").select("key", "n_copies", "n_links", "lead"), "full", narrow=True)
     narrow = rows.select("rid", "doc_id", "key")
     placed = join_groups(narrow.filter(F.col("key").isNotNull()), full, ["key"], "n_copies")
     alone = narrow.filter(F.col("key").isNull()).select("rid", "doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"), F.lit(True).alias("kept"))
