@@ -120,7 +120,7 @@ def number_rows(df: DataFrame, keys: list[str], name: str = "row") -> tuple[Data
         .drop("_tie")
         .withColumn("_at", F.monotonically_increasing_id())
     )
-    saved = durable(ranged, "rows").withColumns({"_part": F.shiftright("_at", 33), "_at": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))})
+    saved = durable(ranged, "rows", narrow=True).withColumns({"_part": F.shiftright("_at", 33), "_at": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))})
     counts = saved.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
