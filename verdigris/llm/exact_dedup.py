@@ -56,7 +56,7 @@ def merge_runs(rows: DataFrame) -> DataFrame:
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256; one row per input row."""
     rows = durable(digests(docs, id_col, text_col), "digests")
-    groups = durable(merge_runs(rows), "runs")
+    groups = durable(merge_runs(rows), "runs", narrow=True)
     least = rows.count() / HOT_SHARE
     hot = F.broadcast(groups.filter(F.col("group_size") > F.lit(least)).withColumn("_hot", F.lit(True)))
     joined = rows.join(hot, KEY, "left")
@@ -83,7 +83,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         "_id_text": F.coalesce(F.col(id_col).cast("string"), F.lit("none")), "_sha": F.unhex(F.sha2(text, 256)), "_len": F.octet_length(text), "_xx": F.xxhash64(text),
     })
     names = ["_id_text", *KEY]
-    again = durable(again, "repeated")
+    again = durable(again, "repeated", narrow=True)
     if again.isEmpty():  # the usual case: identifiers are unique
         return keyed.join(keep, names, "left_semi").select(*docs.columns)
     kept = keyed.join(keep.join(again, names, "left_anti"), names, "left_semi")
