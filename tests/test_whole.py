@@ -1,0 +1,28 @@
+"""Queries over whole tables, against SQL without the cuts that the registered SQL has."""
+
+import duckdb
+import pytest
+
+from tests.test_queries import PLANS, SF, TABLES, rows
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    return con
+
+
+def same(spark, duck, name, sql):
+    got = PLANS[name](spark, SF)
+    want = duck.execute(sql)
+    assert rows(got.columns, got.collect()) == rows([c[0] for c in want.description], want.fetchall())
+
+
+def test_thin_text_keeps_every_document(spark, duck):
+    got = PLANS["thin_text"](spark, SF)
+    assert got.count() == duck.execute("SELECT count(*) FROM documents").fetchone()[0]
+    short = duck.execute("SELECT doc_id FROM documents WHERE length(regexp_replace(text, '\\s', '', 'g')) < 200 AND doc_id % 3 = 0 AND doc_id % 50 <> 0").fetchall()
+    assert short and {r["class"] for r in got.filter(got.doc_id.isin([i for (i,) in short])).collect()} == {"truncated_export"}

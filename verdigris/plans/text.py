@@ -54,8 +54,7 @@ def keyword_evidence(spark, d):
 @query("thin_text", "SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN 'missing_text' WHEN c < 200 THEN 'critical_thin' WHEN c < 2000 THEN CASE WHEN doc_id % 3 = 0 THEN 'truncated_export' WHEN c < 200 THEN 'critical_thin' ELSE 'thin' END WHEN c < 5000 AND doc_id % 2 = 0 THEN 'large_pdf_low_text' END AS class FROM (SELECT doc_id, length(regexp_replace(text, '\\s', '', 'g')) AS c FROM documents) WHERE NOT (c < 200 AND doc_id % 3 = 0 AND doc_id % 50 <> 0)")
 def thin_text(spark, d):
     k = F.col("doc_id")
-    made = table(spark, d, "documents").select("doc_id", ops.visible_chars(F.col("text")).alias("c")).select("doc_id", "c", ops.thin_class(F.col("c"), F.when(k % 2 == 0, 6_000_000).otherwise(2_000_000), F.when(k % 3 == 0, 1).otherwise(9), k % 50 == 0).alias("class"))
-    return made.filter(~((F.col("c") < 200) & (k % 3 == 0) & (k % 50 != 0))).drop("c")
+    return table(spark, d, "documents").select("doc_id", ops.visible_chars(F.col("text")).alias("c")).select("doc_id", ops.thin_class(F.col("c"), F.when(k % 2 == 0, 6_000_000).otherwise(2_000_000), F.when(k % 3 == 0, 1).otherwise(9), k % 50 == 0).alias("class"))
 
 
 @query("failure_classes", """SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'timeout' WHEN 1 THEN 'ssl_eof' WHEN 2 THEN 'connection_reset' WHEN 3 THEN 'html_instead_of_document' WHEN 4 THEN 'pdf_too_small' ELSE 'other_download_error' END AS class, event_id % 6 <> 4 AS retryable FROM events""")
