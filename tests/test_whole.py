@@ -26,3 +26,8 @@ def test_thin_text_keeps_every_document(spark, duck):
     assert got.count() == duck.execute("SELECT count(*) FROM documents").fetchone()[0]
     short = duck.execute("SELECT doc_id FROM documents WHERE length(regexp_replace(text, '\\s', '', 'g')) < 200 AND doc_id % 3 = 0 AND doc_id % 50 <> 0").fetchall()
     assert short and {r["class"] for r in got.filter(got.doc_id.isin([i for (i,) in short])).collect()} == {"truncated_export"}
+
+
+def test_thin_text_is_critical_below_500(spark, duck):
+    same(spark, duck, "thin_text", """SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN 'missing_text' WHEN doc_id % 3 = 0 AND c < 2000 THEN 'truncated_export' WHEN c < 500 THEN 'critical_thin' WHEN c < 2000 THEN 'thin' WHEN c < 5000 AND doc_id % 2 = 0 THEN 'large_pdf_low_text' END AS class
+      FROM (SELECT doc_id, length(regexp_replace(text, '\\s', '', 'g')) AS c FROM documents)""")

@@ -128,7 +128,7 @@ def keyword_evidence(pages: DataFrame, terms: dict[str, tuple[str, ...]], keep:
     return ranked.select(*keep, "page", "indicator_code", "matched_term", F.substring(F.col("_t"), start, F.col("at") - start + F.length("matched_term") + after).alias("evidence_text"), F.when(F.col("matched_term") == first, 0.75).otherwise(0.65).alias("confidence"))
 
 
-def thin_class(chars: Column, size: Column, pages: Column, missing: Column, critical: int = 200, thin: int = 2000, low: int = 5000, large: int = 5_000_000) -> Column:
+def thin_class(chars: Column, size: Column, pages: Column, missing: Column, critical: int = 500, thin: int = 2000, low: int = 5000, large: int = 5_000_000) -> Column:
     return (
         F.when(missing, "missing_text").when((pages <= 2) & (size >= 1_000_000) & (chars < thin), "truncated_export").when(chars < critical, "critical_thin").when(chars < thin, "thin")
         .when((chars < low) & (size > large), "large_pdf_low_text")
