@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from tests.test_queries import PLANS, SF, TABLES, rows
+from tests.test_queries import PLANS, SF, SQL, TABLES, rows
 
 
 @pytest.fixture(scope="module")
@@ -31,3 +31,8 @@ def test_thin_text_keeps_every_document(spark, duck):
 def test_thin_text_is_critical_below_500(spark, duck):
     same(spark, duck, "thin_text", """SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN 'missing_text' WHEN doc_id % 3 = 0 AND c < 2000 THEN 'truncated_export' WHEN c < 500 THEN 'critical_thin' WHEN c < 2000 THEN 'thin' WHEN c < 5000 AND doc_id % 2 = 0 THEN 'large_pdf_low_text' END AS class
       FROM (SELECT doc_id, length(regexp_replace(text, '\\s', '', 'g')) AS c FROM documents)""")
+
+
+@pytest.mark.parametrize("name, cut", [("sample_evaluation", " WHERE event_id % 7 = 0"), ("release_faults", " WHERE c_custkey % 90 < 4"), *((n, " WHERE source_page % 3 = 0") for n in ("candidate_coverage", "quant_gap_impact", "company_gap_batch", "gap_batch_tasks", "thin_population_batch"))])
+def test_all_rows_are_read(spark, duck, name, cut):
+    same(spark, duck, name, SQL[name].replace(cut, ""))

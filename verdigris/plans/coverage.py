@@ -58,7 +58,7 @@ COVER = """cov AS (SELECT t.company_code, t.indicator_code, t.dimension, t.key_i
 
 
 def coverage(spark, d):
-    return ops.candidate_coverage(tasks(spark, d), candidates(spark, d).filter("source_page % 3 = 0"))
+    return ops.candidate_coverage(tasks(spark, d), candidates(spark, d))
 
 
 @query("candidate_coverage", sql_with(OBS, IND, TASKS, CANDIDATES, SPARSE, COVER, "SELECT * FROM cov"))
@@ -231,6 +231,6 @@ def release_validity(spark, d):
 SELECT release_id, fault FROM (SELECT release_id, CASE WHEN count(DISTINCT role) FILTER (role IN ('BUILDING', 'MACHINERY')) < 2 THEN 'role_missing' WHEN count(DISTINCT reviewer) < count(*) THEN 'reviewer_repeated' END AS fault FROM a GROUP BY 1) WHERE fault IS NOT NULL
 UNION ALL SELECT n_nationkey, 'hash_differs' FROM nation WHERE n_nationkey % 4 = 0""")
 def release_faults(spark, d):
-    a = table(spark, d, "customer").filter("c_custkey % 90 < 4").select(F.col("c_nationkey").alias("release_id"), F.col("c_mktsegment").alias("role"), F.concat(F.when(F.col("c_custkey") % 2 == 0, "p").otherwise("P"), (F.col("c_custkey") % 40).cast("string")).alias("reviewer"))
+    a = table(spark, d, "customer").select(F.col("c_nationkey").alias("release_id"), F.col("c_mktsegment").alias("role"), F.concat(F.when(F.col("c_custkey") % 2 == 0, "p").otherwise("P"), (F.col("c_custkey") % 40).cast("string")).alias("reviewer"))
     h = table(spark, d, "nation").select(F.col("n_nationkey").alias("release_id"), F.lit("x").alias("recorded"), F.when(F.col("n_nationkey") % 4 == 0, "y").otherwise("x").alias("actual"))
     return ops.release_faults(a, h, ("BUILDING", "MACHINERY"))
