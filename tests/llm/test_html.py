@@ -27,3 +27,11 @@ def test_odd_pages(spark):
     assert got[5].n_chars == 599999 and got[7].text == "" and got[8].text == "Only."
     assert got[6].text.startswith("<") and "é b" in got[6].text
     assert extract(df.limit(0)).count() == 0
+
+
+def test_sections_outside_the_largest_stay():
+    lead, body, end = (f"{x} {PARAGRAPH * n}".strip() for x, n in (("Lead.", 3), ("Body.", 15), ("End.", 3)))
+    parts = f"<div class=lead><p>{lead}</p></div>", f"<div class=body><p>{body}</p><p>Ok</p><p>{body}</p></div>", f"<div class=last><p>{end}</p></div>"
+    assert main_text("<body><div><a href=1>a</a></div>" + "".join(parts)) == "\n\n".join([lead, body, "Ok", body, end])
+    page = f"<body><article>{parts[1]}</article><article>{parts[2]}</article>"
+    assert main_text(page) == "\n\n".join([body, "Ok", body, end])
