@@ -35,3 +35,10 @@ def test_sections_outside_the_largest_stay():
     assert main_text("<body><div><a href=1>a</a></div>" + "".join(parts)) == "\n\n".join([lead, body, "Ok", body, end])
     page = f"<body><article>{parts[1]}</article><article>{parts[2]}</article>"
     assert main_text(page) == "\n\n".join([body, "Ok", body, end])
+
+
+def test_lists_of_links_in_an_article_stay_out():
+    p = PARAGRAPH.strip()
+    links = "<ul class=x1><li><a href=1>One more story</a><li><a href=2>Another story</a></ul>"
+    page = f"<article><h1><a href=0>Head</a></h1><p>{p}</p>{links}<p>Short.</p><ul><li>one<li><a href=3>two</a></ul></article>"
+    assert main_text(page) == "\n\n".join(["Head", p, "Short.", "one", "two"])

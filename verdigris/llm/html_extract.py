@@ -6,8 +6,9 @@ blocks; link text counts against a path. The two ratios are smoothed over the bl
 kernel, fused by multiplication, and thresholded at half their standard deviation: blocks on paths above it are content.
 Paths that lead through elements which HTML or their class and id mark as no part of an article (navigation, adverts,
 forms, comments, ...) get no ratio at all. The smallest element that holds nearly all content then bounds the
-article: short blocks of it (headings, one-word paragraphs) stay, since nothing but boilerplate is to be dropped. Content
-outside that element stays too, unless the element is an article or main element and the content lies in no other.
+article: short blocks of it (headings, one-word paragraphs) stay, since nothing but boilerplate is to be dropped; only
+lists of links alone stay out of it. Content outside that element stays too, unless the element is an article or main
+element and the content lies in no other.
 
 Cases: null html counts as empty and gives an empty text, as does a page of boilerplate alone; unclosed and stray
 tags follow HTML's rules for implied ends as far as blocks need them; repeated rows are extracted each; an empty
@@ -232,9 +233,20 @@ def content(blocks: list[Block]) -> list[Block]:
         picked = {id(b) for b in chosen}
         last = max(i for i, b in enumerate(blocks) if id(b) in picked)
         return [b for i, b in enumerate(blocks) if id(b) in picked or (b.element.tag in HEADINGS and not b.element.skipped and i < last)]
+    linked: dict[int, list[bool]] = defaultdict(list)
+    for b, s in zip(blocks, scores, strict=True):
+        linked[id(around(b.element))].append(s == 0)
+    listed = {k for k, v in linked.items() if len(v) > 1 and all(v)}
     # chosen blocks outside the holder are left out only where an article bounds the text and they lie in no other
     picked = {id(b) for b in chosen if article is None or inside(b.element, ("article", "main"))}
-    return [b for b in blocks if id(b) in picked or (not b.element.skipped and under(b.element, holder))]
+    return [b for b, s in zip(blocks, scores, strict=True) if id(b) in picked or ((s > 0 or id(around(b.element)) not in listed) and not b.element.skipped and under(b.element, holder))]
+
+
+def around(element: Element) -> Element:
+    """What holds the element's block-level element."""
+    while element.tag not in BLOCKS and element.parent:
+        element = element.parent
+    return element.parent or element
 
 
 def under(element: Element, holder: Element) -> bool:
