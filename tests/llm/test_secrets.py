@@ -100,3 +100,12 @@ def test_documents(spark):
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == x for _, k, _ in base) for x in range(3))
         assert {f"{sec.KINDS[k]}:{s}:{e}" for s, k, e in base} <= set(r.spans.split(","))
     assert sec.scan(docs.limit(0), sec.fit(docs.limit(0))).count() == 0
+
+
+def test_quiet_bounds_edges_and_all_digits():
+    made = sec.Field.empty()
+    made.own[0, sec.B] = 1  # any token gains, unless a neighbour takes it away
+    made.near[:, 0, [sec.B, sec.I]] = -0.5
+    codes = np.array([sec.token_class("a")])
+    assert made.decode(made.scores(codes, np.zeros(sec.FILE_FEATURES))) and not made.quiet()
+    assert sec.loud("the x² y", "the x² y")

@@ -42,7 +42,8 @@ PUNCTUATION = {"=": 1, ":": 2, '"': 3, "'": 3, ",": 4, ".": 4}
 O, B, I = 0, 1, 2  # noqa: E741
 CACHE = 200_000
 #: Digits, and the signs that words hold or that have a class of their own.
-LOUD = re.compile(r"""[\d=:"'_+/-]""")
+#: Digits as token_class takes them, superscripts and the like too.
+LOUD = re.compile(r"""[\d=:"'_+/%s-]""" % "".join(c for c in map(chr, range(0x110000)) if c.isdigit() and not c.isdecimal()))
 
 
 def loud(text: str, low: str) -> bool:
@@ -181,7 +182,7 @@ class Field:
             keyword, punctuation, _, characters, is_hex, _ = unpack(every)
             every = every[(keyword == 0) & np.isin(punctuation, (0, 4, 5)) & ((characters >> 2) & 1 == 0) & (is_hex == 0)]
             near = near_features(every)
-            bound = gain(own_features(every) @ self.own).max() + sum(gain(near @ w).max() for w in self.near) + gain(self.file[:1])[0]
+            bound = gain(own_features(every) @ self.own).max() + sum(max(0.0, gain(near @ w).max()) for w in self.near) + gain(self.file[:1])[0]
             self.still = bool(bound + 2 * most < 0)
         return self.still
 
