@@ -1,4 +1,12 @@
-from verdigris.llm.html_extract import extract, main_text
+import html
+import math
+import re
+import time
+
+import numpy as np
+import pytest
+
+from verdigris.llm.html_extract import blocks_of, extract, main_text, ratios
 
 PARAGRAPH = "The river rose over night, and by morning the lower fields were under water; nobody was hurt. "
 
@@ -42,3 +50,76 @@ def test_lists_of_links_in_an_article_stay_out():
     links = "<ul class=x1><li><a href=1>One more story</a><li><a href=2>Another story</a></ul>"
     page = f"<article><h1><a href=0>Head</a></h1><p>{p}</p>{links}<p>Short.</p><ul><li>one<li><a href=3>two</a></ul></article>"
     assert main_text(page) == "\n\n".join(["Head", p, "Short.", "one", "two"])
+
+
+def test_quotes_and_headers_drop_nothing():
+    assert main_text("<p title=don't>Alpha, beta, gamma delta.</p><p>Next one's here, also.</p>") == "Alpha, beta, gamma delta.\n\nNext one's here, also."
+    page = f'<body><div class="post-header"><h1>Title</h1></div><div class=text><p>{PARAGRAPH * 3}</p></div><div class="site-header"><p>{PARAGRAPH}</p></div>'
+    assert main_text(page) == "Title\n\n" + " ".join([PARAGRAPH.strip()] * 3)
+    assert main_text(f'<p data-x="a>b" title=\'c>d\'>{PARAGRAPH}<p class="open>{PARAGRAPH}') == f"{PARAGRAPH.strip()}\n\n{PARAGRAPH.strip()}"
+
+
+def test_long_odd_pages_take_linear_time():
+    for unit in ('<a href="x ', "<a href='x ", "<div>", "<b>", "</b><i>", '<p x=">', "<!-- ", "<![CDATA[", "<script>", "</script ", "<", "<ul><li>", "<td>", "<a b= ", "<b></i>"):
+        start = time.perf_counter()
+        main_text(unit * (1_000_000 // len(unit)))
+        assert time.perf_counter() - start < 8, unit
+    assert main_text("<div>" * 3000 + PARAGRAPH + "</div>" * 3000) == PARAGRAPH.strip()
+
+
+def plain_article(page):
+    """The article of a page of the test tables, cut out with text operations alone."""
+    inner = page[page.index("<article>") + 9 : page.index("</article>")].replace("<br>", " ")
+    blocks = [" ".join(html.unescape(re.sub("<[^>]*>", "", b)).split()) for b in re.split("</?(?:p|h1)>", inner)]
+    return "\n\n".join(b for b in blocks if b)
+
+
+def test_pages_of_the_tables(spark):
+    """Exact on all pages; without names of elements and classes, the ratios alone still find most articles exactly."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    got = {r.page_id: r.text for r in extract(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")).collect()}
+    assert all(got[r.page_id] == plain_article(r.html) for r in rows)
+    exact = chosen = 0
+    for r in rows:
+        unnamed = re.sub("<(/?)(article|nav|footer)>", r"<\1div>", r.html).replace('<div class="ad">', "<div>")
+        exact += main_text(unnamed) == plain_article(r.html)
+        chosen += "\n\n".join(b.text for b in blocks_of(unnamed)) == plain_article(r.html)
+    assert chosen == 0 and exact >= 0.75 * len(rows)
+
+
+def plain_ratios(blocks):
+    """The fused ratios by their definition, with loops over paths."""
+    names = []
+    for b in blocks:
+        e, name = b.element, []
+        while e is not None:
+            name.append(e.path)
+            e = e.parent
+        names.append(tuple(name))
+    out = []
+    weight = {d: math.exp(-((d / 0.7) ** 2) / 2) for d in range(-2, 3)}
+    share = [min(1, b.linked / len(b.text.replace(" ", ""))) for b in blocks]
+    feature = {
+        "text": ([len(b.text) * (1 - s) for b, s in zip(blocks, share, strict=True)], 150, 0),
+        "signs": ([sum(c in ".,;:!?…。，；：！？、" for c in b.text) * (1 - s) for b, s in zip(blocks, share, strict=True)], 1, 0.1),
+    }
+    for i, b in enumerate(blocks):
+        score = b.element.prior
+        for values, half, least in feature.values():
+            def own(p, values=values, half=half, least=least):
+                x = max(least, np.mean([v for n, v in zip(names, values, strict=True) if n == p]))
+                return x / (x + half)
+
+            def near(j, own=own):
+                at = [(weight[d], own(names[j + d])) for d in weight if 0 <= j + d < len(blocks)]
+                return sum(w * x for w, x in at) / sum(w for w, _ in at)
+
+            score *= math.sqrt(own(names[i]) * np.mean([near(j) for j in range(len(blocks)) if names[j] == names[i]]))
+        out.append(score)
+    return out
+
+
+def test_ratios_by_definition():
+    page = f"<body><nav><a href=1>x</a></nav><div class=ad>Buy, now!</div><div><h1>One</h1><p>{PARAGRAPH}</p><ul><li>a<li><a href=2>b, c</a></ul><p>Short.</p><p>{PARAGRAPH * 4}</p></div><footer>Bye.</footer>"
+    blocks = blocks_of(page)
+    assert ratios(blocks) == pytest.approx(plain_ratios(blocks))
