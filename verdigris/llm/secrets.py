@@ -1,11 +1,17 @@
 """Secret scan: fixed rules, and a linear-chain conditional random field that adds spans to theirs.
 
 Rules (kinds assign, access, hex) give the base spans, which always stay. The field tags tokens as begin (B), inside
-(I) or outside (O) of a secret, from the token's shape (length, character classes, changes between them, hex only,
-keyword, punctuation), the keywords and punctuation among its neighbours, and features of the whole text (share of
-words with digits; presence of assignments). It is trained by gradient steps on the conditional likelihood (forward and
-backward recursions in numpy) on windows around the base spans, and around other tokens, of at most SAMPLE_ROWS
-documents; every document is then decoded whole by Viterbi.
+(I) or outside (O) of a secret, from the token's shape (length, character classes, changes between them, hex only, share
+of vowels, keyword, punctuation), the keywords and punctuation among its neighbours, and features of the whole text
+(share of words with digits; presence of assignments). It is trained by gradient steps on the conditional likelihood
+(forward and backward recursions in numpy); every document is then decoded whole by Viterbi.
+
+Rules alone would teach it no more than the rules. So each training document gives windows of four sorts: around its base
+spans, as they are; the same with the keyword exchanged, the value cut, or its letters' case turned, so that no rule
+matches; a place of the text with a made secret set in (other keywords and signs, bearer lines, passwords in
+addresses, keys with a prefix or bare ones), or with a decoy (dates, versions, addresses, keywords without a
+value); and a plain place. Contexts are the corpus's own. At most SAMPLE_ROWS documents and MAX_SPANS base spans of each
+are used.
 
 Decoding runs over few tokens and is exact: relative to the path that is O throughout, a stretch of secret tokens
 can gain at most the sum of its tokens' best gains; tokens that lie in no interval whose bound is positive are O
@@ -18,6 +24,7 @@ corpus without any base span trains no field and adds none; an empty table gives
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -25,10 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import bounded_sample, map_batches
+from verdigris.llm.common import bounded_sample, durable, map_batches
 
 SAMPLE_ROWS = 3000
+#: Base spans of one training document that give windows.
+MAX_SPANS = 4
 WINDOW = 24
+#: Characters of the text kept on either side of a made secret.
+AROUND = 160
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
 # The two rules match runs as long as they go, so a least length drops the same matches as a test afterwards.
 ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]{14,}"), re.compile(r"[0-9a-f]{16,}")
@@ -37,7 +48,11 @@ HINTS = "passw", "secret", "token", "api"
 KINDS = "assign", "access", "hex", "crf"
 TOKEN = re.compile(r"[\w+/-]+|[^\w\s]")
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
-KEYWORDS = {"password": 1, "passwd": 1, "pwd": 1, "pass": 1, "secret": 2, "token": 3, "bearer": 3, "auth": 3, "key": 4, "apikey": 4, "api_key": 4, "access_key": 4, "private": 4, "credential": 4}
+# Words that announce a secret, by family.
+KEYWORDS = {"password": 1, "passwd": 1, "pwd": 1, "pass": 1, "passphrase": 1, "passcode": 1, "secret": 2, "credential": 2, "credentials": 2, "token": 3, "bearer": 3, "auth": 3, "authorization": 3, "jwt": 3, "session": 3, "key": 4, "apikey": 4, "api_key": 4, "access_key": 4, "private": 4, "signature": 4, "login": 5}
+#: Beginnings of issued keys.
+PREFIXES = ("ghp_", "gho_", "sk-", "sk_", "pk_", "xoxb-", "glpat-", "npm_", "key-")
+PREFIXED = 6
 PUNCTUATION = {"=": 1, ":": 2, '"': 3, "'": 3, ",": 4, ".": 4}
 O, B, I = 0, 1, 2  # noqa: E741
 CACHE = 200_000
@@ -64,21 +79,36 @@ def base_spans(text: str, low: str | None = None) -> list[Span]:
     return sorted(out, key=lambda s: (s[0], s[2]))
 
 
-# A token's class packs its features: keyword 3 bits, punctuation 3, length 3, characters 5, hex 1, changes 2.
-BITS = 3, 3, 3, 5, 1, 2
+# A token's class packs its features: keyword 3 bits, punctuation 3, length 3, characters 5, hex 1, changes 2, few vowels 1.
+BITS = 3, 3, 3, 5, 1, 2, 1
+PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+NO_VOWELS = re.compile(r"[b-df-hj-np-tv-xz]{5}", re.I)
 LENGTHS = np.array([0, 1, 2, 6, 12, 16, 20, 32])
 
 
+def keyword_of(token: str) -> int:
+    """The family of a keyword, alone or as a part of a name such as db_password or authToken."""
+    low = token.lower()
+    if low in KEYWORDS:
+        return KEYWORDS[low]
+    if len(token) >= 12 and low.startswith(PREFIXES):
+        return PREFIXED
+    if len(token) <= 32 and ("_" in token or "-" in token or not (token.islower() or token.istitle())):
+        return next((KEYWORDS[w.lower()] for w in reversed(PARTS.findall(token)) if w.lower() in KEYWORDS), 0)
+    return 0
+
+
 def token_class(token: str) -> int:
-    keyword = KEYWORDS.get(token.lower(), 0)
+    keyword = keyword_of(token)
     punctuation = PUNCTUATION.get(token, 5) if len(token) == 1 and not token.isalnum() else 0
     length = int(np.searchsorted(LENGTHS, len(token), "right")) - 1
     kinds = [0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3 if c < "\x80" else 4 for c in token]
     characters = sum(1 << k for k in set(kinds))
     is_hex = len(token) >= 6 and all(c in "0123456789abcdefABCDEF" for c in token) and any(c.isdigit() for c in token)
     changes = sum(a != b for a, b in zip(kinds, kinds[1:], strict=False))
+    few = NO_VOWELS.search(token) is not None
     packed, at = 0, 0
-    for value, bits in zip((keyword, punctuation, min(length, 7), characters, int(is_hex), min(3, (changes + 1) // 2)), BITS, strict=True):
+    for value, bits in zip((keyword, punctuation, min(length, 7), characters, int(is_hex), min(3, (changes + 1) // 2), int(few)), BITS, strict=True):
         packed |= value << at
         at += bits
     return packed
@@ -91,8 +121,8 @@ class Classes(dict):
     title = [token_class(("A" + "a" * n)[:n]) for n in range(64)]
 
     def __missing__(self, token: str) -> int:
-        if len(token) < 64 and token.isalpha() and token.lower() not in KEYWORDS:
-            found = self.plain[len(token)] if token.islower() else self.title[len(token)] if token.istitle() else token_class(token)
+        if len(token) < 64 and token.isalpha() and token.lower() not in KEYWORDS and not NO_VOWELS.search(token) and (token.islower() or token.istitle()):
+            found = self.plain[len(token)] if token.islower() else self.title[len(token)]
         else:
             found = token_class(token)
         if len(self) < CACHE and len(token) <= 12:
@@ -110,16 +140,17 @@ def unpack(classes: np.ndarray) -> list[np.ndarray]:
 
 def own_features(classes: np.ndarray) -> np.ndarray:
     """One-hot own features of classes, with crosses of length and characters."""
-    keyword, punctuation, length, characters, is_hex, changes = unpack(classes)
+    keyword, punctuation, length, characters, is_hex, changes, few = unpack(classes)
     parts = [np.eye(8)[keyword], np.eye(8)[punctuation], np.eye(8)[length], np.eye(32)[characters], is_hex[:, None].astype(float), np.eye(4)[changes]]
     digits = (characters >> 2) & 1
-    parts += [np.eye(8)[length] * digits[:, None], np.eye(8)[length] * is_hex[:, None], np.eye(8)[length] * (characters == 6)[:, None]]
+    both = digits * ((characters & 3) > 0)
+    parts += [np.eye(8)[length] * both[:, None], np.eye(8)[length] * few[:, None], np.eye(8)[length] * digits[:, None], np.eye(8)[length] * is_hex[:, None], np.eye(8)[length] * (characters == 6)[:, None], few[:, None].astype(float)]
     return np.concatenate(parts, axis=1).astype(np.float32)
 
 
 def near_features(classes: np.ndarray) -> np.ndarray:
     """What a neighbour shows: its keyword, punctuation, and whether it is long with digits."""
-    keyword, punctuation, length, characters, _, _ = unpack(classes)
+    keyword, punctuation, length, characters, _, _, _ = unpack(classes)
     odd = ((length >= 4) & ((characters >> 2) & 1 == 1)).astype(float)[:, None]
     return np.concatenate([np.eye(8)[keyword], np.eye(8)[punctuation], odd], axis=1).astype(np.float32)
 
@@ -179,7 +210,7 @@ class Field:
             most = max(0.0, float(np.delete(t.ravel(), O * 3 + I).max()))
             gain = lambda x: np.maximum(x[:, B], x[:, I]) - x[:, O]
             every = np.arange(1 << sum(BITS))
-            keyword, punctuation, _, characters, is_hex, _ = unpack(every)
+            keyword, punctuation, _, characters, is_hex, _, _ = unpack(every)
             every = every[(keyword == 0) & np.isin(punctuation, (0, 4, 5)) & ((characters >> 2) & 1 == 0) & (is_hex == 0)]
             near = near_features(every)
             bound = gain(own_features(every) @ self.own).max() + sum(max(0.0, gain(near @ w).max()) for w in self.near) + gain(self.file[:1])[0]
@@ -296,17 +327,87 @@ def tokens_of(text: str) -> list[str]:
     return TOKEN.findall(text)
 
 
-def labelled_windows(text: str, classes: Classes, negatives: int = 1):
-    """Windows of a training text: around its base spans, and around tokens spread by a hash of the text."""
+class Maker:
+    """Made secrets and decoys, drawn by a text's own random numbers."""
+
+    # What secrets are written with.
+    NAMES = ("password", "pwd", "passphrase", "pass", "DB_PASSWORD", "userPassword", "client_secret", "credential", "credentials", "auth", "authToken", "access_key", "private_key", "key", "signature", "login", "session_token", "jwt", "passcode", "smtp_pass")
+    SIGNS = (" = ", "=", ": ", ":", " : ", " => ", " -> ", " is ", " ")
+    QUOTES = ("", "", '"', "'", "`")
+    LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+
+    def __init__(self, seed: int):
+        self.draw = random.Random(seed)
+
+    def of(self, letters: str, low: int, high: int) -> str:
+        return "".join(self.draw.choices(letters, k=self.draw.randint(low, high)))
+
+    def value(self, low: int = 8) -> str:
+        every = self.LOWER + self.UPPER + self.DIGITS
+        kind = self.draw.randrange(6)
+        if kind == 0:
+            return self.of("0123456789abcdef", low, 15)
+        if kind == 1:
+            return self.of("0123456789ABCDEF", max(low, 12), 40)
+        if kind == 2:
+            return self.of(every + "+/", max(low, 16), 44) + self.draw.choice(["", "=", "=="])
+        if kind == 3:  # a word with digits and a sign
+            return self.of(self.LOWER, 4, 9) + self.of(self.DIGITS, 1, 4) + self.draw.choice(["", "!", "#", "$", "@"]) + self.of(self.LOWER, 0, 3)
+        if kind == 4:
+            return "-".join(self.of(self.LOWER + self.DIGITS, 4, 5) + self.of(self.DIGITS, 1, 1) for _ in range(self.draw.randint(3, 5)))
+        return self.of(every, max(low, 10), 36) + self.of(self.DIGITS, 1, 2)
+
+    def secret(self) -> tuple[str, int, int]:
+        """A line that holds a secret, and where."""
+        kind, quote = self.draw.randrange(8), self.draw.choice(self.QUOTES)
+        if kind < 4:
+            sign, value = self.draw.choice(self.SIGNS), self.value()
+            before, after = f"{self.draw.choice(self.NAMES)}{sign}{quote}", quote
+        elif kind == 4:
+            before, value, after = self.draw.choice(["Authorization: Bearer ", "Bearer ", "authorization: token ", "-H 'Authorization: Bearer "]), self.of(self.LOWER + self.UPPER + self.DIGITS, 16, 48) + "7x", quote
+        elif kind == 5:
+            before, value, after = f"{quote}", self.draw.choice(PREFIXES) + self.of(self.LOWER + self.UPPER + self.DIGITS, 16, 40), quote
+        elif kind == 6:
+            before, value, after = f"{self.draw.choice(['postgres', 'mysql', 'https', 'amqp', 'ftp'])}://{self.of(self.LOWER, 3, 8)}:", self.of(self.LOWER + self.UPPER + self.DIGITS, 8, 20) + "5", f"@{self.of(self.LOWER, 3, 8)}.example.com/{self.of(self.LOWER, 3, 6)}"
+        else:
+            before, value, after = quote, self.of(self.UPPER + self.LOWER + self.DIGITS + self.DIGITS, 22, 44) + "9Q", quote
+        return before + value + after, len(before), len(before) + len(value)
+
+    def decoy(self) -> str:
+        """A line that looks like one and holds none."""
+        word, digits = (lambda: self.of(self.LOWER, 2, 10)), (lambda a, b: self.of(self.DIGITS, a, b))
+        return self.draw.choice([
+            lambda: f"{digits(4, 4)}-{digits(2, 2)}-{digits(2, 2)} {digits(2, 2)}:{digits(2, 2)}",
+            lambda: f"{word()}.{digits(2, 2)}@{word()}{digits(1, 1)}.example.com",
+            lambda: f"{digits(1, 3)}.{digits(1, 3)}.{digits(1, 3)}.{digits(1, 3)}",
+            lambda: f"+{digits(2, 2)} {digits(3, 4)} {digits(6, 8)}",
+            lambda: f"https://{word()}.example.com/{word()}/{digits(1, 5)}?page={digits(1, 2)}",
+            lambda: f"{self.draw.choice(self.NAMES)} {self.draw.choice(['', 'is ', 'for ', 'of ', 'und ', 'de '])}{word()} {word()}",
+            lambda: f"{self.draw.choice(self.NAMES)}: {self.draw.choice(['', '*****', 'none', 'the ' + word(), digits(1, 2)])}",
+            lambda: f"{word()} = {digits(1, 6)}",
+            lambda: f"{word()} = {quoted(word())}",
+            lambda: f"v{digits(1, 1)}.{digits(1, 2)}.{digits(1, 2)}",
+            lambda: f"{word()}_{word()}({word()}{digits(1, 1)}, {word()})",
+            lambda: f"{word().title()}{word().title()} {word().upper()} {word().upper()}-{digits(1, 4)}",
+            lambda: f"{digits(1, 3)},{digits(3, 3)},{digits(3, 3)}.{digits(2, 2)}",
+            lambda: f"{word()}{digits(1, 3)} {digits(1, 2)}{self.of(self.LOWER, 1, 2)}",
+            lambda: "".join(word() for _ in range(4)),
+        ])()
+
+
+def quoted(text: str) -> str:
+    return f'"{text}"'
+
+
+def window(text: str, spans: list[tuple[int, int]], centre: int, classes: Classes, file: np.ndarray):
+    """(classes, labels, file features) of the WINDOW tokens around the one at character `centre`."""
     found = list(TOKEN.finditer(text))
     if not found:
-        return
+        return None
     codes = np.array([classes[m[0]] for m in found])
-    labels = np.zeros(len(found), int)
-    starts = np.array([m.start() for m in found])
-    centres = []
+    labels, starts = np.zeros(len(found), int), np.array([m.start() for m in found])
     last = -1
-    for s, e, _ in sorted(base_spans(text)):
+    for s, e in sorted(spans):
         if s < last:
             continue
         last = e
@@ -315,21 +416,80 @@ def labelled_windows(text: str, classes: Classes, negatives: int = 1):
         while j < len(found) and starts[j] < e:
             labels[j] = I if j > i else B
             j += 1
-        centres.append(i)
+    c = max(0, int(np.searchsorted(starts, centre, "right")) - 1)
+    low, high = max(0, c - WINDOW // 2), min(len(found), c + WINDOW // 2)
+    own = labels[low:high].copy()
+    if own[0] == I:
+        own[: int(np.argmax(np.append(own != I, True)))] = O  # a secret cut by the window's edge
+    return codes[low:high], own, file
+
+
+def cut(text: str, start: int, end: int) -> tuple[str, str]:
+    """AROUND characters or fewer on either side of a place, from white space on."""
+    before, after = text[max(0, start - AROUND) : start], text[end : end + AROUND]
+    return (before.split(" ", 1)[-1] if start > AROUND else before), (after.rsplit(" ", 1)[0] if end + AROUND < len(text) else after)
+
+
+def labelled_windows(text: str, classes: Classes):
+    """Windows of a training text, with labels: of its base spans, of these varied, of a made line, and of a plain place."""
+    if not text or text.isspace():
+        return
     seed = int.from_bytes(hashlib.sha256(text.encode()).digest()[:8], "little")
-    centres += [(seed >> (7 * k)) % len(found) for k in range(negatives)]
+    made = Maker(seed)
+    codes = np.fromiter((classes[t] for t in tokens_of(text)), dtype=np.int32)
     file = file_features(codes, text)
-    for c in centres:
-        low, high = max(0, c - WINDOW // 2), min(len(found), c + WINDOW // 2)
-        own = labels[low:high].copy()
-        if own[0] == I:
-            own[: int(np.argmax(np.append(own != I, True)))] = O  # a secret cut by the window's edge
-        yield codes[low:high], own, file
+    with_sign = file.copy()
+    with_sign[3] = 1
+    base = base_spans(text)
+
+    def places(low: int, high: int, by: int) -> list[tuple[int, int]]:
+        return [(max(s, low) - by, min(e, high) - by) for s, e, _ in base if s < high and low < e]
+
+    out = []
+    for s, e, kind in base[:: max(1, -(-len(base) // MAX_SPANS))] if base else ():
+        before, after = cut(text, s, e)
+        low, high = s - len(before), e + len(after)
+        out.append(window(text[low:high], places(low, high, low), len(before), classes, file))
+        value = text[s:e]
+        if kind == 0 and made.draw.random() < 0.7:
+            stem = re.sub(r"(?i)(password|passwd|secret|token|api_?key)(?=[^A-Za-z]*$)", made.draw.choice(Maker.NAMES), before)
+            before = stem if stem != before else before
+        if made.draw.random() < 0.5 and any(c.isalpha() for c in value):
+            value = value[: made.draw.randint(8, 14)] if made.draw.random() < 0.5 else value.upper()
+            if not any(c.isdigit() for c in value):
+                value += "4"
+        changed = before + value + after
+        if kind == 0 or any(c.isalpha() for c in value):
+            out.append(window(changed, [(len(before), len(before) + len(value))], len(before), classes, file))
+    for _ in range(2):
+        # a place between words; what is there stays around it
+        place = text.find(" ", made.draw.randrange(len(text)))
+        place = len(text) if place < 0 else place
+        before, after = cut(text, place, place)
+        before = before[: len(before) - len(before.rstrip()) or None].rstrip()
+        if made.draw.random() < 0.6:
+            line, s, e = made.secret()
+            at = [(len(before) + 1 + s, len(before) + 1 + e)]
+        else:
+            line, at = made.decoy(), []
+        whole = f"{before} {line} {after.lstrip()}"
+        known = [(s, e) for s, e, _ in base_spans(whole) if not any(s < b and a < e for a, b in at)]
+        out.append(window(whole, at + known, len(before) + 1 + len(line) // 2, classes, with_sign if "=" in line else file))
+    place = made.draw.randrange(len(text))
+    before, after = cut(text, place, place)
+    low, high = place - len(before), place + len(after)
+    if not any(s < low < e or s < high < e for s, e, _ in base):
+        out.append(window(text[low:high], places(low, high, low), len(before), classes, file))
+    yield from (w for w in out if w is not None)
+
+
+WINDOWS = pa.schema([("c", pa.list_(pa.int32())), ("y", pa.list_(pa.int32())), ("f", pa.list_(pa.float32()))])
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS) -> Field:
-    """Train on at most `rows` documents: those with a base span and the others with the smallest identifier hashes,
-    half each. Windows of class numbers, not texts, come to the driver."""
+    """Train on at most `rows` documents: those with a base span and the others with the smallest identifier hashes, half
+    each; of rows that share an identifier, the one with the smallest text hash. Windows of class numbers, not texts, come
+    to the driver: 2 * MAX_SPANS + 3 of each document at most."""
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter(F.col("_text").isNotNull())
     likely = texts.filter(F.col("_text").rlike(r"[0-9a-f]{16}|AKIA[A-Z0-9]{14}|(?i)(password|passwd|secret|token|api_?key)"))
     drawn = bounded_sample(likely, "_id", rows // 2).union(bounded_sample(texts, "_id", rows // 2)).distinct()
@@ -337,14 +497,19 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: i
     def run(batches):
         classes = Classes()
         for batch in batches:
-            out = []
-            for text in batch.column(0):
-                out += [{"c": c.tolist(), "y": y.tolist(), "f": f.tolist()} for c, y, f in labelled_windows(text.as_py(), classes)]
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("c", pa.list_(pa.int32())), ("y", pa.list_(pa.int32())), ("f", pa.list_(pa.float32()))]))
+            held = []
+            for text in batch.column(2):
+                found = [{"c": c.tolist(), "y": y.tolist(), "f": f.tolist()} for c, y, f in labelled_windows(text.as_py(), classes)]
+                held.append(pa.RecordBatch.from_pylist(found, schema=WINDOWS).serialize().to_pybytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(held, pa.binary())], names=["id", "hash", "windows"])
 
     # at most `rows` identifiers: small whatever the table holds
-    sample = map_batches(texts.join(F.broadcast(drawn), "_id").select("_text").limit(2 * rows), run, "c array<int>, y array<int>, f array<float>")
-    windows = [(np.array(r.c), np.array(r.y), np.array(r.f)) for r in sample.toLocalIterator()]
+    made = map_batches(texts.join(F.broadcast(drawn), "_id").select(F.col("_id").cast("string").alias("id"), F.xxhash64("_text").alias("hash"), "_text"), run, "id string, hash long, windows binary")
+    sample = durable(made.groupBy("id").agg(F.min_by("windows", "hash").alias("windows")), "windows")
+    windows = []
+    for r in sample.toLocalIterator():
+        table = pa.ipc.read_record_batch(pa.py_buffer(bytes(r.windows)), WINDOWS)
+        windows += [tuple(np.array(x[k]) for k in ("c", "y", "f")) for x in table.to_pylist()]
     windows.sort(key=lambda w: (w[0].tobytes(), w[1].tobytes()))
     return train(windows)
 
