@@ -9,13 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint directory; only a session that has none (tests on one machine) gets a temporary one."""
+    """The session's checkpoint directory. Only a session on one machine that has none (tests) gets a temporary one."""
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None)
+    named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
     if named is None and current.isDefined():
         named = current.get()
     if named is None:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="verdigris-")
         sc.setCheckpointDir(named)
     return named.rstrip("/")
