@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -10,44 +9,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch handed to Python; texts of a corpus can be 100 KB each.
-BATCH_ROWS = 512
+from verdigris.sources.shared import shared_dir
 
+#: Rows and bytes in an Arrow batch handed to Python; texts of a corpus can be 100 KB each, or 10 MB.
+BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's checkpoint directory.
 
-    Only a session that has none (tests on one machine) gets a temporary one.
-    """
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    current = sc._jsc.sc().getCheckpointDir()
-    if named is None and current.isDefined():
-        named = current.get()
-    if named is None:
-        named = "file://" + tempfile.mkdtemp(prefix="verdigris-")
-        sc.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-def durable(df: DataFrame, name: str = "stage", narrow: bool = False, deal: bool = False) -> DataFrame:
+def durable(df: DataFrame, name: str = "stage", deal: bool = False) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
-    This cuts lineage like checkpoint(), survives lost executors, and keeps column pruning and compression. A narrow
-    table is written as one file for each core of the cluster instead of one for each shuffle partition: every small file
-    costs renames and permissions, and on a local file system a spawned process. With `deal` its rows are dealt out anew
-    (a shuffle of the narrow rows), where the stage that makes them needs all its tasks.
+    This cuts lineage like checkpoint(), survives lost executors, and keeps column pruning and compression. Files follow the
+    tasks that write them; after a shuffle, adaptive execution sizes these by bytes. With `deal` the rows are dealt out
+    anew, in as many tasks as their bytes call for: where the stage that makes them needs all its tasks for work, not
+    for rows.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/verdigris/{name}-{uuid.uuid4().hex}"
-    cores = max(1, spark.sparkContext.defaultParallelism)
-    (df.repartition(cores) if deal else df.coalesce(cores) if narrow else df).write.parquet(path)
+    (df.hint("rebalance") if deal else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with small batches, so that long texts do not pile up in a Python worker."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """mapInArrow with small batches, so that long texts do not pile up in a Python worker.
+
+    Spark reads the bounds of batches from the session when the plan runs, so they are lowered there, and never raised.
+    """
+    conf = df.sparkSession.conf
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = conf.get(f"spark.sql.execution.arrow.{name}")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(f"spark.sql.execution.arrow.{name}", str(most))
     return df.mapInArrow(fn, schema)
 
 
@@ -80,3 +71,28 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: list[str], size: str, s
     done = rows.join(F.broadcast(hot), key)
     cold = rows.join(F.broadcast(hot.select(*key)), key, "left_anti").join(groups.filter(F.col(size) <= F.lit(least)).hint("merge"), key)
     return done.unionByName(cold)
+
+
+def flagged(rows: DataFrame, wanted: DataFrame, key: str, most_bits: int = 1 << 24) -> DataFrame:
+    """rows with `_maybe`: whether their key may be among the wanted ones, by a bitmap of hashes.
+
+    The bitmap is broadcast as words of 64 bits: most_bits / 64 of them at most (262,144), whatever the input. With more
+    wanted keys than it can tell apart it flags more rows; a join after it decides. wanted is to be durable.
+    """
+    bits = min(most_bits, 1 << max(10, (16 * wanted.count()).bit_length()))
+    word, place = f"pmod(xxhash64(`{key}`), {bits}L) div 64", f"CAST(pmod(xxhash64(`{key}`), {bits}L) % 64 AS INT)"
+    words = wanted.select(F.expr(word).alias("_word"), F.expr(f"shiftleft(1L, {place})").alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    marked = rows.withColumns({"_word": F.expr(word), "_at": F.expr(place)}).join(F.broadcast(words), "_word", "left")
+    return marked.withColumn("_maybe", F.expr("coalesce((_bits >> _at) & 1L = 1L, false)")).drop("_word", "_bits", "_at")
+
+
+def likely(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows whose key may be among the wanted ones: most others never reach the shuffle of a join."""
+    return flagged(rows, wanted, key).filter("_maybe").drop("_maybe")
+
+
+def without(rows: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is not among the dropped ones; only rows that may be are shuffled. Both are to be durable."""
+    marked = flagged(rows, dropped, key)
+    clear = marked.filter("NOT _maybe").drop("_maybe")
+    return clear.unionByName(marked.filter("_maybe").drop("_maybe").join(dropped.select(key).hint("merge"), key, "left_anti"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import durable
+from verdigris.llm.common import durable, join_groups
 
 
 def _fingerprint(edges: DataFrame):
@@ -19,15 +19,17 @@ def components(edges: DataFrame) -> DataFrame:
     until every edge points at its component's smallest node; rounds grow with the logarithm of the longest path.
     A node's neighbours are never gathered: only their minimum is, by partial aggregation, and joined back.
     """
-    now = durable(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", narrow=True)
+    now = durable(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
     while (state := _fingerprint(now)) != before and state[0]:
         before = state
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(least, "a")
+        least = durable(both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("_n")).select("a", F.least("a", "m").alias("m"), "_n"), "least")
+        # a root that very many edges hang on is broadcast with its minimum, not shuffled
+        large = join_groups(both.filter("b > a"), least, ["a"], "_n").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
+        large = durable(large, "large")
+        least = durable(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("_n")), "least")
+        joined = join_groups(large, least, ["a"], "_n")
         small = joined.filter("b != m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        now = durable(small.distinct(), "small", narrow=True)
+        now = durable(small.distinct(), "small")
     return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())

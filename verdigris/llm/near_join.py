@@ -4,18 +4,24 @@ Texts are sets of five-word shingles; two texts are linked if the sets' Jaccard
 
 1. A map computes each text's set, its key (texts with equal sets form one class and are never compared again) and a
    signature of TREES x DEPTH MinHash values: in each tree a text is the path of its DEPTH values.
-2. The matched prefix starts at DEPTH and is shortened until a pair at the threshold meets in at least one tree with
-   the target recall: 1 - (1 - threshold^depth)^TREES. Classes that share a prefix in a tree meet in that trie node.
-   Trie nodes with one member, nearly all, fall away after a count.
-3. In each trie node, pairs that met in an earlier tree are left to that tree; pairs whose signatures agree in too
+2. The forest is the tries of these paths in sorted order, as tables: how many texts lie under every prefix of full
+   depth, of one value less, and so on up to the shallowest prefix that could be needed. Texts that are alone under
+   their shallowest prefix in a tree, nearly all, leave that tree at once.
+3. Every text matches its full paths first and then shortens them, tree by tree, always where that lets in the fewest
+   texts, until a partner at the threshold would be met with the target recall: with depths d_1, d_2, ... that is
+   1 - (1 - t^d_1)(1 - t^d_2)... Two texts meet in a tree if they agree as far as either of them looks there, so the
+   recall holds for every pair from either side; crowded nodes stay deep where other trees can make up for them.
+4. In each trie node, pairs that met in an earlier tree are left to that tree; pairs whose signatures agree in too
    few values (a pair at the threshold does so with probability below MISS) are skipped. This needs signatures only.
-4. Texts are fetched for the members that have pairs left, and every such pair is verified on the whole sets.
+5. Sets are made once for the members that have pairs left, and every such pair is verified on the whole sets.
    Each member gets its count of links and one edge to the smallest member it hangs together with: pairs are counted
    inside the task, never written out.
-5. Components of the edges give the groups.
+6. Components of the edges give the groups.
 
-A trie node with more than BLOCK members is cut into blocks, and each pair of blocks is a task of its own, so no task
-holds more than 2 * BLOCK members, and every pair is still looked at once.
+A trie node with more than BLOCK members or BLOCK_SHINGLES shingles is cut into blocks, and each pair of blocks is a task
+of its own, so a task's members are bounded in number and bytes, and every pair is still looked at once.
+
+A threshold so low that not even one value of each tree reaches the target recall is refused (ValueError).
 
 Result, one row per document: doc_id, class_id (smallest identifier in its component), n_links (documents linked with it
 directly, copies included), n_copies (documents with an equal set), kept (whether it is the component's first).
@@ -36,22 +42,50 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
 
-from verdigris.llm.common import durable, join_groups, map_batches, partitions
+from verdigris.llm.common import durable, join_groups, likely, map_batches, partitions, without
 from verdigris.llm.components import components
-from verdigris.llm.shingles import MinHash, set_key, shingle_set
+from verdigris.llm.shingles import MinHash, mixed, set_key, shingle_set
 
 THRESHOLD = 0.8
 TREES, DEPTH = 12, 5
 TARGET = 0.999
 MISS = 1e-6
-BLOCK = 1000
+BLOCK, BLOCK_SHINGLES = 500, 2_000_000
+
+
+def gains(threshold: float, depth: int) -> list[float]:
+    """What a tree matched to depth 1, 2, ... gives towards recall: -ln of the chance that a pair at the threshold does not meet there."""
+    return [math.inf if threshold >= 1 else -math.log1p(-(threshold**d)) for d in range(1, depth + 1)]
 
 
 def prefix_depth(threshold: float = THRESHOLD, target: float = TARGET, trees: int = TREES, depth: int = DEPTH) -> int:
-    """The longest prefix, from depth downwards, at which a pair at the threshold is met with the target recall."""
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < target:
-        depth -= 1
-    return depth
+    """The longest prefix at which all trees together meet a pair at the threshold with the target recall."""
+    fit = [d for d, g in enumerate(gains(threshold, depth), 1) if trees * g >= -math.log1p(-target)]
+    if not fit:
+        raise ValueError(f"{trees} trees cannot find pairs of similarity {threshold} with recall {target}")
+    return max(fit)
+
+
+def chosen_depths(counts: np.ndarray, threshold: float = THRESHOLD, target: float = TARGET, least: int | None = None) -> np.ndarray:
+    """For each text (rows) the depth it looks in each tree: counts[i, tree, k] texts lie under its prefix of depth least + k.
+
+    All paths start whole. In each step every text that is short of the target shortens the path that lets in the fewest
+    texts (of equal ones, that of the first tree).
+    """
+    least = prefix_depth(threshold, target) if least is None else least
+    gain, need = np.array(gains(threshold, DEPTH)), -math.log1p(-target)
+    n, trees, levels = counts.shape
+    depth = np.full((n, trees), DEPTH)
+    rows = np.arange(n)
+    while True:
+        short = gain[depth - 1].sum(axis=1) < need - 1e-12
+        if not short.any():
+            return depth
+        at = np.minimum(np.maximum(depth - least, 1), levels - 1)
+        added = np.take_along_axis(counts, (at - 1)[:, :, None], axis=2)[:, :, 0] - np.take_along_axis(counts, at[:, :, None], axis=2)[:, :, 0]
+        added = np.where(depth > least, added, np.iinfo(np.int64).max)
+        tree = added.argmin(axis=1)
+        depth[rows[short], tree[short]] -= 1
 
 
 def least_agreement(size: int, threshold: float = THRESHOLD, miss: float = MISS) -> int:
@@ -66,11 +100,11 @@ def least_agreement(size: int, threshold: float = THRESHOLD, miss: float = MISS)
 
 
 def tree_keys(signatures: np.ndarray, depth: int) -> np.ndarray:
-    """One 64-bit prefix for each tree (at most four values of 16 bits)."""
+    """One 64-bit number for the prefix of `depth` values in each tree."""
     levels = signatures.reshape(len(signatures), TREES, DEPTH)
-    keys = np.zeros((len(signatures), TREES), dtype=np.uint64)
-    for k in range(min(depth, 4)):
-        keys = (keys << np.uint64(16)) | levels[:, :, k].astype(np.uint64)
+    keys = np.full((len(signatures), TREES), depth, dtype=np.uint64)
+    for k in range(depth):
+        keys = mixed(keys * np.uint64(0x9E3779B97F4A7C15) + levels[:, :, k])
     return keys
 
 
@@ -137,26 +171,39 @@ def groups_of(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tu
         yield own, pa.concat_tables(held)
 
 
-def open_pairs(tree: int, keys: np.ndarray, signatures: np.ndarray, sizes: np.ndarray, blocks: np.ndarray, crossed: bool, agree: int, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
-    """(member, other members) for the pairs of a trie node that this tree has to verify."""
-    n = len(sizes)
-    for i in range(n - 1):
-        rest = slice(i + 1, n)
-        fit = np.minimum(sizes[rest], sizes[i]) >= threshold * np.maximum(sizes[rest], sizes[i]) - 1e-9
-        if crossed:
-            fit &= blocks[rest] != blocks[i]
-        if tree:
-            fit &= ~(keys[rest, :tree] == keys[i, :tree]).any(axis=1)
-        others = np.flatnonzero(fit) + i + 1
-        if len(others):
-            others = others[(signatures[others] == signatures[i]).sum(axis=1) >= agree]
-        if len(others):
-            yield i, others
-
-
-def _columns(table: pa.Table) -> tuple[np.ndarray, ...]:
-    signatures = np.frombuffer(b"".join(table["signature"].to_pylist()), dtype=np.uint16).reshape(table.num_rows, TREES * DEPTH)
-    return table["node"].to_numpy(), table["n"].to_numpy(), table["block"].to_numpy(), signatures
+class Members:
+    """The members of a trie node in a task, as arrays."""
+
+    def __init__(self, table: pa.Table, least: int):
+        self.node, self.size, self.block = (table[c].to_numpy() for c in ("node", "n", "block"))
+        self.signatures = np.frombuffer(b"".join(table["signature"].to_pylist()), dtype=np.uint16).reshape(table.num_rows, TREES * DEPTH)
+        self.depths = np.frombuffer(b"".join(table["depths"].to_pylist()), dtype=np.uint8).reshape(table.num_rows, TREES)
+        self.least, self.keys = least, [tree_keys(self.signatures, d) for d in range(least, DEPTH + 1)]
+
+    def meet(self, i: int, others: np.ndarray, trees: int) -> np.ndarray:
+        """Which of the others agree with i, in each of the first trees, as far as either of them looks."""
+        look = np.minimum(self.depths[others, :trees], self.depths[i, :trees])
+        out = self.keys[0][others, :trees] == self.keys[0][i, :trees]
+        for k in range(1, len(self.keys)):
+            out &= (look < self.least + k) | (self.keys[k][others, :trees] == self.keys[k][i, :trees])
+        return out
+
+    def open_pairs(self, tree: int, crossed: bool, agree: int, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
+        """(member, other members) for the pairs that this tree has to verify."""
+        n = len(self.size)
+        for i in range(n - 1):
+            rest = slice(i + 1, n)
+            fit = np.minimum(self.size[rest], self.size[i]) >= threshold * np.maximum(self.size[rest], self.size[i]) - 1e-9
+            if crossed:
+                fit &= self.block[rest] != self.block[i]
+            others = np.flatnonzero(fit) + i + 1
+            if len(others):
+                met = self.meet(i, others, tree + 1)
+                others = others[met[:, tree] & ~met[:, :tree].any(axis=1)]
+            if len(others):
+                others = others[(self.signatures[others] == self.signatures[i]).sum(axis=1) >= agree]
+            if len(others):
+                yield i, others
 
 
 def verify(sets: list[np.ndarray], pairs: Iterator[tuple[int, np.ndarray]], threshold: float) -> Iterator[tuple[int, np.ndarray]]:
@@ -177,45 +224,63 @@ def verify(sets: list[np.ndarray], pairs: Iterator[tuple[int, np.ndarray]], thre
             yield i, linked
 
 
-def likely(rows: DataFrame, wanted: DataFrame, key: str, most_bits: int = 1 << 24) -> DataFrame:
-    """The rows whose key may be among the wanted ones, by a bitmap of hashes: most others never reach the shuffle.
+def depths_of(members: DataFrame, least: int, threshold: float) -> DataFrame:
+    """(node, depths) of the members: how far each looks in each tree, a byte for every tree.
 
-    The bitmap is broadcast as words of 64 bits: most_bits / 64 of them at most (262,144), whatever the input. With more
-    wanted keys than it can tell apart it lets more rows through; the join after it decides.
+    members: tree, node, met (texts under the prefix of depth `least`), and the prefixes below that as columns p1, p2, ...
     """
-    bits = min(most_bits, 1 << max(10, (16 * wanted.count()).bit_length()))
-    at = F.pmod(F.xxhash64(key), F.lit(bits))
-    words = wanted.select(F.expr(f"pmod(xxhash64({key}), {bits}L) div 64").alias("_word"), F.expr(f"shiftleft(1L, CAST(pmod(xxhash64({key}), {bits}L) % 64 AS INT))").alias("_bit"))
-    words = words.groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
-    marked = rows.withColumns({"_word": F.expr(f"pmod(xxhash64({key}), {bits}L) div 64"), "_at": (at % 64).cast("int")})
-    return marked.join(F.broadcast(words), "_word").filter(F.expr("(_bits >> _at) & 1L = 1L")).drop("_word", "_bits", "_at")
+    deeper = [c for c in members.columns if c.startswith("p") and c[1:].isdigit()]
+    if not deeper:
+        every = F.lit(bytes([least] * TREES))
+        return members.select("node").distinct().withColumn("depths", every)
+    counted = members
+    for k, name in enumerate(deeper, 1):
+        under = durable(members.groupBy("tree", name).agg(F.count(F.lit(1)).alias(f"met{k}")), "tries")
+        counted = durable(join_groups(counted, under, ["tree", name], f"met{k}"), "counted")
+    columns = ["met", *(f"met{k}" for k in range(1, len(deeper) + 1))]
+    # one row for each tree of a node: groups of TREES rows at most
+    by_node = counted.groupBy("node").agg(F.collect_list(F.struct("tree", *columns)).alias("trees"))
+
+    def run(batches):
+        for batch in batches:
+            counts = np.ones((batch.num_rows, TREES, len(columns)), dtype=np.int64)  # alone in trees it has left
+            for i, trees in enumerate(batch.column(1).to_pylist()):
+                for t in trees:
+                    counts[i, t["tree"]] = [t[c] for c in columns]
+            depths = chosen_depths(counts, threshold, least=least).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([d.tobytes() for d in depths], pa.binary())], names=["node", "depths"])
 
+    return map_batches(by_node, run, "node long, depths binary")
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> tuple[DataFrame, DataFrame]:
     """(sketched rows, one row per document: rid, doc_id, class_id, n_links, n_copies, kept)."""
+    least = prefix_depth(threshold)
     rows = durable(sketch(docs, id_col, text_col), "sketch")
-    depth = prefix_depth(threshold)
     agree = least_agreement(TREES * DEPTH, threshold)
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
     worded = rows.filter(F.col("key").isNotNull())
     classes = worded.groupBy("key").agg(F.min("rid").alias("node"), F.count(F.lit(1)).alias("n_copies"), F.min(first).alias("first"))
-    classes = durable(classes, "classes", narrow=True)
-    leaders = durable(worded.join(classes.select(F.col("node").alias("rid"), "n_copies"), "rid").select(F.col("rid").alias("node"), "n", "signature", "n_copies"), "leaders", narrow=True)
+    classes = durable(classes, "classes")
+    leaders = durable(worded.join(classes.select(F.col("node").alias("rid"), "n_copies"), "rid").select(F.col("rid").alias("node"), "n", "signature", "n_copies"), "leaders")
+    below = [f"p{k}" for k in range(1, DEPTH - least + 1)]
 
     def prefixes(batches):
         for batch in batches:
-            signatures = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint16).reshape(batch.num_rows, TREES * DEPTH)
-            keys = tree_keys(signatures, depth).astype(np.int64)
+            signatures = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint16).reshape(batch.num_rows, TREES * DEPTH)
+            keys = [pa.array(tree_keys(signatures, d).astype(np.int64).ravel()) for d in range(least, DEPTH + 1)]
             trees = pa.array(np.tile(np.arange(TREES, dtype=np.int32), batch.num_rows))
-            yield pa.RecordBatch.from_arrays([trees, pa.array(keys.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), TREES))], names=["tree", "prefix", "node"])
+            yield pa.RecordBatch.from_arrays([trees, *(pa.array(np.repeat(batch.column(c).to_numpy(), TREES)) for c in (0, 1)), *keys], names=["tree", "node", "n", "prefix", *below])
 
-    paths = durable(map_batches(leaders.select("node", "signature"), prefixes, "tree int, prefix long, node long"), "paths")
-    met = durable(paths.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("met")).filter("met > 1"), "tries", narrow=True)
-    blocks = F.ceil(F.col("met") / F.lit(block)).cast("int")
-    members = join_groups(paths, met, ["tree", "prefix"], "met")
-    members = members.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("node"), blocks).cast("int")})
+    paths = durable(map_batches(leaders.select("node", "n", "signature"), prefixes, "tree int, node long, n int, prefix long" + "".join(f", {p} long" for p in below)), "paths")
+    met = durable(paths.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("met"), F.sum("n").alias("shingles")).filter("met > 1"), "tries")
+    blocks = F.greatest(F.ceil(F.col("met") / F.lit(block)), F.ceil(F.col("shingles") / F.lit(block_shingles))).cast("int")
+    members = durable(join_groups(paths, met, ["tree", "prefix"], "met").withColumn("blocks", blocks), "members")
+    looks = durable(depths_of(members, least, threshold), "depths")
     # a member of a node in k blocks takes part in k block pairs (its own with itself among them)
-    members = members.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("tree", "prefix", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "node")
+    spread = members.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spread = spread.select("tree", "prefix", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "node")
+    signed = leaders.join(looks, "node")
 
     def together(df: DataFrame) -> DataFrame:
         keys = ["tree", "prefix", "low", "high"]
@@ -223,24 +288,28 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def pick(batches):
         for (tree, prefix, low, high), table in groups_of(batches, 4):
-            node, sizes, block_of, signatures = _columns(table)
+            own = Members(table, least)
             needed: set[int] = set()
-            for i, others in open_pairs(tree, tree_keys(signatures, depth), signatures, sizes, block_of, low != high, agree, threshold):
+            for i, others in own.open_pairs(tree, low != high, agree, threshold):
                 needed.add(i)
                 needed.update(others.tolist())
             if needed:
                 at = sorted(needed)
                 k = len(at)
-                yield pa.RecordBatch.from_arrays([pa.array([tree] * k, pa.int32()), pa.array([prefix] * k, pa.int64()), pa.array([low] * k, pa.int32()), pa.array([high] * k, pa.int32()), pa.array(block_of[at].astype(np.int32)), pa.array(node[at])], names=["tree", "prefix", "low", "high", "block", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array([tree] * k, pa.int32()), pa.array([prefix] * k, pa.int64()), pa.array([low] * k, pa.int32()), pa.array([high] * k, pa.int32()), pa.array(own.block[at].astype(np.int32)), pa.array(own.node[at])], names=["tree", "prefix", "low", "high", "block", "node"])
+
+    shown = ["tree", "prefix", "low", "high", "block", "node", "n", "signature", "depths"]
+    needed = durable(map_batches(together(spread.join(signed.hint("merge"), "node").select(*shown)), pick, "tree int, prefix long, low int, high int, block int, node long"), "needed", deal=True)
 
-    signed = together(members.join(leaders.select("node", "n", "signature").hint("merge"), "node").select("tree", "prefix", "low", "high", "block", "node", "n", "signature"))
-    needed = durable(map_batches(signed, pick, "tree int, prefix long, low int, high int, block int, node long"), "needed", deal=True)
+    def sets_of(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], names=["node", "shingles"])
 
     def check(batches):
         for (tree, _, low, high), table in groups_of(batches, 4):
-            node, sizes, block_of, signatures = _columns(table)
-            copies = table["n_copies"].to_numpy()
-            sets = [shingle_set(t.as_py()) for t in table["text"]]
+            own = Members(table, least)
+            node, copies = own.node, table["n_copies"].to_numpy()
+            sets = [np.frombuffer(b.as_buffer(), dtype=np.uint64) for b in table["shingles"]]
             links, root = np.zeros(len(node), np.int64), list(range(len(node)))
 
             def find(x, root=root):
@@ -248,8 +317,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     root[x] = x = root[root[x]]
                 return x
 
-            pairs = open_pairs(tree, tree_keys(signatures, depth), signatures, sizes, block_of, low != high, agree, threshold)
-            for i, others in verify(sets, pairs, threshold):
+            for i, others in verify(sets, own.open_pairs(tree, low != high, agree, threshold), threshold):
                 links[i] += copies[others].sum()
                 links[others] += copies[i]
                 for j in others.tolist():
@@ -259,17 +327,17 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             if len(at):
                 yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(node[[find(int(i)) for i in at]]), pa.array(links[at])], names=["node", "root", "links"])
 
-    wanted = needed.select("node").distinct()
+    wanted = durable(needed.select("node").distinct(), "wanted")
     # no semi-join here: the optimizer would move it below the bitmap, and all texts would be shuffled
-    texts = likely(rows.select(F.col("rid").alias("node"), "text"), wanted, "node")
-    read = needed.join(leaders.hint("merge"), "node").join(texts.hint("merge"), "node").select("tree", "prefix", "low", "high", "block", "node", "n", "signature", "n_copies", "text")
+    sets = map_batches(likely(rows.select(F.col("rid").alias("node"), "text"), wanted, "node").select("node", "text"), sets_of, "node long, shingles binary")
+    read = needed.join(signed.hint("merge"), "node").join(sets.hint("merge"), "node").select(*shown, "n_copies", "shingles")
     linked = durable(map_batches(together(read), check, "node long, root long, links long"), "links", deal=True)
     labels = components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")))
     counts = linked.groupBy("node").agg(F.sum("links").alias("links"))
     named = classes.join(labels, "node", "left").join(counts, "node", "left").select("key", "n_copies", "first", F.coalesce("label", "node").alias("label"), (F.coalesce("links", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"))
-    named = durable(named, "named", narrow=True)
-    leading = durable(named.groupBy("label").agg(F.min("first").alias("lead"), F.count(F.lit(1)).alias("_classes")), "leading", narrow=True)
-    full = durable(join_groups(named, leading, ["label"], "_classes").select("key", "n_copies", "n_links", "lead"), "full", narrow=True)
+    named = durable(named, "named")
+    leading = durable(named.groupBy("label").agg(F.min("first").alias("lead"), F.count(F.lit(1)).alias("_classes")), "leading")
+    full = durable(join_groups(named, leading, ["label"], "_classes").select("key", "n_copies", "n_links", "lead"), "full")
     narrow = rows.select("rid", "doc_id", "key")
     placed = join_groups(narrow.filter(F.col("key").isNotNull()), full, ["key"], "n_copies")
     alone = narrow.filter(F.col("key").isNull()).select("rid", "doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"), F.lit(True).alias("kept"))
@@ -284,5 +352,6 @@ def near_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs of which one of each group stays, with the columns of docs."""
     rows, placed = near_groups(docs, id_col, text_col, threshold)
-    kept = rows.join(placed.filter("kept").select("rid"), "rid", "left_semi")
+    dropped = durable(placed.filter("NOT kept").select("rid"), "dropped")
+    kept = without(rows.select("rid", "doc", "text"), dropped, "rid")
     return kept.select(*[F.col("text").alias(c) if c == text_col else F.col("doc").getField(c).alias(c) for c in docs.columns])

@@ -11,7 +11,7 @@ PIECE = 1 << 20
 U = np.uint64
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
+def mixed(x: np.ndarray) -> np.ndarray:
     """The finalising steps of a 64-bit mixer."""
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
@@ -19,7 +19,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def _stream(seed: int, n: int) -> np.ndarray:
-    return _mixed(np.arange(1, n + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15) + U(seed))
+    return mixed(np.arange(1, n + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15) + U(seed))
 
 
 IS_WORD = np.zeros(256, bool)
@@ -45,7 +45,7 @@ def _hash_piece(piece: np.ndarray) -> np.ndarray:
     back = np.full(len(piece), BASE_INVERSE, dtype=np.uint64)
     back[0] = 1
     back = np.cumprod(back)
-    return _mixed((sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64))
+    return mixed((sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64))
 
 
 def word_hashes(text: str) -> np.ndarray:
@@ -72,7 +72,7 @@ def shingle_set(text: str | None) -> np.ndarray:
     total = np.full(len(words) - width + 1, width, dtype=np.uint64)
     for j in range(width):
         total = total + words[j : len(words) - width + 1 + j] * POSITION[j]
-    return np.unique(_mixed(total))
+    return np.unique(mixed(total))
 
 
 def set_key(shingles: np.ndarray) -> bytes:
@@ -93,5 +93,5 @@ class MinHash:
         out = np.empty((len(sets), len(self.multiply)), dtype=np.uint16)
         for k in range(len(self.multiply)):
             least = np.minimum.reduceat(flat * self.multiply[k] + self.add[k], starts)
-            out[:, k] = (_mixed(least) >> U(48)).astype(np.uint16)
+            out[:, k] = (mixed(least) >> U(48)).astype(np.uint16)
         return out
