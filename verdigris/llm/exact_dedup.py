@@ -22,7 +22,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import durable
+from verdigris.llm.common import durable, join_groups, without
 
 FAN_IN = 8
 HOT_SHARE = 1000
@@ -34,10 +34,10 @@ def normalised(text_col: str):
     return F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACE_RUN, " ")
 
 
-def digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One narrow row per document: doc_id, verified key, partition and row identity."""
-    text = docs.select(F.col(id_col).alias("doc_id"), normalised(text_col).alias("_text"))
-    return text.select("doc_id", F.unhex(F.sha2("_text", 256)).alias("_sha"), F.octet_length("_text").alias("_len"), F.xxhash64("_text").alias("_xx"), F.monotonically_increasing_id().alias("_rid"))
+def digests(docs: DataFrame, id_col: str, text_col: str, *others: str) -> DataFrame:
+    """One narrow row per document: doc_id, verified key, partition and row identity; and the other columns asked for."""
+    text = docs.select(F.col(id_col).alias("doc_id"), normalised(text_col).alias("_text"), *others)
+    return text.select("doc_id", *others, F.unhex(F.sha2("_text", 256)).alias("_sha"), F.octet_length("_text").alias("_len"), F.xxhash64("_text").alias("_xx"), F.monotonically_increasing_id().alias("_rid"))
 
 
 def merge_runs(rows: DataFrame) -> DataFrame:
@@ -56,7 +56,7 @@ def merge_runs(rows: DataFrame) -> DataFrame:
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256; one row per input row."""
     rows = durable(digests(docs, id_col, text_col), "digests")
-    groups = durable(merge_runs(rows), "runs", narrow=True)
+    groups = durable(merge_runs(rows), "runs")
     least = rows.count() / HOT_SHARE
     hot = F.broadcast(groups.filter(F.col("group_size") > F.lit(least)).withColumn("_hot", F.lit(True)))
     joined = rows.join(hot, KEY, "left")
@@ -68,24 +68,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with the columns of docs.
+    """The rows of docs that stay, with the columns of docs, whatever their names: they ride along as one struct.
 
-    Documents meet the survivors on (identifier, verified key), so no key holds many rows. Only where one identifier
-    and text occur in several rows, dropDuplicates on that key picks one of them.
+    Rows are hashed once and numbered; of those that agree in the key the one with the smallest identifier stays, of
+    equal identifiers the first read. Only rows that may be dropped are shuffled.
     """
-    rows = durable(digests(docs, id_col, text_col), "digests")
-    known = [F.col("_id_text"), *map(F.col, KEY)]
-    named = F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))
-    keep = merge_runs(rows).select(F.coalesce(F.col("_keep.doc_id").cast("string"), F.lit("none")).alias("_id_text"), *KEY)
-    again = rows.select(named.alias("_id_text"), *KEY).groupBy(*known).count().filter("count > 1").drop("count")
-    text = normalised(text_col)
-    keyed = docs.withColumns({
-        "_id_text": F.coalesce(F.col(id_col).cast("string"), F.lit("none")), "_sha": F.unhex(F.sha2(text, 256)), "_len": F.octet_length(text), "_xx": F.xxhash64(text),
-    })
-    names = ["_id_text", *KEY]
-    again = durable(again, "repeated", narrow=True)
-    if again.isEmpty():  # the usual case: identifiers are unique
-        return keyed.join(keep, names, "left_semi").select(*docs.columns)
-    kept = keyed.join(keep.join(again, names, "left_anti"), names, "left_semi")
-    repeated = keyed.join(keep.join(again, names, "left_semi"), names, "left_semi").dropDuplicates(names)
-    return kept.unionByName(repeated).select(*docs.columns)
+    own = digests(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")), "doc_id", "text", "_doc")
+    rows = durable(own, "digests")
+    repeated = durable(merge_runs(rows).filter("group_size > 1"), "repeated")
+    met = join_groups(rows.select(*KEY, "_rid"), repeated, KEY, "group_size")
+    dropped = durable(met.filter(F.col("_rid") != F.col("_keep.rid")).select("_rid"), "dropped")
+    return without(rows.select("_rid", "_doc"), dropped, "_rid").select(*[F.col("_doc").getField(c).alias(c) for c in docs.columns])

@@ -8,7 +8,7 @@ clean texts do not drift. Counterfactual pairs come from the labelled texts that
 neutral labelled sentences built around each term.
 
 It is fitted on at most `max_rows` labelled rows (those with the smallest identifier hashes outside the held-out
-quarter); every text is scored whole, by a map. Labels, language, source and identifier are no inputs of a score.
+quarter) with at most `max_words` distinct words in all; every text is scored whole, by a map. Labels, language, source and identifier are no inputs of a score.
 
 Cases: null text counts as empty and gets the bias alone; null labels are not learned from; several labels of one
 document count as toxic if one is; without labelled rows of both kinds every score is the (smoothed) toxic share,
@@ -25,9 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import bounded_sample, id_crc_mod, map_batches
+from verdigris.llm.common import bounded_sample, durable, id_crc_mod, map_batches
 
 MAX_ROWS = 8000
+#: Distinct words of all learned texts together: what the driver holds is bounded, however long texts are.
+MAX_WORDS = 6_000_000
 THRESHOLD = 0.3
 PREFIXES = 4, 5
 WORD = re.compile(r"[^\W\d_]+")
@@ -149,8 +151,11 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held_out: int = 2, max_rows: int = MAX_ROWS) -> Model:
-    """Fit on labelled rows outside the held-out quarter; only their distinct words come to the driver."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held_out: int = 2, max_rows: int = MAX_ROWS, max_words: int = MAX_WORDS) -> Model:
+    """Fit on labelled rows outside the held-out quarter; only their distinct words come to the driver, max_words at most.
+
+    Of rows that share an identifier the one with the smallest text hash is learned from.
+    """
     known = labels.filter(F.col(label_col).isNotNull() & (id_crc_mod(id_col, 4) != held_out)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label"))
     drawn = bounded_sample(known, "_id", max_rows)
     # max_rows identifiers at most: small whatever the tables hold
@@ -159,12 +164,22 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def distinct_words(batches):
         for batch in batches:
-            rows = [" ".join(sorted(words_of(t.as_py()))) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array(rows, pa.string())], names=["label", "words"])
-
-    sample = map_batches(texts.join(F.broadcast(drawn), "_id").select("_label", "_text").limit(2 * max_rows), distinct_words, "label int, words string")
+            found = [sorted(words_of(t.as_py())) for t in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([len(w) for w in found], pa.int32()), pa.array([" ".join(w) for w in found], pa.string())], names=["id", "label", "hash", "n", "words"])
+
+    made = texts.join(F.broadcast(drawn), "_id").select(F.xxhash64("_id").alias("id"), F.col("_label").alias("label"), F.xxhash64("_text").alias("hash"), "_text")
+    # one row for each identifier; its texts meet in partial aggregates, so a repeated identifier costs a row a task
+    sample = map_batches(made, distinct_words, "id long, label int, hash long, n int, words string").groupBy("id").agg(F.min_by(F.struct("label", "n", "words"), "hash").alias("r"))
+    sample = durable(sample.select("id", "r.*"), "labelled")
+    left, last = max_words, None
+    for r in sample.select("id", "n").orderBy("id").limit(max_rows).collect():
+        left -= r.n
+        if left < 0:
+            break
+        last = r.id
+    rows = sample.filter(F.col("id") <= F.lit(last)).collect() if last is not None else []
     matrix, ys, pairs = Rows(), [], []
-    for row in sample.toLocalIterator():
+    for row in sorted(rows, key=lambda r: r.id):
         words = set(row.words.split(" ")) - {""}
         matrix.add(features_of(words))
         ys.append(row.label)
