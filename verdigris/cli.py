@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.operators import analysis, coverage, decisions, enrich, governance, graph, scoring, text, universe
+from verdigris.operators import analysis, coverage, decisions, enrich, governance, graph, rules, scoring, text, universe
 from verdigris.schemas import INDICATOR, OBSERVATION, methodology
 from verdigris.sources import readers, sinks
 
@@ -92,7 +92,7 @@ COMMANDS: dict[str, Callable[[Inputs], DataFrame]] = {
     "evidence-constraints": lambda i: graph.constraints(i["candidates"], i["methodology"]),
     "plan-incremental-recompute": lambda i: graph.recompute_plan(i["candidates"], i["changed"]),
     "prepare-quantitative-validation": lambda i: coverage.stratified_sample(i["candidates"], "indicator_code", ["company_code", "report_year", "indicator_code"], i.number("per_stratum", 20)),
-    "extract-text": lambda i: text.unit_candidates(i["pages"], ["file"]).unionByName(text.rate_candidates(i["pages"], ["file"])),
+    "extract-text": lambda i: rules.rule_candidates(i["pages"], ["file"]),
     "extract-statements": lambda i: text.statement_identity(text.statement_facts(i["pages"], ["file"]), ["file"]),
     "extract-reference-codes": lambda i: readers.listed_codes(i["pages"], "page_text", ["file", "page"]),
     "page-links": lambda i: text.links(i["html"], "html", ["page_id"]),

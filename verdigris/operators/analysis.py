@@ -95,15 +95,38 @@ def yoy_stability(changes: DataFrame, least: int = 30) -> DataFrame:
     return out.withColumn("stability", F.when((F.col("n") >= least) & (F.col("stable_share") > 0.7), "stable").when((F.col("n") >= least) & (F.col("volatile_share") > 0.4), "volatile").otherwise("moderate"))
 
 
-def anomaly_types(changes: DataFrame, small_base: float = 1.0, tolerance: float = 1e-6) -> DataFrame:
-    """Changes beyond 100% with a type: small base, power-of-ten ratio, large drop or rise."""
-    times = ratio(F.col("current"), F.col("previous"))
+#: Types of anomalies with what to do about them.
+ANOMALIES = {
+    "small_base_effect": "accept", "unit_conversion_error": "review", "disclosure_improvement": "accept", "known_extraction_issue": "reextract",
+    "energy_intensity_outlier": "review", "significant_change": "sample_check", "extreme_outlier": "urgent_review",
+}
+
+
+def anomaly_types(changes: DataFrame, tolerance: float = 1e-9) -> DataFrame:
+    """Changes of 100% and more with their type, the first that holds, and action.
+
+    Types: a tiny base; a ratio that is a power of ten up to 1,000 (within a relative tolerance); nothing before; R&D
+    rates beyond 500%; energy intensities beyond 40 times; below 500%; everything else.
+    """
+    times = F.coalesce(F.abs(ratio(F.col("current"), F.col("previous"))), F.lit(0.0))
+    size = F.abs("change_pct")
     tens = F.lit(False)
-    for power in (10.0, 100.0, 1000.0, 10000.0):
+    for power in (10.0, 100.0, 1000.0):
         tens = tens | (F.abs(times / power - 1) <= tolerance) | (F.abs(times * power - 1) <= tolerance)
-    kind = F.when(F.abs("previous") < small_base, "small_base").when(tens, "unit_error").when(F.col("current") == 0, "zeroed").when(F.abs("change_pct") <= 200, "large_change").when(F.abs("change_pct") <= 500, "very_large_change").otherwise("extreme")
-    action = F.when(kind.isin("unit_error", "extreme"), "check_source").when(kind == "small_base", "accept_with_note").otherwise("review")
-    return changes.filter(F.abs("change_pct") >= 100).select("company_code", "indicator_code", rounded(F.col("change_pct"), 4).alias("change_pct"), kind.alias("anomaly_type"), action.alias("action"))
+    kind = (
+        F.when((F.abs("previous") < 0.1) & (size > 1000), "small_base_effect")
+        .when(tens, "unit_conversion_error")
+        .when((F.col("previous") == 0) & (F.col("current") > 0), "disclosure_improvement")
+        .when((F.col("indicator_code") == "Q_S_RD_RATE") & (size > 500), "known_extraction_issue")
+        .when((F.col("indicator_code") == "Q_E_ENERGY_INTENSITY") & (times > 40), "energy_intensity_outlier")
+        .when((size > 100) & (size < 500), "significant_change")
+        .otherwise("extreme_outlier")
+    )
+    action = F.lit(None).cast("string")
+    for name, what in ANOMALIES.items():
+        action = F.when(F.col("anomaly_type") == name, what).otherwise(action)
+    found = changes.filter(size >= 100).withColumn("anomaly_type", kind)
+    return found.select("company_code", "indicator_code", rounded(F.col("change_pct"), 4).alias("change_pct"), "anomaly_type", action.alias("action"))
 
 
 def within_rank(df: DataFrame, group: str, by: str, tie: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -176,24 +178,47 @@ def merge_by_priority(sources: list[tuple[DataFrame, float]]) -> DataFrame:
     return out.groupBy(*KEY).agg(F.min_by(F.struct("value", "priority", "confidence"), F.struct("priority", "value")).alias("r")).select(*KEY, "r.*")
 
 
-EXCHANGE_HOSTS = r"(sse\.com\.cn|szse\.cn|bse\.cn|hkexnews\.hk|cninfo\.com\.cn)"
+# Hosts of exchanges, marks of their files, marks of issuers' own sites, and aggregators.
+EXCHANGE_HOSTS = ("sse.com.cn", "szse.cn", "cninfo.com.cn", "hkexnews.hk", "hkex.com.hk", "bse.cn")
+EXCHANGE_PATHS = ("ci_collection/", "hkex_reports/", "/sse/", "/szse/", "/bse/")
+ISSUER_MARKS = ("issuer_official_website", "issuer_site", "official_website", "company website", "官网", "投资者关系")
+AGGREGATORS = ("eastmoney.com", "sina.com", "qq.com", "baidu.com", "choice", "wind")
+
+
+def holds(x: Column, words: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(x, F.lit(w)) for w in words])
 
 
-def source_tier(url: Column, path: Column) -> Column:
-    """0 exchange, 1 issuer website, 2 other."""
-    exchange = url.rlike(EXCHANGE_HOSTS) | path.rlike(r"(ci_collection/|hkex_reports/|/sse/|/szse/|/bse/)")
-    return F.when(F.coalesce(exchange, F.lit(False)), 0).when(F.coalesce(url.startswith("https://") | path.contains("issuer"), F.lit(False)), 1).otherwise(2)
+def source_tier(url: Column, path: Column, evidence: Column | None = None) -> Column:
+    """0 exchange, 1 issuer website, 2 other; nulls hold no mark."""
+    url, path = F.lower(F.coalesce(url, F.lit(""))), F.lower(F.replace(F.coalesce(path, F.lit("")), F.lit("\\"), F.lit("/")))
+    said = F.lower(F.coalesce(evidence, F.lit(""))) if evidence is not None else F.lit("")
+    raw = path.startswith("data/raw/") & path.contains("/20") & ~holds(path, ("issuer", "official_website", "issuer_site"))
+    exchange = holds(url, EXCHANGE_HOSTS) | holds(path, EXCHANGE_PATHS) | raw
+    issuer = holds(path, ISSUER_MARKS) | holds(said, ISSUER_MARKS) | (url.startswith("https://") & ~holds(url, AGGREGATORS))
+    return F.when(exchange, 0).when(issuer, 1).otherwise(2)
+
+
+def authority(row: Column) -> Column:
+    """struct that is smaller the better a source is: tier, English, derived, not from the scheduled collection, confidence."""
+    url, path, said = F.lower(F.coalesce(row["source_url"], F.lit(""))), F.lower(F.replace(F.coalesce(row["source_file"], F.lit("")), F.lit("\\"), F.lit("/"))), F.coalesce(row["evidence_text"], F.lit(""))
+    english = F.lower(said).contains("english") | said.contains("英文") | url.contains("/en/") | path.contains("english")
+    derived = said.contains("派生") | F.lower(said).contains("derived")
+    return F.struct(
+        source_tier(row["source_url"], row["source_file"], row["evidence_text"]).alias("tier"), english.cast("int").alias("english"), derived.cast("int").alias("derived"),
+        (~path.contains("ci_collection")).cast("int").alias("other"), (-F.coalesce(row["confidence"], F.lit(0.0))).alias("confidence"),
+    )
 
 
 def authority_overlay(base: DataFrame, refresh: DataFrame) -> DataFrame:
-    """Full outer merge on the key: add, same, replace (the refresh has the better authority) or keep."""
-    columns = ["value", "tier", "confidence"]
+    """Full outer merge on the key: add, same, replace (the refresh has the better authority) or keep (ties keep the base)."""
+    columns = ["value", "source_url", "source_file", "evidence_text", "confidence"]
     pack = lambda df, n: df.select(*KEY, F.struct(*columns).alias(n))
     both = pack(base, "b").join(pack(refresh, "r"), KEY, "full_outer")
-    rank = lambda c: F.struct(F.col(f"{c}.tier").alias("t"), (-F.col(f"{c}.confidence")).alias("c"))
-    action = F.when(F.col("b").isNull(), "add").when(F.col("r").isNull(), "keep").when(F.abs(F.col("b.value") - F.col("r.value")) < 1e-9, "same").when(rank("r") < rank("b"), "replace").otherwise("keep")
+    same = F.abs(F.col("b.value") - F.col("r.value")) < 1e-9
+    action = F.when(F.col("b").isNull(), "add").when(F.col("r").isNull(), "keep").when(same, "same").when(authority(F.col("r")) < authority(F.col("b")), "replace").otherwise("keep")
     winner = F.when(action.isin("add", "replace"), F.col("r")).otherwise(F.col("b"))
-    return both.select(*KEY, action.alias("action"), winner["value"].alias("value"), winner["tier"].alias("tier"))
+    return both.select(*KEY, action.alias("action"), winner.alias("w")).select(*KEY, "action", "w.value", authority(F.col("w"))["tier"].alias("tier"))
 
 
 def ledger_state(ledger: DataFrame, key: str, order: str) -> tuple[DataFrame, DataFrame]:

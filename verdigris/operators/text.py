@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdigris.functions.numeric import rounded
+from verdigris.functions.text import SIGNED as NUMBER
+from verdigris.functions.text import SPACES, normal_text, number
+from verdigris.operators.rules import rule_candidates
 
-#: White space of any script, spelled out: Unicode character classes are several times slower.
-SPACES = r"[\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 PAGE_MARK = r"\n=== PAGE (\d+) ===\n"
 
 
@@ -25,87 +26,6 @@ def split_pages(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     return df.select(*keep, F.explode(pairs).alias("p")).select(*keep, F.col("p.page").cast("int").alias("page"), F.col("p.text").alias("page_text"))
 
 
-def normal_text(x: Column) -> Column:
-    """NUL out, white space of any script to one space, full-width brackets to ASCII, scientific notation written out."""
-    x = F.regexp_replace(F.replace(x, F.lit("\x00"), F.lit("")), f"{SPACES}+", " ")
-    return F.translate(x, "（）：％", "():%")
-
-
-def number(x: Column) -> Column:
-    """Digits with thousands commas, sign and decimals, as a double; null otherwise."""
-    return F.regexp_replace(x, ",", "").try_cast("double")
-
-
-# Units: factors follow from a mass and a money base, so no table of combinations is needed.
-MASS = {"kg": 1.0, "千克": 1.0, "公斤": 1.0, "t": 1000.0, "吨": 1000.0, "g": 0.001, "克": 0.001}
-MONEY = {"万元": 1.0, "十万元": 0.1, "百万元": 0.01, "亿元": 0.0001}
-GRAM_INDICATORS = ("Q_E_NOX_INTENSITY", "Q_E_SO2_INTENSITY", "Q_E_PM_INTENSITY")
-#: What the reports call each intensity.
-SUBJECTS = {
-    "Q_E_GHG_INTENSITY": "温室气体(?:排放)?强度|碳(?:排放)?强度|GHG intensity",
-    "Q_E_ENERGY_INTENSITY": "(?:综合|总)?能源(?:消耗|消费|使用)?强度|energy intensity",
-    "Q_E_NOX_INTENSITY": "氮氧化物(?:排放)?强度|NOx intensity",
-    "Q_E_SO2_INTENSITY": "二氧化硫(?:排放)?强度|SO2 intensity",
-    "Q_E_PM_INTENSITY": "颗粒物(?:排放)?强度|PM intensity",
-    "Q_E_WATER_INTENSITY": "水资源?(?:使用|消耗|消费)?强度|water intensity",
-    "Q_E_WASTEWATER_INTENSITY": "废水(?:排放)?强度|wastewater intensity",
-    "Q_E_SOLID_WASTE_INTENSITY": "固体废物(?:产生|排放)?强度|solid waste intensity",
-    "Q_E_HAZ_WASTE_INTENSITY": "危险废物(?:产生|排放)?强度|hazardous waste intensity",
-}
-RATES = {"Q_S_RD_RATE": "研发投入占(?:营业)?收入(?:的)?比[例重]|R&D (?:to revenue|ratio)", "Q_G_DEBT_ASSET_RATE": "资产负债率|debt.to.asset ratio", "Q_S_SAFETY_INVEST_RATE": "安全(?:生产)?投入(?:占比|比例)|safety investment ratio", "Q_G_ROE": "净资产收益率|return on equity"}
-NUMBER = r"[+-]?\d[\d,]*(?:\.\d+)?"
-
-
-def unit_factor(indicator: Column, mass: Column, money: Column) -> Column:
-    base = F.lit(None).cast("double")
-    for unit, factor in MASS.items():
-        base = F.when(mass == unit, factor).otherwise(base)
-    per = F.lit(None).cast("double")
-    for unit, factor in MONEY.items():
-        per = F.when(money == unit, factor).otherwise(per)
-    return base * per * F.when(indicator.isin(*GRAM_INDICATORS), 1000.0).otherwise(1.0)
-
-
-def _labelled(indicator: str, *fields: str):
-    """A one-argument function (a second argument would be the array's index) that names a match's indicator."""
-    return lambda m: F.struct(F.lit(indicator).alias("indicator_code"), m["evidence"].alias("evidence_text"), *[m[f].alias(f) for f in fields])
-
-
-def unit_candidates(pages: DataFrame, keep: list[str]) -> DataFrame:
-    """Candidates of all intensity rules: label, number and unit within reach of each other; values in canonical units."""
-    units = rf"({'|'.join(MASS)})(?:[^/／]{{0,8}})?[/／]({'|'.join(sorted(MONEY, key=len, reverse=True))})"
-    text = normal_text(F.col("page_text"))
-    every = []
-    for indicator, label in SUBJECTS.items():
-        pattern = rf"(?i)(?:{label})[^0-9]{{0,24}}?({NUMBER})\s*{units}"
-        groups = [F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in (0, 1, 2, 3)]
-        zipped = F.arrays_zip(*[g.alias(n) for g, n in zip(groups, ("evidence", "number", "mass", "money"), strict=True)])
-        every.append(F.transform(zipped, _labelled(indicator, "number", "mass", "money")))
-    rows = pages.select(*keep, "page", F.inline(F.flatten(F.array(*every))))
-    value = number(F.col("number")) * unit_factor(F.col("indicator_code"), F.col("mass"), F.col("money"))
-    return rows.select(*keep, "page", "indicator_code", value.alias("value"), "evidence_text", F.lit(0.83).alias("confidence")).filter("value IS NOT NULL").dropDuplicates([*keep, "page", "indicator_code", "value"])
-
-
-def rate_candidates(pages: DataFrame, keep: list[str]) -> DataFrame:
-    """Candidates of percentage rules that are plausible for their indicator."""
-    text = normal_text(F.col("page_text"))
-    every = []
-    for indicator, label in RATES.items():
-        pattern = rf"(?i)(?:{label})[^0-9+-]{{0,16}}?({NUMBER})\s*%"
-        zipped = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("evidence"), F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("number"))
-        every.append(F.transform(zipped, _labelled(indicator, "number")))
-    rows = pages.select(*keep, "page", F.inline(F.flatten(F.array(*every)))).withColumn("value", number(F.col("number")))
-    return rows.filter(plausible(F.col("indicator_code"), F.col("value"))).select(*keep, "page", "indicator_code", "value", "evidence_text", F.lit(0.8).alias("confidence"))
-
-
-def plausible(indicator: Column, value: Column) -> Column:
-    """Ranges by indicator: returns may be negative, shares and rates are 0..100, revenue is at least a million."""
-    return (
-        F.when(indicator == "Q_G_ROE", value.between(-1000, 100)).when(indicator == "Q_G_REVENUE", value >= 1e6).when(indicator == "Q_S_DIVIDEND_PER_SHARE", value.between(0, 100))
-        .when(indicator.endswith("_RATE"), value.between(0, 100)).otherwise(value >= 0)
-    )
-
-
 def keyword_evidence(pages: DataFrame, terms: dict[str, tuple[str, ...]], keep: list[str], before: int = 180, after: int = 360, most: int = 3) -> DataFrame:
     """Per indicator, the first term found on a page with the text around it; the first `most` pages of a document."""
     text = normal_text(F.col("page_text"))
@@ -139,9 +59,17 @@ def visible_chars(text: Column) -> Column:
     return F.length(F.regexp_replace(text, SPACES, ""))
 
 
+# Patterns of download errors (in lower case) with class, whether a retry can help, and what to do next.
 FAILURES = (
-    (r"curl.{0,6}28|operation timed out", "timeout", True, "retry_later"), (r"eof occurred|_ssl\.c", "ssl_eof", True, "retry_later"), (r"connection reset|errno 54", "connection_reset", True, "retry_later"),
-    (r"remote end closed", "connection_closed", True, "retry_later"), (r"<html", "html_instead_of_document", True, "retry_with_browser_headers"), (r"not a pdf|不是有效pdf", "non_pdf_payload", False, "needs_url_rediscovery"), (r"too small|尺寸异常", "pdf_too_small", False, "needs_url_rediscovery"),
+    (r"(?s)(curl退出码28|operation timed out).*(已保留0*[1-9]\d*字节分片|out of)|(已保留0*[1-9]\d*字节分片|out of).*(curl退出码28|operation timed out)", "timeout_partial_resume", True, "resume_with_longer_budget"),
+    (r"curl退出码28|operation timed out", "timeout_empty", True, "retry_later"),
+    (r"非法报告年份", "invalid_report_year", False, "exclude_until_rediscovery"),
+    (r"eof occurred in violation of protocol|_ssl\.c", "ssl_eof", True, "retry_later"),
+    (r"connection reset by peer|errno 54", "connection_reset", True, "retry_later"),
+    (r"remote end closed connection", "connection_closed", True, "retry_later"),
+    (r"(?s)arg1=|不是有效pdf.*<html|<html.*不是有效pdf", "exchange_antibot_html", True, "retry_with_browser_headers"),
+    (r"公开文档不是有效pdf", "non_pdf_payload", False, "needs_url_rediscovery"),
+    (r"尺寸异常", "pdf_too_small", False, "needs_url_rediscovery"),
 )
 
 
@@ -156,9 +84,15 @@ def failure_class(error: Column) -> Column:
 
 # Hosts and links.
 
-#: Platforms that are no issuer's own site, and public suffixes.
-PLATFORMS = ("sse.com.cn", "szse.cn", "bse.cn", "hkexnews.hk", "hkex.com.hk", "cninfo.com.cn", "eastmoney.com", "sina.com.cn", "sohu.com", "qq.com", "gov.cn", "edu.cn", "baidu.com", "xinhuanet.com", "people.com.cn")
-SUFFIXES = ("com.cn", "com.hk", "net.cn", "org.cn", "com", "net", "org", "cc", "co", "hk", "cn", "info", "biz")
+# Platforms that are no issuer's own site, marks in shared hosts, and public suffixes.
+PLATFORMS = (
+    "sse.com.cn", "szse.cn", "hkex.com.hk", "hkexnews.hk", "bse.cn", "cninfo.com.cn", "cninfo.com", "cninfo.cn", "cninfo.co", "sseinfo.com", "p5w.net", "todayir.com", "eastmoney.com",
+    "sina.com.cn", "sina.cn", "sohu.com", "qq.com", "weixin.qq.com", "jrj.com.cn", "hexun.com", "10jqka.com.cn", "cls.cn", "chinaclear.cn", "csrc.gov.cn", "gov.cn", "edu.cn",
+    "lnsthj.cn", "gdeei.cn", "xjpmic.cn", "cnstock.com", "mbalib.com", "people.com.cn", "xinhuanet.com", "cctv.com", "book118.com", "ir-online.com.cn", "iwencai.com", "baidu.com",
+    "wjx.cn", "sojump.com", "stcn.com", "cs.com.cn",
+)
+HOST_MARKS = ("qyxxpl", "gdeepub", "xxpl.", "hkexnews", "cninfo", "sseinfo")
+SUFFIXES = ("com.cn", "com.hk", "net.cn", "org.cn", "gov.cn", "com", "net", "org", "cc", "co", "hk", "cn", "mn", "info", "biz")
 
 
 def host_of(url: Column) -> Column:
@@ -167,18 +101,24 @@ def host_of(url: Column) -> Column:
 
 
 def registrable(host: Column) -> Column:
-    """The label before the public suffix with the suffix: the registered domain; null without a known suffix."""
+    """The label before the public suffix with the suffix: the registered domain; null without a known suffix.
+
+    Second levels of two or three letters below .cn are provinces and cities, so they belong to the suffix.
+    """
     # the leftmost match takes the longest suffix
     suffixes = "|".join(re.escape(x) for x in SUFFIXES)
-    return F.nullif(F.regexp_extract(host, rf"([^.]+\.(?:{suffixes}))$", 1), F.lit(""))
+    province = r"(?!(?:com|net|org|gov|edu|ac|mil)\.)[a-z]{2,3}\.cn"
+    return F.nullif(F.regexp_extract(host, rf"([^.]+\.(?:{province}|{suffixes}))$", 1), F.lit(""))
 
 
 def plausible_issuer(host: Column) -> Column:
-    platform = host.rlike(rf"(^|\.)({'|'.join(re.escape(p) for p in PLATFORMS)})$")
+    """False for platforms, unknown suffixes, empty or overlong labels, and names so short that they are fragments."""
+    platform = host.rlike(rf"(^|\.)({'|'.join(re.escape(p) for p in PLATFORMS)})$") | host.rlike("|".join(re.escape(m) for m in HOST_MARKS))
     domain = registrable(host)
     name = F.regexp_extract(domain, r"^([^.]+)", 1)
     least = F.when(host.endswith(".hk"), 2).otherwise(3)
-    return F.coalesce(domain.isNotNull() & ~platform & (F.length(name) >= least) & ~host.rlike(r"\.\."), F.lit(False))
+    whole = ~host.rlike(r"(^|\.)(\.|$)|[^.]{64}") & ~host.rlike(r"(^|\.)[^.]\.(com|net|org|cn|hk)$")
+    return F.coalesce(domain.isNotNull() & ~platform & whole & (F.length(name) >= least), F.lit(False))
 
 
 def links(pages: DataFrame, html: str, keep: list[str]) -> DataFrame:
@@ -325,7 +265,7 @@ def aligned_rows(pages: DataFrame, labels: dict[str, str], keep: list[str]) -> D
 
 def extract_candidates(pages: DataFrame, labels: dict[str, str], keep: list[str]) -> DataFrame:
     """All rules over a document's pages: one row per (indicator, page, value), the surest evidence of each."""
-    rows = unit_candidates(pages, keep).unionByName(rate_candidates(pages, keep)).unionByName(aligned_rows(pages, labels, keep))
+    rows = rule_candidates(pages, keep).drop("rule").unionByName(aligned_rows(pages, labels, keep))
     best = F.max_by(F.struct("evidence_text", "confidence"), F.struct("confidence", "evidence_text"))
     return rows.groupBy(*keep, "page", "indicator_code", "value").agg(best.alias("b")).select(*keep, "page", "indicator_code", "value", "b.evidence_text", "b.confidence")
 
@@ -349,16 +289,28 @@ def usable_denominator(evidence: Column) -> Column:
     return ~evidence.rlike("(?i)产值|产量|发电量|单位产品|per mwh|per unit") & ~evidence.rlike(r"(?<![\d.])0(?:\.0+)?(?![\d.])")
 
 
-def title_kind(title: Column, year: int) -> Column:
-    """annual_report or esg_report for full reports of the year; summaries, notices and other years are neither."""
-    t = F.regexp_replace(F.lower(title), r"\s+", "")
-    other = t.rlike("摘要|公告|取消|更正|summary|notice|半年|interim|季度|quarter")
-    return F.when(other, F.lit(None)).when(t.rlike(f"{year}年?年度报告|{year}年报|annualreport{year}|{year}annualreport"), "annual_report").when(t.rlike("esg|sustainability|社会责任|可持续"), "esg_report")
+# Words of titles that only refer to a report, brackets that mark a revised full text, and words of ESG reports.
+NON_REPORTS = ("摘要", "提示性公告", "关于披露", "取消", "问询函", "问询", "回复", "业绩说明会", "业绩说明", "说明会", "网上说明", "简版", "半年度", "季度报告")
+REVISED = ("(修订版)", "(修订稿)", "(更新后)", "(更新版)", "(更正后)")
+ESG_WORDS = ("社会责任报告", "可持续发展报告", "环境、社会", "esg")
+
+
+def compact_title(title: Column) -> Column:
+    return F.translate(F.regexp_replace(title, f"{SPACES}+", ""), "（）", "()")
+
+
+def title_kind(title: Column, year: int, esg: tuple[str, ...] = ESG_WORDS) -> Column:
+    """annual_report or esg_report for full reports of the year; summaries, notices, corrections and other years are neither."""
+    t = compact_title(title)
+    words = lambda of: t.rlike("(?i)" + "|".join(re.escape(w) for w in of))
+    other = ~t.contains(str(year)) | words(NON_REPORTS) | (t.rlike("更正|修订") & ~words(REVISED))
+    return F.when(other, F.lit(None)).when(t.rlike(f"{year}年年度报告|{year}年度报告|{year}年年报"), "annual_report").when(words(esg), "esg_report")
 
 
 def title_preference(title: Column, kind: Column) -> Column:
     """Smaller is better: full local text, then parallel listings, then translations."""
-    return F.when(title.rlike("(?i)english|英文"), 3).when((kind == "annual_report") & title.rlike("H股|同步披露"), 2).otherwise(0)
+    t = compact_title(title)
+    return F.when(t.rlike("(?i)英文|英语|english"), 3).when((kind == "annual_report") & t.rlike("H股|同步披露"), 2).otherwise(0)
 
 
 def https_ready(url: Column) -> Column:

@@ -127,12 +127,22 @@ def merge_priority_sources(spark, d):
     return ops.merge_by_priority([(extracted, 0.9), (calculated, 0.85), (filled, 0.6)])
 
 
-@query("authority_overlay", sql_with(CANDIDATES, """side AS (SELECT indicator_code, company_code, report_year, source_page % 2 AS side, arg_min(value, evidence_text) AS value, CAST(min(source_page) % 3 AS INTEGER) AS tier, max(confidence) AS confidence FROM cand GROUP BY ALL), b AS (SELECT * FROM side WHERE side = 0), r AS (SELECT * FROM side WHERE side = 1)""",
-  """SELECT coalesce(b.company_code, r.company_code) AS company_code, coalesce(b.report_year, r.report_year) AS report_year, coalesce(b.indicator_code, r.indicator_code) AS indicator_code, a AS action, CASE WHEN a IN ('add', 'replace') THEN r.value ELSE b.value END AS value, CASE WHEN a IN ('add', 'replace') THEN r.tier ELSE b.tier END AS tier
-  FROM (SELECT b, r, CASE WHEN b.company_code IS NULL THEN 'add' WHEN r.company_code IS NULL THEN 'keep' WHEN abs(b.value - r.value) < 1e-9 THEN 'same' WHEN r.tier < b.tier OR (r.tier = b.tier AND r.confidence > b.confidence) THEN 'replace' ELSE 'keep' END AS a FROM b FULL OUTER JOIN r ON b.company_code = r.company_code AND b.indicator_code = r.indicator_code) t"""))
+#: Sources by a number of 0 to 7, written out for the SQL as tier, english, derived and other.
+SOURCES = (
+    ("https://www.sse.com.cn/x.pdf", "", "table", (0, 0, 0, 1)), ("https://www.szse.cn/en/x.pdf", "", "row", (0, 1, 0, 1)), ("", "ci_collection/a.pdf", "english row", (0, 1, 0, 0)),
+    ("", "ci_collection/b.pdf", "派生 row", (0, 0, 1, 0)), ("https://www.firm.com/x.pdf", "", "row", (1, 0, 0, 1)), ("http://x.com", "official_website\\\\english.pdf", "derived row", (1, 1, 1, 1)),
+    ("https://www.eastmoney.com/x", "", "row", (2, 0, 0, 1)), (None, None, None, (2, 0, 0, 1)),
+)
+RANKS = "[" + ", ".join(f"{{'tier': {t}, 'english': {e}, 'derived': {v}, 'other': {o}}}" for *_, (t, e, v, o) in SOURCES) + "]"
+
+
+@query("authority_overlay", sql_with(CANDIDATES, f"""side AS (SELECT indicator_code, company_code, report_year, source_page % 2 AS side, arg_min(value, evidence_text) AS value, {RANKS}[CAST(sum(source_page) % 8 AS INTEGER) + 1] AS rank, max(confidence) AS confidence FROM cand GROUP BY ALL), b AS (SELECT * FROM side WHERE side = 0), r AS (SELECT * FROM side WHERE side = 1)""",
+  """SELECT coalesce(b.company_code, r.company_code) AS company_code, coalesce(b.report_year, r.report_year) AS report_year, coalesce(b.indicator_code, r.indicator_code) AS indicator_code, a AS action, CASE WHEN a IN ('add', 'replace') THEN r.value ELSE b.value END AS value, CAST(CASE WHEN a IN ('add', 'replace') THEN r.rank.tier ELSE b.rank.tier END AS INTEGER) AS tier
+  FROM (SELECT b, r, CASE WHEN b.company_code IS NULL THEN 'add' WHEN r.company_code IS NULL THEN 'keep' WHEN abs(b.value - r.value) < 1e-9 THEN 'same' WHEN (r.rank.tier, r.rank.english, r.rank.derived, r.rank.other, -r.confidence) < (b.rank.tier, b.rank.english, b.rank.derived, b.rank.other, -b.confidence) THEN 'replace' ELSE 'keep' END AS a FROM b FULL OUTER JOIN r ON b.company_code = r.company_code AND b.indicator_code = r.indicator_code) t"""))
 def authority_overlay(spark, d):
-    rows = candidates(spark, d)
-    side = rows.groupBy(*ops.KEY, (F.col("source_page") % 2).alias("side")).agg(F.min_by("value", "evidence_text").alias("value"), (F.min("source_page") % 3).cast("int").alias("tier"), F.max("confidence").alias("confidence"))
+    source = F.array(*[F.struct(F.lit(u).cast("string").alias("source_url"), F.lit(f).cast("string").alias("source_file"), F.lit(e).cast("string").alias("evidence_text")) for u, f, e, _ in SOURCES])
+    rows = candidates(spark, d).groupBy(*ops.KEY, (F.col("source_page") % 2).alias("side")).agg(F.min_by("value", "evidence_text").alias("value"), F.max("confidence").alias("confidence"), (F.sum("source_page") % 8 + 1).cast("int").alias("s"))
+    side = rows.withColumn("source", F.element_at(source, F.col("s"))).select(*ops.KEY, "side", "value", "confidence", "source.*")
     return ops.authority_overlay(side.filter("side = 0"), side.filter("side = 1"))
 
 

@@ -60,10 +60,18 @@ def usable_denominators(spark, d):
     return table(spark, d, "orders").select("o_orderkey", ops.usable_denominator(pick(words, "o_orderkey", 5)).alias("usable"))
 
 
-@query("title_kinds", "SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'annual_report' WHEN 1 THEN NULL WHEN 2 THEN 'esg_report' WHEN 3 THEN 'annual_report' WHEN 4 THEN 'annual_report' END AS kind, CAST(CASE o_orderkey % 6 WHEN 3 THEN 2 WHEN 4 THEN 3 ELSE 0 END AS INTEGER) AS preference FROM orders")
+#: Titles with kind and preference, written out for the SQL.
+TITLES = (
+    ("某公司2024年年度报告", "annual_report", 0), ("某公司 2024 年度报告（修订版）", "annual_report", 0), ("2024年年度报告摘要", None, 0), ("关于2024年年度报告的更正公告", None, 0),
+    ("2024年年报（H股同步披露）", "annual_report", 2), ("2024年年度报告（英文版）", "annual_report", 3), ("2023年年度报告", None, 0), ("2024年半年度报告", None, 0),
+    ("2024 ESG report", "esg_report", 0), ("ESG report", None, 0), ("2024年度社会责任报告 English", "esg_report", 3), ("2023年可持续发展报告", None, 0),
+    ("关于2024年年度报告的问询函回复", None, 0), ("2024年环境、社会及管治报告", "esg_report", 0), ("2024年业绩说明会", None, 0), ("news 2024", None, 0),
+)
+
+
+@query("title_kinds", f"""SELECT o_orderkey, x.kind, CAST(x.preference AS INTEGER) AS preference FROM (SELECT o_orderkey, [{", ".join(f"{{'kind': {'NULL' if k is None else repr(k)}, 'preference': {p}}}" for _, k, p in TITLES)}][o_orderkey % {len(TITLES)} + 1] AS x FROM orders)""")
 def title_kinds(spark, d):
-    words = ("某公司2024年年度报告", "2024年年度报告摘要", "2024 ESG report", "2024年年度报告 H股", "Annual Report 2024 (English)", "news")
-    t = pick(words, "o_orderkey", 6)
+    t = pick(tuple(x for x, *_ in TITLES), "o_orderkey", len(TITLES))
     kind = ops.title_kind(t, 2024)
     return table(spark, d, "orders").select("o_orderkey", kind.alias("kind"), ops.title_preference(t, kind).alias("preference"))
 
@@ -109,7 +117,7 @@ def aligned_tables(spark, d):
     return ops.aligned_rows(aligned_pages(spark, d), ALIGNED, ["s_suppkey"]).select("s_suppkey", "indicator_code", "value")
 
 
-@query("extraction_coverage", "SELECT 'Q_E_ENERGY_INTENSITY' AS indicator_code, count(*) AS candidates, count(*) AS documents, 0.7::DOUBLE AS max_confidence FROM supplier UNION ALL SELECT 'Q_E_WATER_INTENSITY', count(*), count(*), 0.7::DOUBLE FROM supplier UNION ALL SELECT 'Q_G_DEBT_ASSET_RATE', count(*), count(*), 0.8::DOUBLE FROM supplier")
+@query("extraction_coverage", "SELECT 'Q_E_ENERGY_INTENSITY' AS indicator_code, count(*) AS candidates, count(*) AS documents, 0.7::DOUBLE AS max_confidence FROM supplier UNION ALL SELECT 'Q_E_WATER_INTENSITY', count(*), count(*), 0.7::DOUBLE FROM supplier UNION ALL SELECT 'Q_G_DEBT_ASSET_RATE', count(*), count(*), 0.9::DOUBLE FROM supplier")
 def extraction_coverage(spark, d):
     return ops.extraction_coverage(ops.extract_candidates(aligned_pages(spark, d), ALIGNED, ["s_suppkey"]), ["s_suppkey"])
 

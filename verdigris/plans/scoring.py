@@ -225,16 +225,31 @@ def yoy_indicator_stability(spark, d):
     return analysis.yoy_stability(changes(spark, d))
 
 
-@query("anomaly_types", sql_with(OBS, YOY, f"""SELECT company_code, indicator_code, {sql_round('change_pct', 4)} AS change_pct, t AS anomaly_type, CASE WHEN t IN ('unit_error', 'extreme') THEN 'check_source' WHEN t = 'small_base' THEN 'accept_with_note' ELSE 'review' END AS action FROM (SELECT *,
-  CASE WHEN abs(previous) < 1 THEN 'small_base' WHEN {' OR '.join(f'abs(current / previous / {p} - 1) <= 1e-6 OR abs(current / previous * {p} - 1) <= 1e-6' for p in (10.0, 100.0, 1000.0, 10000.0))} THEN 'unit_error' WHEN current = 0 THEN 'zeroed' WHEN abs(change_pct) <= 200 THEN 'large_change' WHEN abs(change_pct) <= 500 THEN 'very_large_change' ELSE 'extreme' END AS t
-  FROM yoy WHERE abs(change_pct) >= 100)"""))
+#: Two of the binding's indicators stand for the ones with rules of their own.
+NAMED = {"Brand#11": "Q_S_RD_RATE", "Brand#12": "Q_E_ENERGY_INTENSITY"}
+TENS = " OR ".join(f"abs(abs(current / previous) / {p} - 1) <= 1e-9 OR abs(abs(current / previous) * {p} - 1) <= 1e-9" for p in (10.0, 100.0, 1000.0))
+ANOMALY = f"""an AS (SELECT *, CASE WHEN abs(previous) < 0.1 AND abs(change_pct) > 1000 THEN 'small_base_effect' WHEN {TENS} THEN 'unit_conversion_error'
+  WHEN indicator_code = 'Q_S_RD_RATE' AND abs(change_pct) > 500 THEN 'known_extraction_issue' WHEN indicator_code = 'Q_E_ENERGY_INTENSITY' AND abs(current / previous) > 40 THEN 'energy_intensity_outlier'
+  WHEN abs(change_pct) > 100 AND abs(change_pct) < 500 THEN 'significant_change' ELSE 'extreme_outlier' END AS anomaly_type
+  FROM (SELECT * REPLACE (CASE indicator_code {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in NAMED.items())} ELSE indicator_code END AS indicator_code) FROM yoy) WHERE abs(change_pct) >= 100)"""
+
+
+def anomalies(spark, d):
+    code = F.col("indicator_code")
+    for own, name in NAMED.items():
+        code = F.when(F.col("indicator_code") == own, name).otherwise(code)
+    return analysis.anomaly_types(changes(spark, d).withColumn("indicator_code", code))
+
+
+@query("anomaly_types", sql_with(OBS, YOY, ANOMALY, f"""SELECT company_code, indicator_code, {sql_round('change_pct', 4)} AS change_pct, anomaly_type,
+  CASE WHEN anomaly_type = 'small_base_effect' THEN 'accept' WHEN anomaly_type = 'known_extraction_issue' THEN 'reextract' WHEN anomaly_type = 'significant_change' THEN 'sample_check' WHEN anomaly_type = 'extreme_outlier' THEN 'urgent_review' ELSE 'review' END AS action FROM an"""))
 def anomaly_types(spark, d):
-    return analysis.anomaly_types(changes(spark, d))
+    return anomalies(spark, d)
 
 
-@query("anomaly_plan", sql_with(OBS, YOY, "SELECT CASE WHEN abs(change_pct) <= 200 THEN 'large_change' WHEN abs(change_pct) <= 500 THEN 'very_large_change' ELSE 'extreme' END AS anomaly_type, count(*) AS n FROM yoy WHERE abs(change_pct) >= 100 AND abs(previous) >= 1 AND current <> 0 AND NOT (" + " OR ".join(f"abs(current / previous / {p} - 1) <= 1e-6 OR abs(current / previous * {p} - 1) <= 1e-6" for p in (10.0, 100.0, 1000.0, 10000.0)) + ") GROUP BY 1"))
+@query("anomaly_plan", sql_with(OBS, YOY, ANOMALY, "SELECT anomaly_type, count(*) AS n FROM an GROUP BY 1"))
 def anomaly_plan(spark, d):
-    return analysis.anomaly_types(changes(spark, d)).filter(F.col("anomaly_type").isin("large_change", "very_large_change", "extreme")).groupBy("anomaly_type").agg(F.count(F.lit(1)).alias("n"))
+    return anomalies(spark, d).groupBy("anomaly_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("industry_rank", sql_with(*CHAIN, "SELECT company_code, n_name AS industry, total_score, row_number() OVER (PARTITION BY n_name ORDER BY total_score DESC, company_code) AS group_rank FROM ranked JOIN supplier ON lpad(CAST(s_suppkey AS VARCHAR), 6, '0') = company_code JOIN nation ON s_nationkey = n_nationkey WHERE strategy = 'indicator_neutral_v1'"))

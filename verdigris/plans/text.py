@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from verdigris.operators import text as ops
+from verdigris.operators.rules import rule_candidates
 from verdigris.plans.binding import sql_with, table
 from verdigris.sources import readers
 from verdigris.streaming import events as stream
@@ -51,17 +52,47 @@ def keyword_evidence(spark, d):
     return ops.keyword_evidence(pages(spark, d), TERMS, ["doc_id"])
 
 
-@query("thin_text", "SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN 'missing_text' WHEN c < 200 THEN 'critical_thin' WHEN c < 2000 THEN CASE WHEN doc_id % 3 = 0 THEN 'truncated_export' WHEN c < 200 THEN 'critical_thin' ELSE 'thin' END WHEN c < 5000 AND doc_id % 2 = 0 THEN 'large_pdf_low_text' END AS class FROM (SELECT doc_id, length(regexp_replace(text, '\\s', '', 'g')) AS c FROM documents) WHERE NOT (c < 200 AND doc_id % 3 = 0 AND doc_id % 50 <> 0)")
+@query("thin_text", """
+SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN 'missing_text' WHEN doc_id % 3 = 0 AND c < 2000 THEN 'truncated_export' WHEN c < 500 THEN 'critical_thin'
+  WHEN c < 2000 THEN 'thin' WHEN c < 5000 AND doc_id % 2 = 0 THEN 'large_pdf_low_text' END AS class
+FROM (SELECT doc_id, length(regexp_replace(text, '\\s', '', 'g')) AS c FROM documents)""")
 def thin_text(spark, d):
     k = F.col("doc_id")
     return table(spark, d, "documents").select("doc_id", ops.visible_chars(F.col("text")).alias("c")).select("doc_id", ops.thin_class(F.col("c"), F.when(k % 2 == 0, 6_000_000).otherwise(2_000_000), F.when(k % 3 == 0, 1).otherwise(9), k % 50 == 0).alias("class"))
 
 
-@query("failure_classes", """SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'timeout' WHEN 1 THEN 'ssl_eof' WHEN 2 THEN 'connection_reset' WHEN 3 THEN 'html_instead_of_document' WHEN 4 THEN 'pdf_too_small' ELSE 'other_download_error' END AS class, event_id % 6 <> 4 AS retryable FROM events""")
+#: Errors with the class, whether to retry, and what to do, written out for the SQL.
+ERRORS = (
+    ("curl退出码28: 已保留2048字节分片", "timeout_partial_resume", True, "resume_with_longer_budget"), ("curl退出码28 已保留0字节分片", "timeout_empty", True, "retry_later"),
+    ("Operation timed out after 30 s, 5 out of 9 bytes", "timeout_partial_resume", True, "resume_with_longer_budget"), ("operation TIMED OUT", "timeout_empty", True, "retry_later"),
+    ("非法报告年份: 1999", "invalid_report_year", False, "exclude_until_rediscovery"), ("EOF occurred in violation of protocol (_ssl.c:997)", "ssl_eof", True, "retry_later"),
+    ("[Errno 54] Connection reset by peer", "connection_reset", True, "retry_later"), ("Remote end closed connection without response", "connection_closed", True, "retry_later"),
+    ("var arg1='A1'", "exchange_antibot_html", True, "retry_with_browser_headers"), ("公开文档不是有效PDF: <HTML>", "exchange_antibot_html", True, "retry_with_browser_headers"),
+    ("公开文档不是有效PDF: 504b", "non_pdf_payload", False, "needs_url_rediscovery"), ("PDF尺寸异常: 12", "pdf_too_small", False, "needs_url_rediscovery"),
+    ("HTTP Error 503", "other_download_error", True, "retry_later"), (None, "other_download_error", True, "retry_later"),
+)
+
+
+@query("failure_classes", f"""SELECT event_id, x.class, x.retryable, x.action FROM (SELECT event_id, [{", ".join(f"{{'class': '{c}', 'retryable': {r}, 'action': '{a}'}}" for _, c, r, a in ERRORS)}][event_id % {len(ERRORS)} + 1] AS x FROM events)""")
 def failure_classes(spark, d):
-    words = F.array(*map(F.lit, ("Operation timed out after", "EOF occurred in violation", "Connection reset by peer", "got <HTML> page", "file too small", "what?")))
-    e = table(spark, d, "events").select("event_id", ops.failure_class(F.element_at(words, (F.col("event_id") % 6 + 1).cast("int"))).alias("f"))
-    return e.select("event_id", "f.class", "f.retryable")
+    errors = F.array(*[F.lit(e).cast("string") for e, *_ in ERRORS])
+    e = table(spark, d, "events").select("event_id", ops.failure_class(F.element_at(errors, (F.col("event_id") % len(ERRORS) + 1).cast("int"))).alias("f"))
+    return e.select("event_id", "f.class", "f.retryable", "f.action")
+
+
+#: Hosts with their registered domain and whether they can be an issuer's, written out for the SQL.
+HOSTS = (
+    ("www.firm.com.cn", "firm.com.cn", True), ("ir.firm.com", "firm.com", True), ("www.sse.com.cn", "sse.com.cn", False), ("static.sse.com.cn", "sse.com.cn", False), ("notsse.com.cn", "notsse.com.cn", True),
+    ("hr.tj.cn", "hr.tj.cn", False), ("steel.tj.cn", "steel.tj.cn", True), ("ir.p.com", "p.com", False), ("ab.com.hk", "ab.com.hk", True), ("ab.com", "ab.com", False), ("a..com", None, False),
+    ("firm.xyz", None, False), ("qyxxpl.firm.com", "firm.com", False), ("x.gov.cn", "x.gov.cn", False), ("coal.mn", "coal.mn", True), ("localhost", None, False),
+)
+
+
+@query("host_hygiene", f"""SELECT o_orderkey, x.domain, x.plausible FROM (SELECT o_orderkey, [{", ".join(f"{{'domain': {'NULL' if n is None else repr(n)}, 'plausible': {p}}}" for _, n, p in HOSTS)}][o_orderkey % {len(HOSTS)} + 1] AS x FROM orders)""")
+def host_hygiene(spark, d):
+    urls = F.array(*[F.lit(f"https://{h}/a/b.pdf?x=1") for h, *_ in HOSTS])
+    host = ops.host_of(F.element_at(urls, (F.col("o_orderkey") % len(HOSTS) + 1).cast("int")))
+    return table(spark, d, "orders").select("o_orderkey", ops.registrable(host).alias("domain"), ops.plausible_issuer(host).alias("plausible"))
 
 
 HOST = "regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)), '^www[.]', '')"
@@ -118,12 +149,12 @@ def kpi_pages(spark, d):
 
 @query("unit_rules", "SELECT s_suppkey, 'Q_E_GHG_INTENSITY' AS indicator_code, (1000 + s_suppkey % 1000 + 0.5) * CASE WHEN s_suppkey % 2 = 0 THEN 1000.0 ELSE 0.01 END AS value FROM supplier UNION ALL SELECT s_suppkey, 'Q_E_NOX_INTENSITY', CAST(s_suppkey AS DOUBLE) FROM supplier")
 def unit_rules(spark, d):
-    return ops.unit_candidates(kpi_pages(spark, d), ["s_suppkey"]).select("s_suppkey", "indicator_code", F.round("value", 6).alias("value"))
+    return rule_candidates(kpi_pages(spark, d), ["s_suppkey"], ("unit",)).filter("indicator_code LIKE '%_INTENSITY'").select("s_suppkey", "indicator_code", F.round("value", 6).alias("value"))
 
 
 @query("rate_rules", "SELECT s_suppkey, CAST(s_suppkey % 150 AS DOUBLE) AS value FROM supplier WHERE s_suppkey % 150 <= 100")
 def rate_rules(spark, d):
-    return ops.rate_candidates(kpi_pages(spark, d), ["s_suppkey"]).select("s_suppkey", "value")
+    return rule_candidates(kpi_pages(spark, d), ["s_suppkey"], ("unit",)).filter("indicator_code = 'Q_G_DEBT_ASSET_RATE'").select("s_suppkey", "value")
 
 
 @query("year_tables", "SELECT s_suppkey, 2024 AS year, CAST(s_suppkey AS DOUBLE) AS value, 'current-first' AS mode FROM supplier UNION ALL SELECT s_suppkey, 2023, 1000 + s_suppkey % 1000 + 0.5, 'current-first' FROM supplier")
