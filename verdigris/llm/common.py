@@ -15,17 +15,24 @@ from verdigris.sources.shared import shared_dir
 BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 
 
-def durable(df: DataFrame, name: str = "stage", deal: bool = False) -> DataFrame:
+#: Narrow rows in a file of an intermediate table.
+FILE_ROWS = 50_000
+
+
+def durable(df: DataFrame, name: str = "stage", rows: int | None = None, deal: bool = False) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
     This cuts lineage like checkpoint(), survives lost executors, and keeps column pruning and compression. Files follow the
-    tasks that write them; after a shuffle, adaptive execution sizes these by bytes. With `deal` the rows are dealt out
-    anew, in as many tasks as their bytes call for: where the stage that makes them needs all its tasks for work, not
-    for rows.
+    tasks that write them. Where a bound of the narrow rows is known, they are written in a file for each FILE_ROWS of
+    them, whatever the number of shuffle partitions: every small file costs renames and permissions. With `deal` these
+    rows are dealt out anew (a shuffle), where the stage that makes them needs all its tasks for work, not for rows.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/verdigris/{name}-{uuid.uuid4().hex}"
-    (df.hint("rebalance") if deal else df).write.parquet(path)
+    if rows is not None:
+        files = max(1, -(-rows // FILE_ROWS))
+        df = df.repartition(files) if deal else df.coalesce(files)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

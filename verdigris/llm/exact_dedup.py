@@ -56,8 +56,9 @@ def merge_runs(rows: DataFrame) -> DataFrame:
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256; one row per input row."""
     rows = durable(digests(docs, id_col, text_col), "digests")
-    groups = durable(merge_runs(rows), "runs")
-    least = rows.count() / HOT_SHARE
+    total = rows.count()
+    groups = durable(merge_runs(rows), "runs", total)
+    least = total / HOT_SHARE
     hot = F.broadcast(groups.filter(F.col("group_size") > F.lit(least)).withColumn("_hot", F.lit(True)))
     joined = rows.join(hot, KEY, "left")
     done = joined.filter("_hot").drop("_hot")
@@ -75,7 +76,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     own = digests(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")), "doc_id", "text", "_doc")
     rows = durable(own, "digests")
-    repeated = durable(merge_runs(rows).filter("group_size > 1"), "repeated")
+    total = rows.count()
+    repeated = durable(merge_runs(rows).filter("group_size > 1"), "repeated", total)
     met = join_groups(rows.select(*KEY, "_rid"), repeated, KEY, "group_size")
-    dropped = durable(met.filter(F.col("_rid") != F.col("_keep.rid")).select("_rid"), "dropped")
+    dropped = durable(met.filter(F.col("_rid") != F.col("_keep.rid")).select("_rid"), "dropped", total)
     return without(rows.select("_rid", "_doc"), dropped, "_rid").select(*[F.col("_doc").getField(c).alias(c) for c in docs.columns])

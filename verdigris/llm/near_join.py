@@ -224,7 +224,7 @@ def verify(sets: list[np.ndarray], pairs: Iterator[tuple[int, np.ndarray]], thre
             yield i, linked
 
 
-def depths_of(members: DataFrame, least: int, threshold: float) -> DataFrame:
+def depths_of(members: DataFrame, least: int, threshold: float, rows: int) -> DataFrame:
     """(node, depths) of the members: how far each looks in each tree, a byte for every tree.
 
     members: tree, node, met (texts under the prefix of depth `least`), and the prefixes below that as columns p1, p2, ...
@@ -235,8 +235,8 @@ def depths_of(members: DataFrame, least: int, threshold: float) -> DataFrame:
         return members.select("node").distinct().withColumn("depths", every)
     counted = members
     for k, name in enumerate(deeper, 1):
-        under = durable(members.groupBy("tree", name).agg(F.count(F.lit(1)).alias(f"met{k}")), "tries")
-        counted = durable(join_groups(counted, under, ["tree", name], f"met{k}"), "counted")
+        under = durable(members.groupBy("tree", name).agg(F.count(F.lit(1)).alias(f"met{k}")), "tries", rows)
+        counted = durable(join_groups(counted, under, ["tree", name], f"met{k}"), "counted", rows)
     columns = ["met", *(f"met{k}" for k in range(1, len(deeper) + 1))]
     # one row for each tree of a node: groups of TREES rows at most
     by_node = counted.groupBy("node").agg(F.collect_list(F.struct("tree", *columns)).alias("trees"))
@@ -257,12 +257,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(sketched rows, one row per document: rid, doc_id, class_id, n_links, n_copies, kept)."""
     least = prefix_depth(threshold)
     rows = durable(sketch(docs, id_col, text_col), "sketch")
+    total = rows.count()
     agree = least_agreement(TREES * DEPTH, threshold)
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
     worded = rows.filter(F.col("key").isNotNull())
     classes = worded.groupBy("key").agg(F.min("rid").alias("node"), F.count(F.lit(1)).alias("n_copies"), F.min(first).alias("first"))
-    classes = durable(classes, "classes")
-    leaders = durable(worded.join(classes.select(F.col("node").alias("rid"), "n_copies"), "rid").select(F.col("rid").alias("node"), "n", "signature", "n_copies"), "leaders")
+    classes = durable(classes, "classes", total)
+    leaders = durable(worded.join(classes.select(F.col("node").alias("rid"), "n_copies"), "rid").select(F.col("rid").alias("node"), "n", "signature", "n_copies"), "leaders", total)
     below = [f"p{k}" for k in range(1, DEPTH - least + 1)]
 
     def prefixes(batches):
@@ -273,10 +274,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([trees, *(pa.array(np.repeat(batch.column(c).to_numpy(), TREES)) for c in (0, 1)), *keys], names=["tree", "node", "n", "prefix", *below])
 
     paths = durable(map_batches(leaders.select("node", "n", "signature"), prefixes, "tree int, node long, n int, prefix long" + "".join(f", {p} long" for p in below)), "paths")
-    met = durable(paths.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("met"), F.sum("n").alias("shingles")).filter("met > 1"), "tries")
+    met = durable(paths.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("met"), F.sum("n").alias("shingles")).filter("met > 1"), "tries", total)
     blocks = F.greatest(F.ceil(F.col("met") / F.lit(block)), F.ceil(F.col("shingles") / F.lit(block_shingles))).cast("int")
     members = durable(join_groups(paths, met, ["tree", "prefix"], "met").withColumn("blocks", blocks), "members")
-    looks = durable(depths_of(members, least, threshold), "depths")
+    share = members.count()
+    looks = durable(depths_of(members, least, threshold, share), "depths", share)
     # a member of a node in k blocks takes part in k block pairs (its own with itself among them)
     spread = members.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select("tree", "prefix", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "node")
@@ -299,7 +301,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_arrays([pa.array([tree] * k, pa.int32()), pa.array([prefix] * k, pa.int64()), pa.array([low] * k, pa.int32()), pa.array([high] * k, pa.int32()), pa.array(own.block[at].astype(np.int32)), pa.array(own.node[at])], names=["tree", "prefix", "low", "high", "block", "node"])
 
     shown = ["tree", "prefix", "low", "high", "block", "node", "n", "signature", "depths"]
-    needed = durable(map_batches(together(spread.join(signed.hint("merge"), "node").select(*shown)), pick, "tree int, prefix long, low int, high int, block int, node long"), "needed", deal=True)
+    needed = durable(map_batches(together(spread.join(signed.hint("merge"), "node").select(*shown)), pick, "tree int, prefix long, low int, high int, block int, node long"), "needed", share, deal=True)
 
     def sets_of(batches):
         for batch in batches:
@@ -327,17 +329,17 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             if len(at):
                 yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(node[[find(int(i)) for i in at]]), pa.array(links[at])], names=["node", "root", "links"])
 
-    wanted = durable(needed.select("node").distinct(), "wanted")
+    wanted = durable(needed.select("node").distinct(), "wanted", share)
     # no semi-join here: the optimizer would move it below the bitmap, and all texts would be shuffled
     sets = map_batches(likely(rows.select(F.col("rid").alias("node"), "text"), wanted, "node").select("node", "text"), sets_of, "node long, shingles binary")
     read = needed.join(signed.hint("merge"), "node").join(sets.hint("merge"), "node").select(*shown, "n_copies", "shingles")
-    linked = durable(map_batches(together(read), check, "node long, root long, links long"), "links", deal=True)
-    labels = components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    linked = durable(map_batches(together(read), check, "node long, root long, links long"), "links", share, deal=True)
+    labels = components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")), share)
     counts = linked.groupBy("node").agg(F.sum("links").alias("links"))
     named = classes.join(labels, "node", "left").join(counts, "node", "left").select("key", "n_copies", "first", F.coalesce("label", "node").alias("label"), (F.coalesce("links", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"))
-    named = durable(named, "named")
-    leading = durable(named.groupBy("label").agg(F.min("first").alias("lead"), F.count(F.lit(1)).alias("_classes")), "leading")
-    full = durable(join_groups(named, leading, ["label"], "_classes").select("key", "n_copies", "n_links", "lead"), "full")
+    named = durable(named, "named", total)
+    leading = durable(named.groupBy("label").agg(F.min("first").alias("lead"), F.count(F.lit(1)).alias("_classes")), "leading", total)
+    full = durable(join_groups(named, leading, ["label"], "_classes").select("key", "n_copies", "n_links", "lead"), "full", total)
     narrow = rows.select("rid", "doc_id", "key")
     placed = join_groups(narrow.filter(F.col("key").isNotNull()), full, ["key"], "n_copies")
     alone = narrow.filter(F.col("key").isNull()).select("rid", "doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"), F.lit(True).alias("kept"))
@@ -352,6 +354,6 @@ def near_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs of which one of each group stays, with the columns of docs."""
     rows, placed = near_groups(docs, id_col, text_col, threshold)
-    dropped = durable(placed.filter("NOT kept").select("rid"), "dropped")
+    dropped = durable(placed.filter("NOT kept").select("rid"), "dropped", rows.count())
     kept = without(rows.select("rid", "doc", "text"), dropped, "rid")
     return kept.select(*[F.col("text").alias(c) if c == text_col else F.col("doc").getField(c).alias(c) for c in docs.columns])
