@@ -88,13 +88,17 @@ def test_row_order_does_not_matter(data):
 def test_incremental_equals_full(data):
     _, obs, ind = data
     strategy = "indicator_neutral_v1"
-    cached = scoring.ranking(obs, ind, (strategy,))
+    cache = scoring.ScoreCache(obs, ind, strategy)
     change = obs.filter("indicator_code = 'b' AND company_code < 'C10'").withColumn("value", F.col("value") * 2)
     keys = ["company_code", "report_year", "indicator_code"]
     full = scoring.ranking(obs.join(change, keys, "left_anti").unionByName(change), ind, (strategy,))
-    part = scoring.changed_scores(obs, change, ind, cached, strategy)
+    part = cache.changed(change)
     columns = ["company_code", "total_score", "e_score", "s_score", "g_score", "disclosure_rate", "grade", "rank"]
-    assert sorted(map(tuple, full.select(columns).collect()), key=str) == sorted(map(tuple, part.select(columns).collect()), key=str)
+    same = lambda a, b: sorted(map(tuple, a.select(columns).collect()), key=str) == sorted(map(tuple, b.select(columns).collect()), key=str)
+    assert same(full, part) and same(cache.ranking(), scoring.ranking(obs, ind, (strategy,)))
+    new = change.limit(1).withColumn("company_code", F.lit("new"))  # a company that had no cell before
+    assert same(cache.changed(new), scoring.ranking(obs.unionByName(new), ind, (strategy,)))
+    assert same(cache.changed(change.limit(0)), cache.ranking())
 
 
 def test_erf(spark):

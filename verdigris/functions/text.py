@@ -19,7 +19,9 @@ SIGNED = r"[+-]?\d[\d,]*(?:\.\d+)?"
 
 def normal_text(x: Column) -> Column:
     """NUL out, white space of any script to one space, radicals and full-width digits, letters and brackets to plain ones."""
-    return F.translate(F.regexp_replace(F.replace(x, F.lit("\x00"), F.lit("")), f"{SPACES}+", " "), FROM, TO)
+    plain = F.regexp_replace(F.replace(x, F.lit("\x00"), F.lit("")), f"{SPACES}+", " ")
+    # translation goes character by character, so it is left to texts that need it
+    return F.when(plain.rlike("[\u2f00-\u2fd5\uff10-\uff19\uff21-\uff3a\uff41-\uff5a（）：％]"), F.translate(plain, FROM, TO)).otherwise(plain)
 
 
 def number(x: Column) -> Column:

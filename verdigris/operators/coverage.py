@@ -107,6 +107,17 @@ def review_impact(tiers: DataFrame, sensitivity: DataFrame, weights: DataFrame,
     return both.select(*KEY, "tier", rounded(impact, 6).alias("impact_score"))
 
 
+def impact_faults(rows: DataFrame, sensitivity: DataFrame, weights: DataFrame) -> DataFrame:
+    """Rows that an impact cannot be given: their company has no sensitivity, or their indicator no weight.
+
+    The impact operators leave such rows out; a caller that must not lose any checks that this is empty.
+    """
+    companies, indicators = sensitivity.select("company_code", F.lit(True).alias("_c")).distinct(), weights.select("indicator_code", F.lit(True).alias("_w")).distinct()
+    both = rows.join(companies, "company_code", "left").join(F.broadcast(indicators), "indicator_code", "left")  # indicators of one methodology
+    fault = F.when(F.col("_c").isNull(), "no_sensitivity").when(F.col("_w").isNull(), "no_weight")
+    return both.withColumn("fault", fault).filter("fault IS NOT NULL").select("company_code", "indicator_code", "fault")
+
+
 def quantitative_gap_impact(tasks: DataFrame, sensitivity: DataFrame, weights: DataFrame, top: int) -> DataFrame:
     """Impact of each missing candidate: boundary, instability, weight, key indicator and scarcity."""
     population = tasks.filter("status = 'candidate_available'").groupBy("indicator_code").agg(F.count(F.lit(1)).alias("population"))

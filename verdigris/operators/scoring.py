@@ -161,19 +161,39 @@ def population_baseline(obs: DataFrame, indicators: DataFrame, minimum: int = MI
     )
 
 
-def changed_scores(obs: DataFrame, changes: DataFrame, indicators: DataFrame, cached: DataFrame, strategy: str) -> DataFrame:
-    """Scores after replacing cells of obs by changes: only companies that hold an affected indicator are rescored.
+CELLS = ["company_code", "company_name", "indicator_code", "status", "score", "kind", "dimension", "weight", "_ord"]
 
-    One changed value moves an indicator's population, and so the score of every company with a confirmed value of it.
-    Others keep their cached row.
+
+class ScoreCache:
+    """What rescoring after a change needs: observations and scored cells by indicator, and the companies' scores.
+
+    Both tables are written in folders by indicator, so a change reads those of its indicators alone, and every company's
+    score keeps its row until one of its cells moves.
     """
-    columns = [*KEY, "company_name", "value", "status", "_ord"]
-    obs, changes = staged(obs.select(*columns), "before"), staged(changes.select(*columns), "changes")
-    after = staged(obs.join(changes.select(*KEY), KEY, "left_anti").unionByName(changes), "after")
-    moved = F.broadcast(changes.select("indicator_code").distinct())  # indicators of one methodology
-    touched = after.unionByName(obs).join(moved, "indicator_code", "left_semi").select("company_code").distinct()
-    stats = population_stats(after)
-    again = after.join(touched, "company_code", "left_semi")
-    fresh = roll_up(scored_cells(latest_rows(again), indicators, stats), indicators, (strategy,))
-    kept = cached.join(touched, "company_code", "left_anti").select(*fresh.columns)
-    return dense_ranks(grades(staged(kept.unionByName(fresh), "scores")), within=("strategy",))
+
+    def __init__(self, obs: DataFrame, indicators: DataFrame, strategy: str, minimum: int = MINIMUM_POPULATION):
+        self.indicators, self.strategy, self.minimum = indicators, strategy, minimum
+        self.obs = staged(obs.select(*KEY, "company_name", "value", "status", "_ord"), "observations", by="indicator_code")
+        cells = scored_cells(latest_rows(self.obs), indicators, population_stats(self.obs, minimum))
+        self.cells = staged(cells.select(*CELLS), "cells", by="indicator_code")
+        self.scores = staged(roll_up(self.cells, indicators, (strategy,)), "scores")
+
+    def ranking(self) -> DataFrame:
+        return dense_ranks(grades(self.scores), within=("strategy",))
+
+    def changed(self, changes: DataFrame) -> DataFrame:
+        """The ranking after replacing cells by `changes`: only companies that hold an affected indicator are scored anew.
+
+        One changed value moves its indicator's population, and so the score of every company with a confirmed value of
+        it. Statistics and cells are computed for those indicators alone; other cells and companies come from the cache.
+        """
+        changes = staged(changes.select(*KEY, "company_name", "value", "status", "_ord"), "changes")
+        moved = [r.indicator_code for r in changes.select("indicator_code").distinct().collect()]  # indicators of one methodology: 80 at most
+        before = self.obs.filter(F.col("indicator_code").isin(moved))
+        after = before.join(changes.select(*KEY), KEY, "left_anti").unionByName(changes)
+        fresh = scored_cells(latest_rows(after), self.indicators, population_stats(after, self.minimum)).select(*CELLS)
+        touched = before.select("company_code").union(changes.select("company_code")).distinct()
+        others = self.cells.filter(~F.col("indicator_code").isin(moved)).join(touched, "company_code", "left_semi")
+        again = roll_up(others.select(*CELLS).unionByName(fresh), self.indicators, (self.strategy,))
+        kept = self.scores.join(touched, "company_code", "left_anti").select(*again.columns)
+        return dense_ranks(grades(staged(kept.unionByName(again), "scores")), within=("strategy",))

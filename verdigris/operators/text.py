@@ -27,25 +27,24 @@ def split_pages(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
 
 
 def keyword_evidence(pages: DataFrame, terms: dict[str, tuple[str, ...]], keep: list[str], before: int = 180, after: int = 360, most: int = 3) -> DataFrame:
-    """Per indicator, the first term found on a page with the text around it; the first `most` pages of a document."""
-    text = normal_text(F.col("page_text"))
-    rows = pages.select(*keep, "page", text.alias("_t"))
+    """Per indicator, the first term found on a page with the text around it; the first `most` pages of a document.
+
+    Only the text around a term goes on to the choice of pages, and Spark limits each task's rows there before it shuffles.
+    """
+    rows = pages.select(*keep, "page", normal_text(F.col("page_text")).alias("_t")).withColumn("_l", F.lower("_t"))
     every = []
     for indicator, words in terms.items():
-        at = F.lit(0)
-        word = F.lit(None).cast("string")
-        for w in reversed(words):
-            here = F.locate(w.lower(), F.lower("_t"))
-            at, word = F.when(here > 0, here).otherwise(at), F.when(here > 0, F.lit(w)).otherwise(word)
-        every.append(F.struct(F.lit(indicator).alias("indicator_code"), word.alias("matched_term"), at.alias("at")))
+        at, word, sure = F.lit(0), F.lit(None).cast("string"), F.lit(0.65)
+        for i, w in reversed(list(enumerate(words))):
+            here = F.locate(w.lower(), F.col("_l"))
+            at, word, sure = F.when(here > 0, here).otherwise(at), F.when(here > 0, F.lit(w)).otherwise(word), F.when(here > 0, F.lit(0.65 if i else 0.75)).otherwise(sure)
+        every.append(F.struct(F.lit(indicator).alias("indicator_code"), word.alias("matched_term"), at.alias("at"), sure.alias("confidence")))
     hits = rows.select(*keep, "page", "_t", F.inline(F.array(*every))).filter("at > 0")
     start = F.greatest(F.lit(1), F.col("at") - before)
+    evidence = F.substring(F.col("_t"), start, F.col("at") - start + F.length("matched_term") + after)
+    narrow = hits.select(*keep, "page", "indicator_code", "matched_term", evidence.alias("evidence_text"), "confidence")
     w = Window.partitionBy(*keep, "indicator_code").orderBy("page")
-    first = F.lit(None)
-    for indicator, words in terms.items():
-        first = F.when(F.col("indicator_code") == indicator, F.lit(words[0])).otherwise(first)
-    ranked = hits.withColumn("_i", F.row_number().over(w)).filter(F.col("_i") <= most)
-    return ranked.select(*keep, "page", "indicator_code", "matched_term", F.substring(F.col("_t"), start, F.col("at") - start + F.length("matched_term") + after).alias("evidence_text"), F.when(F.col("matched_term") == first, 0.75).otherwise(0.65).alias("confidence"))
+    return narrow.withColumn("_i", F.row_number().over(w)).filter(F.col("_i") <= most).drop("_i")
 
 
 def thin_class(chars: Column, size: Column, pages: Column, missing: Column, critical: int = 500, thin: int = 2000, low: int = 5000, large: int = 5_000_000) -> Column:

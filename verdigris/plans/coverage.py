@@ -137,6 +137,14 @@ BATCH = f"""rk AS (SELECT *, row_number() OVER (PARTITION BY company_code ORDER
 bat AS (SELECT company_code, {sql_round('max(impact_score) + sum(CASE WHEN i <= 5 THEN impact_score ELSE 0 END) / 10', 6)} AS company_impact_score, count(*) AS gap_count, count(*) FILTER (impact_score >= 75) AS high_impact_gap_count, string_agg(indicator_code, '|' ORDER BY i) FILTER (i <= 5) AS top_indicator_codes FROM rk GROUP BY 1 ORDER BY company_impact_score DESC, company_code LIMIT 25)"""
 
 
+@query("impact_faults", sql_with(*SENS, TASKS, "SELECT t.company_code, t.indicator_code, CASE WHEN s.company_code IS NULL THEN 'no_sensitivity' ELSE 'no_weight' END AS fault FROM task t LEFT JOIN (SELECT CASE WHEN rank_span % 2 = 1 THEN 'Z' || company_code ELSE company_code END AS company_code FROM sens) s USING (company_code) WHERE s.company_code IS NULL OR t.indicator_code = 'Brand#7'"))
+def impact_faults(spark, d):
+    """With every other company's sensitivity under another code, and no weight for one indicator."""
+    company = F.when(F.col("rank_span") % 2 == 1, F.concat(F.lit("Z"), "company_code")).otherwise(F.col("company_code"))
+    known = weights(spark).withColumn("indicator_code", F.when(F.col("indicator_code") == "Brand#7", "other").otherwise(F.col("indicator_code")))
+    return ops.impact_faults(tasks(spark, d), sensitivity(spark, d).withColumn("company_code", company), known)
+
+
 @query("company_gap_batch", sql_with(*SENS, TASKS, CANDIDATES, COVER, POP, QUANT, BATCH, "SELECT * FROM bat"))
 def company_gap_batch(spark, d):
     return ops.company_batch(quant(spark, d))[0]

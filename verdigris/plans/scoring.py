@@ -284,10 +284,18 @@ CHANGED = OBS.replace("obs AS", "obs0 AS")
 
 @query("cache_change", sql_with(CHANGED, "obs AS (SELECT company_code, company_name, report_year, indicator_code, CASE WHEN indicator_code = 'Brand#3' AND source_page >= 3 THEN value + 5 ELSE value END AS value, status, source_url, source_file, source_page, evidence_text, confidence, _ord FROM obs0)", *CHAIN[1:], f"{RANKED} WHERE strategy = 'indicator_neutral_v1'"))
 def cache_change(spark, d):
+    return change_cache(*score_cache(spark, d))
+
+
+def score_cache(spark, d):
+    """The cache of a year, and a change of it."""
     obs = year(spark, d)
-    cached = scoring.ranking(obs, indicators(spark), ("indicator_neutral_v1",))
     new = obs.filter("indicator_code = 'Brand#3' AND source_page >= 3").withColumn("value", F.col("value") + 5)
-    return scoring.changed_scores(obs, new, indicators(spark), cached, "indicator_neutral_v1")
+    return scoring.ScoreCache(obs, indicators(spark), "indicator_neutral_v1"), new
+
+
+def change_cache(cache, new):
+    return cache.changed(new)
 
 
 @query("number_format", "SELECT s_suppkey, CASE WHEN x LIKE '%.%' THEN regexp_replace(regexp_replace(x, '0+$', ''), '\\.$', '') ELSE x END AS shown FROM (SELECT s_suppkey, printf('%.4f', s_acctbal) AS x FROM supplier)")

@@ -23,11 +23,12 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def staged(df: DataFrame, name: str = "stage") -> DataFrame:
+def staged(df: DataFrame, name: str = "stage", by: str | None = None) -> DataFrame:
     """df written as Parquet in the shared folder and read back: what several branches of a plan need is computed once.
 
-    The table outlives lost executors, cuts lineage, and keeps column pruning.
+    The table outlives lost executors, cuts lineage, and keeps column pruning. With `by` it has a folder for each value of
+    that column, and filters on it read only theirs; adaptive execution splits large folders and joins small ones.
     """
     path = f"{shared_dir(df.sparkSession)}/verdigris/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.hint("rebalance", by).write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -53,8 +53,8 @@ def write_with_summary(df: DataFrame, summary: DataFrame, path: str) -> None:
 
 
 def write_year_partitions(obs: DataFrame, path: str) -> None:
-    """Observations by report year, so that a year's scoring reads its own files."""
-    obs.repartition("report_year").write.mode("overwrite").partitionBy("report_year").parquet(path)
+    """Observations by report year, so that a year's scoring reads its own files; large years go to several tasks."""
+    obs.hint("rebalance", "report_year").write.mode("overwrite").partitionBy("report_year").parquet(path)
 
 
 def ranking_html(rows: list, title: str = "Ranking") -> str:
