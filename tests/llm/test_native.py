@@ -61,3 +61,12 @@ def test_deduplicate_keeps_one_row_of_each_text(spark):
     assert out.columns == ["doc_id", "text", "shard", "slot"]
     assert sorted((r.doc_id, r.text) for r in out.collect() if r.text) == sorted([(3, "a  b"), (2, "é" * 5000), (4, "a b"), (2, "other")])
     assert [r.doc_id for r in out.collect() if not r.text] == [7]
+
+
+def test_deduplicate_keeps_columns_of_any_name(spark):
+    rows = [(5, "a  b", 77, "s1", 1), (3, "a b", 78, "s2", 2), (3, "a\tb", 79, "s3", 3), (None, "a b", 80, "s4", 4), (None, "only", 81, "s5", 5), (9, None, 82, "s6", 6), (8, "", 83, "s7", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _len int, _sha string, _rid int").coalesce(1)
+    got = sorted(map(tuple, deduplicate(docs).collect()), key=str)
+    assert got == sorted([rows[1], rows[4], rows[6]], key=str)
+    names = spark.createDataFrame([("none", "x"), (None, "x"), ("b", "y")], "doc_id string, text string")
+    assert sorted(map(tuple, deduplicate(names).collect())) == [("b", "y"), ("none", "x")]

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from verdigris.llm.components import components
-from verdigris.llm.near_join import deduplicate, least_agreement, near_groups, near_join, prefix_depth
+from verdigris.llm.near_join import DEPTH, TARGET, TREES, chosen_depths, deduplicate, least_agreement, near_groups, near_join, prefix_depth, tree_keys
 from verdigris.llm.shingles import shingle_set, word_hashes
 
 
@@ -14,7 +14,7 @@ def shingles(text):
     return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
 
 
-def brute(rows):
+def brute(rows, threshold=0.8):
     sets = [shingles(t) for _, t in rows]
     links, root = [0] * len(rows), list(range(len(rows)))
 
@@ -25,7 +25,7 @@ def brute(rows):
 
     for i in range(len(rows)):
         for j in range(i):
-            if sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            if sets[i] and sets[j] and len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j]):
                 links[i] += 1
                 links[j] += 1
                 root[find(i)] = find(j)
@@ -56,6 +56,33 @@ def test_parameters():
     assert 30 < least_agreement(60) < 40
 
 
+def test_low_thresholds_are_refused():
+    assert prefix_depth(0.9) == DEPTH and prefix_depth(0.5) == 1
+    with pytest.raises(ValueError, match="recall"):
+        prefix_depth(0.3)
+
+
+def test_depths_reach_the_target_and_leave_crowded_nodes_alone():
+    least, rng = prefix_depth(), np.random.default_rng(4)
+    counts = -np.sort(-rng.integers(1, 50, (200, TREES, DEPTH - least + 1)), axis=2)
+    counts[0, :3, :] = (900_000, 20_000, 10_000)  # crowded trees
+    counts[0, 3:, :] = 1
+    depths = chosen_depths(counts)
+    recall = 1 - np.prod(1 - 0.8**depths.astype(float), axis=1)
+    assert (recall >= TARGET).all() and (depths >= least).all() and (depths <= DEPTH).all()
+    assert (depths[0, :3] > least).any() and (depths > least).any(axis=1).all()
+    # from either side alone: the chance that a pair at the threshold is met, over drawn signatures
+    met = (rng.random((20_000, TREES, DEPTH)) < 0.8).cumprod(axis=2).sum(axis=2) >= depths[0]
+    assert met.any(axis=1).mean() >= TARGET - 0.001
+
+
+def test_tree_keys_take_every_level():
+    signatures = np.zeros((2, TREES * DEPTH), np.uint16)
+    signatures[1, DEPTH - 1] = 1
+    same = [(tree_keys(signatures, d)[0] == tree_keys(signatures, d)[1]).all() for d in range(1, DEPTH + 1)]
+    assert same == [True] * (DEPTH - 1) + [False]
+
+
 def test_shingles():
     assert len(shingle_set("a b c d e f")) == 2 and len(shingle_set("a b")) == 1 and len(shingle_set(None)) == 0
     text = "ab é" * 700000
@@ -64,12 +91,12 @@ def test_shingles():
     assert word_hashes("Ab cd")[0] == word_hashes("xx, ab")[1]
 
 
-@pytest.mark.parametrize("block", [1000, 12])
-def test_links_and_classes(spark, block):
+@pytest.mark.parametrize(("block", "shingles", "threshold"), [(1000, 10**6, 0.8), (12, 900, 0.8), (1000, 10**6, 0.9)])
+def test_links_and_classes(spark, block, shingles, threshold):
     rows = corpus()
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    got = near_groups(df, block=block)[1].collect()
-    assert sorted(((r.doc_id, r.class_id, r.n_links) for r in got), key=str) == brute(rows)
+    got = near_groups(df, threshold=threshold, block=block, block_shingles=shingles)[1].collect()
+    assert sorted(((r.doc_id, r.class_id, r.n_links) for r in got), key=str) == brute(rows, threshold)
     lead = [r.class_id for r in got if r.kept and r.class_id is not None]
     assert len(lead) == len(set(lead)) == len({r.class_id for r in got if r.class_id is not None})
 
