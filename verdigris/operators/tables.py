@@ -26,6 +26,7 @@ TABLE_KINDS = {
     "times": {"次": 1.0},
     "tonnes": {"万吨": 10000.0, "千吨": 1000.0, "吨": 1.0, "千克": 0.001, "万立方米": 10000.0, "立方米": 1.0},
     "coal": {"万吨标准煤": 10000.0, "千吨标准煤": 1000.0, "吨标准煤": 1.0},
+    "money": {"亿元": 1e8, "百万元": 1e6, "万元": 1e4, "千元": 1e3, "元": 1.0},
     "per million": {"吨二氧化碳当量": 10.0, "tco2e": 10.0, "吨标准煤": 10.0, "吨标煤": 10.0, "千克标准煤": 0.01, "吨": 10.0},
 }
 
@@ -78,6 +79,17 @@ TABLE_ROWS = (
     Row("Q_G_SHAREHOLDER_MEETING_FREQ", r"股东大会次数|股东会议次数", "times"),
     Row("Q_G_AUDIT_COMMITTEE_MEETING_FREQ", r"审计委员会会议次数|审计委员会召开次数", "times"),
 )
+#: Amounts that give a rate of revenue, with the bounds of the rate in percent.
+INVESTMENTS = (
+    Row("Q_S_ENV_INVEST_RATE", r"(?<!累计)(?<!历年)环保(?:总)?投入(?:金额)?(?!\s*强度)(?!密度)(?!占)", "money"),
+    Row("Q_S_SAFETY_INVEST_RATE", r"(?<!累计)(?<!历年)(?:职业健康(?:与)?)?安全生产(?:总)?投入(?:金额)?(?!\s*强度)(?!密度)(?!占)", "money"),
+    Row("Q_S_DONATION_RATE", r"(?:(?<!接受)(?<!累计)(?<!历年)对外捐赠|公益捐赠(?:总额|支出)?(?!支出超出)|慈善捐赠(?:总额)?)(?!占)", "money"),
+)
+INVESTMENT_BOUNDS = {"Q_S_ENV_INVEST_RATE": (0.001, 50.0), "Q_S_SAFETY_INVEST_RATE": (0.0001, 30.0), "Q_S_DONATION_RATE": (0.00001, 10.0)}
+#: Rows of pay, whose amounts are those at the beginning, added, taken away, and at the end.
+PAYMENTS = (("Q_S_PAY_PER_EMPLOYEE", "工资、奖金、津贴和补贴"), ("Q_S_BENEFIT_PER_EMPLOYEE", "职工福利费"), ("Q_S_EDU_PER_EMPLOYEE", "工会经费和职工教育经费"))
+STAFF = r"(?:在职员工的数量合计|报告期末在职员工的数量合计|员工总数|在岗员工总数)"
+CHANGED_SCOPE = "边界变化|口径变化|口径调整|范围调整|重述|(?i:restated)"
 MASS_WORDS = r"万?(?:吨|千克|克|立方米|吉焦|kg|tCO2e|tCO₂e)(?:二氧化碳当量|二氧化碳|标准煤|标煤)?"
 MONEY_WORDS = r"(?:营收)?(?:百万元|百万|亿元|万元)(?:人民币)?(?:\(年营业收入\)|营业收入|营收|收入)?"
 ENERGY_OF_GJ = 34.1208
@@ -173,8 +185,9 @@ def unit_pattern(kind: str) -> str:
     return rf"{MASS_WORDS}/{MONEY_WORDS}"
 
 
-def year_rows(pages: DataFrame, keep: list[str], report_year: int) -> DataFrame:
-    """keep, page, indicator_code, value, mode, evidence_text of rows under a header of years: the report year's value.
+def year_rows(pages: DataFrame, keep: list[str], report_year: int, table: tuple[Row, ...] = TABLE_ROWS) -> DataFrame:
+    """keep, page, indicator_code, value, previous, mode, evidence_text of rows under a header of years: the report year's value
+    and that of the year before, if the header has it.
 
     A row's unit stands before or after its values or in brackets at its label; a row that a line break splits goes on in
     the next two lines. Rows need a value for each year; percent rows need no unit where the label's line has the sign.
@@ -184,12 +197,12 @@ def year_rows(pages: DataFrame, keep: list[str], report_year: int) -> DataFrame:
     below = lined.filter("header IS NOT NULL").filter(F.array_contains("header.years", report_year))
     every = F.transform(F.col("lines"), lambda line, i: F.struct(i.alias("i"), line.alias("line"), F.concat_ws("\n", F.get("lines", i + 1), F.get("lines", i + 2)).alias("rest")))
     rows = below.select(*keep, "page", "header", F.explode(every).alias("r")).filter(F.col("r.i") > F.col("header.at"))
-    any_label = "|".join(r.label for r in TABLE_ROWS)
+    any_label = "|".join(r.label for r in table)
     rows = rows.select(*keep, "page", "header", "r.line", "r.rest").filter(F.col("line").rlike(any_label))
 
     def read(m):
         out = F
-        for r in TABLE_ROWS:
+        for r in table:
             start = rf"(?i)^.*?(?:{r.label})"
             unit = rf"(?i)\(?({unit_pattern(r.kind)})\)?(?!产)"
 
@@ -205,12 +218,14 @@ def year_rows(pages: DataFrame, keep: list[str], report_year: int) -> DataFrame:
         return out
 
     read_rows = rows.withColumn("years", F.col("header.years")).select(*keep, "page", "years", "line", generated(["line", "rest", "years"], read))
-    at = F.array_position("years", F.lit(report_year)).cast("int")
+    at, last = (F.nullif(F.array_position("years", F.lit(y)).cast("int"), F.lit(0)) for y in (report_year, report_year - 1))
     # more numbers than years are not clear, unless they come from the lines after the row's own
     enough = F.size("values") >= F.size("years")
     mode = F.when(F.size("years") == 1, "single-year").when(F.col("years")[0] > F.col("years")[1], "current-first").otherwise("current-last")
-    out = read_rows.filter(enough).select(*keep, "page", "indicator_code", (number(F.get("values", at - 1)) * F.col("factor")).alias("value"), mode.alias("mode"), F.col("line").alias("evidence_text"))
-    return out.filter(plausible(F.col("indicator_code"), F.col("value"))).dropDuplicates([*keep, "page", "indicator_code", "value"])
+    out = read_rows.filter(enough).select(*keep, "page", "indicator_code", (number(F.get("values", at - 1)) * F.col("factor")).alias("value"), (number(F.get("values", last - 1)) * F.col("factor")).alias("previous"), mode.alias("mode"), F.col("line").alias("evidence_text"))
+    # amounts of money are no values of their indicators yet
+    sound = plausible(F.col("indicator_code"), F.col("value")) if table is TABLE_ROWS else F.col("value") >= 0
+    return out.filter(sound).dropDuplicates([*keep, "page", "indicator_code", "value"])
 
 
 def card_values(pages: DataFrame, keep: list[str]) -> DataFrame:
@@ -337,3 +352,44 @@ def total_intensities(totals: DataFrame, revenue: DataFrame, direct: DataFrame,
     rows = joined.select(*key, code.alias("_code"), (F.col("value") * factor / (F.col("revenue") / 10_000)).alias("_value"), bound.alias("_bound"))
     rows = rows.filter("_value > 0 AND _value <= _bound").select(*key, F.col("_code").alias("indicator_code"), F.col("_value").alias("value"))
     return rows.join(direct.select(*key, "indicator_code").distinct(), [*key, "indicator_code"], "left_anti")
+
+
+def ghg_reduction(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """Reduction of the greenhouse-gas total from a row with both years, in percent; rows that say that their scope changed give none."""
+    cut = (F.col("previous") - F.col("value")) / F.nullif("previous", F.lit(0.0)) * 100
+    known = rows.filter((F.col("indicator_code") == "Q_E_GHG_EMISSION") & ~F.col("evidence_text").rlike(CHANGED_SCOPE))
+    return known.select(*keep, "page", F.lit("Q_E_GHG_REDUCTION_RATE").alias("indicator_code"), cut.alias("value")).filter(F.col("value").between(0, 100))
+
+
+def investment_rates(pages: DataFrame, revenue: DataFrame, keep: list[str], report_year: int) -> DataFrame:
+    """keep, indicator_code, value: environmental, safety and charity spending of tables of years as percentages of revenue.
+
+    Amounts of one kind that differ give none, and so do rates beyond their bounds or stated in the text themselves.
+    """
+    rows = year_rows(pages, keep, report_year, INVESTMENTS)
+    agreed = rows.groupBy(*keep, "indicator_code").agg(F.min("value").alias("total"), F.max("value").alias("_most")).filter("_most - total <= 1e-4 * _most")
+    stated = pages.filter(F.col("page_text").rlike("(?:环保(?:总)?投入|安全生产(?:总)?投入|捐赠)[^。；\n]{0,24}占[^。；\n]{0,12}(?:营业收入|营收)")).select(*keep).distinct()
+    rate = F.col("total") / F.nullif("revenue", F.lit(0.0)) * 100
+    inside = F
+    for code, (low, high) in INVESTMENT_BOUNDS.items():
+        inside = inside.when(F.col("indicator_code") == code, rate.between(low, high))
+    out = agreed.join(stated, keep, "left_anti").join(revenue.select(*keep, "revenue"), keep)
+    return out.filter(inside).select(*keep, "indicator_code", rate.alias("value"))
+
+
+def payments_per_head(pages: DataFrame, keep: list[str]) -> DataFrame:
+    """keep, indicator_code, value: what was added to the accounts of pay, welfare and training, per employee.
+
+    A row of four amounts counts if begin + added - taken = end within one yuan; of three, one of the ends being left out,
+    if the others close. The number of employees comes from the document's first page that names it.
+    """
+    text = F.regexp_replace(line_text(F.col("page_text")), r"\n", " ")
+    staff = number(F.nullif(F.regexp_extract("_x", rf"{STAFF}[^\d。]{{0,12}}(\d[\d,]*)", 1), F.lit("")))
+    heads = pages.select(*keep, "page", text.alias("_x")).select(*keep, "page", staff.alias("n")).filter("n > 0").groupBy(*keep).agg(F.min_by("n", "page").alias("heads"))
+    every = [F.struct(F.lit(code).alias("indicator_code"), F.regexp_extract("_x", rf"{label}((?:\s+{AMOUNT}){{3,4}})", 1).alias("row")) for code, label in PAYMENTS]
+    rows = pages.select(*keep, "page", text.alias("_x")).select(*keep, "page", F.inline(F.array(*every))).filter("row <> ''")
+    x = F.transform(F.regexp_extract_all("row", F.lit(AMOUNT), F.lit(0)), lambda a: F.replace(a, F.lit(","), F.lit("")).try_cast("double"))
+    a, b, c, d = (F.get("x", F.lit(i)) for i in range(4))
+    added = F.when(F.size("x") == 4, F.when(F.abs(a + b - c - d) <= 1, b)).when(F.abs(a - b - c) <= 1, a).when(F.abs(a + b - c) <= 1, b)
+    found = rows.withColumn("x", x).withColumn("added", added).filter("added > 0").groupBy(*keep, "indicator_code").agg(F.min_by("added", "page").alias("added"))
+    return found.join(heads, keep).select(*keep, "indicator_code", (F.col("added") / F.col("heads")).alias("value"))

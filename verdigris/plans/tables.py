@@ -107,3 +107,28 @@ def total_intensities(spark, d):
     direct = rows.filter("indicator_code LIKE '%_INTENSITY'").select("s_suppkey", "indicator_code").union(ops.card_values(pages, ["s_suppkey"]).select("s_suppkey", "indicator_code"))
     found = ops.total_intensities(rows, ops.summary_revenue(pages, ["s_suppkey"]), direct, ["s_suppkey"])
     return found.select("s_suppkey", "indicator_code", F.round("value", 6).alias("value"))
+
+
+def staff_pages(spark, d):
+    """Two pages of each supplier: spending by year, and accounts of pay that close but for every fifth supplier."""
+    k = F.col("s_suppkey")
+    spending = F.concat(F.lit("单位 2024年 2023年\n环保总投入 万元 "), k.cast("string"), F.lit(" 5\n安全生产投入 元 "), (k * 100).cast("string"), F.lit(" 7\n"), F.when(k % 3 == 0, "累计对外捐赠 万元 9 8").otherwise("对外捐赠 万元 2 1"), F.lit("\n温室气体排放总量 吨 "), (k % 50 + 60).cast("string"), F.lit(" 100"), F.when(k % 4 == 0, " （口径变化）").otherwise(""))
+    wrong = F.when(k % 5 == 0, 7).otherwise(0)
+    pay = F.concat(F.lit("报告期末在职员工的数量合计 1,"), F.lpad((k % 900).cast("string"), 3, "0"), F.lit(" 人\n工资、奖金、津贴和补贴 "), money(k + wrong), F.lit(" "), money(k * 1000), F.lit(" "), money(k * 900), F.lit(" "), money(k * 101), F.lit("\n职工福利费 "), money(k * 10), F.lit(" "), money(k * 10 + wrong), F.lit(" 0.00\n"))
+    return table(spark, d, "supplier").select("s_suppkey", F.inline(F.array(F.struct(F.lit(1).alias("page"), spending.alias("page_text")), F.struct(F.lit(2).alias("page"), pay.alias("page_text")))))
+
+
+@query("investment_rates", "SELECT s_suppkey, unnest(['Q_S_ENV_INVEST_RATE', 'Q_S_SAFETY_INVEST_RATE']) AS indicator_code, unnest([round(s_suppkey / ((s_suppkey * 10.0 + 100)) * 100, 6), round(s_suppkey * 100 / ((s_suppkey * 10.0 + 100) * 10000) * 100, 6)])::DOUBLE AS value FROM supplier WHERE s_suppkey > 0 UNION ALL SELECT s_suppkey, 'Q_S_DONATION_RATE', round(2 / (s_suppkey * 10.0 + 100) * 100, 6)::DOUBLE FROM supplier WHERE s_suppkey % 3 <> 0")
+def investment_rates(spark, d):
+    revenue = ops.summary_revenue(report_pages(spark, d), ["s_suppkey"])
+    return ops.investment_rates(staff_pages(spark, d), revenue, ["s_suppkey"], YEAR).select("s_suppkey", "indicator_code", F.round("value", 6).alias("value"))
+
+
+@query("ghg_reduction", "SELECT s_suppkey, 100.0::DOUBLE - (s_suppkey % 50 + 60) AS value FROM supplier WHERE s_suppkey % 4 <> 0 AND s_suppkey % 50 + 60 <= 100")
+def ghg_reduction(spark, d):
+    return ops.ghg_reduction(ops.year_rows(staff_pages(spark, d), ["s_suppkey"], YEAR), ["s_suppkey"]).select("s_suppkey", F.round("value", 6).alias("value"))
+
+
+@query("payments_per_head", "SELECT s_suppkey, unnest(['Q_S_PAY_PER_EMPLOYEE', 'Q_S_BENEFIT_PER_EMPLOYEE']) AS indicator_code, unnest([round(s_suppkey * 1000 / (1000.0 + s_suppkey % 900), 6), round(s_suppkey * 10 / (1000.0 + s_suppkey % 900), 6)])::DOUBLE AS value FROM supplier WHERE s_suppkey % 5 <> 0")
+def payments_per_head(spark, d):
+    return ops.payments_per_head(staff_pages(spark, d), ["s_suppkey"]).select("s_suppkey", "indicator_code", F.round("value", 6).alias("value"))
