@@ -107,6 +107,10 @@ def apply_review(candidates: DataFrame, instructions: DataFrame) -> DataFrame:
 SCORES = (0, 20, 50, 80, 100)
 
 
+#: Fixed value: words of the evidence that a score of 100 needs.
+LEADING = r"(?i)领先|标杆|leading|benchmark"
+
+
 def signature_faults(df: DataFrame, reviewer: str = "reviewer", at: str = "reviewed_at", note: str = "note", least_note: int = 8) -> DataFrame:
     """df with `faults`: codes of what a signature lacks. Times must carry an offset."""
     zoned = F.col(at).rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})$") & F.try_to_timestamp(F.col(at)).isNotNull()
@@ -116,6 +120,7 @@ def signature_faults(df: DataFrame, reviewer: str = "reviewer", at: str = "revie
     ]
     if "score" in df.columns:
         checks.append((~F.coalesce(F.col("score").isin(*SCORES), F.lit(True)), "score_not_allowed"))
+        checks.append((F.coalesce(F.col("score") == 100, F.lit(False)) & ~F.coalesce(F.col(note).rlike(LEADING), F.lit(False)), "leading_evidence_missing"))
     return df.withColumn("faults", F.array_join(F.array_compact(F.array(*[F.when(c, F.lit(n)) for c, n in checks])), "|"))
 
 
@@ -221,6 +226,22 @@ def authority_overlay(base: DataFrame, refresh: DataFrame) -> DataFrame:
     return both.select(*KEY, action.alias("action"), winner.alias("w")).select(*KEY, "action", "w.value", authority(F.col("w"))["tier"].alias("tier"))
 
 
+def accept_key_candidates(base: DataFrame, candidates: DataFrame, indicators: DataFrame) -> DataFrame:
+    """Candidates of key indicators from exchanges, taken without a confirmation: keep, added, replaced or same, for every key of either.
+
+    Of several candidates of a key the surest counts (of equal ones the first by source). It replaces a stored value unless
+    that has the better authority; an equal value keeps its row.
+    """
+    columns = ["value", "source_url", "source_file", "evidence_text", "confidence"]
+    keys = indicators.filter("key_indicator AND kind = 'quantitative'").select(F.col("code").alias("indicator_code"))
+    fit = candidates.filter(F.col("value").isNotNull()).join(F.broadcast(keys), "indicator_code", "left_semi").filter(source_tier(F.col("source_url"), F.col("source_file"), F.col("evidence_text")) == 0)
+    best = fit.groupBy(*KEY).agg(F.max_by(F.struct(*columns), F.struct(F.coalesce("confidence", F.lit(0.0)), "source_url", "source_file", -F.col("value"))).alias("r"))
+    both = base.select(*KEY, F.struct(*columns).alias("b")).join(best, KEY, "full_outer")
+    action = F.when(F.col("r").isNull(), "keep").when(F.col("b").isNull(), "added").when(F.col("b.value") == F.col("r.value"), "same").when(authority(F.col("r")) <= authority(F.col("b")), "replaced").otherwise("keep")
+    winner = F.when(action.isin("added", "replaced"), F.col("r")).otherwise(F.col("b"))
+    return both.select(*KEY, action.alias("action"), winner["value"].alias("value"), F.when(action == "replaced", F.col("b.value")).alias("prior_value"))
+
+
 def ledger_state(ledger: DataFrame, key: str, order: str) -> tuple[DataFrame, DataFrame]:
     """(active rows, forks) of an append-only ledger whose rows name the decision that they supersede.
 

@@ -105,6 +105,24 @@ def bind_provenance(universe: DataFrame, snapshot: DataFrame) -> DataFrame:
     return both.select("stock_code", status.alias("status"), F.coalesce(F.nullif(F.trim("source_url"), F.lit("")), "s_url").alias("source_url"))
 
 
+def merge_snapshots(snapshots: list[DataFrame], code: str = "stock_code") -> tuple[DataFrame, DataFrame]:
+    """(all rows, faults): snapshots put together, and the codes that occur more than once, with how often.
+
+    The merge stands only if there is no fault; which of two rows of a code is right is not for the merge to say.
+    """
+    rows = snapshots[0]
+    for s in snapshots[1:]:
+        rows = rows.unionByName(s, allowMissingColumns=True)
+    faults = rows.groupBy(code).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return rows, faults
+
+
+def key_differences(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
+    """key with `side`: missing (only left), unknown (only right) or shared; null keys are keys, too."""
+    sides = left.select(*key, F.lit(1).alias("_s")).unionByName(right.select(*key, F.lit(2).alias("_s"))).groupBy(*key).agg(F.bit_or("_s").alias("_s"))
+    return sides.select(*key, F.when(F.col("_s") == 1, "missing").when(F.col("_s") == 2, "unknown").otherwise("shared").alias("side"))
+
+
 def augment(universe: DataFrame, additions: DataFrame) -> DataFrame:
     return universe.unionByName(additions.join(universe.select("stock_code"), "stock_code", "left_anti"), allowMissingColumns=True)
 

@@ -32,7 +32,8 @@ def observations(spark: SparkSession, sf_dir: str, year: int | None = None) -> D
     numbered = cells.join(suppliers, "l_suppkey").selectExpr("*", "CAST(substring(p_brand, 7, 9) AS INT) AS b", "lpad(CAST(l_suppkey AS STRING), 6, '0') AS company_code")
     return numbered.selectExpr(
         "company_code", "s_name AS company_name", "report_year", "p_brand AS indicator_code", "value",
-        "CASE (l_suppkey * 7 + b * 3 + report_year) % 13 WHEN 0 THEN 'pending' WHEN 1 THEN 'derived' WHEN 2 THEN 'predicted' WHEN 3 THEN 'imputed' WHEN 4 THEN 'not_applicable' ELSE 'confirmed' END AS status",
+        "CASE (l_suppkey * 7 + b * 3 + report_year) % 13 WHEN 0 THEN 'pending' WHEN 1 THEN 'derived' WHEN 2 THEN 'predicted' WHEN 3 THEN 'imputed' "
+    "WHEN 4 THEN 'not_applicable' ELSE 'confirmed' END AS status",
         "concat('https://example.org/', company_code) AS source_url", "concat('report-', CAST(report_year AS STRING)) AS source_file", "CAST(n AS INT) AS source_page", "concat('brand ', CAST(b AS STRING)) AS evidence_text", "0.5D + (n % 6) / 10.0D AS confidence", "CAST(b AS LONG) AS _ord",
     )
 
@@ -66,13 +67,15 @@ OBS = """obs AS (
     CASE m WHEN 0 THEN 'pending' WHEN 1 THEN 'derived' WHEN 2 THEN 'predicted' WHEN 3 THEN 'imputed' WHEN 4 THEN 'not_applicable' ELSE 'confirmed' END AS status,
     'https://example.org/' || lpad(CAST(l_suppkey AS VARCHAR), 6, '0') AS source_url, 'report-' || CAST(report_year AS VARCHAR) AS source_file, CAST(n AS INTEGER) AS source_page,
     'brand ' || CAST(b AS VARCHAR) AS evidence_text, 0.5 + (n % 6) / 10.0 AS confidence, CAST(b AS BIGINT) AS _ord
+
   FROM (SELECT l_suppkey, CAST(year(l_shipdate) AS INTEGER) AS report_year, p_brand AS indicator_code, CAST(substr(p_brand, 7) AS INTEGER) AS b, avg(l_quantity) AS value, count(*) AS n,
       (l_suppkey * 7 + CAST(substr(p_brand, 7) AS INTEGER) * 3 + year(l_shipdate)) % 13 AS m
     FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL) c JOIN supplier ON l_suppkey = s_suppkey
 )"""
 IND = """ind AS (
   SELECT 'Brand#' || CAST(i AS VARCHAR) AS indicator_code, ['E', 'S', 'G'][i % 3 + 1] AS dimension, CASE WHEN i <= 17 THEN 'quantitative' ELSE 'qualitative' END AS kind,
-    CASE WHEN i <= 17 THEN (1 + i % 4) * 100.0 / 42 ELSE (1 + i % 4) * 5.0 END::DOUBLE AS weight, CASE i % 4 WHEN 0 THEN 'bidirectional' WHEN 2 THEN 'negative' ELSE 'positive' END AS direction,
+    CASE WHEN i <= 17 THEN (1 + i % 4) * 100.0 / 42 ELSE (1 + i % 4) * 5.0 END::DOUBLE AS weight, CASE i % 4 WHEN 0 THEN 'bidirectional'
+  WHEN 2 THEN 'negative' ELSE 'positive' END AS direction,
     CASE WHEN i % 5 = 0 THEN 26.0 END::DOUBLE AS benchmark, i <= 10 AS key_indicator
   FROM range(1, 26) t(i)
 )"""

@@ -42,18 +42,23 @@ def indicator_tasks(spark, d):
     return tasks(spark, d)
 
 
-@query("coverage_rollup", sql_with(OBS, IND, TASKS, "SELECT dimension, indicator_code, count(*) AS n, count(*) FILTER (status = 'confirmed') AS done, CAST(GROUPING(dimension) * 2 + GROUPING(indicator_code) AS INTEGER) AS level FROM task GROUP BY ROLLUP (dimension, indicator_code)"))
+@query("coverage_rollup", sql_with(OBS, IND, TASKS, "SELECT dimension, indicator_code, count(*) AS n, count(*) FILTER (status = 'confirmed') AS done, CAST(GROUPING(dimension) * 2 + GROUPING(indicator_code) AS INTEGER) AS level "
+    "FROM task GROUP BY ROLLUP (dimension, indicator_code)"))
 def coverage_rollup(spark, d):
     return ops.coverage_rollup(tasks(spark, d))
 
 
-@query("company_completion", sql_with(OBS, IND, TASKS, "SELECT company_code, count(*) FILTER (status = 'confirmed') AS done, count(*) AS n, CASE WHEN count(*) FILTER (status = 'confirmed') = 0 THEN 'empty' WHEN count(*) FILTER (status = 'confirmed') = count(*) THEN 'complete' ELSE 'partial' END AS state FROM task GROUP BY 1"))
+@query("company_completion", sql_with(OBS, IND, TASKS, "SELECT company_code, count(*) FILTER (status = 'confirmed') AS done, count(*) AS n, CASE WHEN count(*) FILTER (status = 'confirmed') = 0 THEN 'empty' "
+    "WHEN count(*) FILTER (status = 'confirmed') = count(*) THEN 'complete' ELSE 'partial' END AS state FROM task GROUP BY 1"))
 def company_completion(spark, d):
     return ops.company_completion(tasks(spark, d))
 
 
-COVER = """cov AS (SELECT t.company_code, t.indicator_code, t.dimension, t.key_indicator, coalesce(n, 0) AS candidate_count, coalesce(pages, 0) AS pages, mc AS max_confidence, CASE WHEN n > 0 THEN 'candidate_available' ELSE 'missing_candidate' END AS status, CASE WHEN coalesce(n, 0) = 0 AND key_indicator THEN 'high' WHEN coalesce(n, 0) = 0 THEN 'medium' ELSE 'low' END AS priority
-  FROM task t LEFT JOIN (SELECT company_code, indicator_code, count(*) AS n, count(DISTINCT source_page) AS pages, max(confidence) AS mc FROM cand GROUP BY 1, 2) c USING (company_code, indicator_code))"""
+COVER = """cov AS (SELECT t.company_code, t.indicator_code, t.dimension, t.key_indicator, coalesce(n, 0) AS candidate_count, coalesce(pages, 0) AS pages, mc AS max_confidence, CASE
+  WHEN n > 0 THEN 'candidate_available' ELSE 'missing_candidate' END AS status, CASE WHEN coalesce(n, 0) = 0 AND key_indicator THEN 'high'
+  WHEN coalesce(n, 0) = 0 THEN 'medium' ELSE 'low' END AS priority
+  FROM task t LEFT JOIN (SELECT company_code, indicator_code, count(*) AS n, count(DISTINCT source_page) AS pages, max(confidence) AS mc FROM cand
+  GROUP BY 1, 2) c USING (company_code, indicator_code))"""
 
 
 def coverage(spark, d):
@@ -88,13 +93,17 @@ def documents(spark, d):
     return table(spark, d, "customer").select(code("c_nationkey").alias("company_code"), (1995 + F.col("c_custkey") % 4).cast("int").alias("report_year"), kind.alias("document_type"))
 
 
-@query("document_coverage", sql_with("comp AS (SELECT lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS company_code FROM supplier)", DOCS, """SELECT c.company_code, coalesce(n, 0) AS documents, coalesce(a, 0) AS annual_report, coalesce(e, 0) AS esg_report, coalesce(years, '') AS years, CASE WHEN coalesce(a, 0) = 0 THEN 'discover_annual_report' WHEN coalesce(e, 0) = 0 THEN 'discover_esg_report' ELSE 'complete' END AS next_action
-  FROM comp c LEFT JOIN (SELECT company_code, count(*) AS n, count(*) FILTER (document_type = 'annual_report') AS a, count(*) FILTER (document_type = 'esg_report') AS e, string_agg(DISTINCT CAST(report_year AS VARCHAR), '|' ORDER BY CAST(report_year AS VARCHAR)) AS years FROM doc GROUP BY 1) USING (company_code)"""))
+@query("document_coverage", sql_with("comp AS (SELECT lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS company_code FROM supplier)", DOCS, """SELECT c.company_code, coalesce(n, 0) AS documents, coalesce(a, 0) AS annual_report, coalesce(e, 0) AS esg_report, coalesce(years, '') AS years, CASE
+  WHEN coalesce(a, 0) = 0 THEN 'discover_annual_report' WHEN coalesce(e, 0) = 0 THEN 'discover_esg_report' ELSE 'complete' END AS next_action
+  FROM comp c LEFT
+  JOIN (SELECT company_code, count(*) AS n, count(*) FILTER (document_type = 'annual_report') AS a, count(*) FILTER (document_type = 'esg_report') AS e, string_agg(DISTINCT CAST(report_year AS VARCHAR), '|'
+  ORDER BY CAST(report_year AS VARCHAR)) AS years FROM doc GROUP BY 1) USING (company_code)"""))
 def document_coverage(spark, d):
     return ops.document_coverage(companies(spark, d), documents(spark, d), ("annual_report", "esg_report"))
 
 
-@query("collection_plan", sql_with("comp AS (SELECT lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS company_code FROM supplier)", DOCS, "SELECT company_code, document_type, 1996 AS report_year FROM comp CROSS JOIN (SELECT unnest(['annual_report', 'esg_report']) AS document_type) WHERE (company_code, document_type) NOT IN (SELECT (company_code, document_type) FROM doc WHERE report_year = 1996)"))
+@query("collection_plan", sql_with("comp AS (SELECT lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS company_code FROM supplier)", DOCS, "SELECT company_code, document_type, 1996 AS report_year FROM comp CROSS JOIN (SELECT unnest(['annual_report', 'esg_report']) AS document_type) "
+    "WHERE (company_code, document_type) NOT IN (SELECT (company_code, document_type) FROM doc WHERE report_year = 1996)"))
 def collection_plan(spark, d):
     return ops.collection_plan(companies(spark, d), documents(spark, d), 1996, ("annual_report", "esg_report"))
 
@@ -134,10 +143,14 @@ def quant_gap_impact(spark, d):
 
 
 BATCH = f"""rk AS (SELECT *, row_number() OVER (PARTITION BY company_code ORDER BY impact_score DESC, indicator_code) AS i FROM qi),
-bat AS (SELECT company_code, {sql_round('max(impact_score) + sum(CASE WHEN i <= 5 THEN impact_score ELSE 0 END) / 10', 6)} AS company_impact_score, count(*) AS gap_count, count(*) FILTER (impact_score >= 75) AS high_impact_gap_count, string_agg(indicator_code, '|' ORDER BY i) FILTER (i <= 5) AS top_indicator_codes FROM rk GROUP BY 1 ORDER BY company_impact_score DESC, company_code LIMIT 25)"""
+bat AS (SELECT company_code, {sql_round('max(impact_score) + sum(CASE WHEN i <= 5 THEN impact_score ELSE 0 END) / 10', 6)} AS company_impact_score, count(*) AS gap_count, count(*) FILTER (impact_score >= 75) AS high_impact_gap_count, string_agg(indicator_code, '|' ORDER BY i) FILTER (i <= 5) AS top_indicator_codes
+  FROM rk
+  GROUP BY 1 ORDER BY company_impact_score DESC, company_code LIMIT 25)"""
 
 
-@query("impact_faults", sql_with(*SENS, TASKS, "SELECT t.company_code, t.indicator_code, CASE WHEN s.company_code IS NULL THEN 'no_sensitivity' ELSE 'no_weight' END AS fault FROM task t LEFT JOIN (SELECT CASE WHEN rank_span % 2 = 1 THEN 'Z' || company_code ELSE company_code END AS company_code FROM sens) s USING (company_code) WHERE s.company_code IS NULL OR t.indicator_code = 'Brand#7'"))
+@query("impact_faults", sql_with(*SENS, TASKS, "SELECT t.company_code, t.indicator_code, CASE WHEN s.company_code IS NULL THEN 'no_sensitivity' ELSE 'no_weight' END AS fault FROM task t LEFT "
+    "JOIN (SELECT CASE WHEN rank_span % 2 = 1 THEN 'Z' || company_code ELSE company_code END AS company_code FROM sens) s USING (company_code) "
+    "WHERE s.company_code IS NULL OR t.indicator_code = 'Brand#7'"))
 def impact_faults(spark, d):
     """With every other company's sensitivity under another code, and no weight for one indicator."""
     company = F.when(F.col("rank_span") % 2 == 1, F.concat(F.lit("Z"), "company_code")).otherwise(F.col("company_code"))
@@ -162,14 +175,20 @@ def qual_gap_impact(spark, d):
     return ops.qualitative_gap_impact(gaps, sensitivity(spark, d), state, 20)
 
 
-@query("thin_population_batch", sql_with(OBS, IND, TASKS, CANDIDATES, COVER, "pop AS (SELECT indicator_code, count(*) FILTER (status = 'candidate_available') AS population FROM cov GROUP BY 1 HAVING count(*) FILTER (status = 'candidate_available') < 75), mm AS (SELECT c.indicator_code, company_code, row_number() OVER (PARTITION BY c.indicator_code ORDER BY company_code) AS i, population FROM cov c JOIN pop USING (indicator_code) WHERE status = 'missing_candidate')", "SELECT indicator_code, company_code, CAST(i AS INTEGER) AS task_rank, population, 75 - population AS population_deficit FROM mm WHERE i <= 25"))
+@query("thin_population_batch", sql_with(OBS, IND, TASKS, CANDIDATES, COVER, "pop AS (SELECT indicator_code, count(*) FILTER (status = 'candidate_available') AS population FROM cov GROUP BY 1 "
+    "HAVING count(*) FILTER (status = 'candidate_available') < 75), mm AS (SELECT c.indicator_code, company_code, row_number() OVER (PARTITION BY c.indicator_code "
+    "ORDER BY company_code) AS i, population FROM cov c JOIN pop USING (indicator_code) WHERE status = 'missing_candidate')", "SELECT indicator_code, company_code, CAST(i AS INTEGER) AS task_rank, population, 75 - population AS population_deficit FROM mm WHERE i <= 25"))
 def thin_population_batch(spark, d):
     return ops.thin_batch(coverage(spark, d), 75)
 
 
 # The evidence graph.
-PARTS = """ng AS (SELECT 'company' AS kind, company_code AS k FROM cand UNION SELECT 'report_year', CAST(report_year AS VARCHAR) FROM cand UNION SELECT 'indicator', indicator_code FROM cand UNION SELECT 'document', source_file FROM cand UNION SELECT 'page', source_file || '|' || source_page FROM cand UNION SELECT 'candidate_group', company_code || '|' || report_year || '|' || indicator_code FROM cand
-  UNION SELECT 'candidate', company_code || '|' || report_year || '|' || indicator_code || '|' || source_file || '|' || source_page || '|' || printf('%.1f', value) FROM cand)"""
+PARTS = """ng AS (SELECT 'company' AS kind, company_code AS k FROM cand UNION SELECT 'report_year', CAST(report_year AS VARCHAR)
+  FROM cand UNION SELECT 'indicator', indicator_code FROM cand UNION SELECT 'document', source_file
+  FROM cand UNION SELECT 'page', source_file || '|' || source_page
+  FROM cand UNION SELECT 'candidate_group', company_code || '|' || report_year || '|' || indicator_code FROM cand
+  UNION SELECT 'candidate', company_code || '|' || report_year || '|' || indicator_code || '|' || source_file || '|' || source_page || '|' || printf('%.1f', value)
+  FROM cand)"""
 
 
 @query("evidence_nodes", sql_with(CANDIDATES, PARTS, "SELECT kind, k AS natural_key, kind || ':' || substr(sha256(kind || chr(0) || k), 1, 24) AS id FROM ng"))
@@ -177,12 +196,17 @@ def evidence_nodes(spark, d):
     return graph.nodes(candidates(spark, d)).select("kind", "natural_key", "id")
 
 
-@query("evidence_edges", sql_with(CANDIDATES, "e AS (SELECT DISTINCT company_code, report_year, indicator_code, source_file, source_page, value FROM cand)", "SELECT unnest(['observed_for', 'measures', 'for_period', 'sourced_from', 'member_of']) AS relation, count(*) AS n FROM e GROUP BY 1 UNION ALL SELECT 'part_of', count(DISTINCT source_file || '|' || source_page) FROM cand"))
+@query("evidence_edges", sql_with(CANDIDATES, "e AS (SELECT DISTINCT company_code, report_year, indicator_code, source_file, source_page, value FROM cand)", "SELECT unnest(['observed_for', 'measures', 'for_period', 'sourced_from', 'member_of']) AS relation, count(*) AS n FROM e GROUP BY 1 "
+    "UNION ALL SELECT 'part_of', count(DISTINCT source_file || '|' || source_page) FROM cand"))
 def evidence_edges(spark, d):
     return graph.edges(candidates(spark, d)).groupBy("relation").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("evidence_constraints", sql_with(CANDIDATES, "g AS (SELECT count(DISTINCT value) AS n FROM cand GROUP BY company_code, report_year, indicator_code), e AS (SELECT DISTINCT company_code, report_year, indicator_code, source_file, source_page, value, source_page > 2 AS p FROM cand)", "SELECT 'single_value' AS constraint, n = 1 AS passed, count(*) AS n FROM g GROUP BY 1, 2 UNION ALL SELECT c, true, count(*) FROM (SELECT unnest(['known_indicator', 'has_source', 'confidence_in_range']) AS c FROM e) GROUP BY 1 UNION ALL SELECT 'page_positive', p, count(*) FROM e GROUP BY 1, 2"))
+@query("evidence_constraints", sql_with(CANDIDATES, "g AS (SELECT count(DISTINCT value) AS n FROM cand "
+    "GROUP BY company_code, report_year, indicator_code), e AS (SELECT DISTINCT company_code, report_year, indicator_code, source_file, source_page, value, source_page > 2 AS p "
+    "FROM cand)", "SELECT 'single_value' AS constraint, n = 1 AS passed, count(*) AS n FROM g GROUP BY 1, 2 UNION ALL SELECT c, true, count(*) "
+    "FROM (SELECT unnest(['known_indicator', 'has_source', 'confidence_in_range']) AS c FROM e) GROUP BY 1 UNION ALL SELECT 'page_positive', p, count(*) "
+    "FROM e GROUP BY 1, 2"))
 def evidence_constraints(spark, d):
     rows = candidates(spark, d)
     shifted = graph.constraints(rows.withColumn("source_page", F.col("source_page") - 2), indicators(spark))
@@ -195,13 +219,18 @@ def graph_summary(spark, d):
     return graph.summary(graph.nodes(rows), graph.edges(rows), graph.constraints(rows, indicators(spark))).filter("part = 'node'")
 
 
-@query("incremental_plan", sql_with(CANDIDATES, "a AS (SELECT * FROM cand WHERE source_file IN ('annual-4', 'annual-7', 'esg-3', 'annual-100', 'esg-101', 'annual-102')), m AS (SELECT DISTINCT indicator_code, report_year FROM a)", "SELECT 'candidates_to_read' AS part, count(*) AS n FROM a UNION ALL SELECT 'companies_changed', count(DISTINCT company_code) FROM a UNION ALL SELECT 'indicators_moved', count(*) FROM m UNION ALL SELECT 'companies_to_rescore', count(DISTINCT company_code) FROM cand WHERE indicator_code IN (SELECT indicator_code FROM m) UNION ALL SELECT 'candidates', count(*) FROM cand"))
+@query("incremental_plan", sql_with(CANDIDATES, "a AS (SELECT * FROM cand "
+    "WHERE source_file IN ('annual-4', 'annual-7', 'esg-3', 'annual-100', 'esg-101', 'annual-102')), m AS (SELECT DISTINCT indicator_code, report_year "
+    "FROM a)", "SELECT 'candidates_to_read' AS part, count(*) AS n FROM a UNION ALL SELECT 'companies_changed', count(DISTINCT company_code) FROM a "
+    "UNION ALL SELECT 'indicators_moved', count(*) FROM m UNION ALL SELECT 'companies_to_rescore', count(DISTINCT company_code) FROM cand "
+    "WHERE indicator_code IN (SELECT indicator_code FROM m) UNION ALL SELECT 'candidates', count(*) FROM cand"))
 def incremental_plan(spark, d):
     files = spark.sql("SELECT explode(array('annual-4', 'annual-7', 'esg-3', 'annual-100', 'esg-101', 'annual-102')) AS source_file")
     return graph.recompute_plan(candidates(spark, d), files)
 
 
-@query("validation_sample", "SELECT event_type, event_id, CAST(i AS INTEGER) AS place FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY sha256(CAST(event_id AS VARCHAR) || chr(31) || CAST(user_id AS VARCHAR))) AS i FROM events) WHERE i <= 30")
+@query("validation_sample", "SELECT event_type, event_id, CAST(i AS INTEGER) AS place FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type "
+    "ORDER BY sha256(CAST(event_id AS VARCHAR) || chr(31) || CAST(user_id AS VARCHAR))) AS i FROM events) WHERE i <= 30")
 def validation_sample(spark, d):
     return ops.stratified_sample(table(spark, d, "events"), "event_type", ["event_id", "user_id"], 30).select("event_type", "event_id", "place")
 
@@ -218,8 +247,12 @@ def precision_recall(spark, d):
     return ops.confusion(rows, F.col("quality") == 1, F.col("n_chars") > 1000)
 
 
-@query("completion_gates", """SELECT s_suppkey, completed, completed = 6 AS publishable, next_gate FROM (SELECT s_suppkey, a::INT + b::INT + c::INT + q::INT + r::INT + f::INT AS completed, CASE WHEN NOT a THEN 'universe' WHEN NOT b THEN 'documents' WHEN NOT c THEN 'quantitative' WHEN NOT q THEN 'qualitative' WHEN NOT r THEN 'review' WHEN NOT f THEN 'release' END AS next_gate
-  FROM (SELECT s_suppkey, s_suppkey % 11 <> 0 AS a, s_suppkey % 7 <> 0 AS b, s_suppkey % 2 = 0 OR s_nationkey > 12 AS c, s_nationkey % 5 <> 0 AS q, s_nationkey % 5 <> 0 AND s_suppkey % 3 <> 0 AS r, s_suppkey % 5 <> 0 AS f FROM supplier))""")
+@query("completion_gates", """SELECT s_suppkey, completed, completed = 6 AS publishable, next_gate
+  FROM (SELECT s_suppkey, a::INT + b::INT + c::INT + q::INT + r::INT + f::INT AS completed, CASE WHEN NOT a THEN 'universe' WHEN NOT b THEN 'documents'
+  WHEN NOT c THEN 'quantitative' WHEN NOT q THEN 'qualitative' WHEN NOT r THEN 'review' WHEN NOT f THEN 'release' END AS next_gate
+
+  FROM (SELECT s_suppkey, s_suppkey % 11 <> 0 AS a, s_suppkey % 7 <> 0 AS b, s_suppkey % 2 = 0 OR s_nationkey > 12 AS c, s_nationkey % 5 <> 0 AS q, s_nationkey % 5 <> 0 AND s_suppkey % 3 <> 0 AS r, s_suppkey % 5 <> 0 AS f
+  FROM supplier))""")
 def completion_gates(spark, d):
     s, n = F.col("s_suppkey"), F.col("s_nationkey")
     facts = table(spark, d, "supplier").select(
@@ -229,13 +262,15 @@ def completion_gates(spark, d):
     return ops.completion_gates(facts).select("s_suppkey", "completed", "publishable", "next_gate")
 
 
-@query("release_validity", "SELECT o_orderkey, o_orderdate + INTERVAL 365 DAYS AS valid_until, CASE WHEN TIMESTAMP '1998-06-01' < o_orderdate THEN 'not_yet' WHEN TIMESTAMP '1998-06-01' > o_orderdate + INTERVAL 365 DAYS THEN 'expired' ELSE 'effective' END AS validity FROM orders")
+@query("release_validity", "SELECT o_orderkey, o_orderdate + INTERVAL 365 DAYS AS valid_until, CASE WHEN TIMESTAMP '1998-06-01' < o_orderdate THEN 'not_yet' "
+    "WHEN TIMESTAMP '1998-06-01' > o_orderdate + INTERVAL 365 DAYS THEN 'expired' ELSE 'effective' END AS validity FROM orders")
 def release_validity(spark, d):
     return ops.validity(table(spark, d, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate", F.lit("1998-06-01").cast("timestamp")).drop("o_orderdate")
 
 
 @query("release_faults", """WITH a AS (SELECT c_nationkey AS release_id, c_mktsegment AS role, 'P' || CAST(c_custkey % 40 AS VARCHAR) AS reviewer FROM customer)
-SELECT release_id, fault FROM (SELECT release_id, CASE WHEN count(DISTINCT role) FILTER (role IN ('BUILDING', 'MACHINERY')) < 2 THEN 'role_missing' WHEN count(DISTINCT reviewer) < count(*) THEN 'reviewer_repeated' END AS fault FROM a GROUP BY 1) WHERE fault IS NOT NULL
+SELECT release_id, fault FROM (SELECT release_id, CASE WHEN count(DISTINCT role) FILTER (role IN ('BUILDING', 'MACHINERY')) < 2 THEN 'role_missing'
+  WHEN count(DISTINCT reviewer) < count(*) THEN 'reviewer_repeated' END AS fault FROM a GROUP BY 1) WHERE fault IS NOT NULL
 UNION ALL SELECT n_nationkey, 'hash_differs' FROM nation WHERE n_nationkey % 4 = 0""")
 def release_faults(spark, d):
     a = table(spark, d, "customer").select(F.col("c_nationkey").alias("release_id"), F.col("c_mktsegment").alias("role"), F.concat(F.when(F.col("c_custkey") % 2 == 0, "p").otherwise("P"), (F.col("c_custkey") % 40).cast("string")).alias("reviewer"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from verdigris.functions.numeric import rounded
 from verdigris.operators import decisions as ops
-from verdigris.plans.binding import CANDIDATES, OBS, YEAR, candidates, observations, sql_round, sql_with, table
+from verdigris.plans.binding import CANDIDATES, IND, OBS, YEAR, candidates, indicators, observations, sql_round, sql_with, table
 from verdigris.sources.sinks import latest_revisions, upsert_revisions
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -25,13 +25,21 @@ def query(name, sql=None):
 POLICY = ops.Policy(annual_codes=tuple(f"Brand#{i}" for i in range(1, 13)), esg_codes=("Brand#13", "Brand#14", "Brand#15"), strict_prefixes={"Brand#16": "order 1", "Brand#17": "order 2", "Brand#2": "order 3"}, tolerances={"Brand#5": 1.0})
 ELIGIBLE = """el AS (SELECT *, coalesce((indicator_code IN ('Brand#1','Brand#2','Brand#3','Brand#4','Brand#5','Brand#6','Brand#7','Brand#8','Brand#9','Brand#10','Brand#11','Brand#12') AND source_file NOT LIKE '%esg%' AND confidence >= 0.9)
   OR (indicator_code IN ('Brand#13','Brand#14','Brand#15') AND source_file LIKE '%esg%' AND confidence >= 0.82)
-  OR (((indicator_code = 'Brand#16' AND evidence_text LIKE 'order 1%') OR (indicator_code = 'Brand#17' AND evidence_text LIKE 'order 2%') OR (indicator_code = 'Brand#2' AND evidence_text LIKE 'order 3%')) AND confidence >= 0.9), false) AS ok FROM cand),
+  OR (((indicator_code = 'Brand#16' AND evidence_text LIKE 'order 1%') OR (indicator_code = 'Brand#17' AND evidence_text LIKE 'order 2%') OR (indicator_code = 'Brand#2' AND evidence_text LIKE 'order 3%')) AND confidence >= 0.9), false) AS ok
+  FROM cand),
 el2 AS (SELECT *, row_number() OVER (PARTITION BY company_code, indicator_code ORDER BY ok DESC, confidence DESC, source_page, source_file, evidence_text) AS rn FROM el),
-grp AS (SELECT company_code, report_year, indicator_code, count(*) AS candidate_count, string_agg(DISTINCT CAST(CAST(value AS INTEGER) AS VARCHAR), '|' ORDER BY CAST(CAST(value AS INTEGER) AS VARCHAR)) AS distinct_values, CAST(count(DISTINCT value) AS INTEGER) AS n_values,
-  count(*) FILTER (ok) AS ec, max(value) FILTER (ok) - min(value) FILTER (ok) AS spread, max(confidence) AS max_confidence, max(CASE WHEN rn = 1 THEN value END) AS v1, max(CASE WHEN rn = 1 THEN evidence_text END) AS e1 FROM el2 GROUP BY 1, 2, 3),
+grp AS (SELECT company_code, report_year, indicator_code, count(*) AS candidate_count, string_agg(DISTINCT CAST(CAST(value AS INTEGER) AS VARCHAR), '|'
+  ORDER BY CAST(CAST(value AS INTEGER) AS VARCHAR)) AS distinct_values, CAST(count(DISTINCT value) AS INTEGER) AS n_values,
+  count(*) FILTER (ok) AS ec, max(value) FILTER (ok) - min(value) FILTER (ok) AS spread, max(confidence) AS max_confidence, max(CASE
+  WHEN rn = 1 THEN value END) AS v1, max(CASE WHEN rn = 1 THEN evidence_text END) AS e1 FROM el2 GROUP BY 1, 2, 3),
 dec AS (SELECT *, ec > 0 AND spread <= CASE WHEN indicator_code = 'Brand#5' THEN 1 ELSE 0 END AS cons FROM grp),
-decisions AS (SELECT company_code, report_year, indicator_code, CASE WHEN cons THEN 'auto_confirmed' ELSE 'unresolved' END AS decision, candidate_count, distinct_values, n_values, CASE WHEN cons THEN v1 END AS selected_value, CASE WHEN cons THEN e1 END AS selected_evidence, 'public-disclosure-v6' AS policy_version,
-  CASE WHEN ec = 0 THEN 'indicator_not_auto_eligible' WHEN NOT cons THEN 'conflicting_or_ineligible_sources' WHEN indicator_code IN ('Brand#13','Brand#14','Brand#15') THEN 'official_esg_direct_consistent' WHEN indicator_code IN ('Brand#16','Brand#17','Brand#2') THEN 'strict_extraction_evidence_consistent' ELSE 'official_annual_direct_consistent' END AS reason, max_confidence FROM dec)"""
+decisions AS (SELECT company_code, report_year, indicator_code, CASE WHEN cons THEN 'auto_confirmed'
+  ELSE 'unresolved' END AS decision, candidate_count, distinct_values, n_values, CASE WHEN cons THEN v1 END AS selected_value, CASE
+  WHEN cons THEN e1 END AS selected_evidence, 'public-disclosure-v6' AS policy_version,
+  CASE WHEN ec = 0 THEN 'indicator_not_auto_eligible' WHEN NOT cons THEN 'conflicting_or_ineligible_sources'
+  WHEN indicator_code IN ('Brand#13','Brand#14','Brand#15') THEN 'official_esg_direct_consistent'
+  WHEN indicator_code IN ('Brand#16','Brand#17','Brand#2') THEN 'strict_extraction_evidence_consistent'
+  ELSE 'official_annual_direct_consistent' END AS reason, max_confidence FROM dec)"""
 
 
 @query("resolve_candidates", sql_with(CANDIDATES, ELIGIBLE, "SELECT * FROM decisions"))
@@ -39,12 +47,16 @@ def resolve_candidates(spark, d):
     return ops.resolve(candidates(spark, d), POLICY)
 
 
-@query("review_tiers", sql_with(CANDIDATES, ELIGIBLE, "SELECT company_code, report_year, indicator_code, t AS tier, CAST(list_position(['manual_signature_required', 'consistent_multi_review', 'single_candidate_review', 'auto_policy_eligible'], t) AS INTEGER) AS tier_order, candidate_count, distinct_values FROM (SELECT *, CASE WHEN n_values > 1 THEN 'manual_signature_required' WHEN decision = 'auto_confirmed' THEN 'auto_policy_eligible' WHEN candidate_count > 1 THEN 'consistent_multi_review' ELSE 'single_candidate_review' END AS t FROM decisions)"))
+@query("review_tiers", sql_with(CANDIDATES, ELIGIBLE, "SELECT company_code, report_year, indicator_code, t AS tier, CAST(list_position(['manual_signature_required', 'consistent_multi_review', 'single_candidate_review', 'auto_policy_eligible'], t) AS INTEGER) AS tier_order, candidate_count, distinct_values "
+    "FROM (SELECT *, CASE WHEN n_values > 1 THEN 'manual_signature_required' WHEN decision = 'auto_confirmed' THEN 'auto_policy_eligible' "
+    "WHEN candidate_count > 1 THEN 'consistent_multi_review' ELSE 'single_candidate_review' END AS t FROM decisions)"))
 def review_tiers(spark, d):
     return ops.review_tiers(ops.resolve(candidates(spark, d), POLICY))
 
 
-@query("resolution_audit", sql_with(CANDIDATES, "SELECT company_code, report_year, indicator_code, CASE WHEN source_count % 5 = 0 THEN 'missing_decision' ELSE 'count_differs' END AS fault FROM (SELECT company_code, report_year, indicator_code, count(*) AS source_count FROM cand GROUP BY 1, 2, 3) WHERE source_count % 5 = 0 OR source_count > 6"))
+@query("resolution_audit", sql_with(CANDIDATES, "SELECT company_code, report_year, indicator_code, CASE WHEN source_count % 5 = 0 THEN 'missing_decision' ELSE 'count_differs' END AS fault "
+    "FROM (SELECT company_code, report_year, indicator_code, count(*) AS source_count FROM cand GROUP BY 1, 2, 3) "
+    "WHERE source_count % 5 = 0 OR source_count > 6"))
 def resolution_audit(spark, d):
     rows = candidates(spark, d)
     made = ops.resolve(rows, POLICY).filter("candidate_count % 5 <> 0").withColumn("candidate_count", F.when(F.col("candidate_count") > 6, 0).otherwise(F.col("candidate_count")))
@@ -59,8 +71,12 @@ def review_summary(spark, d):
 INSTRUCTIONS = "ins AS (SELECT company_code, report_year, indicator_code, CASE WHEN n % 4 = 0 THEN 'reject' ELSE 'confirm' END AS action, CASE WHEN n % 4 = 0 THEN NULL WHEN n % 4 = 3 THEN 99.0 ELSE hi END AS selected_value FROM (SELECT company_code, report_year, indicator_code, count(*) AS n, max(value) AS hi FROM cand GROUP BY 1, 2, 3))"
 
 
-@query("apply_review", sql_with(CANDIDATES, INSTRUCTIONS, "fit AS (SELECT i.*, c.evidence_text, row_number() OVER (PARTITION BY company_code, indicator_code ORDER BY confidence DESC, source_page, source_file, evidence_text) AS rn FROM ins i JOIN cand c USING (company_code, report_year, indicator_code) WHERE abs(c.value - i.selected_value) < 1e-8)",
-  "SELECT i.company_code, i.report_year, i.indicator_code, i.action, i.selected_value, CASE WHEN i.action = 'reject' THEN 'rejected' WHEN f.evidence_text IS NULL THEN 'value_not_among_candidates' ELSE 'confirmed' END AS outcome, f.evidence_text FROM ins i LEFT JOIN fit f ON f.company_code = i.company_code AND f.indicator_code = i.indicator_code AND f.rn = 1"))
+@query("apply_review", sql_with(CANDIDATES, INSTRUCTIONS, "fit AS (SELECT i.*, c.evidence_text, row_number() OVER (PARTITION BY company_code, indicator_code "
+    "ORDER BY confidence DESC, source_page, source_file, evidence_text) AS rn FROM ins i JOIN cand c USING (company_code, report_year, indicator_code) "
+    "WHERE abs(c.value - i.selected_value) < 1e-8)",
+  "SELECT i.company_code, i.report_year, i.indicator_code, i.action, i.selected_value, CASE WHEN i.action = 'reject' THEN 'rejected' "
+    "WHEN f.evidence_text IS NULL THEN 'value_not_among_candidates' ELSE 'confirmed' END AS outcome, f.evidence_text FROM ins i LEFT "
+    "JOIN fit f ON f.company_code = i.company_code AND f.indicator_code = i.indicator_code AND f.rn = 1"))
 def apply_review(spark, d):
     rows = candidates(spark, d)
     n = F.count(F.lit(1)) % 4
@@ -68,10 +84,17 @@ def apply_review(spark, d):
     return ops.apply_review(rows, made)
 
 
-FIRST = """f AS (SELECT o_orderkey, CASE WHEN o_custkey % 5 = 0 THEN 'reject' ELSE 'confirm' END AS action, CASE WHEN o_custkey % 5 = 0 THEN NULL ELSE [20, 50, 80, 100][o_custkey % 4 + 1] END AS score, [20, 50, 80][o_orderkey % 3 + 1] AS suggested_score, 'Rev' || CAST(o_custkey % 7 AS VARCHAR) AS reviewer FROM orders),
-s AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'reject' WHEN o_custkey % 5 = 0 THEN 'reject' ELSE 'confirm' END AS a2, CASE WHEN o_orderkey % 11 = 0 OR o_custkey % 5 = 0 THEN NULL WHEN o_orderkey % 7 = 0 THEN 50 ELSE [20, 50, 80, 100][o_custkey % 4 + 1] END AS s2, 'rev' || CAST(o_orderkey % 7 AS VARCHAR) AS r2 FROM orders WHERE o_orderkey % 3 <> 1),
-dual AS (SELECT *, CASE WHEN state IN ('not_needed', 'agreed') AND action = 'confirm' THEN score END AS final_score FROM (SELECT f.*, a2, s2, r2, CASE WHEN NOT needed THEN 'not_needed' WHEN a2 IS NULL THEN 'open' WHEN lower(reviewer) = lower(r2) THEN 'same_reviewer' WHEN action = a2 AND (action <> 'confirm' OR score IS NOT DISTINCT FROM s2) THEN 'agreed' ELSE 'arbitration' END AS state
-  FROM (SELECT *, (action = 'confirm' AND (score IN (80, 100) OR score <> suggested_score)) OR (action = 'reject' AND suggested_score >= 80) AS needed FROM f) f LEFT JOIN s USING (o_orderkey)))"""
+FIRST = """f AS (SELECT o_orderkey, CASE WHEN o_custkey % 5 = 0 THEN 'reject' ELSE 'confirm' END AS action, CASE WHEN o_custkey % 5 = 0 THEN NULL
+  ELSE [20, 50, 80, 100][o_custkey % 4 + 1] END AS score, [20, 50, 80][o_orderkey % 3 + 1] AS suggested_score, 'Rev' || CAST(o_custkey % 7 AS VARCHAR) AS reviewer
+  FROM orders),
+s AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'reject' WHEN o_custkey % 5 = 0 THEN 'reject' ELSE 'confirm' END AS a2, CASE
+  WHEN o_orderkey % 11 = 0 OR o_custkey % 5 = 0 THEN NULL WHEN o_orderkey % 7 = 0 THEN 50
+  ELSE [20, 50, 80, 100][o_custkey % 4 + 1] END AS s2, 'rev' || CAST(o_orderkey % 7 AS VARCHAR) AS r2 FROM orders WHERE o_orderkey % 3 <> 1),
+dual AS (SELECT *, CASE WHEN state IN ('not_needed', 'agreed') AND action = 'confirm' THEN score END AS final_score FROM (SELECT f.*, a2, s2, r2, CASE
+  WHEN NOT needed THEN 'not_needed' WHEN a2 IS NULL THEN 'open' WHEN lower(reviewer) = lower(r2) THEN 'same_reviewer'
+  WHEN action = a2 AND (action <> 'confirm' OR score IS NOT DISTINCT FROM s2) THEN 'agreed' ELSE 'arbitration' END AS state
+  FROM (SELECT *, (action = 'confirm' AND (score IN (80, 100) OR score <> suggested_score)) OR (action = 'reject' AND suggested_score >= 80) AS needed
+  FROM f) f LEFT JOIN s USING (o_orderkey)))"""
 
 
 def _dual(spark, d):
@@ -89,7 +112,9 @@ def dual_review(spark, d):
     return _dual(spark, d).select("o_orderkey", "action", "score", "suggested_score", "state", "final_score")
 
 
-@query("arbitration", sql_with(FIRST, "SELECT o_orderkey, st AS arbitration_state, CASE WHEN st = 'settled' THEN 50 END AS final_score FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 1 THEN 'open' WHEN 'rev' || CAST((o_orderkey + 1) % 7 AS VARCHAR) IN (lower(reviewer), lower(r2)) THEN 'arbiter_not_independent' ELSE 'settled' END AS st FROM dual WHERE state = 'arbitration')"))
+@query("arbitration", sql_with(FIRST, "SELECT o_orderkey, st AS arbitration_state, CASE WHEN st = 'settled' THEN 50 END AS final_score FROM (SELECT o_orderkey, CASE "
+    "WHEN o_orderkey % 2 = 1 THEN 'open' WHEN 'rev' || CAST((o_orderkey + 1) % 7 AS VARCHAR) IN (lower(reviewer), lower(r2)) THEN 'arbiter_not_independent' "
+    "ELSE 'settled' END AS st FROM dual WHERE state = 'arbitration')"))
 def arbitration(spark, d):
     rulings = table(spark, d, "orders").filter("o_orderkey % 2 = 0").select("o_orderkey", F.lit(50).alias("score"), F.concat(F.lit("REV"), ((F.col("o_orderkey") + 1) % 7).cast("string")).alias("reviewer"))
     return ops.arbitrate(_dual(spark, d), rulings, "o_orderkey").select("o_orderkey", "arbitration_state", "final_score")
@@ -101,11 +126,15 @@ def batch_progress(spark, d):
     return ops.batch_ledger(o, "batch", "k", F.col("o_orderstatus") == "F")
 
 
-@query("signature_faults", """SELECT event_id, concat_ws('|', CASE WHEN r IN ('', 'todo') THEN 'reviewer_missing' END, CASE WHEN event_id % 3 = 0 THEN 'time_not_zoned' END, CASE WHEN length(event_type) < 6 THEN 'note_too_short' END, CASE WHEN event_id % 7 NOT IN (0, 2, 5) THEN 'score_not_allowed' END) AS faults
-FROM (SELECT event_id, event_type, CASE event_type WHEN 'error' THEN '' WHEN 'view' THEN 'todo' ELSE event_type END AS r FROM events)""")
+@query("signature_faults", """SELECT event_id, concat_ws('|', CASE WHEN r IN ('', 'todo') THEN 'reviewer_missing' END, CASE WHEN event_id % 3 = 0 THEN 'time_not_zoned' END, CASE WHEN length(note) < 6 THEN 'note_too_short' END,
+  CASE WHEN event_id % 11 NOT IN (0, 2, 5, 8, 10) THEN 'score_not_allowed' END, CASE WHEN event_id % 11 = 10 AND note NOT LIKE '%benchmark%' THEN 'leading_evidence_missing' END) AS faults
+FROM (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_type || ' benchmark' ELSE event_type END AS note, CASE event_type WHEN 'error' THEN '' WHEN 'view' THEN 'todo' ELSE event_type END AS r FROM events)""")
 def signature_faults(spark, d):
-    stamp = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.when(F.col("event_id") % 3 == 0, "").otherwise("+08:00"))
-    e = table(spark, d, "events").select("event_id", F.when(F.col("event_type") == "error", " ").when(F.col("event_type") == "view", "todo").otherwise(F.col("event_type")).alias("reviewer"), stamp.alias("reviewed_at"), F.col("event_type").alias("note"), (F.col("event_id") % 7 * 10).cast("int").alias("score"))
+    k = F.col("event_id")
+    stamp = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.when(k % 3 == 0, "").otherwise("+08:00"))
+    reviewer = F.when(F.col("event_type") == "error", " ").when(F.col("event_type") == "view", "todo").otherwise(F.col("event_type"))
+    note = F.when(k % 2 == 0, F.concat("event_type", F.lit(" benchmark"))).otherwise(F.col("event_type"))
+    e = table(spark, d, "events").select("event_id", reviewer.alias("reviewer"), stamp.alias("reviewed_at"), note.alias("note"), (k % 11 * 10).cast("int").alias("score"))
     return ops.signature_faults(e, least_note=6).select("event_id", "faults")
 
 
@@ -114,7 +143,8 @@ def merge_confirmed(spark, d):
     return ops.merge_first(candidates(spark, d), "evidence_text").select(*ops.KEY, "value", "evidence_text")
 
 
-@query("merge_conflicts", sql_with(CANDIDATES, "SELECT company_code, report_year, indicator_code, CASE WHEN count(*) FILTER (confidence < 0.8) > 0 THEN 'not_confirmed' ELSE 'conflicting_values' END AS fault FROM cand GROUP BY 1, 2, 3 HAVING count(DISTINCT value) > 1 OR count(*) FILTER (confidence < 0.8) > 0"))
+@query("merge_conflicts", sql_with(CANDIDATES, "SELECT company_code, report_year, indicator_code, CASE WHEN count(*) FILTER (confidence < 0.8) > 0 THEN 'not_confirmed' "
+    "ELSE 'conflicting_values' END AS fault FROM cand GROUP BY 1, 2, 3 HAVING count(DISTINCT value) > 1 OR count(*) FILTER (confidence < 0.8) > 0"))
 def merge_conflicts(spark, d):
     return ops.merge_conflicts(candidates(spark, d).withColumn("status", F.when(F.col("confidence") < 0.8, "pending").otherwise("confirmed")))
 
@@ -136,9 +166,23 @@ SOURCES = (
 RANKS = "[" + ", ".join(f"{{'tier': {t}, 'english': {e}, 'derived': {v}, 'other': {o}}}" for *_, (t, e, v, o) in SOURCES) + "]"
 
 
-@query("authority_overlay", sql_with(CANDIDATES, f"""side AS (SELECT indicator_code, company_code, report_year, source_page % 2 AS side, arg_min(value, evidence_text) AS value, {RANKS}[CAST(sum(source_page) % 8 AS INTEGER) + 1] AS rank, max(confidence) AS confidence FROM cand GROUP BY ALL), b AS (SELECT * FROM side WHERE side = 0), r AS (SELECT * FROM side WHERE side = 1)""",
-  """SELECT coalesce(b.company_code, r.company_code) AS company_code, coalesce(b.report_year, r.report_year) AS report_year, coalesce(b.indicator_code, r.indicator_code) AS indicator_code, a AS action, CASE WHEN a IN ('add', 'replace') THEN r.value ELSE b.value END AS value, CAST(CASE WHEN a IN ('add', 'replace') THEN r.rank.tier ELSE b.rank.tier END AS INTEGER) AS tier
-  FROM (SELECT b, r, CASE WHEN b.company_code IS NULL THEN 'add' WHEN r.company_code IS NULL THEN 'keep' WHEN abs(b.value - r.value) < 1e-9 THEN 'same' WHEN (r.rank.tier, r.rank.english, r.rank.derived, r.rank.other, -r.confidence) < (b.rank.tier, b.rank.english, b.rank.derived, b.rank.other, -b.confidence) THEN 'replace' ELSE 'keep' END AS a FROM b FULL OUTER JOIN r ON b.company_code = r.company_code AND b.indicator_code = r.indicator_code) t"""))
+URLS, FILES = ("[" + ", ".join("NULL" if x is None else f"'{x}'" for x in c) + "]" for c in zip(*[(u, f) for u, f, *_ in SOURCES], strict=True))
+
+
+@query("authority_overlay", sql_with(CANDIDATES, f"""side AS (SELECT indicator_code, company_code, report_year, source_page % 2 AS side, arg_min(value, evidence_text) AS value, {RANKS}[CAST(sum(source_page) % 8 AS INTEGER) + 1] AS rank, max(confidence) AS confidence
+  FROM cand
+  GROUP BY ALL), b AS (SELECT *
+  FROM side
+  WHERE side = 0), r AS (SELECT *
+  FROM side
+  WHERE side = 1)""",
+  """SELECT coalesce(b.company_code, r.company_code) AS company_code, coalesce(b.report_year, r.report_year) AS report_year, coalesce(b.indicator_code, r.indicator_code) AS indicator_code, a AS action, CASE
+  WHEN a IN ('add', 'replace') THEN r.value ELSE b.value END AS value, CAST(CASE WHEN a IN ('add', 'replace') THEN r.rank.tier
+  ELSE b.rank.tier END AS INTEGER) AS tier
+  FROM (SELECT b, r, CASE WHEN b.company_code IS NULL THEN 'add' WHEN r.company_code IS NULL THEN 'keep'
+  WHEN abs(b.value - r.value) < 1e-9 THEN 'same'
+  WHEN (r.rank.tier, r.rank.english, r.rank.derived, r.rank.other, -r.confidence) < (b.rank.tier, b.rank.english, b.rank.derived, b.rank.other, -b.confidence) THEN 'replace'
+  ELSE 'keep' END AS a FROM b FULL OUTER JOIN r ON b.company_code = r.company_code AND b.indicator_code = r.indicator_code) t"""))
 def authority_overlay(spark, d):
     source = F.array(*[F.struct(F.lit(u).cast("string").alias("source_url"), F.lit(f).cast("string").alias("source_file"), F.lit(e).cast("string").alias("evidence_text")) for u, f, e, _ in SOURCES])
     rows = candidates(spark, d).groupBy(*ops.KEY, (F.col("source_page") % 2).alias("side")).agg(F.min_by("value", "evidence_text").alias("value"), F.max("confidence").alias("confidence"), (F.sum("source_page") % 8 + 1).cast("int").alias("s"))
@@ -146,6 +190,23 @@ def authority_overlay(spark, d):
     return ops.authority_overlay(side.filter("side = 0"), side.filter("side = 1"))
 
 
+@query("key_candidates", sql_with(CANDIDATES, IND, f"""one AS (SELECT company_code, report_year, indicator_code, value, confidence, source_page, evidence_text, {RANKS}[source_page % 8 + 1] AS rank, source_page % 8 AS s FROM cand),
+b AS (SELECT company_code, report_year, indicator_code, arg_min(value, (source_page, evidence_text)) AS value, arg_min(rank, (source_page, evidence_text)) AS rank, arg_min(confidence, (source_page, evidence_text)) AS confidence FROM one WHERE source_page % 2 = 0 GROUP BY ALL),
+r AS (SELECT company_code, report_year, indicator_code, arg_max(value, (confidence, url, file, -value)) AS value, arg_max(rank, (confidence, url, file, -value)) AS rank, max(confidence) AS confidence
+  FROM (SELECT one.*, {URLS}[s + 1] AS url, {FILES}[s + 1] AS file FROM one) WHERE source_page % 2 = 1 AND rank.tier = 0 AND indicator_code IN (SELECT indicator_code FROM ind WHERE key_indicator AND kind = 'quantitative') GROUP BY ALL)""",
+  """SELECT company_code, report_year, indicator_code, a AS action, CASE WHEN a IN ('added', 'replaced') THEN rv ELSE bv END AS value, CASE WHEN a = 'replaced' THEN bv END AS prior_value
+  FROM (SELECT company_code, report_year, indicator_code, b.value AS bv, r.value AS rv, CASE WHEN r.value IS NULL THEN 'keep' WHEN b.value IS NULL THEN 'added' WHEN b.value = r.value THEN 'same'
+    WHEN (r.rank.tier, r.rank.english, r.rank.derived, r.rank.other, -r.confidence) <= (b.rank.tier, b.rank.english, b.rank.derived, b.rank.other, -b.confidence) THEN 'replaced' ELSE 'keep' END AS a
+    FROM b FULL OUTER JOIN r USING (company_code, report_year, indicator_code))"""))
+def key_candidates(spark, d):
+    source = F.array(*[F.struct(F.lit(u).cast("string").alias("source_url"), F.lit(f).cast("string").alias("source_file"), F.lit(e).cast("string").alias("said")) for u, f, e, _ in SOURCES])
+    rows = candidates(spark, d).drop("source_url", "source_file").withColumn("source", F.element_at(source, (F.col("source_page") % 8 + 1).cast("int")))
+    rows = rows.select(*ops.KEY, "value", "confidence", "source_page", F.col("evidence_text").alias("own"), "source.source_url", "source.source_file", F.col("source.said").alias("evidence_text"))
+    columns = ["value", "source_url", "source_file", "evidence_text", "confidence"]
+    base = rows.filter("source_page % 2 = 0").groupBy(*ops.KEY).agg(F.min_by(F.struct(*columns), F.struct("source_page", "own")).alias("b")).select(*ops.KEY, "b.*")
+    return ops.accept_key_candidates(base, rows.filter("source_page % 2 = 1"), indicators(spark))
+
+
 @query("source_tiers", "SELECT page_id, CASE WHEN url LIKE '%.net/%' THEN 0 WHEN url LIKE 'https://%' THEN 1 ELSE 2 END AS tier FROM pages")
 def source_tiers(spark, d):
     p = table(spark, d, "pages")
@@ -153,7 +214,8 @@ def source_tiers(spark, d):
     return p.select("page_id", ops.source_tier(F.col("url"), F.when(F.col("url").contains(".net/"), F.lit("data/raw/sse/x.pdf")).otherwise(path)).alias("tier"))
 
 
-LEDGER = """led AS (SELECT event_id AS line, user_id, 'd' || CAST(event_id AS VARCHAR) AS decision_id, lag('d' || CAST(event_id AS VARCHAR)) OVER (PARTITION BY user_id ORDER BY event_id) AS before, CASE WHEN event_type = 'error' THEN 'revoke' ELSE 'upsert' END AS operation FROM events)"""
+LEDGER = """led AS (SELECT event_id AS line, user_id, 'd' || CAST(event_id AS VARCHAR) AS decision_id, lag('d' || CAST(event_id AS VARCHAR)) OVER (PARTITION BY user_id
+  ORDER BY event_id) AS before, CASE WHEN event_type = 'error' THEN 'revoke' ELSE 'upsert' END AS operation FROM events)"""
 
 
 def _ledger(spark, d, broken=False):
@@ -181,7 +243,10 @@ def _revisions(spark, d):
     return e.select(F.col("user_id").cast("string").alias("company_code"), F.lit(2024).alias("report_year"), F.col("event_type").alias("indicator_code"), "value", F.col("event_id").alias("_ord"))
 
 
-@query("upsert_revisions", "SELECT CAST(user_id AS VARCHAR) AS company_code, 2024 AS report_year, event_type AS indicator_code, value, CAST(CASE WHEN event_id % 2 = 0 THEN row_number() OVER (PARTITION BY user_id, event_type, event_id % 2 ORDER BY event_id) ELSE count(*) FILTER (event_id % 2 = 0) OVER (PARTITION BY user_id, event_type) + row_number() OVER (PARTITION BY user_id, event_type, event_id % 2 ORDER BY event_id) END AS BIGINT) AS revision FROM events")
+@query("upsert_revisions", "SELECT CAST(user_id AS VARCHAR) AS company_code, 2024 AS report_year, event_type AS indicator_code, value, CAST(CASE "
+    "WHEN event_id % 2 = 0 THEN row_number() OVER (PARTITION BY user_id, event_type, event_id % 2 ORDER BY event_id) "
+    "ELSE count(*) FILTER (event_id % 2 = 0) OVER (PARTITION BY user_id, event_type) + row_number() OVER (PARTITION BY user_id, event_type, event_id % 2 "
+    "ORDER BY event_id) END AS BIGINT) AS revision FROM events")
 def upsert_query(spark, d):
     rows = _revisions(spark, d)
     empty = rows.filter("false").withColumn("revision", F.lit(0).cast("long"))
@@ -189,7 +254,8 @@ def upsert_query(spark, d):
     return upsert_revisions(first, rows.filter("_ord % 2 = 1")).select(*ops.KEY, "value", F.col("revision").cast("long").alias("revision"))
 
 
-@query("latest_revision", "SELECT CAST(user_id AS VARCHAR) AS company_code, 2024 AS report_year, event_type AS indicator_code, arg_max(value, event_id) AS value, max(event_id) AS revision FROM events GROUP BY 1, 2, 3")
+@query("latest_revision", "SELECT CAST(user_id AS VARCHAR) AS company_code, 2024 AS report_year, event_type AS indicator_code, arg_max(value, event_id) AS value, max(event_id) AS revision "
+    "FROM events GROUP BY 1, 2, 3")
 def latest_revision(spark, d):
     return latest_revisions(_revisions(spark, d).withColumnRenamed("_ord", "revision"))
 
@@ -201,8 +267,11 @@ def dedupe_documents(spark, d):
     return rows.agg(F.max_by("l_partkey", best).alias("part"), F.max("l_quantity").alias("size"))
 
 
-@query("qualitative_features", """SELECT doc_id, has_system, has_target, has_action, has_result, CASE WHEN n >= 3 THEN 80 WHEN n >= 1 THEN 50 ELSE 20 END AS suggested_score, CASE WHEN n >= 3 THEN 'strong' WHEN n >= 1 THEN 'partial' ELSE 'weak' END AS evidence_quality FROM (SELECT *, has_system::INT + has_target::INT + has_action::INT + has_result::INT AS n FROM (
-SELECT doc_id, regexp_matches(text, 'tion (and|of)') AS has_system, regexp_matches(text, '[0-9]+') AS has_target, regexp_matches(text, '(worthless|oner|ingre)') AS has_action, regexp_matches(text, '(eau|ción|heit)') AS has_result FROM documents))""")
+@query("qualitative_features", """SELECT doc_id, has_system, has_target, has_action, has_result, CASE WHEN n >= 3 THEN 80 WHEN n >= 1 THEN 50 ELSE 20 END AS suggested_score, CASE
+  WHEN n >= 3 THEN 'strong' WHEN n >= 1 THEN 'partial' ELSE 'weak' END AS evidence_quality
+  FROM (SELECT *, has_system::INT + has_target::INT + has_action::INT + has_result::INT AS n FROM (
+SELECT doc_id, regexp_matches(text, 'tion (and|of)') AS has_system, regexp_matches(text, '[0-9]+') AS has_target, regexp_matches(text, '(worthless|oner|ingre)') AS has_action, regexp_matches(text, '(eau|ción|heit)') AS has_result
+  FROM documents))""")
 def qualitative_features(spark, d):
     patterns = {"system": "tion (and|of)", "target": "[0-9]+", "action": "(worthless|oner|ingre)", "result": "(eau|ción|heit)"}
     return ops.qualitative_features(table(spark, d, "documents").select("doc_id", "text"), "text", patterns).drop("text")

@@ -46,14 +46,16 @@ def facts(spark, d):
     return long.unionByName(before)
 
 
-@query("derive_financial", sql_with(FACT_SQL, "g AS (SELECT f.*, p.revenue AS revenue_previous, p.operating_profit AS operating_profit_previous FROM fact f LEFT JOIN fact p ON p.o_custkey = f.o_custkey AND p.y = f.y - 1)", " UNION ALL ".join(f"SELECT o_custkey AS company_code, y AS report_year, '{k}' AS indicator_code, {sql_round(v, 4)} AS value FROM g WHERE ({v}) IS NOT NULL" for k, v in RULES_SQL.items())))
+@query("derive_financial", sql_with(FACT_SQL, "g AS (SELECT f.*, p.revenue AS revenue_previous, p.operating_profit AS operating_profit_previous FROM fact f LEFT "
+    "JOIN fact p ON p.o_custkey = f.o_custkey AND p.y = f.y - 1)", " UNION ALL ".join(f"SELECT o_custkey AS company_code, y AS report_year, '{k}' AS indicator_code, {sql_round(v, 4)} AS value FROM g WHERE ({v}) IS NOT NULL" for k, v in RULES_SQL.items())))
 def derive_financial(spark, d):
     known = facts(spark, d)
     years = known.filter("fact_code = 'revenue'").select("company_code", "report_year")  # not those that only have a year before
     return ops.derive_financial(known.join(years, ["company_code", "report_year"], "left_semi")).withColumn("value", rounded(F.col("value"), 4))
 
 
-@query("repeated_facts", "SELECT o_custkey AS company_code, CAST(year(o_orderdate) AS INTEGER) AS report_year, o_orderpriority AS fact_code, count(*) AS n FROM orders GROUP BY 1, 2, 3 HAVING count(*) > 1")
+@query("repeated_facts", "SELECT o_custkey AS company_code, CAST(year(o_orderdate) AS INTEGER) AS report_year, o_orderpriority AS fact_code, count(*) AS n FROM orders "
+    "GROUP BY 1, 2, 3 HAVING count(*) > 1")
 def repeated_facts(spark, d):
     return ops.repeated_facts(table(spark, d, "orders").select(F.col("o_custkey").alias("company_code"), F.year("o_orderdate").alias("report_year"), F.col("o_orderpriority").alias("fact_code")))
 
@@ -68,7 +70,9 @@ def _rule_sql(r):
   FROM cy LEFT JOIN k x ON x.company_code = cy.company_code AND x.report_year = cy.report_year AND x.indicator_code = '{a}' LEFT JOIN k y ON y.company_code = cy.company_code AND y.report_year = cy.report_year AND y.indicator_code = '{b}' LEFT JOIN k z ON z.company_code = cy.company_code AND z.report_year = cy.report_year AND z.indicator_code = '{t}'"""
 
 
-FORMULA = "WITH " + ",\n".join([OBS, CONF, "r AS (" + " UNION ALL ".join(map(_rule_sql, RULES)) + "), rr AS (SELECT *, CASE WHEN num IS NULL OR den IS NULL THEN 'missing_sources' WHEN sure < 0.5 THEN 'low_confidence' WHEN den <= 0 THEN 'non_positive_denominator' WHEN num / den < lo OR num / den > hi THEN 'out_of_range' ELSE 'derived' END AS reason FROM r WHERE own IS NULL)"])
+FORMULA = "WITH " + ",\n".join([OBS, CONF, "r AS (" + " UNION ALL ".join(map(_rule_sql, RULES)) + "), rr AS (SELECT *, CASE WHEN num IS NULL OR den IS NULL THEN 'missing_sources' WHEN sure < 0.5 THEN 'low_confidence' "
+    "WHEN den <= 0 THEN 'non_positive_denominator' WHEN num / den < lo OR num / den > hi THEN 'out_of_range' ELSE 'derived' END AS reason FROM r "
+    "WHERE own IS NULL)"])
 
 
 @query("derive_formula", FORMULA + f"\nSELECT company_code, report_year, indicator_code, reason, CASE WHEN reason = 'derived' THEN {sql_round('num / den', 6)} END AS value, CASE WHEN reason = 'derived' THEN {sql_round('sure * 0.9', 6)} END AS confidence FROM rr")
@@ -136,6 +140,7 @@ def impute_missing(spark, d):
     return ops.impute(observations(spark, d), industries(spark, d), YEAR, [f"Brand#{i}" for i in range(1, 11)], ["Brand#7"])
 
 
-@query("impute_upper_median", sql_with(OBS, "SELECT indicator_code, report_year, count(*) AS n, list_sort(list(value))[len(list(value)) // 2 + 1] AS upper_median FROM obs WHERE status = 'confirmed' GROUP BY 1, 2 HAVING count(*) >= 3"))
+@query("impute_upper_median", sql_with(OBS, "SELECT indicator_code, report_year, count(*) AS n, list_sort(list(value))[len(list(value)) // 2 + 1] AS upper_median FROM obs "
+    "WHERE status = 'confirmed' GROUP BY 1, 2 HAVING count(*) >= 3"))
 def impute_upper_median(spark, d):
     return ops.upper_median(observations(spark, d), ["indicator_code", "report_year"])

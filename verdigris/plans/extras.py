@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from verdigris.operators import analysis
+from verdigris.operators import analysis, universe
 from verdigris.operators import text as ops
 from verdigris.plans import text as tplan
 from verdigris.plans.binding import OBS, YEAR, observations, sql_round, sql_with, table
@@ -69,7 +69,8 @@ TITLES = (
 )
 
 
-@query("title_kinds", f"""SELECT o_orderkey, x.kind, CAST(x.preference AS INTEGER) AS preference FROM (SELECT o_orderkey, [{", ".join(f"{{'kind': {'NULL' if k is None else repr(k)}, 'preference': {p}}}" for _, k, p in TITLES)}][o_orderkey % {len(TITLES)} + 1] AS x FROM orders)""")
+@query("title_kinds", f"""SELECT o_orderkey, x.kind, CAST(x.preference AS INTEGER) AS preference
+  FROM (SELECT o_orderkey, [{", ".join(f"{{'kind': {'NULL' if k is None else repr(k)}, 'preference': {p}}}" for _, k, p in TITLES)}][o_orderkey % {len(TITLES)} + 1] AS x FROM orders)""")
 def title_kinds(spark, d):
     t = pick(tuple(x for x, *_ in TITLES), "o_orderkey", len(TITLES))
     kind = ops.title_kind(t, 2024)
@@ -86,7 +87,8 @@ def page_context(spark, d):
     return ops.page_context(tplan.pages(spark, d), ["doc_id"]).select("doc_id", "page", F.length("context").cast("long").alias("before"))
 
 
-@query("movers", sql_with(OBS, f"yy AS (SELECT company_code, {sql_round('avg(value) FILTER (report_year = ' + str(YEAR) + ') - avg(value) FILTER (report_year = ' + str(YEAR - 1) + ')', 6)} AS change FROM obs WHERE status = 'confirmed' GROUP BY 1)", "SELECT company_code, change, 'up' AS side FROM (SELECT * FROM yy WHERE change > 0 ORDER BY change DESC, company_code LIMIT 10) UNION ALL SELECT company_code, change, 'down' FROM (SELECT * FROM yy WHERE change < 0 ORDER BY change, company_code LIMIT 10)"))
+@query("movers", sql_with(OBS, f"yy AS (SELECT company_code, {sql_round('avg(value) FILTER (report_year = ' + str(YEAR) + ') - avg(value) FILTER (report_year = ' + str(YEAR - 1) + ')', 6)} AS change FROM obs WHERE status = 'confirmed' GROUP BY 1)", "SELECT company_code, change, 'up' AS side FROM (SELECT * FROM yy WHERE change > 0 ORDER BY change DESC, company_code LIMIT 10) "
+    "UNION ALL SELECT company_code, change, 'down' FROM (SELECT * FROM yy WHERE change < 0 ORDER BY change, company_code LIMIT 10)"))
 def movers(spark, d):
     known = observations(spark, d).filter("status = 'confirmed'")
     change = F.expr(f"floor((avg(value) FILTER (WHERE report_year = {YEAR}) - avg(value) FILTER (WHERE report_year = {YEAR - 1})) * 1e6D + 0.5D) / 1e6D")
@@ -112,12 +114,15 @@ def aligned_pages(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", F.lit(4).alias("page"), lines.alias("page_text"))
 
 
-@query("aligned_tables", "SELECT s_suppkey, 'Q_E_ENERGY_INTENSITY' AS indicator_code, CAST('1' || lpad(CAST(s_suppkey AS VARCHAR), 3, '0') AS DOUBLE) AS value FROM supplier UNION ALL SELECT s_suppkey, 'Q_E_WATER_INTENSITY', CAST(s_suppkey AS DOUBLE) FROM supplier")
+@query("aligned_tables", "SELECT s_suppkey, 'Q_E_ENERGY_INTENSITY' AS indicator_code, CAST('1' || lpad(CAST(s_suppkey AS VARCHAR), 3, '0') AS DOUBLE) AS value FROM supplier "
+    "UNION ALL SELECT s_suppkey, 'Q_E_WATER_INTENSITY', CAST(s_suppkey AS DOUBLE) FROM supplier")
 def aligned_tables(spark, d):
     return ops.aligned_rows(aligned_pages(spark, d), ALIGNED, ["s_suppkey"]).select("s_suppkey", "indicator_code", "value")
 
 
-@query("extraction_coverage", "SELECT 'Q_E_ENERGY_INTENSITY' AS indicator_code, count(*) AS candidates, count(*) AS documents, 0.7::DOUBLE AS max_confidence FROM supplier UNION ALL SELECT 'Q_E_WATER_INTENSITY', count(*), count(*), 0.7::DOUBLE FROM supplier UNION ALL SELECT 'Q_G_DEBT_ASSET_RATE', count(*), count(*), 0.9::DOUBLE FROM supplier")
+@query("extraction_coverage", "SELECT 'Q_E_ENERGY_INTENSITY' AS indicator_code, count(*) AS candidates, count(*) AS documents, 0.7::DOUBLE AS max_confidence FROM supplier "
+    "UNION ALL SELECT 'Q_E_WATER_INTENSITY', count(*), count(*), 0.7::DOUBLE FROM supplier "
+    "UNION ALL SELECT 'Q_G_DEBT_ASSET_RATE', count(*), count(*), 0.9::DOUBLE FROM supplier")
 def extraction_coverage(spark, d):
     return ops.extraction_coverage(ops.extract_candidates(aligned_pages(spark, d), ALIGNED, ["s_suppkey"]), ["s_suppkey"])
 
@@ -141,16 +146,22 @@ def social_rates(spark, d):
     return made.select("o_custkey", F.expr("floor(value * 1e6D + 0.5D) / 1e6D").alias("value"))
 
 
-@query("snapshot_merge", "SELECT count(*) AS n, count(DISTINCT c_custkey) AS codes, count(*) - count(DISTINCT c_custkey) AS repeated FROM (SELECT c_custkey FROM customer WHERE c_custkey % 3 < 2 UNION ALL SELECT c_custkey FROM customer WHERE c_custkey % 3 > 0)")
+HALVES = "h AS (SELECT c_custkey AS code, 'a' AS snapshot FROM customer WHERE c_custkey % 3 < 2 UNION ALL SELECT c_custkey, 'b' FROM customer WHERE c_custkey % 3 > 0)"
+
+
+@query("snapshot_merge", f"WITH {HALVES} SELECT code, count(*) AS n, count(*) > 1 AS fault FROM h GROUP BY 1")
 def snapshot_merge(spark, d):
-    c = table(spark, d, "customer").select("c_custkey")
-    both = c.filter("c_custkey % 3 < 2").unionByName(c.filter("c_custkey % 3 > 0"))
-    return both.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("c_custkey").alias("codes"), (F.count(F.lit(1)) - F.count_distinct("c_custkey")).alias("repeated"))
+    """Two snapshots that cover all customers, a third of them twice: rows of each code, and whether the merge names it."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("code"))
+    rows, faults = universe.merge_snapshots([c.filter("code % 3 < 2").withColumn("snapshot", F.lit("a")), c.filter("code % 3 > 0").withColumn("snapshot", F.lit("b"))], "code")
+    found = rows.groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+    return found.join(faults.select("code", F.lit(True).alias("f")), "code", "left").select("code", "n", F.coalesce("f", F.lit(False)).alias("fault"))
 
 
-@query("key_set_differences", "SELECT 'missing' AS side, count(*) AS n FROM (SELECT o_custkey FROM orders EXCEPT SELECT c_custkey FROM customer WHERE c_custkey % 5 > 0) UNION ALL SELECT 'unknown', count(*) FROM (SELECT c_custkey FROM customer WHERE c_custkey % 5 > 0 EXCEPT SELECT o_custkey FROM orders) UNION ALL SELECT 'shared', count(*) FROM (SELECT c_custkey FROM customer WHERE c_custkey % 5 > 0 INTERSECT SELECT o_custkey FROM orders)")
+@query("key_set_differences", """SELECT k, CASE WHEN a AND b THEN 'shared' WHEN a THEN 'missing' ELSE 'unknown' END AS side FROM (
+  SELECT k, bool_or(s = 1) AS a, bool_or(s = 2) AS b FROM (SELECT o_custkey AS k, 1 AS s FROM orders UNION ALL SELECT CASE WHEN c_custkey % 5 = 0 THEN -c_custkey ELSE c_custkey END, 2 FROM customer) GROUP BY 1)""")
 def key_set_differences(spark, d):
-    a = table(spark, d, "orders").select(F.col("o_custkey").alias("k"))
-    b = table(spark, d, "customer").filter("c_custkey % 5 > 0").select(F.col("c_custkey").alias("k"))
-    size = lambda name, df: df.agg(F.lit(name).alias("side"), F.count(F.lit(1)).alias("n"))
-    return size("missing", a.subtract(b)).unionByName(size("unknown", b.subtract(a))).unionByName(size("shared", a.intersect(b)))
+    """Customers of orders against the customers, every fifth of them under another key."""
+    k = F.col("c_custkey")
+    known = table(spark, d, "customer").select(F.when(k % 5 == 0, -k).otherwise(k).alias("k"))
+    return universe.key_differences(table(spark, d, "orders").select(F.col("o_custkey").alias("k")), known, ["k"])

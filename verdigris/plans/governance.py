@@ -32,7 +32,8 @@ def weight_alignment(spark, d):
 INTAKE = "SELECT 'Brand#1' AS indicator_code, 30.0D AS benchmark, 'positive' AS direction, 200D / 42 AS weight UNION ALL SELECT 'Brand#2', NULL, 'negative', 300D / 42 UNION ALL SELECT 'Brand#3', 10D, 'negative', 400D / 42 UNION ALL SELECT 'Brand#5', 11D, 'positive', 1D UNION ALL SELECT 'Brand#99', 1D, 'positive', 1D UNION ALL SELECT 'Brand#4', 1D, 'bidirectional', 100D / 42 UNION ALL SELECT 'Brand#4', 2D, 'bidirectional', 100D / 42"
 
 
-@query("benchmark_faults", "SELECT * FROM (VALUES ('Brand#2', 'no_value'), ('Brand#3', 'direction_differs'), ('Brand#5', 'weight_differs'), ('Brand#99', 'unknown_indicator'), ('Brand#4', 'repeated')) t(indicator_code, fault)")
+@query("benchmark_faults", "SELECT * "
+    "FROM (VALUES ('Brand#2', 'no_value'), ('Brand#3', 'direction_differs'), ('Brand#5', 'weight_differs'), ('Brand#99', 'unknown_indicator'), ('Brand#4', 'repeated')) t(indicator_code, fault)")
 def benchmark_faults(spark, d):
     return ops.benchmark_faults(indicators(spark), spark.sql(INTAKE))
 
@@ -43,14 +44,22 @@ def benchmark_injection(spark, d):
 
 
 @query("thin_methodology_review", sql_with(OBS, IND, splan.ONE_YEAR, splan.STATS, f"""SELECT s.indicator_code, population_count AS current_population, 75 AS minimum_population_threshold, 75 - population_count AS population_deficit, coalesce(n, 0) AS diagnosed_task_count, coalesce(m, '{{}}') AS diagnostic_category_counts FROM stats s
-  LEFT JOIN (SELECT indicator_code, CAST(sum(n) AS BIGINT) AS n, '{{' || string_agg('"' || status || '":' || n, ',' ORDER BY status) || '}}' AS m FROM (SELECT indicator_code, status, count(*) AS n FROM base WHERE status <> 'confirmed' GROUP BY 1, 2) GROUP BY 1) d USING (indicator_code) WHERE population_count < 75"""))
+  LEFT JOIN (SELECT indicator_code, CAST(sum(n) AS BIGINT) AS n, '{{' || string_agg('"' || status || '":' || n, ',' ORDER BY status) || '}}' AS m
+  FROM (SELECT indicator_code, status, count(*) AS n
+  FROM base
+  WHERE status <> 'confirmed'
+  GROUP BY 1, 2)
+  GROUP BY 1) d USING (indicator_code)
+  WHERE population_count < 75"""))
 def thin_methodology_review(spark, d):
     obs = observations(spark, d, YEAR)
     gaps = obs.filter("status <> 'confirmed'").select("indicator_code", F.col("status").alias("category"))
     return ops.thin_review(scoring.population_stats(obs), gaps, 75)
 
 
-@query("merge_indexes", "SELECT 'u' || CAST(l_partkey AS VARCHAR) AS source_url, 's' || CAST(arg_min(l_suppkey, l_orderkey * 10000000 + l_suppkey * 100 + l_linenumber) % 3 AS VARCHAR) AS sha256, arg_min(l_quantity, l_orderkey * 10000000 + l_suppkey * 100 + l_linenumber) AS size, count(*) AS entries, count(DISTINCT l_suppkey % 3) > 1 AS conflict FROM (SELECT DISTINCT l_partkey, l_orderkey, l_suppkey, l_linenumber, l_quantity FROM lineitem) GROUP BY l_partkey HAVING count(*) = count(DISTINCT l_orderkey * 10000000 + l_suppkey * 100 + l_linenumber)")
+@query("merge_indexes", "SELECT 'u' || CAST(l_partkey AS VARCHAR) AS source_url, 's' || CAST(arg_min(l_suppkey, l_orderkey * 10000000 + l_suppkey * 100 + l_linenumber) % 3 AS VARCHAR) AS sha256, arg_min(l_quantity, l_orderkey * 10000000 + l_suppkey * 100 + l_linenumber) AS size, count(*) AS entries, count(DISTINCT l_suppkey % 3) > 1 AS conflict "
+    "FROM (SELECT DISTINCT l_partkey, l_orderkey, l_suppkey, l_linenumber, l_quantity FROM lineitem) GROUP BY l_partkey "
+    "HAVING count(*) = count(DISTINCT l_orderkey * 10000000 + l_suppkey * 100 + l_linenumber)")
 def merge_indexes(spark, d):
     rows = table(spark, d, "lineitem").select("l_partkey", "l_orderkey", "l_suppkey", "l_linenumber", "l_quantity").distinct()
     place = F.expr("l_orderkey * 10000000 + l_suppkey * 100 + l_linenumber")
@@ -76,14 +85,18 @@ def supersede_documents(spark, d):
     return stay.agg(F.lit(False).alias("superseded"), F.count(F.lit(1)).alias("n")).unionByName(gone.agg(F.lit(True).alias("superseded"), F.count(F.lit(1)).alias("n")))
 
 
-@query("preferred_documents", "SELECT CAST(o_custkey AS VARCHAR) AS company_code, o_orderkey AS title FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE o_orderpriority WHEN '1-URGENT' THEN 3 WHEN '2-HIGH' THEN 2 ELSE 0 END, o_orderdate DESC, o_orderkey) AS i FROM orders WHERE o_orderstatus <> 'P') WHERE i = 1")
+@query("preferred_documents", "SELECT CAST(o_custkey AS VARCHAR) AS company_code, o_orderkey AS title FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey "
+    "ORDER BY CASE o_orderpriority WHEN '1-URGENT' THEN 3 WHEN '2-HIGH' THEN 2 ELSE 0 END, o_orderdate DESC, o_orderkey) AS i FROM orders "
+    "WHERE o_orderstatus <> 'P') WHERE i = 1")
 def preferred_documents(spark, d):
     o = table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("company_code"), F.when(F.col("o_orderstatus") == "P", "esg_report").otherwise("annual_report").alias("document_type"), F.col("o_orderkey").alias("title"), "o_orderdate", "o_orderpriority")
     preference = F.when(F.col("o_orderpriority") == "1-URGENT", 3).when(F.col("o_orderpriority") == "2-HIGH", 2).otherwise(0)
     return ops.preferred_documents(o, "annual_report", preference, "o_orderdate").select("company_code", "title")
 
 
-@query("issuer_continuity", "SELECT CASE s_suppkey % 4 WHEN 0 THEN CAST(s_suppkey AS VARCHAR) ELSE 'old' || CAST(s_suppkey AS VARCHAR) END AS stock_code, CASE s_suppkey % 4 WHEN 0 THEN 'same_issuer' WHEN 1 THEN 'code_changed' WHEN 2 THEN 'listed_twice' ELSE 'gone' END AS outcome, CASE WHEN s_suppkey % 4 = 1 THEN CAST(s_suppkey AS VARCHAR) END AS current_code FROM supplier")
+@query("issuer_continuity", "SELECT CASE s_suppkey % 4 WHEN 0 THEN CAST(s_suppkey AS VARCHAR) ELSE 'old' || CAST(s_suppkey AS VARCHAR) END AS stock_code, CASE s_suppkey % 4 "
+    "WHEN 0 THEN 'same_issuer' WHEN 1 THEN 'code_changed' WHEN 2 THEN 'listed_twice' ELSE 'gone' END AS outcome, CASE "
+    "WHEN s_suppkey % 4 = 1 THEN CAST(s_suppkey AS VARCHAR) END AS current_code FROM supplier")
 def issuer_continuity(spark, d):
     s = table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("c"), F.col("s_suppkey").alias("k"), "s_name")
     listed = s.select(F.col("c").alias("stock_code"), F.col("s_name").alias("name_key")).unionByName(s.filter("k % 4 = 2").select(F.concat(F.lit("B"), "c").alias("stock_code"), F.col("s_name").alias("name_key")))
@@ -91,7 +104,8 @@ def issuer_continuity(spark, d):
     return ops.continuity(listed, history)
 
 
-@query("embedded_coverage", "SELECT CAST(s_suppkey AS VARCHAR) AS company_code, CASE WHEN s_suppkey % 3 = 0 AND s_nationkey % 5 >= 2 THEN 'embedded_in_annual' WHEN s_suppkey % 3 = 0 THEN 'missing' ELSE 'collected' END AS esg_status, s_suppkey % 3 = 0 AND s_nationkey % 5 >= 2 AS upgraded FROM supplier")
+@query("embedded_coverage", "SELECT CAST(s_suppkey AS VARCHAR) AS company_code, CASE WHEN s_suppkey % 3 = 0 AND s_nationkey % 5 >= 2 THEN 'embedded_in_annual' "
+    "WHEN s_suppkey % 3 = 0 THEN 'missing' ELSE 'collected' END AS esg_status, s_suppkey % 3 = 0 AND s_nationkey % 5 >= 2 AS upgraded FROM supplier")
 def embedded_coverage(spark, d):
     s = table(spark, d, "supplier").withColumn("company_code", F.col("s_suppkey").cast("string"))
     coverage = s.select("company_code", F.when(F.col("s_suppkey") % 3 == 0, "missing").otherwise("collected").alias("esg_status"))
@@ -115,18 +129,23 @@ def enhanced_quality(spark, d):
     return ops.enhanced_quality(observations(spark, d, YEAR))
 
 
-@query("candidate_ids", sql_with(CANDIDATES, "SELECT evidence_text, company_code || '-P' || lpad(CAST(source_page AS VARCHAR), 3, '0') || '-' || row_number() OVER (PARTITION BY company_code, source_page ORDER BY evidence_text) AS candidate_id FROM cand"))
+@query("candidate_ids", sql_with(CANDIDATES, "SELECT evidence_text, company_code || '-P' || lpad(CAST(source_page AS VARCHAR), 3, '0') || '-' || row_number() OVER (PARTITION BY company_code, source_page "
+    "ORDER BY evidence_text) AS candidate_id FROM cand"))
 def candidate_ids(spark, d):
     return ops.candidate_ids(candidates(spark, d), ["evidence_text"]).select("evidence_text", "candidate_id")
 
 
-@query("rank_bands", sql_with(*splan.CHAIN, "pr AS (SELECT company_code, max(CASE strategy WHEN 'indicator_neutral_v1' THEN rank END) AS a, max(CASE strategy WHEN 'legacy_zero_v1' THEN rank END) AS b FROM ranked GROUP BY 1)", "SELECT company_code, a - b AS difference, CASE WHEN abs(a - b) <= 5 THEN 'same' WHEN abs(a - b) <= 20 THEN 'near' WHEN a > b THEN 'lower' ELSE 'higher' END AS band FROM pr"))
+@query("rank_bands", sql_with(*splan.CHAIN, "pr AS (SELECT company_code, max(CASE strategy WHEN 'indicator_neutral_v1' THEN rank END) AS a, max(CASE strategy "
+    "WHEN 'legacy_zero_v1' THEN rank END) AS b FROM ranked GROUP BY 1)", "SELECT company_code, a - b AS difference, CASE WHEN abs(a - b) <= 5 THEN 'same' WHEN abs(a - b) <= 20 THEN 'near' WHEN a > b THEN 'lower' "
+    "ELSE 'higher' END AS band FROM pr"))
 def rank_bands(spark, d):
     wide = splan.all_rankings(spark, d).groupBy("company_code").pivot("strategy", ["indicator_neutral_v1", "legacy_zero_v1"]).agg(F.first("rank"))
     return ops.rank_bands(wide, "indicator_neutral_v1", "legacy_zero_v1").select("company_code", "difference", "band")
 
 
-@query("next_stage", "SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'collect' WHEN s_suppkey % 3 = 0 THEN 'extract' WHEN s_suppkey % 5 = 0 THEN 'review' ELSE 'finished' END AS stage, CASE WHEN s_suppkey % 2 = 0 THEN 0 WHEN s_suppkey % 3 = 0 THEN 1 WHEN s_suppkey % 5 = 0 THEN 2 ELSE 3 END AS stages_done FROM supplier")
+@query("next_stage", "SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'collect' WHEN s_suppkey % 3 = 0 THEN 'extract' WHEN s_suppkey % 5 = 0 THEN 'review' "
+    "ELSE 'finished' END AS stage, CASE WHEN s_suppkey % 2 = 0 THEN 0 WHEN s_suppkey % 3 = 0 THEN 1 WHEN s_suppkey % 5 = 0 THEN 2 ELSE 3 END AS stages_done "
+    "FROM supplier")
 def next_stage(spark, d):
     k = F.col("s_suppkey")
     return ops.next_stage(table(spark, d, "supplier").select("s_suppkey"), [("collect", k % 2 != 0), ("extract", k % 3 != 0), ("review", k % 5 != 0)])

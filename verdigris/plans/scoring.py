@@ -24,9 +24,12 @@ def query(name: str, sql: str | None = None):
 
 
 ONE_YEAR = f"base AS (SELECT o.*, i.dimension, i.kind, i.weight, i.direction, i.benchmark FROM obs o JOIN ind i USING (indicator_code) WHERE report_year = {YEAR})"
-STATS = """lim AS (SELECT indicator_code, count(*) AS n, quantile_cont(value, 0.01) AS lo, quantile_cont(value, 0.99) AS hi FROM base WHERE status = 'confirmed' AND value IS NOT NULL GROUP BY 1),
-stats AS (SELECT indicator_code, count(*) AS population_count, avg(v) AS mean, CASE WHEN count(*) > 1 THEN stddev_pop(v) ELSE 0.0 END AS stddev, count(*) < 20 AS thin_population
-  FROM (SELECT indicator_code, CASE WHEN n >= 20 THEN least(greatest(value, lo), hi) ELSE value END AS v FROM base JOIN lim USING (indicator_code) WHERE status = 'confirmed' AND value IS NOT NULL) GROUP BY 1)"""
+STATS = """lim AS (SELECT indicator_code, count(*) AS n, quantile_cont(value, 0.01) AS lo, quantile_cont(value, 0.99) AS hi FROM base
+  WHERE status = 'confirmed' AND value IS NOT NULL GROUP BY 1),
+stats AS (SELECT indicator_code, count(*) AS population_count, avg(v) AS mean, CASE WHEN count(*) > 1 THEN stddev_pop(v)
+  ELSE 0.0 END AS stddev, count(*) < 20 AS thin_population
+  FROM (SELECT indicator_code, CASE WHEN n >= 20 THEN least(greatest(value, lo), hi) ELSE value END AS v FROM base JOIN lim USING (indicator_code)
+  WHERE status = 'confirmed' AND value IS NOT NULL) GROUP BY 1)"""
 CDF = f"(0.5 * (1 + {sql_erf('(z / sqrt(2.0))')}))"
 CELLS = f"""cells AS (
   SELECT *, CASE WHEN status <> 'confirmed' OR value IS NULL THEN NULL WHEN kind = 'qualitative' THEN least(greatest(value, 0.0), 100.0) WHEN stddev IS NULL OR stddev <= 1e-12 THEN 50.0
@@ -252,7 +255,9 @@ def anomaly_plan(spark, d):
     return anomalies(spark, d).groupBy("anomaly_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("industry_rank", sql_with(*CHAIN, "SELECT company_code, n_name AS industry, total_score, row_number() OVER (PARTITION BY n_name ORDER BY total_score DESC, company_code) AS group_rank FROM ranked JOIN supplier ON lpad(CAST(s_suppkey AS VARCHAR), 6, '0') = company_code JOIN nation ON s_nationkey = n_nationkey WHERE strategy = 'indicator_neutral_v1'"))
+@query("industry_rank", sql_with(*CHAIN, "SELECT company_code, n_name AS industry, total_score, row_number() OVER (PARTITION BY n_name ORDER BY total_score DESC, company_code) AS group_rank "
+    "FROM ranked JOIN supplier ON lpad(CAST(s_suppkey AS VARCHAR), 6, '0') = company_code JOIN nation ON s_nationkey = n_nationkey "
+    "WHERE strategy = 'indicator_neutral_v1'"))
 def industry_rank(spark, d):
     from verdigris.plans.binding import code, table
 
@@ -261,7 +266,8 @@ def industry_rank(spark, d):
     return analysis.within_rank(ranked.join(home, "company_code"), "industry", "total_score", "company_code").select("company_code", "industry", "total_score", "group_rank")
 
 
-@query("client_engine", sql_with(OBS, IND, ONE_YEAR, "k AS (SELECT * FROM base WHERE status = 'confirmed'), st AS (SELECT indicator_code, avg(value) AS m, coalesce(stddev_samp(value), 0) AS sd FROM k GROUP BY 1), zs AS (SELECT *, CASE WHEN sd > 0 THEN least(greatest((value - m) / sd, -3), 3) END AS z FROM k JOIN st USING (indicator_code))",
+@query("client_engine", sql_with(OBS, IND, ONE_YEAR, "k AS (SELECT * FROM base WHERE status = 'confirmed'), st AS (SELECT indicator_code, avg(value) AS m, coalesce(stddev_samp(value), 0) AS sd FROM k "
+    "GROUP BY 1), zs AS (SELECT *, CASE WHEN sd > 0 THEN least(greatest((value - m) / sd, -3), 3) END AS z FROM k JOIN st USING (indicator_code))",
   f"SELECT company_code, {sql_round('''sum(weight * CASE WHEN sd = 0 THEN 1.0 WHEN direction = 'bidirectional' THEN exp(-z * z / 2) WHEN direction = 'negative' THEN (3 - z) / 6 ELSE (z + 3) / 6 END)''', 4)} AS client_score, count(*) AS indicators FROM zs GROUP BY 1"))
 def client_engine(spark, d):
     return analysis.client_scores(year(spark, d), indicators(spark))
@@ -282,7 +288,8 @@ def minmax_engine(spark, d):
 CHANGED = OBS.replace("obs AS", "obs0 AS")
 
 
-@query("cache_change", sql_with(CHANGED, "obs AS (SELECT company_code, company_name, report_year, indicator_code, CASE WHEN indicator_code = 'Brand#3' AND source_page >= 3 THEN value + 5 ELSE value END AS value, status, source_url, source_file, source_page, evidence_text, confidence, _ord FROM obs0)", *CHAIN[1:], f"{RANKED} WHERE strategy = 'indicator_neutral_v1'"))
+@query("cache_change", sql_with(CHANGED, "obs AS (SELECT company_code, company_name, report_year, indicator_code, CASE WHEN indicator_code = 'Brand#3' AND source_page >= 3 THEN value + 5 "
+    "ELSE value END AS value, status, source_url, source_file, source_page, evidence_text, confidence, _ord FROM obs0)", *CHAIN[1:], f"{RANKED} WHERE strategy = 'indicator_neutral_v1'"))
 def cache_change(spark, d):
     return change_cache(*score_cache(spark, d))
 
@@ -298,7 +305,8 @@ def change_cache(cache, new):
     return cache.changed(new)
 
 
-@query("number_format", "SELECT s_suppkey, CASE WHEN x LIKE '%.%' THEN regexp_replace(regexp_replace(x, '0+$', ''), '\\.$', '') ELSE x END AS shown FROM (SELECT s_suppkey, printf('%.4f', s_acctbal) AS x FROM supplier)")
+@query("number_format", "SELECT s_suppkey, CASE WHEN x LIKE '%.%' THEN regexp_replace(regexp_replace(x, '0+$', ''), '\\.$', '') ELSE x END AS shown "
+    "FROM (SELECT s_suppkey, printf('%.4f', s_acctbal) AS x FROM supplier)")
 def number_format(spark, d):
     from verdigris.plans.binding import table
 

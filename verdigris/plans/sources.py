@@ -74,4 +74,5 @@ def title_searches(spark, d):
 
 QUERIES["title_searches"] = title_searches
 ORACLE_SQL["title_searches"] = """SELECT c_custkey, lpad(CAST(c_custkey % 900 AS VARCHAR), 5, '0') || '.HK' AS stock_code, c_name AS company_name, '2025-04-09' AS published_date, 'ANNUAL REPORT 2024' AS title,
-  'https://www1.hkexnews.hk/l/' || c_custkey || '.pdf?a=1&b=2' AS source_url, 'HKEX' AS source, CASE WHEN c_custkey % 7 = 0 THEN 'row_count_differs' END AS fault FROM customer"""
+  'https://www1.hkexnews.hk/l/' || c_custkey || '.pdf?a=1&b=2' AS source_url, 'HKEX' AS source, CASE
+  WHEN c_custkey % 7 = 0 THEN 'row_count_differs' END AS fault FROM customer"""

@@ -66,7 +66,8 @@ def year_rows(spark, d):
     return ops.year_rows(report_pages(spark, d), ["s_suppkey"], YEAR).select("s_suppkey", "indicator_code", F.round("value", 6).alias("value"), "mode")
 
 
-@query("card_values", sql_with(NUMBERS, "SELECT s_suppkey, ['Q_E_ENERGY_INTENSITY', 'Q_E_HAZ_WASTE_INTENSITY', 'Q_S_ENV_INVEST_RATE'][k % 3 + 1] AS indicator_code, CAST(now * CASE WHEN k % 3 = 2 THEN 1 ELSE 10 END AS DOUBLE) AS value FROM n"))
+@query("card_values", sql_with(NUMBERS, "SELECT s_suppkey, ['Q_E_ENERGY_INTENSITY', 'Q_E_HAZ_WASTE_INTENSITY', 'Q_S_ENV_INVEST_RATE'][k % 3 + 1] AS indicator_code, CAST(now * CASE "
+    "WHEN k % 3 = 2 THEN 1 ELSE 10 END AS DOUBLE) AS value FROM n"))
 def card_values(spark, d):
     return ops.card_values(report_pages(spark, d), ["s_suppkey"]).select("s_suppkey", "indicator_code", "value")
 
@@ -84,14 +85,16 @@ s AS (SELECT *, assets - liabilities + CASE WHEN k % 7 = 0 THEN assets / 5 ELSE
 
 @query("statement_facts", sql_with(NUMBERS, BOOKS, """SELECT s_suppkey, fact, round(current, 2)::DOUBLE AS current, CAST(page AS INTEGER) AS page FROM (
   SELECT s_suppkey, unnest(['assets', 'liabilities', 'current_assets', 'current_liabilities', 'inventory', 'equity', 'operating_profit', 'profit_total', 'interest', 'net_profit']) AS fact,
-    unnest([assets, liabilities, assets / 2, liabilities / 2, assets / 10, equity, k * 100.0 + 50, k * 90.0, 10.0, k * 80.0]) AS current, unnest([4, 4, 4, 4, 4, 4, 5, 5, 5, 5]) AS page FROM s)"""))
+    unnest([assets, liabilities, assets / 2, liabilities / 2, assets / 10, equity, k * 100.0 + 50, k * 90.0, 10.0, k * 80.0]) AS current, unnest([4, 4, 4, 4, 4, 4, 5, 5, 5, 5]) AS page
+  FROM s)"""))
 def statement_facts(spark, d):
     return ops.statement_facts(report_pages(spark, d), ["s_suppkey"]).select("s_suppkey", "fact", F.round("current", 2).alias("current"), "page")
 
 
 @query("statement_rates", sql_with(NUMBERS, BOOKS, """SELECT s_suppkey, code AS indicator_code, round(x, 4)::DOUBLE AS value FROM (
   SELECT s_suppkey, k % 7 <> 0 AS ok, unnest(['Q_G_DEBT_ASSET_RATE', 'Q_G_CURRENT_RATIO', 'Q_G_QUICK_RATIO', 'Q_G_OPERATING_MARGIN', 'Q_G_OPERATING_PROFIT_GROWTH', 'Q_G_EBITDA_INTEREST', 'Q_G_ROA', 'Q_G_ROE']) AS code, unnest([0, 0, 0, 1, 1, 1, 0, 0]) AS always,
-    unnest([liabilities / assets * 100, assets / liabilities * 100, (assets / 2 - assets / 10) / (liabilities / 2) * 100, (k * 100.0 + 50) / revenue * 100, 100.0, (k * 90.0 + 10) / 10, (k * 90.0 + 10) / (assets * 0.75) * 100, k * 80.0 / (equity * 0.75) * 100]) AS x FROM s) WHERE ok OR always = 1"""))
+    unnest([liabilities / assets * 100, assets / liabilities * 100, (assets / 2 - assets / 10) / (liabilities / 2) * 100, (k * 100.0 + 50) / revenue * 100, 100.0, (k * 90.0 + 10) / 10, (k * 90.0 + 10) / (assets * 0.75) * 100, k * 80.0 / (equity * 0.75) * 100]) AS x
+  FROM s) WHERE ok OR always = 1"""))
 def statement_rates(spark, d):
     pages = report_pages(spark, d)
     rates = ops.statement_rates(ops.statement_facts(pages, ["s_suppkey"]), ops.summary_revenue(pages, ["s_suppkey"]), ["s_suppkey"])
@@ -99,6 +102,7 @@ def statement_rates(spark, d):
 
 
 @query("total_intensities", sql_with(NUMBERS, BOOKS, """SELECT s_suppkey, code AS indicator_code, round(CAST(now AS DOUBLE) * f / (revenue / 10000), 6)::DOUBLE AS value FROM s JOIN n USING (s_suppkey)
+
   JOIN (VALUES (7, 'Q_E_GHG_INTENSITY', 1e7::DOUBLE), (8, 'Q_E_WATER_INTENSITY', 1e3::DOUBLE), (9, 'Q_E_SO2_INTENSITY', 1e3::DOUBLE), (10, 'Q_E_HAZ_WASTE_INTENSITY', 1e3::DOUBLE), (11, 'Q_E_ENERGY_INTENSITY', 1e3::DOUBLE)) AS w(i, code, f) ON s.k % 15 = i
   WHERE s.k % 4 < 3 AND NOT (s.k % 3 = 0 AND code = 'Q_E_ENERGY_INTENSITY') AND NOT (s.k % 3 = 1 AND code = 'Q_E_HAZ_WASTE_INTENSITY')"""))
 def total_intensities(spark, d):
@@ -118,7 +122,9 @@ def staff_pages(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", F.inline(F.array(F.struct(F.lit(1).alias("page"), spending.alias("page_text")), F.struct(F.lit(2).alias("page"), pay.alias("page_text")))))
 
 
-@query("investment_rates", "SELECT s_suppkey, unnest(['Q_S_ENV_INVEST_RATE', 'Q_S_SAFETY_INVEST_RATE']) AS indicator_code, unnest([round(s_suppkey / ((s_suppkey * 10.0 + 100)) * 100, 6), round(s_suppkey * 100 / ((s_suppkey * 10.0 + 100) * 10000) * 100, 6)])::DOUBLE AS value FROM supplier WHERE s_suppkey > 0 UNION ALL SELECT s_suppkey, 'Q_S_DONATION_RATE', round(2 / (s_suppkey * 10.0 + 100) * 100, 6)::DOUBLE FROM supplier WHERE s_suppkey % 3 <> 0")
+@query("investment_rates", "SELECT s_suppkey, unnest(['Q_S_ENV_INVEST_RATE', 'Q_S_SAFETY_INVEST_RATE']) AS indicator_code, unnest([round(s_suppkey / ((s_suppkey * 10.0 + 100)) * 100, 6), round(s_suppkey * 100 / ((s_suppkey * 10.0 + 100) * 10000) * 100, 6)])::DOUBLE AS value "
+    "FROM supplier WHERE s_suppkey > 0 UNION ALL SELECT s_suppkey, 'Q_S_DONATION_RATE', round(2 / (s_suppkey * 10.0 + 100) * 100, 6)::DOUBLE FROM supplier "
+    "WHERE s_suppkey % 3 <> 0")
 def investment_rates(spark, d):
     revenue = ops.summary_revenue(report_pages(spark, d), ["s_suppkey"])
     return ops.investment_rates(staff_pages(spark, d), revenue, ["s_suppkey"], YEAR).select("s_suppkey", "indicator_code", F.round("value", 6).alias("value"))
@@ -129,6 +135,7 @@ def ghg_reduction(spark, d):
     return ops.ghg_reduction(ops.year_rows(staff_pages(spark, d), ["s_suppkey"], YEAR), ["s_suppkey"]).select("s_suppkey", F.round("value", 6).alias("value"))
 
 
-@query("payments_per_head", "SELECT s_suppkey, unnest(['Q_S_PAY_PER_EMPLOYEE', 'Q_S_BENEFIT_PER_EMPLOYEE']) AS indicator_code, unnest([round(s_suppkey * 1000 / (1000.0 + s_suppkey % 900), 6), round(s_suppkey * 10 / (1000.0 + s_suppkey % 900), 6)])::DOUBLE AS value FROM supplier WHERE s_suppkey % 5 <> 0")
+@query("payments_per_head", "SELECT s_suppkey, unnest(['Q_S_PAY_PER_EMPLOYEE', 'Q_S_BENEFIT_PER_EMPLOYEE']) AS indicator_code, unnest([round(s_suppkey * 1000 / (1000.0 + s_suppkey % 900), 6), round(s_suppkey * 10 / (1000.0 + s_suppkey % 900), 6)])::DOUBLE AS value "
+    "FROM supplier WHERE s_suppkey % 5 <> 0")
 def payments_per_head(spark, d):
     return ops.payments_per_head(staff_pages(spark, d), ["s_suppkey"]).select("s_suppkey", "indicator_code", F.round("value", 6).alias("value"))

@@ -47,7 +47,8 @@ def _first(words):
 
 
 @query("keyword_evidence", sql_with(LINES, f"pn AS (SELECT doc_id, page, {NORM} AS n FROM pg)", "hit AS (" + " UNION ALL ".join(f"SELECT doc_id, page, n, '{k}' AS indicator_code, {_first(v)} AS w, '{v[0]}' AS f FROM pn" for k, v in TERMS.items()) + "), rk AS (SELECT *, strpos(lower(n), w) AS a, row_number() OVER (PARTITION BY doc_id, indicator_code ORDER BY page) AS i FROM hit WHERE w IS NOT NULL)",
-  "SELECT doc_id, page, indicator_code, w AS matched_term, substr(n, greatest(1, a - 180), a - greatest(1, a - 180) + length(w) + 360) AS evidence_text, CASE WHEN w = f THEN 0.75 ELSE 0.65 END::DOUBLE AS confidence FROM rk WHERE i <= 3"))
+  "SELECT doc_id, page, indicator_code, w AS matched_term, substr(n, greatest(1, a - 180), a - greatest(1, a - 180) + length(w) + 360) AS evidence_text, CASE "
+    "WHEN w = f THEN 0.75 ELSE 0.65 END::DOUBLE AS confidence FROM rk WHERE i <= 3"))
 def keyword_evidence(spark, d):
     return ops.keyword_evidence(pages(spark, d), TERMS, ["doc_id"])
 
@@ -73,7 +74,8 @@ ERRORS = (
 )
 
 
-@query("failure_classes", f"""SELECT event_id, x.class, x.retryable, x.action FROM (SELECT event_id, [{", ".join(f"{{'class': '{c}', 'retryable': {r}, 'action': '{a}'}}" for _, c, r, a in ERRORS)}][event_id % {len(ERRORS)} + 1] AS x FROM events)""")
+@query("failure_classes", f"""SELECT event_id, x.class, x.retryable, x.action
+  FROM (SELECT event_id, [{", ".join(f"{{'class': '{c}', 'retryable': {r}, 'action': '{a}'}}" for _, c, r, a in ERRORS)}][event_id % {len(ERRORS)} + 1] AS x FROM events)""")
 def failure_classes(spark, d):
     errors = F.array(*[F.lit(e).cast("string") for e, *_ in ERRORS])
     e = table(spark, d, "events").select("event_id", ops.failure_class(F.element_at(errors, (F.col("event_id") % len(ERRORS) + 1).cast("int"))).alias("f"))
@@ -88,7 +90,8 @@ HOSTS = (
 )
 
 
-@query("host_hygiene", f"""SELECT o_orderkey, x.domain, x.plausible FROM (SELECT o_orderkey, [{", ".join(f"{{'domain': {'NULL' if n is None else repr(n)}, 'plausible': {p}}}" for _, n, p in HOSTS)}][o_orderkey % {len(HOSTS)} + 1] AS x FROM orders)""")
+@query("host_hygiene", f"""SELECT o_orderkey, x.domain, x.plausible
+  FROM (SELECT o_orderkey, [{", ".join(f"{{'domain': {'NULL' if n is None else repr(n)}, 'plausible': {p}}}" for _, n, p in HOSTS)}][o_orderkey % {len(HOSTS)} + 1] AS x FROM orders)""")
 def host_hygiene(spark, d):
     urls = F.array(*[F.lit(f"https://{h}/a/b.pdf?x=1") for h, *_ in HOSTS])
     host = ops.host_of(F.element_at(urls, (F.col("o_orderkey") % len(HOSTS) + 1).cast("int")))
@@ -104,26 +107,33 @@ def domain_hygiene(spark, d):
     return table(spark, d, "pages").select("page_id", host.alias("host"), ops.registrable(host).alias("domain"), ops.plausible_issuer(host).alias("plausible"))
 
 
-@query("page_links", "SELECT page_id, count(*) AS n, count(DISTINCT target) AS targets, min(target) AS first_target FROM (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS target FROM pages) GROUP BY 1")
+@query("page_links", "SELECT page_id, count(*) AS n, count(DISTINCT target) AS targets, min(target) AS first_target "
+    "FROM (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS target "
+    "FROM pages) GROUP BY 1")
 def page_links(spark, d):
     return ops.links(table(spark, d, "pages"), "html", ["page_id"]).groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("target").alias("targets"), F.min("target").alias("first_target"))
 
 
-@query("same_domain_links", "SELECT regexp_extract(host, '([^.]+[.][^.]+)$', 1) AS domain, CAST(sum(n) AS BIGINT) AS n_links FROM (SELECT regexp_extract(url, '://([^/?#]+)', 1) AS host, len(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS n FROM pages) GROUP BY 1 HAVING sum(n) > 0")
+@query("same_domain_links", "SELECT regexp_extract(host, '([^.]+[.][^.]+)$', 1) AS domain, CAST(sum(n) AS BIGINT) AS n_links "
+    "FROM (SELECT regexp_extract(url, '://([^/?#]+)', 1) AS host, len(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS n FROM pages) GROUP BY 1 "
+    "HAVING sum(n) > 0")
 def same_domain_links(spark, d):
     rows = ops.links(table(spark, d, "pages"), "html", ["page_id"])
     own = ops.registrable(ops.host_of(F.col("url")))
     return rows.filter(own == ops.registrable(ops.host_of(F.col("target")))).groupBy(own.alias("domain")).agg(F.count(F.lit(1)).alias("n_links"))
 
 
-@query("domain_best", "SELECT domain, page_id, n FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY n DESC, page_id) AS i FROM (SELECT page_id, regexp_replace(regexp_extract(url, '://([^/?#]+)', 1), '^www[.]', '') AS domain, length(html) AS n FROM pages)) WHERE i = 1 ORDER BY n DESC, domain LIMIT 50")
+@query("domain_best", "SELECT domain, page_id, n FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY n DESC, page_id) AS i "
+    "FROM (SELECT page_id, regexp_replace(regexp_extract(url, '://([^/?#]+)', 1), '^www[.]', '') AS domain, length(html) AS n FROM pages)) WHERE i = 1 "
+    "ORDER BY n DESC, domain LIMIT 50")
 def domain_best(spark, d):
     rows = table(spark, d, "pages").select("page_id", ops.host_of(F.col("url")).alias("domain"), F.length("html").cast("long").alias("n"))
     best = rows.groupBy("domain").agg(F.max_by(F.struct("page_id", "n"), F.struct("n", -F.col("page_id"))).alias("b"))
     return best.select("domain", "b.page_id", "b.n").orderBy(F.desc("n"), "domain").limit(50)
 
 
-@query("link_kinds", "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'esg_report' WHEN 1 THEN 'annual_report' WHEN 2 THEN NULL WHEN 3 THEN NULL ELSE 'annual_report' END AS kind, CASE event_id % 5 WHEN 0 THEN 2025 WHEN 1 THEN 2025 WHEN 2 THEN 2025 WHEN 4 THEN 2019 END AS fiscal_year FROM events")
+@query("link_kinds", "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'esg_report' WHEN 1 THEN 'annual_report' WHEN 2 THEN NULL WHEN 3 THEN NULL "
+    "ELSE 'annual_report' END AS kind, CASE event_id % 5 WHEN 0 THEN 2025 WHEN 1 THEN 2025 WHEN 2 THEN 2025 WHEN 4 THEN 2019 END AS fiscal_year FROM events")
 def link_kinds(spark, d):
     words = F.array(*map(F.lit, ("Sustainability report 2025", "Annual report 2024/25", "Interim report 2025", "News", "annual report 2019.pdf")))
     w = F.element_at(words, (F.col("event_id") % 5 + 1).cast("int"))
@@ -147,7 +157,8 @@ def kpi_pages(spark, d):
     return s.select("s_suppkey", F.lit(1).alias("page"), lines.alias("page_text"))
 
 
-@query("unit_rules", "SELECT s_suppkey, 'Q_E_GHG_INTENSITY' AS indicator_code, (1000 + s_suppkey % 1000 + 0.5) * CASE WHEN s_suppkey % 2 = 0 THEN 1000.0 ELSE 0.01 END AS value FROM supplier UNION ALL SELECT s_suppkey, 'Q_E_NOX_INTENSITY', CAST(s_suppkey AS DOUBLE) FROM supplier")
+@query("unit_rules", "SELECT s_suppkey, 'Q_E_GHG_INTENSITY' AS indicator_code, (1000 + s_suppkey % 1000 + 0.5) * CASE WHEN s_suppkey % 2 = 0 THEN 1000.0 "
+    "ELSE 0.01 END AS value FROM supplier UNION ALL SELECT s_suppkey, 'Q_E_NOX_INTENSITY', CAST(s_suppkey AS DOUBLE) FROM supplier")
 def unit_rules(spark, d):
     return rule_candidates(kpi_pages(spark, d), ["s_suppkey"], ("unit",)).filter("indicator_code LIKE '%_INTENSITY'").select("s_suppkey", "indicator_code", F.round("value", 6).alias("value"))
 
@@ -157,17 +168,25 @@ def rate_rules(spark, d):
     return rule_candidates(kpi_pages(spark, d), ["s_suppkey"], ("unit",)).filter("indicator_code = 'Q_G_DEBT_ASSET_RATE'").select("s_suppkey", "value")
 
 
-@query("year_tables", "SELECT s_suppkey, 2024 AS year, CAST(s_suppkey AS DOUBLE) AS value, 'current-first' AS mode FROM supplier UNION ALL SELECT s_suppkey, 2023, 1000 + s_suppkey % 1000 + 0.5, 'current-first' FROM supplier")
+@query("year_tables", "SELECT s_suppkey, 2024 AS year, CAST(s_suppkey AS DOUBLE) AS value, 'current-first' AS mode FROM supplier "
+    "UNION ALL SELECT s_suppkey, 2023, 1000 + s_suppkey % 1000 + 0.5, 'current-first' FROM supplier")
 def year_tables(spark, d):
     return ops.year_tables(kpi_pages(spark, d), {"Q_E_ENERGY_INTENSITY": "energy use"}, ["s_suppkey"]).select("s_suppkey", "year", "value", "mode")
 
 
-@query("statement_identity", "SELECT s_suppkey, 1000.0::DOUBLE AS assets, CAST(s_suppkey % 600 AS DOUBLE) AS liabilities, CAST(1000 - s_suppkey % 600 + s_suppkey % 7 * 20 AS DOUBLE) AS equity, s_suppkey % 7 * 20 <= 50 AS balanced, s_suppkey % 7 * 20 <= 50 AS accepted, floor((s_suppkey % 600) / 10.0 * 10000 + 0.5) / 10000 AS debt_asset_rate FROM supplier")
+@query("statement_identity", "SELECT s_suppkey, 1000.0::DOUBLE AS assets, CAST(s_suppkey % 600 AS DOUBLE) AS liabilities, CAST(1000 - s_suppkey % 600 + s_suppkey % 7 * 20 AS DOUBLE) AS equity, s_suppkey % 7 * 20 <= 50 AS balanced, s_suppkey % 7 * 20 <= 50 AS accepted, floor((s_suppkey % 600) / 10.0 * 10000 + 0.5) / 10000 AS debt_asset_rate "
+    "FROM supplier")
 def statement_identity(spark, d):
     return ops.statement_identity(ops.statement_facts(kpi_pages(spark, d), ["s_suppkey"]), ["s_suppkey"])
 
 
-@query("gap_diagnosis", "SELECT doc_id, CASE WHEN NOT s THEN 'no_matching_disclosure_in_text' WHEN i AND regexp_matches(text, '(?i)usd|hk[$]|eur') THEN 'disclosed_foreign_currency_denominator' WHEN i AND regexp_matches(text, '(?i)rmb') THEN 'likely_methodology_compatible_rule_gap' WHEN i AND regexp_matches(text, '(?i)per unit|per mwh') THEN 'disclosed_non_revenue_denominator' WHEN i THEN 'ambiguous_intensity_disclosure' WHEN regexp_matches(text, '(?i)revenue') THEN 'possible_total_plus_revenue_derivation' ELSE 'related_disclosure_without_compatible_intensity' END AS class FROM (SELECT doc_id, text, text LIKE '%the%' AS s, regexp_matches(text, 'intion|heit') AS i FROM documents)")
+@query("gap_diagnosis", "SELECT doc_id, CASE WHEN NOT s THEN 'no_matching_disclosure_in_text' "
+    "WHEN i AND regexp_matches(text, '(?i)usd|hk[$]|eur') THEN 'disclosed_foreign_currency_denominator' "
+    "WHEN i AND regexp_matches(text, '(?i)rmb') THEN 'likely_methodology_compatible_rule_gap' "
+    "WHEN i AND regexp_matches(text, '(?i)per unit|per mwh') THEN 'disclosed_non_revenue_denominator' WHEN i THEN 'ambiguous_intensity_disclosure' "
+    "WHEN regexp_matches(text, '(?i)revenue') THEN 'possible_total_plus_revenue_derivation' "
+    "ELSE 'related_disclosure_without_compatible_intensity' END AS class "
+    "FROM (SELECT doc_id, text, text LIKE '%the%' AS s, regexp_matches(text, 'intion|heit') AS i FROM documents)")
 def gap_diagnosis(spark, d):
     t = F.col("text")
     return table(spark, d, "documents").select("doc_id", ops.gap_class(t.contains("the"), t.rlike("intion|heit"), t).alias("class"))
@@ -212,7 +231,9 @@ def events_sliding(spark, d):
     return stream.windowed(table(spark, d, "events"), "2 days", "1 day")
 
 
-@query("events_session", "SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 2 HOUR AS \"end\", count(*) AS n FROM (SELECT *, sum(CASE WHEN p IS NULL OR ts >= p + INTERVAL 2 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events)) GROUP BY user_id, s")
+@query("events_session", "SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 2 HOUR AS \"end\", count(*) AS n FROM (SELECT *, sum(CASE "
+    "WHEN p IS NULL OR ts >= p + INTERVAL 2 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s "
+    "FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events)) GROUP BY user_id, s")
 def events_session(spark, d):
     return stream.sessions(table(spark, d, "events"), "2 hours")
 
@@ -234,7 +255,8 @@ def _stream_path(spark):
     return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
-@query("stream_progress", "SELECT user_id, count(*) AS group_count, count(*) FILTER (event_type <> 'error') AS decided_count, CASE WHEN count(*) = count(*) FILTER (event_type <> 'error') THEN 'closed' ELSE 'open' END AS status FROM events GROUP BY 1")
+@query("stream_progress", "SELECT user_id, count(*) AS group_count, count(*) FILTER (event_type <> 'error') AS decided_count, CASE "
+    "WHEN count(*) = count(*) FILTER (event_type <> 'error') THEN 'closed' ELSE 'open' END AS status FROM events GROUP BY 1")
 def stream_progress(spark, d):
     return stream.stream_progress(spark, d, _stream_path(spark), "user_id", "event_type <> 'error'")
 

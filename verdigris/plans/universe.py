@@ -20,11 +20,19 @@ def query(name, sql=None):
     return register
 
 
-SNAP = """snap AS (SELECT lpad(CAST(c_custkey AS VARCHAR), CASE WHEN c_nationkey % 4 = 3 THEN 5 ELSE 6 END, '0') || ['.SH', '.SZ', '.BJ', '.HK'][c_nationkey % 4 + 1] AS stock_code, CASE WHEN c_custkey % 41 = 0 THEN 'ST ' || c_name ELSE c_name END AS company_name, ['SSE', 'SZSE', 'BSE', 'HKEX'][c_nationkey % 4 + 1] AS exchange, c_mktsegment AS industry,
- 'E' || CAST(c_custkey // 3 AS VARCHAR) AS entity_id, CASE WHEN c_custkey % 29 = 0 THEN 'delisted' ELSE 'listed' END AS listing_status, CASE WHEN c_custkey % 17 = 0 THEN false WHEN c_custkey % 5 = 0 THEN true END AS flag, CASE WHEN c_custkey % 6 = 0 THEN '' ELSE c_mktsegment END AS sub_industry FROM customer)"""
-UNI = """elig AS (SELECT *, CASE WHEN listing_status <> 'listed' THEN 'not_listed' WHEN company_name LIKE 'ST%' THEN 'special_treatment' WHEN flag = false THEN 'flagged_ineligible' WHEN flag = true THEN NULL WHEN industry NOT IN ('MACHINERY', 'BUILDING', 'FURNITURE') THEN 'industry_not_covered' END AS r FROM snap),
-prim AS (SELECT entity_id, arg_min(stock_code, lpad(CAST(list_position(['SSE', 'SZSE', 'BSE', 'HKEX'], exchange) AS VARCHAR), 2, '0') || stock_code) AS p FROM elig WHERE r IS NULL GROUP BY 1),
-uni AS (SELECT elig.*, CASE WHEN r IS NULL AND p <> stock_code THEN 'same entity listed again, keeps ' || p ELSE r END AS exclusion_reason FROM elig LEFT JOIN prim USING (entity_id))"""
+SNAP = """snap AS (SELECT lpad(CAST(c_custkey AS VARCHAR), CASE WHEN c_nationkey % 4 = 3 THEN 5
+  ELSE 6 END, '0') || ['.SH', '.SZ', '.BJ', '.HK'][c_nationkey % 4 + 1] AS stock_code, CASE WHEN c_custkey % 41 = 0 THEN 'ST ' || c_name
+  ELSE c_name END AS company_name, ['SSE', 'SZSE', 'BSE', 'HKEX'][c_nationkey % 4 + 1] AS exchange, c_mktsegment AS industry,
+ 'E' || CAST(c_custkey // 3 AS VARCHAR) AS entity_id, CASE WHEN c_custkey % 29 = 0 THEN 'delisted' ELSE 'listed' END AS listing_status, CASE
+  WHEN c_custkey % 17 = 0 THEN false WHEN c_custkey % 5 = 0 THEN true END AS flag, CASE WHEN c_custkey % 6 = 0 THEN ''
+  ELSE c_mktsegment END AS sub_industry FROM customer)"""
+UNI = """elig AS (SELECT *, CASE WHEN listing_status <> 'listed' THEN 'not_listed' WHEN company_name LIKE 'ST%' THEN 'special_treatment'
+  WHEN flag = false THEN 'flagged_ineligible' WHEN flag = true THEN NULL
+  WHEN industry NOT IN ('MACHINERY', 'BUILDING', 'FURNITURE') THEN 'industry_not_covered' END AS r FROM snap),
+prim AS (SELECT entity_id, arg_min(stock_code, lpad(CAST(list_position(['SSE', 'SZSE', 'BSE', 'HKEX'], exchange) AS VARCHAR), 2, '0') || stock_code) AS p
+  FROM elig WHERE r IS NULL GROUP BY 1),
+uni AS (SELECT elig.*, CASE WHEN r IS NULL AND p <> stock_code THEN 'same entity listed again, keeps ' || p ELSE r END AS exclusion_reason FROM elig
+  LEFT JOIN prim USING (entity_id))"""
 SECTORS = ("MACHINERY", "BUILDING", "FURNITURE")
 
 
@@ -54,7 +62,8 @@ def exclusion_reasons(spark, d):
     return universe(spark, d).groupBy(F.coalesce(r, F.lit("included")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("universe_audit", f"WITH {SNAP}, {UNI}, u AS (SELECT *, exclusion_reason IS NULL AS included FROM uni) SELECT count(*) AS n_rows, count(*) FILTER (included) AS included, count(DISTINCT CASE WHEN included THEN entity_id END) AS entities, " + ", ".join(f"count(*) FILTER (included AND exchange = '{e}') AS {e.lower()}" for e in ops.EXCHANGE_ORDER) + ", count(*) FILTER (included AND sub_industry = '') AS unclassified, count(*) FILTER (company_name = '') AS unnamed, count(*) FILTER (included AND sub_industry = '') = 0 AS publishable FROM u")
+@query("universe_audit", f"WITH {SNAP}, {UNI}, u AS (SELECT *, exclusion_reason IS NULL AS included FROM uni) SELECT count(*) AS n_rows, count(*) FILTER (included) AS included, count(DISTINCT CASE WHEN included THEN entity_id END) AS entities, " + ", ".join(f"count(*) FILTER (included AND exchange = '{e}') AS {e.lower()}" for e in ops.EXCHANGE_ORDER) + ", count(*) FILTER (included AND sub_industry = '') AS unclassified, count(*) FILTER (company_name = '') AS unnamed, count(*) FILTER (included AND sub_industry = '') = 0 AS publishable "
+    "FROM u")
 def universe_audit(spark, d):
     return ops.universe_audit(universe(spark, d))
 
@@ -101,7 +110,9 @@ def universe_augment(spark, d):
     return ops.augment(s, more).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("stock_code").alias("codes"))
 
 
-@query("code_normalise", "SELECT s_suppkey, CASE s_nationkey % 4 WHEN 0 THEN lpad(CAST(s_suppkey AS VARCHAR), 6, '0') || '.SH' WHEN 1 THEN lpad(CAST(s_suppkey AS VARCHAR), 6, '0') || '.SZ' WHEN 2 THEN lpad(CAST(s_suppkey AS VARCHAR), 6, '0') || '.BJ' ELSE lpad(CAST(s_suppkey AS VARCHAR), 5, '0') || '.HK' END AS code, ['SSE', 'SZSE', 'BSE', 'HKEX'][s_nationkey % 4 + 1] AS exchange FROM supplier")
+@query("code_normalise", "SELECT s_suppkey, CASE s_nationkey % 4 WHEN 0 THEN lpad(CAST(s_suppkey AS VARCHAR), 6, '0') || '.SH' "
+    "WHEN 1 THEN lpad(CAST(s_suppkey AS VARCHAR), 6, '0') || '.SZ' WHEN 2 THEN lpad(CAST(s_suppkey AS VARCHAR), 6, '0') || '.BJ' "
+    "ELSE lpad(CAST(s_suppkey AS VARCHAR), 5, '0') || '.HK' END AS code, ['SSE', 'SZSE', 'BSE', 'HKEX'][s_nationkey % 4 + 1] AS exchange FROM supplier")
 def code_normalise(spark, d):
     s = table(spark, d, "supplier")
     exchange = F.element_at(F.array(*map(F.lit, ops.EXCHANGE_ORDER)), (F.col("s_nationkey") % 4 + 1).cast("int"))
@@ -114,7 +125,10 @@ def name_normalise(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", ops.normal_name(F.concat(F.lit(" The. ").substr(1, 1), "s_name", F.lit(", Co. Ltd"))).alias("name"))
 
 
-@query("historical_pairs", "SELECT l_orderkey, l_partkey, l_quantity, score FROM (SELECT l_orderkey, l_partkey, l_quantity, lead(l_quantity) OVER w AS score, row_number() OVER w AS i FROM (SELECT DISTINCT l_orderkey, l_partkey, l_quantity FROM lineitem) WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_partkey * 1000 + l_quantity)) WHERE i % 2 = 1")
+@query("historical_pairs", "SELECT l_orderkey, l_partkey, l_quantity, score "
+    "FROM (SELECT l_orderkey, l_partkey, l_quantity, lead(l_quantity) OVER w AS score, row_number() OVER w AS i "
+    "FROM (SELECT DISTINCT l_orderkey, l_partkey, l_quantity FROM lineitem) WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_partkey * 1000 + l_quantity)) "
+    "WHERE i % 2 = 1")
 def historical_pairs(spark, d):
     rows = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_quantity").distinct().withColumn("o", F.col("l_partkey") * 1000 + F.col("l_quantity"))
     return ops.pair_rows(rows, "l_orderkey", "o", "l_quantity").drop("o")
