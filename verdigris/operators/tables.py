@@ -90,6 +90,26 @@ INVESTMENT_BOUNDS = {"Q_S_ENV_INVEST_RATE": (0.001, 50.0), "Q_S_SAFETY_INVEST_RA
 PAYMENTS = (("Q_S_PAY_PER_EMPLOYEE", "工资、奖金、津贴和补贴"), ("Q_S_BENEFIT_PER_EMPLOYEE", "职工福利费"), ("Q_S_EDU_PER_EMPLOYEE", "工会经费和职工教育经费"))
 STAFF = r"(?:在职员工的数量合计|报告期末在职员工的数量合计|员工总数|在岗员工总数)"
 CHANGED_SCOPE = "边界变化|口径变化|口径调整|范围调整|重述|(?i:restated)"
+#: Rows of English tables; "en/money" units divide by an amount of yuan, "en total" ones are tonnes or tonnes of coal.
+ENGLISH_ROWS = (
+    Row("Q_E_GHG_INTENSITY", r"(?:total )?(?:GHG|greenhouse gas) emissions? (?:intensity|density)(?: \(scopes? 1 (?:and|&|\+) (?:scopes? )?2\))?", "en/money"),
+    Row("Q_E_ENERGY_INTENSITY", r"(?:comprehensive|total)? ?energy consumption (?:intensity|density)", "en/money"),
+    Row("Q_E_WATER_INTENSITY", r"(?:total )?water consumption (?:intensity|density)", "en/money"),
+    Row("Q_E_NOX_INTENSITY", r"(?:NOx|nitrogen oxides?) emissions? intensity", "en/money g"),
+    Row("Q_E_SO2_INTENSITY", r"(?:SO2|sul(?:ph|f)ur dioxide) emissions? intensity", "en/money g"),
+    Row("Q_E_SOLID_WASTE_INTENSITY", r"non-hazardous waste (?:generation |production |disposal )?intensity", "en/money"),
+    Row("Q_E_HAZ_WASTE_INTENSITY", r"(?<!non-)hazardous waste (?:generation |production |disposal )?intensity", "en/money"),
+    Row("Q_E_WASTEWATER_INTENSITY", r"(?:wastewater|sewage) (?:discharge )?intensity", "en/money"),
+    Row("Q_E_GHG_EMISSION", r"total (?:GHG|greenhouse gas) emissions?(?: \(scopes? 1 (?:and|&|\+) (?:scopes? )?2\))?", "en total"),
+    Row("Q_E_ENERGY_CONSUMPTION", r"(?:comprehensive|total) energy consumption", "en total"),
+    Row("Q_E_WATER_CONSUMPTION", r"total water consumption", "en total"),
+    Row("Q_E_SOLID_WASTE_GENERATION", r"total non-hazardous waste(?: generated| produced)?", "en total"),
+    Row("Q_E_HAZ_WASTE_GENERATION", r"total hazardous waste(?: generated| produced)?", "en total"),
+    Row("Q_S_FEMALE_EMPLOYEE_RATE", r"(?:percentage|proportion) of female employees", "percent"),
+)
+ENGLISH_MASS = r"(?:kg|kilograms?|tonnes?|tons?|tCO2-?e|tce|m3|m³|cubic metres?)(?: ?of)?(?: ?CO2(?:-?e| ?equivalents?)?)?(?: ?(?:standard )?coal(?: equivalents?)?)?"
+ENGLISH_MONEY = r" ?(?:/|per) ?(?:RMB|CNY) ?(?:100 million|million|thousand|billion|10,?000|10k)(?: of revenue| revenue)?"
+ENGLISH_AMOUNTS = {"thousand": 1e3, "10,000": 1e4, "10000": 1e4, "10k": 1e4, "million": 1e6, "100million": 1e8, "billion": 1e9}
 MASS_WORDS = r"万?(?:吨|千克|克|立方米|吉焦|kg|tCO2e|tCO₂e)(?:二氧化碳当量|二氧化碳|标准煤|标煤)?"
 MONEY_WORDS = r"(?:营收)?(?:百万元|百万|亿元|万元)(?:人民币)?(?:\(年营业收入\)|营业收入|营收|收入)?"
 ENERGY_OF_GJ = 34.1208
@@ -172,6 +192,12 @@ def table_factor(unit: Column, kind: str) -> Column:
     x = F.lower(F.regexp_replace(unit, r"\s+", ""))
     if kind in TABLE_KINDS:
         return lookup(x, {k.lower(): v for k, v in TABLE_KINDS[kind].items()})
+    if kind.startswith("en"):
+        kilos = F.when(x.rlike("^(kg|kilogram)"), 1.0).when(x != "", 1000.0)
+        if kind == "en total":
+            return kilos / 1000
+        amount = lookup(F.regexp_extract(x, "(100million|million|thousand|billion|10,?000|10k)", 1), ENGLISH_AMOUNTS)
+        return kilos * 10_000 / amount * F.lit(1000.0 if kind == "en/money g" else 1.0)
     mass = F.regexp_replace(F.regexp_replace(F.split(x, "/")[0], "二氧化碳当量|二氧化碳|标准煤|标煤", ""), "^tco[2₂]e$", "吨")
     ten = F.when(mass.startswith("万"), 10000.0).otherwise(1.0)
     money = F.regexp_replace(F.regexp_replace(F.split(x, "/")[1], r"^营收|人民币|\(年营业收入\)|营业收入|营收|收入", ""), "^百万$", "百万元")
@@ -182,6 +208,8 @@ def table_factor(unit: Column, kind: str) -> Column:
 def unit_pattern(kind: str) -> str:
     if kind in TABLE_KINDS:
         return "|".join(sorted(TABLE_KINDS[kind], key=len, reverse=True)).replace("%", "[%％]")
+    if kind.startswith("en"):
+        return ENGLISH_MASS if kind == "en total" else ENGLISH_MASS + ENGLISH_MONEY
     return rf"{MASS_WORDS}/{MONEY_WORDS}"
 
 
@@ -198,7 +226,7 @@ def year_rows(pages: DataFrame, keep: list[str], report_year: int, table: tuple[
     every = F.transform(F.col("lines"), lambda line, i: F.struct(i.alias("i"), line.alias("line"), F.concat_ws("\n", F.get("lines", i + 1), F.get("lines", i + 2)).alias("rest")))
     rows = below.select(*keep, "page", "header", F.explode(every).alias("r")).filter(F.col("r.i") > F.col("header.at"))
     any_label = "|".join(r.label for r in table)
-    rows = rows.select(*keep, "page", "header", "r.line", "r.rest").filter(F.col("line").rlike(any_label))
+    rows = rows.select(*keep, "page", "header", "r.line", "r.rest").filter(F.col("line").rlike(f"(?i){any_label}"))
 
     def read(m):
         out = F
@@ -224,7 +252,7 @@ def year_rows(pages: DataFrame, keep: list[str], report_year: int, table: tuple[
     mode = F.when(F.size("years") == 1, "single-year").when(F.col("years")[0] > F.col("years")[1], "current-first").otherwise("current-last")
     out = read_rows.filter(enough).select(*keep, "page", "indicator_code", (number(F.get("values", at - 1)) * F.col("factor")).alias("value"), (number(F.get("values", last - 1)) * F.col("factor")).alias("previous"), mode.alias("mode"), F.col("line").alias("evidence_text"))
     # amounts of money are no values of their indicators yet
-    sound = plausible(F.col("indicator_code"), F.col("value")) if table is TABLE_ROWS else F.col("value") >= 0
+    sound = plausible(F.col("indicator_code"), F.col("value")) if table is not INVESTMENTS else F.col("value") >= 0
     return out.filter(sound).dropDuplicates([*keep, "page", "indicator_code", "value"])
 
 

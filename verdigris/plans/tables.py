@@ -139,3 +139,23 @@ def ghg_reduction(spark, d):
     "FROM supplier WHERE s_suppkey % 5 <> 0")
 def payments_per_head(spark, d):
     return ops.payments_per_head(staff_pages(spark, d), ["s_suppkey"]).select("s_suppkey", "indicator_code", F.round("value", 6).alias("value"))
+
+
+ENGLISH = (
+    ("GHG emissions intensity (Scope 1 and 2)", "tCO2e/RMB million", "Q_E_GHG_INTENSITY", 10.0), ("Comprehensive energy consumption intensity", "tonnes of standard coal equivalent per RMB10,000", "Q_E_ENERGY_INTENSITY", 1000.0),
+    ("Water consumption density", "cubic metres/RMB million of revenue", "Q_E_WATER_INTENSITY", 10.0), ("NOx emission intensity", "kg/RMB million", "Q_E_NOX_INTENSITY", 10.0), ("Non-hazardous waste generation intensity", "kg per CNY 100 million", "Q_E_SOLID_WASTE_INTENSITY", 0.0001),
+    ("Hazardous waste intensity", "tonnes/RMB thousand", "Q_E_HAZ_WASTE_INTENSITY", 10000.0), ("Total greenhouse gas emissions (Scope 1 & 2)", "tonnes of CO2 equivalent", "Q_E_GHG_EMISSION", 1.0), ("Total energy consumption", "tce", "Q_E_ENERGY_CONSUMPTION", 1.0),
+    ("Total hazardous waste generated", "kg", "Q_E_HAZ_WASTE_GENERATION", 0.001), ("Percentage of female employees", "%", "Q_S_FEMALE_EMPLOYEE_RATE", 1.0), ("Hazardous waste intensity", "pounds/RMB thousand", None, 0.0), ("Total sunshine", "hours", None, 0.0),
+)
+EN_WANTED = ", ".join(f"({i}, '{c}', {f!r}::DOUBLE)" for i, (*_, c, f) in enumerate(ENGLISH) if c)
+
+
+@query("english_year_rows", sql_with(NUMBERS, f"SELECT s_suppkey, code AS indicator_code, CAST(round(CAST(now AS DOUBLE) * factor, 9) AS DOUBLE) AS value, CASE k % 3 WHEN 0 THEN 'current-first' WHEN 1 THEN 'current-last' ELSE 'single-year' END AS mode FROM n JOIN (VALUES {EN_WANTED}) AS w(i, code, factor) ON k % {len(ENGLISH)} = i"))
+def english_year_rows(spark, d):
+    k = F.col("s_suppkey")
+    now, before = F.concat((k % 40 + 1).cast("string"), F.lit(".5")), F.lit("1,234.5")
+    pick = lambda i: F.element_at(F.array(*[F.lit(r[i]) for r in ENGLISH]), (k % len(ENGLISH) + 1).cast("int"))
+    header = F.when(k % 3 == 0, "Indicator Unit 2024 2023").when(k % 3 == 1, "Indicator Unit 2023 2024").otherwise("Indicator Unit 2024")
+    values = F.when(k % 3 == 0, F.concat_ws(" ", now, before)).when(k % 3 == 1, F.concat_ws(" ", before, now)).otherwise(now)
+    pages = table(spark, d, "supplier").select("s_suppkey", F.lit(1).alias("page"), F.concat(header, F.lit("\n"), F.concat_ws(" ", pick(0), pick(1), values)).alias("page_text"))
+    return ops.year_rows(pages, ["s_suppkey"], YEAR, ops.ENGLISH_ROWS).select("s_suppkey", "indicator_code", F.round("value", 9).alias("value"), "mode")
