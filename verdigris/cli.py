@@ -12,9 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.operators import analysis, coverage, decisions, enrich, governance, graph, rules, scoring, text, universe
+from verdigris.operators import analysis, coverage, decisions, enrich, gaps, governance, graph, rules, scoring, tables, text, universe
 from verdigris.schemas import INDICATOR, OBSERVATION, methodology
-from verdigris.sources import readers, sinks
+from verdigris.sources import announcements, readers, sinks
 
 
 class Inputs:
@@ -94,6 +94,23 @@ COMMANDS: dict[str, Callable[[Inputs], DataFrame]] = {
     "prepare-quantitative-validation": lambda i: coverage.stratified_sample(i["candidates"], "indicator_code", ["company_code", "report_year", "indicator_code"], i.number("per_stratum", 20)),
     "extract-text": lambda i: rules.rule_candidates(i["pages"], ["file"]),
     "extract-statements": lambda i: text.statement_identity(text.statement_facts(i["pages"], ["file"]), ["file"]),
+    "extract-statement-facts": lambda i: tables.statement_facts(i["pages"], ["file"]),
+    "derive-statement-rates": lambda i: tables.statement_rates(tables.statement_facts(i["pages"], ["file"]), tables.summary_revenue(i["pages"], ["file"]), ["file"]),
+    "extract-year-tables": lambda i: tables.year_rows(i["pages"], ["file"], i.number("year", 2025)),
+    "extract-english-year-tables": lambda i: tables.year_rows(i["pages"], ["file"], i.number("year", 2025), tables.ENGLISH_ROWS),
+    "extract-cards": lambda i: tables.card_values(i["pages"], ["file"]),
+    "extract-summary-revenue": lambda i: tables.summary_revenue(i["pages"], ["file"]),
+    "derive-investment-rates": lambda i: tables.investment_rates(i["pages"], tables.summary_revenue(i["pages"], ["file"]), ["file"], i.number("year", 2025)),
+    "derive-payments-per-head": lambda i: tables.payments_per_head(i["pages"], ["file"]),
+    "diagnose-gaps": lambda i: gaps.gap_diagnosis(i["tasks"], i["documents"], ["company_code"]),
+    "accept-key-candidates": lambda i: decisions.accept_key_candidates(i["observations"], i["candidates"], i["methodology"]),
+    "parse-sse-announcements": lambda i: announcements.parse_announcements(i["answers"], "payload", "SSE", []),
+    "parse-szse-announcements": lambda i: announcements.parse_announcements(i["answers"], "payload", "SZSE", []),
+    "parse-bse-announcements": lambda i: announcements.parse_announcements(i["answers"], "payload", "BSE", []),
+    "parse-cninfo-announcements": lambda i: announcements.parse_announcements(i["answers"], "payload", "CNINFO", []),
+    "parse-hkex-announcements": lambda i: announcements.parse_title_search(i["answers"], "payload", []),
+    "select-reports": lambda i: announcements.reports(i["announcements"], i.number("year", 2025)),
+    "compare-keys": lambda i: universe.key_differences(i["left"], i["right"], ["stock_code"]),
     "extract-reference-codes": lambda i: readers.listed_codes(i["pages"], "page_text", ["file", "page"]),
     "page-links": lambda i: text.links(i["html"], "html", ["page_id"]),
 }
