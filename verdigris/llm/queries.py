@@ -77,6 +77,18 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from verdigris.llm.filter_audit import audit
+
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from verdigris.llm.vector_codes import compress
+
+    return compress(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_near_join": op1_near_join,
     "op2_sharding": op2_sharding,
@@ -88,8 +100,48 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_secrets": op9_secrets,
     "op10_lm_score": op10_lm_score,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_vector_codes": op12_vector_codes,
 }
 
+
+def vector_codes_sql(rounds: int = 4) -> str:
+    """Lloyd's rounds unrolled: b0, a1, b1, ... are codebooks and assignments."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""
+a{k} AS MATERIALIZED (
+  SELECT r, pos, min(dist) AS dist, arg_min(entry, dist * 256 + entry) AS entry FROM (
+    SELECT x.r, x.pos, b.entry, list_sum(list_transform(list_zip(x.part, b.part), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS dist
+    FROM parts x JOIN b{k} b USING (pos)
+  ) GROUP BY r, pos
+)""")
+        if k < rounds:
+            steps.append(f"""
+b{k + 1} AS MATERIALIZED (
+  SELECT b.pos, b.entry, coalesce(m.part, b.part) AS part FROM b{k} b LEFT JOIN (
+    SELECT pos, entry, list((s - ((s % n) + n) % n) // n ORDER BY i) AS part FROM (
+      SELECT pos, entry, i, sum(part[i])::BIGINT AS s, count(*) AS n
+      FROM (SELECT a.pos, a.entry, x.part, unnest(range(1, len(x.part) + 1)) AS i FROM a{k} a JOIN parts x USING (r, pos)) GROUP BY pos, entry, i
+    ) GROUP BY pos, entry
+  ) m USING (pos, entry)
+)""")
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, ints) AS r, vec_id, label, ints FROM (
+    SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS ints FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+  )
+), parts AS MATERIALIZED (
+  SELECT r, pos, ints[pos * len(ints) // 4 + 1 : (pos + 1) * len(ints) // 4] AS part FROM kept, range(4) AS t(pos)
+), b0 AS (SELECT pos, r - 1 AS entry, part FROM parts WHERE r <= 256),{",".join(steps)},
+book AS (SELECT sha256(string_agg(array_to_string(part, ','), ',' ORDER BY pos, entry)) AS codebooks_sha256 FROM b{rounds}),
+coded AS (SELECT r, string_agg(lower(lpad(to_hex(entry), 2, '0')), '' ORDER BY pos) AS code, sum(dist)::BIGINT AS error FROM a{rounds} GROUP BY r)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM kept JOIN coded USING (r) CROSS JOIN book
+"""
+
+
 ORACLE_SQL = {
     "op4_decontamination": r"""
 WITH words AS (
@@ -136,4 +188,41 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   CAST(sum(length(loss)) AS BIGINT) AS loss_chars, sha256(string_agg(loss, '' ORDER BY turn, role, text)) AS loss_sha256, CAST(sum(chars) AS BIGINT) AS formatted_chars
 FROM p GROUP BY conv_id
 """,
+    "op11_filter_audit": r"""
+WITH d AS (
+  SELECT doc_id, coalesce(CAST(source AS VARCHAR), '') AS part, coalesce(text, '') AS text FROM documents
+), w AS (
+  SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY text) AS least FROM d
+), f AS (
+  SELECT part,
+    len(words) < 50 AS a, 100 * len(list_distinct(words)) < 65 * len(words) AS b,
+    100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text) AS c, regexp_matches(text, '[#$%&*|]') AS d,
+    coalesce(doc_id > least, least IS NOT NULL) AS e, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+  FROM w LEFT JOIN (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY 1) USING (doc_id)
+), p AS (
+  SELECT part, (CASE WHEN a THEN 'A' ELSE '' END || CASE WHEN b THEN 'B' ELSE '' END || CASE WHEN c THEN 'C' ELSE '' END || CASE WHEN d THEN 'D' ELSE '' END || CASE WHEN e THEN 'E' ELSE '' END) AS fails,
+    count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+  FROM f GROUP BY 1, 2
+), letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+), orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS o FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), steps AS (
+  SELECT o, s, substr(o, s, 1) AS own, substr(o, 1, s - 1) AS before FROM orders, range(1, 6) AS t(s)
+), counted AS (
+  SELECT part, o, s, own,
+    coalesce(sum(n) FILTER (NOT clash AND NOT has), 0) AS kept, coalesce(sum(n) FILTER (has AND NOT clash), 0) AS removed,
+    coalesce(sum(n) FILTER (has AND clash), 0) AS redundant, coalesce(sum(n) FILTER (fails = own), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (has AND NOT clash), 0) AS good_lost, coalesce(sum(toxic) FILTER (has AND NOT clash), 0) AS toxic_lost
+  FROM (
+    SELECT p.*, steps.*, contains(fails, own) AS has, before <> '' AND regexp_matches(fails, '[' || CASE before WHEN '' THEN '-' ELSE before END || ']') AS clash
+    FROM p, steps
+  ) GROUP BY ALL
+)
+SELECT part, o AS filter_order, CAST(s AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+  CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+  CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM counted
+""",
+    "op12_vector_codes": vector_codes_sql(),
 }
