@@ -89,6 +89,12 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compress(table(spark, sf_dir, "embeddings"))
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from verdigris.llm.substring_dedup import strip_repeats
+
+    return strip_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_near_join": op1_near_join,
     "op2_sharding": op2_sharding,
@@ -102,6 +108,7 @@ QUERIES = {
     "op10_lm_score": op10_lm_score,
     "op11_filter_audit": op11_filter_audit,
     "op12_vector_codes": op12_vector_codes,
+    "op13_substring_dedup": op13_substring_dedup,
 }
 
 
@@ -225,4 +232,18 @@ SELECT part, o AS filter_order, CAST(s AS INTEGER) AS step, CAST(kept AS BIGINT)
 FROM counted
 """,
     "op12_vector_codes": vector_codes_sql(),
+    "op13_substring_dedup": r"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT r, i, array_to_string(w[i : i + 34], ' ') AS win FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)
+), gone AS (
+  SELECT DISTINCT r, unnest(range(i, i + 35)) AS p FROM (SELECT r, i, count(*) OVER (PARTITION BY win) AS n FROM windows) WHERE n > 1
+), kept AS (
+  SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS text
+  FROM (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d) x ANTI JOIN gone USING (r, p) GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+""",
 }
