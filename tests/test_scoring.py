@@ -6,8 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from verdigris.functions.numeric import erf_text
+from verdigris.functions.quantiles import order_statistics, quantiles, upper_medians
 from verdigris.operators import analysis, scoring
-from verdigris.schemas import STRATEGIES, methodology, methodology_faults
+from verdigris.operators.cache import CHANGE_COLUMNS, ScoreCache
+from verdigris.schemas import KEY, STRATEGIES, methodology, methodology_faults
+from verdigris.sources.shared import staged
+from verdigris.streaming.rescoring import rescored
 
 IND = [("a", "E", "quantitative", 60.0, "positive", None), ("b", "S", "quantitative", 40.0, "negative", 20.0), ("c", "G", "qualitative", 70.0, "positive", None), ("d", "E", "qualitative", 30.0, "bidirectional", None)]
 
@@ -85,20 +89,95 @@ def test_row_order_does_not_matter(data):
     assert key(scoring.ranking(obs, ind, ("indicator_neutral_v1",))) == key(scoring.ranking(obs.repartition(7, "value"), ind, ("indicator_neutral_v1",)))
 
 
+COLUMNS = ["company_code", "company_name", "total_score", "e_score", "s_score", "g_score", "disclosure_rate", "grade", "rank"]
+
+
+def same(a, b):
+    return sorted(map(tuple, a.select(COLUMNS).collect()), key=str) == sorted(map(tuple, b.select(COLUMNS).collect()), key=str)
+
+
+def replaced(obs, change):
+    return obs.join(change, KEY, "left_anti").unionByName(change)
+
+
 def test_incremental_equals_full(data):
     _, obs, ind = data
     strategy = "indicator_neutral_v1"
-    cache = scoring.ScoreCache(obs, ind, strategy)
+    cache = ScoreCache.build(obs, ind, strategy)
     change = obs.filter("indicator_code = 'b' AND company_code < 'C10'").withColumn("value", F.col("value") * 2)
-    keys = ["company_code", "report_year", "indicator_code"]
-    full = scoring.ranking(obs.join(change, keys, "left_anti").unionByName(change), ind, (strategy,))
-    part = cache.changed(change)
-    columns = ["company_code", "total_score", "e_score", "s_score", "g_score", "disclosure_rate", "grade", "rank"]
-    same = lambda a, b: sorted(map(tuple, a.select(columns).collect()), key=str) == sorted(map(tuple, b.select(columns).collect()), key=str)
-    assert same(full, part) and same(cache.ranking(), scoring.ranking(obs, ind, (strategy,)))
-    new = change.limit(1).withColumn("company_code", F.lit("new"))  # a company that had no cell before
-    assert same(cache.changed(new), scoring.ranking(obs.unionByName(new), ind, (strategy,)))
-    assert same(cache.changed(change.limit(0)), cache.ranking())
+    full = scoring.ranking(replaced(obs, change), ind, (strategy,))
+    part = cache.apply(change)
+    assert same(full, part.ranking()) and same(cache.ranking(), scoring.ranking(obs, ind, (strategy,)))
+    new = change.limit(1).withColumns({"company_code": F.lit("new"), "company_name": F.lit("New")})  # a company that had no cell before
+    assert same(part.apply(new).ranking(), scoring.ranking(replaced(obs, change).unionByName(new), ind, (strategy,)))
+    last = ScoreCache.open(obs.sparkSession, cache.root, ind, strategy)
+    assert last.manifest["version"] == 2
+    assert same(last.apply(change.limit(0)).ranking(), last.ranking())
+
+
+def test_names_statuses_and_repeated_rows_of_a_change(data):
+    _, obs, ind = data
+    strategy = "legacy_zero_v1"
+    twice = obs.unionByName(obs.filter("company_code < 'C05'").withColumns({"_ord": F.col("_ord") + 1000, "value": F.col("value") + 1}))  # rows that do not count for scores, but in the population
+    cache = ScoreCache.build(twice, ind, strategy)
+    assert same(cache.ranking(), scoring.ranking(twice, ind, (strategy,)))
+    change = obs.filter("company_code < 'C09'").withColumns({"_ord": -F.col("_ord") - 5, "company_name": F.concat("company_name", F.lit(" renamed")), "status": F.when(F.col("indicator_code") == "a", "not_applicable").otherwise(F.col("status"))})
+    older = change.withColumns({"_ord": F.col("_ord") - 9000, "value": F.lit(7.0)})
+    unknown = change.limit(1).withColumn("indicator_code", F.lit("no such"))
+    assert same(cache.apply(change.unionByName(older).unionByName(unknown)).ranking(), scoring.ranking(replaced(twice, change), ind, (strategy,)))
+
+
+def test_a_repeated_and_a_failed_batch(data, spark, tmp_path, monkeypatch):
+    _, obs, ind = data
+    strategy = "indicator_neutral_v1"
+    cache = ScoreCache.build(obs, ind, strategy)
+    changes = [obs.filter(f"indicator_code = '{c}' AND company_code < 'C1{i}'").withColumn("value", F.col("value") * (i + 2)) for i, c in enumerate("bab")]
+    feed = str(tmp_path / "feed")
+    want = obs
+    for change in changes:
+        change.select(*CHANGE_COLUMNS).coalesce(1).write.mode("append").parquet(feed)
+        want = replaced(want, scoring.latest_rows(change))
+    write, seen = ScoreCache._write, []
+
+    def failing(self, table, df, folder, version):
+        out = write(self, table, df, folder, version)
+        seen.append((table, version))
+        if table == "sums" and version == 2 and seen.count((table, version)) == 1:
+            raise OSError("the machine is gone")  # all partitions are written, the manifest is not
+        return out
+
+    monkeypatch.setattr(ScoreCache, "_write", failing)
+    with pytest.raises(Exception, match="the machine is gone"):
+        rescored(spark, feed, cache, str(tmp_path / "checkpoint"))
+    assert ScoreCache.open(spark, cache.root, ind, strategy).manifest["version"] == 1
+    done = rescored(spark, feed, cache, str(tmp_path / "checkpoint"))
+    assert done.manifest["version"] == 3 and seen.count(("sums", 2)) == 2
+    assert same(done.ranking(), scoring.ranking(want, ind, (strategy,)))
+    assert done.apply(changes[0], "changes", 0) is done  # delivered again
+    done.expire()
+    assert same(ScoreCache.open(spark, cache.root, ind, strategy).ranking(), scoring.ranking(want, ind, (strategy,)))
+
+
+def test_quantiles_equal_sorting(spark):
+    pick = random.Random(3)
+    odd = [0.0, -0.0, 1e300, -1e300, 5e-324, -5e-324, float("inf"), float("-inf"), 1.0, 1.0 + 2**-52]
+    groups = {"many": [pick.gauss(0, 1) for _ in range(3000)], "same": [2.5] * 500, "odd": odd, "one": [-7.25], None: [pick.choice((1.5, 2.5, -3.0)) for _ in range(999)], "near": [1 + i * 2**-52 for i in range(401)]}
+    rows = [(g, x) for g, v in groups.items() for x in v] + [("one", None), ("nothing", None)]
+    frame = staged(spark.createDataFrame(rows, "g string, x double"))
+    got = {r.g: r for r in quantiles(frame, ["g"], "x", [0.01, 0.5, 0.99]).collect()}
+    assert set(got) == set(groups)
+    for g, v in groups.items():
+        v = sorted(v)
+        assert got[g].n == len(v)
+        if g != "odd":
+            for p, q in zip((0.01, 0.5, 0.99), got[g].q, strict=True):
+                at = (len(v) - 1) * p
+                assert q == pytest.approx(v[math.floor(at)] + (v[math.ceil(at)] - v[math.floor(at)]) * (at - math.floor(at)), rel=1e-15)
+    upper = {r.g: r.upper_median for r in upper_medians(frame, ["g"], "x").collect()}
+    assert upper == {g: sorted(v)[len(v) // 2] for g, v in groups.items()}
+    ranks = order_statistics(frame.filter("g = 'odd'"), ["g"], "x", lambda n: F.sequence(F.lit(0).cast("long"), n - 1)).orderBy("rank")
+    assert [r.value for r in ranks.collect()] == sorted(odd)
+    assert quantiles(frame.filter("false"), ["g"], "x", [0.5]).count() == 0
 
 
 def test_erf(spark):

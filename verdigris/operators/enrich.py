@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdigris.functions.numeric import clip, ratio, rounded
+from verdigris.functions.quantiles import quantiles, upper_medians
 from verdigris.operators.scoring import confirmed
 from verdigris.schemas import KEY
+from verdigris.sources.shared import staged
 
 
 def _c(name: str) -> Column:
@@ -170,10 +172,12 @@ def predict(obs: DataFrame, target_year: int, max_cv: float = 0.5) -> DataFrame:
 
 def industry_benchmarks(obs: DataFrame, industries: DataFrame, least: int = 10) -> DataFrame:
     """Per industry and indicator over all years' confirmed rows: count, mean, median, sample deviation, range, confidence."""
-    known = obs.filter(confirmed()).join(industries, "company_code")
-    out = known.groupBy("industry", "indicator_code").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.percentile("value", F.lit(0.5)).alias("median"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("sd"), F.min("value").alias("low"), F.max("value").alias("high"),
-    ).filter(F.col("n") >= least)
+    group = ["industry", "indicator_code"]
+    known = staged(obs.filter(confirmed()).join(industries, "company_code").select(*group, "value"), "industry-values")
+    medians = quantiles(known, group, "value", [0.5]).select(*group, F.col("q")[0].alias("median"))
+    out = known.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("sd"), F.min("value").alias("low"), F.max("value").alias("high"),
+    ).filter(F.col("n") >= least).join(medians, group)
     variation = F.when(F.col("mean") != 0, clip(1 - F.abs(F.col("sd") / F.col("mean")) / 2, 0.3, 1.0)).otherwise(0.3)
     return out.withColumn("confidence", F.least(F.lit(1.0), F.col("n") / 30) * variation * 0.7)
 
@@ -192,8 +196,8 @@ def impute(obs: DataFrame, industries: DataFrame, year: int, allowed: list[str],
 
 def upper_median(obs: DataFrame, group: list[str], least: int = 3, most: float = 1e10) -> DataFrame:
     """Variant: the upper of the two middle values, over values in 0..most."""
-    known = obs.filter(confirmed() & F.col("value").between(0, most))
-    return known.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY value DESC)").alias("upper_median")).filter(F.col("n") >= least)
+    known = staged(obs.filter(confirmed() & F.col("value").between(0, most)).select(*group, "value"), "median-values")
+    return upper_medians(known, group, "value").filter(F.col("n") >= least)
 
 
 def prefer(extracted: DataFrame, derived: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdigris.functions.numeric import normal_cdf_text, rounded, rounded_text
+from verdigris.functions.quantiles import quantiles
 from verdigris.schemas import DIMENSIONS, KEY, KINDS, STRATEGIES
 from verdigris.sources.shared import staged
 
@@ -31,10 +32,11 @@ def latest_rows(obs: DataFrame, order: str = "_ord") -> DataFrame:
 def population_stats(obs: DataFrame, minimum: int = MINIMUM_POPULATION) -> DataFrame:
     """indicator_code, population_count, mean, stddev (population), thin; clamped to the 1% and 99% quantiles from 20 up.
 
-    The limits are one row per indicator, broadcast back, so values are read twice and never gathered by company.
+    The limits are exact, by histograms of bits: no task gathers an indicator's values. They are one row per indicator,
+    broadcast back. obs is read once a pass, so it is to be staged.
     """
     known = obs.filter(confirmed()).select("indicator_code", "value")
-    limits = known.groupBy("indicator_code").agg(F.count(F.lit(1)).alias("n"), F.percentile("value", F.array(F.lit(0.01), F.lit(0.99))).alias("q"))
+    limits = quantiles(known, ["indicator_code"], "value", [0.01, 0.99])
     clamped = F.when(F.col("n") >= WINSOR_LEAST, F.least(F.greatest("value", F.col("q")[0]), F.col("q")[1])).otherwise(F.col("value"))
     # one row for each indicator of the methodology: a fixed, small table
     return known.join(F.broadcast(limits), "indicator_code").groupBy("indicator_code").agg(
@@ -79,26 +81,35 @@ def score_details(obs: DataFrame, indicators: DataFrame, strategy: str, stats: D
     )
 
 
-def roll_up(cells: DataFrame, indicators: DataFrame, strategies: tuple[str, ...] = STRATEGIES) -> DataFrame:
-    """strategy, company_code, company_name, quantitative, qualitative, e, s, g and total scores, disclosure_rate.
+#: Sums of scores and weights are whole multiples of 1 / UNIT: exact, whatever the order of rows, so that changes can be added.
+UNIT = "1e12D"
+PAIRS = [(k, d) for k in KINDS for d in DIMENSIONS]
+SUMS = [f"{x}_{k}_{d}" for k, d in PAIRS for x in "swn"]
 
-    All strategies come from one aggregation of the present cells: what a company lacks counts by the totals of weights.
-    """
-    pairs = [(k, d) for k in KINDS for d in DIMENSIONS]
-    sums = ["min_by(company_name, _ord) AS company_name", "count(score) AS confirmed"]
-    totals = ["count(*) AS indicators"]
-    for k, d in pairs:
+
+def exact(x: str) -> str:
+    return f"CAST(round({x} * {UNIT}) AS BIGINT)"
+
+
+def company_sums(cells: DataFrame, *others: str) -> DataFrame:
+    """By company: confirmed cells, and by kind and dimension the sums of weighted scores (s), known weights (w) and weights of what does not apply (n)."""
+    sums = ["count(score) AS confirmed", *others]
+    for k, d in PAIRS:
         own = f"kind = '{k}' AND dimension = '{d}'"
         sums += [
-            f"coalesce(sum(score * weight / 100) FILTER (WHERE {own}), 0D) AS s_{k}_{d}", f"coalesce(sum(weight) FILTER (WHERE {own} AND score IS NOT NULL), 0D) AS w_{k}_{d}",
-            f"coalesce(sum(weight) FILTER (WHERE {own} AND status = 'not_applicable'), 0D) AS n_{k}_{d}",
+            f"coalesce(sum({exact('score * weight / 100')}) FILTER (WHERE {own}), 0L) AS s_{k}_{d}", f"coalesce(sum({exact('weight')}) FILTER (WHERE {own} AND score IS NOT NULL), 0L) AS w_{k}_{d}",
+            f"coalesce(sum({exact('weight')}) FILTER (WHERE {own} AND status = 'not_applicable'), 0L) AS n_{k}_{d}",
         ]
-        totals.append(f"coalesce(sum(weight) FILTER (WHERE {own}), 0D) AS t_{k}_{d}")
-    by_company = cells.groupBy("company_code").agg(*map(F.expr, sums))
-    wide = by_company.crossJoin(F.broadcast(indicators.agg(*map(F.expr, totals))))  # one row of weight totals
+    return cells.groupBy("company_code").agg(*map(F.expr, sums))
+
+
+def scores(sums: DataFrame, indicators: DataFrame, strategies: tuple[str, ...] = STRATEGIES) -> DataFrame:
+    """strategy, company_code, company_name, quantitative, qualitative, e, s, g and total scores, disclosure_rate from companies' sums."""
+    totals = ["count(*) AS indicators", *[f"coalesce(sum({exact('weight')}) FILTER (WHERE kind = '{k}' AND dimension = '{d}'), 0L) AS t_{k}_{d}" for k, d in PAIRS]]
+    wide = sums.crossJoin(F.broadcast(indicators.agg(*map(F.expr, totals))))  # one row of weight totals
     out = None
     for strategy in strategies:
-        part = {(k, d): f"(s_{k}_{d} + 0.5D * (t_{k}_{d} - w_{k}_{d} - n_{k}_{d}))" if strategy == "indicator_neutral_v1" else f"s_{k}_{d}" for k, d in pairs}
+        part = {(k, d): f"((s_{k}_{d} + 0.5D * (t_{k}_{d} - w_{k}_{d} - n_{k}_{d})) / {UNIT})" if strategy == "indicator_neutral_v1" else f"(s_{k}_{d} / {UNIT})" for k, d in PAIRS}
         kind = {k: "(" + " + ".join(part[k, d] for d in DIMENSIONS) + ")" for k in KINDS}
         if strategy == "disclosed_weight_v1":
             every = lambda x, k: "(" + " + ".join(f"{x}_{k}_{d}" for d in DIMENSIONS) + ")"
@@ -113,6 +124,11 @@ def roll_up(cells: DataFrame, indicators: DataFrame, strategies: tuple[str, ...]
     return out
 
 
+def roll_up(cells: DataFrame, indicators: DataFrame, strategies: tuple[str, ...] = STRATEGIES) -> DataFrame:
+    """Scores of companies under each strategy, all from one aggregation of the present cells: what a company lacks counts by the totals of weights."""
+    return scores(company_sums(cells, "min_by(company_name, _ord) AS company_name"), indicators, strategies)
+
+
 GRADES = (("AAA", 90), ("AA", 75), ("A", 60), ("BBB", 50), ("BB", 40), ("B", 30), ("C", 20))
 FLAGS = ("major_safety_incident", "major_environment_incident", "major_hazard_unrectified", "accident_misreport")
 
@@ -147,53 +163,15 @@ def ranking(obs: DataFrame, indicators: DataFrame, strategies: tuple[str, ...] =
         obs = obs.join(universe.select("company_code").distinct(), "company_code", "left_semi")
     obs = staged(obs.select(*KEY, "company_name", "value", "status", "_ord"), "observations")
     stats = population_stats(obs, minimum)
-    scores = staged(roll_up(scored_cells(latest_rows(obs), indicators, stats), indicators, strategies), "scores")
-    return dense_ranks(grades(scores), within=("strategy",))
+    rolled = staged(roll_up(scored_cells(latest_rows(obs), indicators, stats), indicators, strategies), "scores")
+    return dense_ranks(grades(rolled), within=("strategy",))
 
 
 def population_baseline(obs: DataFrame, indicators: DataFrame, minimum: int = MINIMUM_POPULATION) -> DataFrame:
     """Every indicator with its population, statistics and whether it is empty, thin or sufficient."""
-    stats = population_stats(obs, minimum)
+    stats = population_stats(staged(obs.select("indicator_code", "value", "status"), "observations"), minimum)
     n = F.coalesce("population_count", F.lit(0)).cast("long")
     return indicators.withColumnRenamed("code", "indicator_code").join(F.broadcast(stats), "indicator_code", "left").select(
         "indicator_code", "dimension", "kind", n.alias("population_count"), rounded(F.col("mean"), 6).alias("mean"), rounded(F.col("stddev"), 6).alias("stddev"),
         F.when(n == 0, "empty").when(n < minimum, "thin").otherwise("sufficient").alias("population_state"), F.greatest(F.lit(minimum) - n, F.lit(0)).cast("long").alias("population_deficit"),
     )
-
-
-CELLS = ["company_code", "company_name", "indicator_code", "status", "score", "kind", "dimension", "weight", "_ord"]
-
-
-class ScoreCache:
-    """What rescoring after a change needs: observations and scored cells by indicator, and the companies' scores.
-
-    Both tables are written in folders by indicator, so a change reads those of its indicators alone, and every company's
-    score keeps its row until one of its cells moves.
-    """
-
-    def __init__(self, obs: DataFrame, indicators: DataFrame, strategy: str, minimum: int = MINIMUM_POPULATION):
-        self.indicators, self.strategy, self.minimum = indicators, strategy, minimum
-        self.obs = staged(obs.select(*KEY, "company_name", "value", "status", "_ord"), "observations", by="indicator_code")
-        cells = scored_cells(latest_rows(self.obs), indicators, population_stats(self.obs, minimum))
-        self.cells = staged(cells.select(*CELLS), "cells", by="indicator_code")
-        self.scores = staged(roll_up(self.cells, indicators, (strategy,)), "scores")
-
-    def ranking(self) -> DataFrame:
-        return dense_ranks(grades(self.scores), within=("strategy",))
-
-    def changed(self, changes: DataFrame) -> DataFrame:
-        """The ranking after replacing cells by `changes`: only companies that hold an affected indicator are scored anew.
-
-        One changed value moves its indicator's population, and so the score of every company with a confirmed value of
-        it. Statistics and cells are computed for those indicators alone; other cells and companies come from the cache.
-        """
-        changes = staged(changes.select(*KEY, "company_name", "value", "status", "_ord"), "changes")
-        moved = [r.indicator_code for r in changes.select("indicator_code").distinct().collect()]  # indicators of one methodology: 80 at most
-        before = self.obs.filter(F.col("indicator_code").isin(moved))
-        after = before.join(changes.select(*KEY), KEY, "left_anti").unionByName(changes)
-        fresh = scored_cells(latest_rows(after), self.indicators, population_stats(after, self.minimum)).select(*CELLS)
-        touched = before.select("company_code").union(changes.select("company_code")).distinct()
-        others = self.cells.filter(~F.col("indicator_code").isin(moved)).join(touched, "company_code", "left_semi")
-        again = roll_up(others.select(*CELLS).unionByName(fresh), self.indicators, (self.strategy,))
-        kept = self.scores.join(touched, "company_code", "left_anti").select(*again.columns)
-        return dense_ranks(grades(staged(kept.unionByName(again), "scores")), within=("strategy",))

@@ -10,6 +10,7 @@ from verdigris.operators import governance as ops
 from verdigris.plans import decisions as dplan
 from verdigris.plans import scoring as splan
 from verdigris.plans.binding import CANDIDATES, IND, OBS, YEAR, candidates, indicators, observations, sql_round, sql_with, table
+from verdigris.sources.shared import staged
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -54,7 +55,7 @@ def benchmark_injection(spark, d):
 def thin_methodology_review(spark, d):
     obs = observations(spark, d, YEAR)
     gaps = obs.filter("status <> 'confirmed'").select("indicator_code", F.col("status").alias("category"))
-    return ops.thin_review(scoring.population_stats(obs), gaps, 75)
+    return ops.thin_review(scoring.population_stats(staged(obs.select("indicator_code", "value", "status"), "observations")), gaps, 75)
 
 
 @query("merge_indexes", "SELECT 'u' || CAST(l_partkey AS VARCHAR) AS source_url, 's' || CAST(arg_min(l_suppkey, l_orderkey * 10000000 + l_suppkey * 100 + l_linenumber) % 3 AS VARCHAR) AS sha256, arg_min(l_quantity, l_orderkey * 10000000 + l_suppkey * 100 + l_linenumber) AS size, count(*) AS entries, count(DISTINCT l_suppkey % 3) > 1 AS conflict "

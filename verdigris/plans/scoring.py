@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from verdigris.functions.numeric import erf_text, normal_cdf_text, plain_number, rounded
 from verdigris.operators import analysis, scoring
+from verdigris.operators.cache import CHANGE_COLUMNS, ScoreCache
 from verdigris.plans.binding import IND, OBS, YEAR, indicators, observations, sql_erf, sql_round, sql_with
 from verdigris.schemas import STRATEGIES, methodology_faults
+from verdigris.sources.shared import staged
+from verdigris.streaming.rescoring import rescored
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -95,7 +98,7 @@ def erf_table(spark, d):
 
 @query("population_stats", sql_with(OBS, IND, ONE_YEAR, STATS, f"SELECT indicator_code, population_count, {sql_round('mean', 6)} AS mean, {sql_round('stddev', 6)} AS stddev, thin_population FROM stats"))
 def population_stats(spark, d):
-    return scoring.population_stats(year(spark, d)).withColumns({"mean": rounded(F.col("mean"), 6), "stddev": rounded(F.col("stddev"), 6)})
+    return scoring.population_stats(staged(year(spark, d).select("indicator_code", "value", "status"), "observations")).withColumns({"mean": rounded(F.col("mean"), 6), "stddev": rounded(F.col("stddev"), 6)})
 
 
 for _s in STRATEGIES:
@@ -295,14 +298,28 @@ def cache_change(spark, d):
 
 
 def score_cache(spark, d):
-    """The cache of a year, and a change of it."""
+    """The cache of a year, and a change of it as a table of its own."""
     obs = year(spark, d)
     new = obs.filter("indicator_code = 'Brand#3' AND source_page >= 3").withColumn("value", F.col("value") + 5)
-    return scoring.ScoreCache(obs, indicators(spark), "indicator_neutral_v1"), new
+    return ScoreCache.build(obs, indicators(spark), "indicator_neutral_v1"), staged(new, "changes")
 
 
 def change_cache(cache, new):
-    return cache.changed(new)
+    return cache.apply(new).ranking()
+
+
+@query("stream_rescoring", sql_with(CHANGED, "obs AS (SELECT company_code, company_name, report_year, indicator_code, CASE WHEN indicator_code IN ('Brand#3', 'Brand#12') AND source_page >= 3 THEN value + 5 "
+    "WHEN indicator_code = 'Brand#22' AND value > 30 THEN NULL ELSE value END AS value, CASE WHEN indicator_code = 'Brand#22' AND value > 30 THEN 'not_applicable' ELSE status END AS status, source_url, source_file, source_page, evidence_text, confidence, _ord FROM obs0)",
+    *CHAIN[1:], f"{RANKED} WHERE strategy = 'indicator_neutral_v1'"))
+def stream_rescoring(spark, d):
+    """The ranking after a stream of changes, in three files that arrive one after the other; the first and the last change the same cells."""
+    obs = year(spark, d)
+    cache = ScoreCache.build(obs, indicators(spark), "indicator_neutral_v1")
+    higher = obs.filter("indicator_code IN ('Brand#3', 'Brand#12') AND source_page >= 3")
+    feed = [higher.withColumn("value", F.col("value") * 2), obs.filter("indicator_code = 'Brand#22' AND value > 30").withColumns({"value": F.lit(None).cast("double"), "status": F.lit("not_applicable")}), higher.withColumn("value", F.col("value") + 5)]
+    for part in feed:
+        part.select(*CHANGE_COLUMNS).coalesce(1).write.mode("append").parquet(f"{cache.root}/feed")
+    return rescored(spark, f"{cache.root}/feed", cache, f"{cache.root}/stream").ranking()
 
 
 @query("number_format", "SELECT s_suppkey, CASE WHEN x LIKE '%.%' THEN regexp_replace(regexp_replace(x, '0+$', ''), '\\.$', '') ELSE x END AS shown "
