@@ -353,35 +353,6 @@ def statement_rates(facts: DataFrame, revenue: DataFrame, keep: list[str]) -> Da
     return joined.select(*keep, F.inline(F.array(*every))).filter("value IS NOT NULL")
 
 
-#: Totals (tonnes, tonnes of coal) that give an intensity per 10,000 yuan of revenue, with the factor to its unit and its bound.
-TOTALS = {
-    "Q_E_GHG_EMISSION": ("Q_E_GHG_INTENSITY", 1e3, 1e5), "Q_E_ENERGY_CONSUMPTION": ("Q_E_ENERGY_INTENSITY", 1e3, 1e5), "Q_E_WATER_CONSUMPTION": ("Q_E_WATER_INTENSITY", 1e3, 1e7),
-    "Q_E_SO2_EMISSION": ("Q_E_SO2_INTENSITY", 1e6, 1e6), "Q_E_NOX_EMISSION": ("Q_E_NOX_INTENSITY", 1e6, 1e6), "Q_E_PM_EMISSION": ("Q_E_PM_INTENSITY", 1e6, 1e6),
-    "Q_E_WASTEWATER_DISCHARGE": ("Q_E_WASTEWATER_INTENSITY", 1e3, 1e7), "Q_E_SOLID_WASTE_GENERATION": ("Q_E_SOLID_WASTE_INTENSITY", 1e3, 1e6), "Q_E_HAZ_WASTE_GENERATION": ("Q_E_HAZ_WASTE_INTENSITY", 1e3, 1e6),
-}
-
-
-def total_intensities(totals: DataFrame, revenue: DataFrame, direct: DataFrame, key: list[str], spread: float = 1e-4) -> DataFrame:
-    """key, indicator_code, value: a company's totals over its revenue, across documents.
-
-    totals (key, indicator_code, value) and revenue (key, revenue) may come from several documents: values that differ by
-    more than the relative spread leave the company without. A company that states an intensity keeps that; values
-    beyond an intensity's bound are dropped.
-    """
-    def agreed(df: DataFrame, by: list[str], x: str) -> DataFrame:
-        found = df.groupBy(*by).agg(F.min(x).alias(x), F.max(x).alias("_most"))
-        return found.filter(F.col("_most") - F.col(x) <= spread * F.greatest(F.abs("_most"), F.abs(x))).drop("_most")
-
-    joined = agreed(totals.filter(F.col("indicator_code").isin(*TOTALS)), [*key, "indicator_code"], "value").join(agreed(revenue.filter("revenue > 0"), key, "revenue"), key)
-    code = F
-    for total, (intensity, _, _) in TOTALS.items():
-        code = code.when(F.col("indicator_code") == total, F.lit(intensity))
-    factor, bound = (lookup(F.col("indicator_code"), {t: x[k] for t, x in TOTALS.items()}) for k in (1, 2))
-    rows = joined.select(*key, code.alias("_code"), (F.col("value") * factor / (F.col("revenue") / 10_000)).alias("_value"), bound.alias("_bound"))
-    rows = rows.filter("_value > 0 AND _value <= _bound").select(*key, F.col("_code").alias("indicator_code"), F.col("_value").alias("value"))
-    return rows.join(direct.select(*key, "indicator_code").distinct(), [*key, "indicator_code"], "left_anti")
-
-
 def ghg_reduction(rows: DataFrame, keep: list[str]) -> DataFrame:
     """Reduction of the greenhouse-gas total from a row with both years, in percent; rows that say that their scope changed give none."""
     cut = (F.col("previous") - F.col("value")) / F.nullif("previous", F.lit(0.0)) * 100

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from verdigris.operators import tables as ops
+from verdigris.operators import totals
 from verdigris.plans.binding import sql_with, table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -101,16 +102,57 @@ def statement_rates(spark, d):
     return rates.select("s_suppkey", "indicator_code", F.round("value", 4).alias("value"))
 
 
-@query("total_intensities", sql_with(NUMBERS, BOOKS, """SELECT s_suppkey, code AS indicator_code, round(CAST(now AS DOUBLE) * f / (revenue / 10000), 6)::DOUBLE AS value FROM s JOIN n USING (s_suppkey)
+#: Of each kind of total one page: label, unit, kilograms of the unit, indicator, and the indicator's bounds.
+KINDS = (
+    ("温室气体排放总量", "万吨二氧化碳当量", 1e7, "Q_E_GHG_INTENSITY", 0.001, 2e5), ("用水总量", "立方米", 1e3, "Q_E_WATER_INTENSITY", 0.001, 5e6), ("二氧化硫排放总量", "千克", 1.0, "Q_E_SO2_INTENSITY", 0.001, 1e5),
+    ("危险废物产生量", "吨", 1e3, "Q_E_HAZ_WASTE_INTENSITY", 0.0001, 1e5), ("综合能源消耗总量", "吨标准煤", 1e3, "Q_E_ENERGY_INTENSITY", 0.0001, 1e5),
+)
+
 
-  JOIN (VALUES (7, 'Q_E_GHG_INTENSITY', 1e7::DOUBLE), (8, 'Q_E_WATER_INTENSITY', 1e3::DOUBLE), (9, 'Q_E_SO2_INTENSITY', 1e3::DOUBLE), (10, 'Q_E_HAZ_WASTE_INTENSITY', 1e3::DOUBLE), (11, 'Q_E_ENERGY_INTENSITY', 1e3::DOUBLE)) AS w(i, code, f) ON s.k % 15 = i
-  WHERE s.k % 4 < 3 AND NOT (s.k % 3 = 0 AND code = 'Q_E_ENERGY_INTENSITY') AND NOT (s.k % 3 = 1 AND code = 'Q_E_HAZ_WASTE_INTENSITY')"""))
+def emission_pages(spark, d):
+    """Two documents of each customer, each with a page with a total and one with scopes.
+
+    Every seventh customer's documents differ in the total. The second page states scopes 1 and 2 alone, or a total with
+    scopes that close or not, or with scope 3, by location and market, or a zero in a section of gases.
+    """
+    c, i = F.col("c_custkey"), F.col("document")
+    pick = lambda n: F.element_at(F.array(*[F.lit(r[n]) for r in KINDS]), (c % len(KINDS) + 1).cast("int"))
+    amount = (c * 10 + F.when(c % 7 == 0, i).otherwise(0)).cast("string")
+    header = F.lit(f"指标 单位 {YEAR - 1}年 {YEAR}年\n")
+    table_page = F.concat(header, pick(0), F.lit(" "), pick(1), F.lit(" 77 "), amount, F.lit("\n"))
+    one, two = (c * 3).cast("string"), (c * 5).cast("string")
+    rows = F.concat(F.lit("范围1温室气体排放总量 吨二氧化碳当量 7 "), one, F.lit("\n范围2温室气体排放总量 吨二氧化碳当量 7 "), two, F.lit("\n"))
+    stated = lambda x: F.concat(header, F.lit("温室气体排放总量 吨二氧化碳当量 9 "), x.cast("string"), F.lit("\n"))
+    scopes = (
+        F.when(c % 6 == 0, F.concat(F.lit("范围一排放 "), one, F.lit(" 吨\n范围二排放 "), two, F.lit(" 吨\n"))).when(c % 6 == 1, F.concat(stated(c * 8), rows)).when(c % 6 == 2, F.concat(stated(c * 9), rows))
+        .when(c % 6 == 3, F.concat(stated(c * 8), F.lit("范围三温室气体排放量 吨二氧化碳当量 4 "), two, F.lit("\n")))
+        .when(c % 6 == 4, F.concat(F.lit("范围一排放 "), one, F.lit(" 吨\n范围二排放基于市场 1 吨\n范围二排放基于位置 "), two, F.lit(" 吨\n")))
+        .otherwise(F.concat(header, F.lit("气体污染物排放\n氮氧化物 千克 5 0\n二氧化硫 千克 4 0\n")))
+    )
+    documents = table(spark, d, "customer").select("c_custkey", F.explode(F.array(F.lit(0), F.lit(1))).alias("document"))
+    return documents.select(c.alias("company"), "document", F.inline(F.array(F.struct(F.lit(1).alias("page"), table_page.alias("page_text")), F.struct(F.lit(2).alias("page"), scopes.alias("page_text")))))
+
+
+TOTALS_SQL = f"""kinds AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{c}', {kilos!r}::DOUBLE)" for i, (_, _, kilos, c, _, _) in enumerate(KINDS))}) AS t(slot, code, kilos)),
+limits AS (SELECT * FROM (VALUES {", ".join(f"('{c}', {low!r}::DOUBLE, {high!r}::DOUBLE)" for _, _, _, c, low, high in KINDS)}, ('Q_E_NOX_INTENSITY', 0.001, 1e5)) AS t(code, low, high)),
+totals AS (
+  SELECT c_custkey AS company, code, (c_custkey * 10 + CASE WHEN c_custkey % 7 = 0 THEN i ELSE 0 END) * kilos AS kg, false AS named FROM customer CROSS JOIN range(2) AS r(i) JOIN kinds ON c_custkey % {len(KINDS)} = kinds.slot WHERE c_custkey > 0 OR i > 0
+  UNION ALL SELECT c_custkey, 'Q_E_GHG_INTENSITY', c_custkey * 8000.0, c_custkey % 6 <> 1 FROM customer WHERE c_custkey % 6 IN (0, 1, 4)
+  UNION ALL SELECT c_custkey, 'Q_E_NOX_INTENSITY', 0.0, false FROM customer WHERE c_custkey % 6 = 5
+), told AS (
+  SELECT company, code, CASE WHEN max(kg) - min(kg) <= 1e-4 * greatest(max(kg), 1) THEN min(kg)
+    WHEN max(kg) FILTER (named) - min(kg) FILTER (named) <= 1e-4 * greatest(max(kg) FILTER (named), 1) THEN min(kg) FILTER (named) END AS kg
+  FROM totals GROUP BY 1, 2
+)"""
+
+
+@query("total_intensities", sql_with(TOTALS_SQL, """SELECT company, code AS indicator_code, round(kg * CASE WHEN code IN ('Q_E_SO2_INTENSITY', 'Q_E_NOX_INTENSITY') THEN 1000 ELSE 1 END * 10000 / ((company % 1000 + 1) * 1e7), 6)::DOUBLE AS value
+FROM told JOIN limits USING (code) WHERE kg IS NOT NULL AND (kg * CASE WHEN code IN ('Q_E_SO2_INTENSITY', 'Q_E_NOX_INTENSITY') THEN 1000 ELSE 1 END * 10000 / ((company % 1000 + 1) * 1e7) BETWEEN low AND high OR kg = 0 AND code = 'Q_E_NOX_INTENSITY')"""))
 def total_intensities(spark, d):
-    pages = report_pages(spark, d)
-    rows = ops.year_rows(pages, ["s_suppkey"], YEAR)
-    direct = rows.filter("indicator_code LIKE '%_INTENSITY'").select("s_suppkey", "indicator_code").union(ops.card_values(pages, ["s_suppkey"]).select("s_suppkey", "indicator_code"))
-    found = ops.total_intensities(rows, ops.summary_revenue(pages, ["s_suppkey"]), direct, ["s_suppkey"])
-    return found.select("s_suppkey", "indicator_code", F.round("value", 6).alias("value"))
+    pages = emission_pages(spark, d)
+    found = totals.page_totals(pages, ["company", "document"], YEAR)
+    revenue = pages.select("company").distinct().withColumn("revenue", (F.col("company") % 1000 + 1) * 1e7)
+    return totals.derived_intensities(found, revenue, totals.stated_intensities(pages, ["company"]), ["company"]).select("company", "indicator_code", F.round("value", 6).alias("value"))
 
 
 def staff_pages(spark, d):
