@@ -1,9 +1,7 @@
-"""Why an indicator has no candidate, from a document's text: classes by what the text says around the indicator's subject."""
+"""Why an indicator has no candidate, from a company's texts: classes by what they say around the indicator's subject."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,45 +49,56 @@ DIVIDEND = r"(?is)(?:每股(?:现金)?分红|股息每股|dividend\s+per\s+share
 # End of fixed values.
 
 
-def environmental(text: Column, code: str) -> Column:
-    """Classes of an intensity: what stands with subject and intensity together, else what stands around the subject's total."""
-    subject = SUBJECTS[code]
-    together = F.regexp_substr(text, F.lit(rf"(?is)(?:{subject}.{{0,160}}{INTENSITY}|{INTENSITY}.{{0,160}}{subject}).{{0,180}}"))
-    total = F.regexp_substr(text, F.lit(rf"(?is).{{0,120}}(?:{PHYSICAL[code]}).{{0,180}}"))
-    in_yuan = (text.rlike(YUAN) & text.rlike("(?i)revenue|营业收入")) | text.rlike(r"营业收入[^。；;\n]{0,16}(?:人民币)?元")
-    return (
-        F.when(together.rlike(FOREIGN), "disclosed_foreign_currency_denominator").when(together.rlike(YUAN_REVENUE), "likely_methodology_compatible_rule_gap")
-        .when(together.rlike(OTHER_DENOMINATOR), "disclosed_non_revenue_denominator").when(together.isNotNull(), "ambiguous_intensity_disclosure")
-        .when(~text.rlike(f"(?i){subject}"), "no_matching_disclosure_in_text").when(total.isNotNull() & in_yuan & total.rlike(SCOPE), "disclosed_scope_mismatch_requires_review")
-        .when(total.isNotNull() & in_yuan & ~total.rlike(NO_TOTAL), "possible_total_plus_rmb_revenue_derivation").otherwise("related_disclosure_without_compatible_intensity")
-    )
+NO_TEXT = "missing_text"
 
 
-def closure(text: Column, code: str) -> Column:
-    left, right, name = CLOSURES[code]
-    return F.when(text.rlike(f"(?i){left}") & text.rlike(f"(?i){right}"), name).otherwise("related_fields_incomplete")
+def _evidence(code: Column, text: Column) -> Column:
+    """What one text shows of an indicator: a class that it decides alone, and the halves of what texts decide together."""
+    nothing, no = F.lit(None).cast("string"), F.lit(False)
 
+    def of(hit=nothing, left=no, right=no, subject=no, total=nothing) -> Column:
+        return F.struct(hit.alias("hit"), left.alias("left"), right.alias("right"), subject.alias("subject"), total.alias("total"))
 
-def gap_class(code: Column, text: Column) -> Column:
-    """The class of a missing indicator in a document's text; a null text counts as empty."""
-    text = F.coalesce(text, F.lit(""))
-    share = text
     dividend = F.regexp_substr(text, F.lit(DIVIDEND))
-    out = F.when(code == "Q_E_ALTERNATIVE_WATER_RATE", F.when(share.rlike(f"(?i){WATER_RATE}"), "possible_direct_alternative_water_rate").when(text.rlike(f"(?i){WATER_PART}") & text.rlike(f"(?i){WATER_TOTAL}"), "possible_alternative_water_formula_closure").otherwise("related_fields_incomplete"))
-    out = out.when(code == "Q_S_DIVIDEND_PER_SHARE", F.when(dividend.isNull(), "no_dividend_per_share_disclosure").when(dividend.rlike(r"(?i)HKD|HK\$|港元|cents?"), "dividend_disclosed_foreign_currency").when(dividend.rlike("(?i)RMB|人民币|元"), "possible_rmb_dividend_rule_gap").otherwise("ambiguous_dividend_per_share"))
-    for name in CLOSURES:
-        out = out.when(code == name, closure(text, name))
-    for name in SUBJECTS:
-        out = out.when(code == name, environmental(text, name))
-    return out.when(code.startswith("Q_E_"), "requires_specialized_environmental_diagnostic").otherwise("no_closed_formula_detected")
+    found = F.when(code == "Q_E_ALTERNATIVE_WATER_RATE", of(F.when(text.rlike(f"(?i){WATER_RATE}"), "possible_direct_alternative_water_rate"), text.rlike(f"(?i){WATER_PART}"), text.rlike(f"(?i){WATER_TOTAL}")))
+    found = found.when(code == "Q_S_DIVIDEND_PER_SHARE", of(
+        F.when(dividend.rlike(r"(?i)HKD|HK\$|港元|cents?"), "dividend_disclosed_foreign_currency").when(dividend.rlike("(?i)RMB|人民币|元"), "possible_rmb_dividend_rule_gap").when(dividend.isNotNull(), "ambiguous_dividend_per_share")))
+    for name, (left, right, _) in CLOSURES.items():
+        found = found.when(code == name, of(left=text.rlike(f"(?i){left}"), right=text.rlike(f"(?i){right}")))
+    for name, subject in SUBJECTS.items():
+        together = F.regexp_substr(text, F.lit(rf"(?is)(?:{subject}.{{0,160}}{INTENSITY}|{INTENSITY}.{{0,160}}{subject}).{{0,180}}"))
+        total = F.regexp_substr(text, F.lit(rf"(?is).{{0,120}}(?:{PHYSICAL[name]}).{{0,180}}"))
+        hit = (
+            F.when(together.rlike(FOREIGN), "disclosed_foreign_currency_denominator").when(together.rlike(YUAN_REVENUE), "likely_methodology_compatible_rule_gap")
+            .when(together.rlike(OTHER_DENOMINATOR), "disclosed_non_revenue_denominator").when(together.isNotNull(), "ambiguous_intensity_disclosure")
+        )
+        state = F.when(total.rlike(SCOPE), "disclosed_scope_mismatch_requires_review").when(total.rlike(NO_TOTAL), "related_disclosure_without_compatible_intensity").when(total.isNotNull(), "possible_total_plus_rmb_revenue_derivation")
+        found = found.when(code == name, of(hit, text.rlike(YUAN), text.rlike("(?i)revenue|营业收入"), text.rlike(f"(?i){subject}"), state))
+    return found
 
 
-def gap_diagnosis(tasks: DataFrame, documents: DataFrame, key: list[str]) -> DataFrame:
-    """key, indicator_code, class, documents: the most telling class among a company's documents for each missing indicator.
+def gap_diagnosis(tasks: DataFrame, documents: DataFrame, key: list[str], order: str | None = None) -> DataFrame:
+    """key, indicator_code, class, documents: why a company has no candidate for an indicator, from all its texts together.
 
-    Documents keep their rows; only classes are gathered, by the order below.
+    Halves of a formula may stand in different documents (assets in one, liabilities in another). Where one text decides, the
+    first in `order` that does counts. Documents without text are as if they were not there, and a company that has no
+    text at all is missing_text. Texts keep their rows; only flags are gathered.
     """
-    rows = tasks.select(*key, "indicator_code").join(documents.select(*key, "text"), key, "left").withColumn("class", gap_class(F.col("indicator_code"), F.col("text")))
-    order = ["likely_methodology", "possible_", "disclosed_", "dividend_", "ambiguous_", "related_", "requires_", "no_"]
-    place = reduce(lambda acc, x: F.when(F.col("class").startswith(x[1]), x[0]).otherwise(acc), reversed(list(enumerate(order))), F.lit(len(order)))
-    return rows.groupBy(*key, "indicator_code").agg(F.min_by("class", F.struct(place.alias("p"), F.col("class"))).alias("class"), F.count("text").alias("documents"))
+    place = F.col(f"`{order}`") if order else F.lit(0)
+    texts = documents.filter(F.col("text").isNotNull()).select(*key, "text", place.alias("_place"))
+    rows = tasks.select(*key, "indicator_code").distinct().join(texts, key, "left")
+    in_yuan = F.col("text").rlike(r"营业收入[^。；;\n]{0,16}(?:人民币)?元")
+    seen = rows.withColumn("_e", F.when(F.col("text").isNotNull(), _evidence(F.col("indicator_code"), F.col("text")))).withColumn("_yuan", in_yuan)
+    e = lambda name: F.col(f"_e.{name}")
+    first = lambda name: F.min_by(e(name), F.when(e(name).isNotNull(), F.struct("_place", e(name).alias("x"))))
+    some = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    told = seen.groupBy(*key, "indicator_code").agg(
+        F.count("text").alias("documents"), first("hit").alias("hit"), first("total").alias("total"), some(e("left")).alias("left"), some(e("right")).alias("right"), some(e("subject")).alias("subject"), some(F.col("_yuan")).alias("yuan"))
+    code, both = F.col("indicator_code"), F.col("left") & F.col("right")
+    out = F.when(F.col("documents") == 0, NO_TEXT).when(F.col("hit").isNotNull(), F.col("hit"))
+    out = out.when(code == "Q_E_ALTERNATIVE_WATER_RATE", F.when(both, "possible_alternative_water_formula_closure").otherwise("related_fields_incomplete")).when(code == "Q_S_DIVIDEND_PER_SHARE", "no_dividend_per_share_disclosure")
+    for name, (_, _, closed) in CLOSURES.items():
+        out = out.when(code == name, F.when(both, closed).otherwise("related_fields_incomplete"))
+    out = out.when(code.isin(*SUBJECTS), F.when(~F.col("subject"), "no_matching_disclosure_in_text").when(both | F.col("yuan"), F.coalesce("total", F.lit("related_disclosure_without_compatible_intensity"))).otherwise("related_disclosure_without_compatible_intensity"))
+    out = out.when(code.startswith("Q_E_"), "requires_specialized_environmental_diagnostic").otherwise("no_closed_formula_detected")
+    return told.select(*key, "indicator_code", out.alias("class"), "documents")

@@ -39,7 +39,11 @@ KINDS = {
     "coal": {"吨标准煤": 1.0, "万吨标准煤": 10000.0, "千吨标准煤": 1000.0, "千克标准煤": 0.001, "kg标准煤": 0.001},
 }
 PERCENT = r"[%％]"
-PER_YUAN = r"[/／](?:万|百万|10万)?元(?:营收|营业收入|收入|产值)?"
+#: Amounts of money in units, as each indicator's rule has them.
+PER_TEN_OUTPUT = r"[/／](?:万|百万|10万)?元(?:营收|营业收入|收入|产值)?"
+PER_OUTPUT = r"[/／](?:万|百万)?元(?:营收|营业收入|收入|产值)?"
+PER_INCOME = r"[/／](?:万|百万)?元(?:营收|营业收入|收入)?"
+PER_AMOUNT = r"[/／](?:万|百万)?元"
 
 
 class Unit(NamedTuple):
@@ -52,20 +56,20 @@ class Unit(NamedTuple):
 
 
 UNIT_RULES = (
-    Unit("Q_E_GHG_INTENSITY", r"(?:温室气体|GHG|碳|CO2)(?:排放)?强度", r"(?:千克|kg|吨|t|公斤)(?:二氧化碳当量|CO2e?|CO₂)?" + PER_YUAN, "kg/money", 0.83, "强度"),
-    Unit("Q_E_ENERGY_INTENSITY", r"(?:综合|总)?能源(?:消耗|消费|使用)强度", r"(?:千克|kg|吨|t|公斤)(?:标准煤|标煤|tce)?" + PER_YUAN, "kg/money", 0.83, "强度"),
-    Unit("Q_E_NOX_INTENSITY", r"氮氧化物(?:\s*[（(]\s*NO[xXₓ]\s*[）)])?(?:排放)?强度|(?:NOx|NO[xₓ])(?:排放)?强度", r"(?:克|g|千克|kg|吨|t)" + PER_YUAN, "g/money", 0.83, "强度"),
-    Unit("Q_E_SO2_INTENSITY", r"二氧化硫(?:\s*[（(]\s*SO[₂2]\s*[）)])?(?:排放)?强度|(?:SO2|SO₂)(?:排放)?强度", r"(?:克|g|千克|kg|吨|t)" + PER_YUAN, "g/money", 0.83, "强度"),
-    Unit("Q_E_WATER_INTENSITY", r"水资源?(?:使用|消耗|消费)强度", r"(?:千克|kg|吨|t|立方米|m³|升|L)" + PER_YUAN, "kg/money", 0.83, "强度"),
-    Unit("Q_E_SOLID_WASTE_INTENSITY", r"(?:一般)?固体废物(?:排放)?强度", r"(?:千克|kg|吨|t)" + PER_YUAN, "kg/money", 0.83, "强度"),
+    Unit("Q_E_GHG_INTENSITY", r"(?:温室气体|GHG|碳|CO2)(?:排放)?强度", r"(?:千克|kg|吨|t|公斤)(?:二氧化碳当量|CO2e?|CO₂)?" + PER_TEN_OUTPUT, "kg/money", 0.83, "强度"),
+    Unit("Q_E_ENERGY_INTENSITY", r"(?:综合|总)?能源(?:消耗|消费|使用)强度", r"(?:千克|kg|吨|t|公斤)(?:标准煤|标煤|tce)?" + PER_OUTPUT, "kg/money", 0.83, "强度"),
+    Unit("Q_E_NOX_INTENSITY", r"氮氧化物(?:\s*[（(]\s*NO[xXₓ]\s*[）)])?(?:排放)?强度|(?:NOx|NO[xₓ])(?:排放)?强度", r"(?:克|g|千克|kg|吨|t)" + PER_INCOME, "g/money", 0.83, "强度"),
+    Unit("Q_E_SO2_INTENSITY", r"二氧化硫(?:\s*[（(]\s*SO[₂2]\s*[）)])?(?:排放)?强度|(?:SO2|SO₂)(?:排放)?强度", r"(?:克|g|千克|kg|吨|t)" + PER_INCOME, "g/money", 0.83, "强度"),
+    Unit("Q_E_WATER_INTENSITY", r"水资源?(?:使用|消耗|消费)强度", r"(?:千克|kg|吨|t|立方米|m³|升|L)" + PER_OUTPUT, "kg/money", 0.83, "强度"),
+    Unit("Q_E_SOLID_WASTE_INTENSITY", r"(?:一般)?固体废物(?:排放)?强度", r"(?:千克|kg|吨|t)" + PER_INCOME, "kg/money", 0.83, "强度"),
     Unit("Q_S_SAFETY_INVEST_RATE", r"(?:安全生产|生产安全)(?:投入|费用|支出)(?:占比|比例|占营业收入比例)", PERCENT, "percent", 0.85, "安全"),
     Unit("Q_S_RD_RATE", r"(?:研发|R&D|RD|研究开发|研究与开发)(?:费用|投入|支出|经费)(?:占比|比例|强度|占营业收入)?", PERCENT, "percent", 0.85, ""),
     Unit("Q_G_DEBT_ASSET_RATE", r"资产负债率|负债资产比率", PERCENT, "percent", 0.90, "负债"),
-    Unit("Q_S_PAY_PER_EMPLOYEE", r"(?:员工|职工|雇员)(?:平均)?(?:薪酬|工资|报酬|年薪|薪资)", r"(?:万|千)?元(?:[/／]人)?", "yuan", 0.88, ""),
+    Unit("Q_S_PAY_PER_EMPLOYEE", r"(?:员工|职工|雇员)(?:平均)?(?:薪酬|工资|报酬|年薪|薪资)", r"(?:万|千)?元(?:[/／]人|人均)?", "yuan", 0.88, ""),
     Unit("Q_S_ENV_INVEST_RATE", r"环(?:境)?(?:保护|保|境保护)(?:投入|支出|投资|费用|成本)(?:占比|比例|占营业收入)?", PERCENT, "percent", 0.90, "环"),
-    Unit("Q_E_PM_INTENSITY", r"(?:颗粒物|PM|粉尘|烟尘|烟粉尘|大气颗粒物)(?:排放)?强度", r"(?:千克|kg|吨|t|克|g)" + PER_YUAN, "kg/money", 0.85, "强度"),
-    Unit("Q_E_HAZ_WASTE_INTENSITY", r"危险(?:固体)?废物(?:排放|产生)?强度", r"(?:千克|kg|吨|t|克|g)" + PER_YUAN, "kg/money", 0.85, "强度"),
-    Unit("Q_E_WASTEWATER_INTENSITY", r"(?:废|污)水(?:排放|产生)?强度", r"(?:千克|kg|吨|t|立方米|m³|立方|方)" + PER_YUAN, "kg/money", 0.85, "强度"),
+    Unit("Q_E_PM_INTENSITY", r"(?:颗粒物|PM|粉尘|烟尘|烟粉尘|大气颗粒物)(?:排放)?强度", r"(?:千克|kg|吨|t|克|g)" + PER_AMOUNT, "kg/money", 0.85, "强度"),
+    Unit("Q_E_HAZ_WASTE_INTENSITY", r"危险(?:固体)?废物(?:排放|产生)?强度", r"(?:千克|kg|吨|t|克|g)" + PER_AMOUNT, "kg/money", 0.85, "强度"),
+    Unit("Q_E_WASTEWATER_INTENSITY", r"(?:废|污)水(?:排放|产生)?强度", r"(?:千克|kg|吨|t|立方米|m³|立方|方)" + PER_AMOUNT, "kg/money", 0.85, "强度"),
     Unit("Q_S_FEMALE_EMPLOYEE_RATE", r"女性(?:员工|职工|雇员)(?:占比|比例|比率)", PERCENT, "percent", 0.88, "女性"),
     Unit("Q_S_BENEFIT_PER_EMPLOYEE", r"(?:员工|职工|雇员)(?:福利|社保|公积金|社会保障)(?:费用|支出|成本)", r"(?:万|千)?元(?:[/／]人)?", "yuan", 0.86, ""),
     Unit("Q_S_EDU_PER_EMPLOYEE", r"(?:工会|职工教育|员工教育|教育培训)(?:经费|费用|支出|投入)", r"(?:万|千)?元(?:[/／]人)?", "yuan", 0.86, ""),

@@ -146,15 +146,6 @@ def fiscal_year(title: Column) -> Column:
     return F.when(pair != "", F.concat(F.lit("20"), pair).cast("int")).when(one != "", one.cast("int"))
 
 
-def gap_class(subject: Column, intensity: Column, text: Column) -> Column:
-    """Why an indicator has no candidate, from a document's text: the first case that holds."""
-    near, both = text, subject & intensity
-    return (
-        F.when(~subject, "no_matching_disclosure_in_text").when(both & near.rlike("(?i)usd|hk\\$|eur|美元|港元"), "disclosed_foreign_currency_denominator").when(both & near.rlike("(?i)万元|百万元|rmb"), "likely_methodology_compatible_rule_gap")
-        .when(both & near.rlike("(?i)per unit|per mwh|单位产品|发电量"), "disclosed_non_revenue_denominator").when(both, "ambiguous_intensity_disclosure").when(near.rlike("(?i)revenue|营业收入"), "possible_total_plus_revenue_derivation").otherwise("related_disclosure_without_compatible_intensity")
-    )
-
-
 # Readers with the state of a page: they run per document in Python, over Arrow batches.
 
 TABLE = "page int, indicator_code string, year int, value double, mode string"

@@ -187,18 +187,27 @@ GAPS = (
     ("Q_S_DIVIDEND_PER_SHARE", "no such thing", "no_dividend_per_share_disclosure"), ("Q_S_DIVIDEND_PER_SHARE", "Dividend per share HK$ 0.2", "dividend_disclosed_foreign_currency"), ("Q_S_DIVIDEND_PER_SHARE", "每股现金分红 0.2 元", "possible_rmb_dividend_rule_gap"), ("Q_S_DIVIDEND_PER_SHARE", "Dividend per share 0.2", "ambiguous_dividend_per_share"),
     ("Q_G_DEBT_ASSET_RATE", "资产总计 5 负债合计 3", "possible_balance_sheet_formula_closure"), ("Q_S_RD_RATE", "研发费用 500 万元；营业收入 9,000", "possible_rd_revenue_formula_closure"), ("Q_S_SAFETY_INVEST_RATE", "安全生产投入 5 万元", "related_fields_incomplete"),
     ("Q_E_GHG_REDUCTION_RATE", "2025 2024 温室气体排放总量 吨 5 6", "possible_two_year_ghg_formula_closure"), ("Q_E_HAZ_WASTE_INTENSITY", "危废 5 吨，营业收入", "possible_hazardous_waste_revenue_closure"), ("Q_E_CLEAN_ENERGY_INTENSITY", "绿电采购量 5 MWh，营业收入", "possible_clean_energy_revenue_closure"),
-    ("Q_E_PM_INTENSITY", "颗粒物", "requires_specialized_environmental_diagnostic"), ("Q_G_ROE", "any", "no_closed_formula_detected"), ("Q_E_ENERGY_INTENSITY", None, "no_matching_disclosure_in_text"),
+    ("Q_E_PM_INTENSITY", "颗粒物", "requires_specialized_environmental_diagnostic"), ("Q_G_ROE", "any", "no_closed_formula_detected"), ("Q_E_ENERGY_INTENSITY", None, "missing_text"),
 )
+#: Two documents of one company, which decide together: halves of a formula, the first intensity, and a total and a revenue.
+PAIRS = (
+    ("Q_G_DEBT_ASSET_RATE", "资产总计 5", "负债合计 3", "possible_balance_sheet_formula_closure"), ("Q_E_GHG_INTENSITY", "碳排放强度 3 吨/万元营业收入", "GHG intensity 3 kg per MWh", "likely_methodology_compatible_rule_gap"),
+    ("Q_E_GHG_INTENSITY", "温室气体排放总量 500 吨", "营业收入 3 万元", "possible_total_plus_rmb_revenue_derivation"), ("Q_E_ALTERNATIVE_WATER_RATE", "再生水使用 5 吨", "总用水量 50 吨", "possible_alternative_water_formula_closure"),
+    ("Q_S_DIVIDEND_PER_SHARE", "nothing", "每股现金分红 0.2 元", "possible_rmb_dividend_rule_gap"), ("Q_S_RD_RATE", "研发费用 500 万元", None, "related_fields_incomplete"),
+)
+
+
+ALL_GAPS = [(c, t, None, k) for c, t, k in GAPS] + list(PAIRS)
 
 
 def gap_classes(spark, d):
     from verdigris.operators import gaps
 
-    made = F.array(*[F.struct(F.lit(c).alias("indicator_code"), F.lit(t).cast("string").alias("text")) for c, t, _ in GAPS])
-    rows = table(spark, d, "customer").select("c_custkey", F.element_at(made, (F.col("c_custkey") % len(GAPS) + 1).cast("int")).alias("g")).select("c_custkey", "g.*")
-    return gaps.gap_diagnosis(rows.select("c_custkey", "indicator_code"), rows.select("c_custkey", "text"), ["c_custkey"])
+    made = F.array(*[F.struct(F.lit(c).alias("indicator_code"), F.array(F.lit(a).cast("string"), F.lit(b).cast("string")).alias("texts")) for c, a, b, _ in ALL_GAPS])
+    rows = table(spark, d, "customer").select("c_custkey", F.element_at(made, (F.col("c_custkey") % len(ALL_GAPS) + 1).cast("int")).alias("g")).select("c_custkey", "g.indicator_code", F.posexplode("g.texts").alias("document", "text"))
+    return gaps.gap_diagnosis(rows.select("c_custkey", "indicator_code"), rows.select("c_custkey", "text", "document"), ["c_custkey"], "document")
 
 
 QUERIES["gap_classes"] = gap_classes
 ORACLE_SQL["gap_classes"] = f"""SELECT c_custkey, g.code AS indicator_code, g.class AS class, g.n AS documents
-FROM (SELECT c_custkey, [{", ".join(f"{{'code': '{c}', 'class': '{k}', 'n': {int(t is not None)}}}" for c, t, k in GAPS)}][c_custkey % {len(GAPS)} + 1] AS g FROM customer)"""
+FROM (SELECT c_custkey, [{", ".join(f"{{'code': '{c}', 'class': '{k}', 'n': {int(a is not None) + int(b is not None)}}}" for c, a, b, k in ALL_GAPS)}][c_custkey % {len(ALL_GAPS)} + 1] AS g FROM customer)"""

@@ -180,18 +180,6 @@ def statement_identity(spark, d):
     return ops.statement_identity(ops.statement_facts(kpi_pages(spark, d), ["s_suppkey"]), ["s_suppkey"])
 
 
-@query("gap_diagnosis", "SELECT doc_id, CASE WHEN NOT s THEN 'no_matching_disclosure_in_text' "
-    "WHEN i AND regexp_matches(text, '(?i)usd|hk[$]|eur') THEN 'disclosed_foreign_currency_denominator' "
-    "WHEN i AND regexp_matches(text, '(?i)rmb') THEN 'likely_methodology_compatible_rule_gap' "
-    "WHEN i AND regexp_matches(text, '(?i)per unit|per mwh') THEN 'disclosed_non_revenue_denominator' WHEN i THEN 'ambiguous_intensity_disclosure' "
-    "WHEN regexp_matches(text, '(?i)revenue') THEN 'possible_total_plus_revenue_derivation' "
-    "ELSE 'related_disclosure_without_compatible_intensity' END AS class "
-    "FROM (SELECT doc_id, text, text LIKE '%the%' AS s, regexp_matches(text, 'intion|heit') AS i FROM documents)")
-def gap_diagnosis(spark, d):
-    t = F.col("text")
-    return table(spark, d, "documents").select("doc_id", ops.gap_class(t.contains("the"), t.rlike("intion|heit"), t).alias("class"))
-
-
 @query("reconcile_values", "SELECT l_orderkey, min(l_quantity) AS l_quantity, count(*) AS n FROM lineitem GROUP BY 1 HAVING max(l_quantity) = min(l_quantity)")
 def reconcile_values(spark, d):
     return ops.reconcile_values(table(spark, d, "lineitem"), ["l_orderkey"], "l_quantity")

@@ -60,6 +60,11 @@ def items(df: DataFrame, payload: str, source: str, keep: list[str]) -> DataFram
     return df.select(*keep, F.explode(F.coalesce(*lists)).alias("r"))
 
 
+def padded(code: Column, width: int) -> Column:
+    """A code with leading zeros up to its width; a longer one stays as it is, where lpad() would cut it."""
+    return F.when(F.length(code) < width, F.lpad(code, width, "0")).otherwise(code)
+
+
 def parse_announcements(df: DataFrame, payload: str, source: str, keep: list[str]) -> DataFrame:
     """keep, stock_code, company_name, published_date, title, source_url, source; items without a code or document are left out."""
     rows = items(df, payload, source, keep)
@@ -77,7 +82,7 @@ def parse_announcements(df: DataFrame, payload: str, source: str, keep: list[str
         day = F.date_format(F.timestamp_millis(r("announcementTime").try_cast("long")), "yyyy-MM-dd")
     code, path = filled(code), filled(path)
     ending = F.lit(ENDINGS[source]) if source in ENDINGS else F.when(code.rlike("^6"), ".SH").when(code.rlike("^[48]|^92"), ".BJ").otherwise(".SZ")
-    whole = F.concat(F.lpad(code, 6, "0"), ending)
+    whole = F.concat(padded(code, 6), ending)
     return rows.filter((code != "") & (path != "")).select(
         *keep, whole.alias("stock_code"), filled(name).alias("company_name"), F.left(filled(day), F.lit(10)).alias("published_date"), filled(title).alias("title"), joined(ORIGINS[source], path).alias("source_url"), F.lit(source).alias("source"),
     )
@@ -91,7 +96,7 @@ def parse_title_search(df: DataFrame, page: str, keep: list[str]) -> DataFrame:
     link = r'(?is)<a\b[^>]*?href\s*=\s*["\']([^"\']+)["\'][^>]*>(.*?)</a>'
     day = F.regexp_replace(F.regexp_extract(plain, r"(\d{2}/\d{2}/\d{4})", 1), r"^(\d{2})/(\d{2})/(\d{4})$", "$3-$2-$1")
     out = rows.select(
-        *keep, F.concat(F.lpad(F.regexp_extract(plain, r"Stock Code:\s*(\d+)", 1), 5, "0"), F.lit(".HK")).alias("stock_code"),
+        *keep, F.concat(padded(F.regexp_extract(plain, r"Stock Code:\s*(\d+)", 1), 5), F.lit(".HK")).alias("stock_code"),
         F.trim(F.regexp_extract("r", r"(?is)Stock Short Name:\s*(?:<[^>]+>)*\s*([^<]+)", 1)).alias("company_name"), day.alias("published_date"),
         F.trim(F.regexp_replace(F.regexp_replace(F.regexp_extract("r", link, 2), "(?s)<[^>]+>", " "), r"\s+", " ")).alias("title"),
         joined(ORIGINS["HKEX"], F.replace(F.regexp_extract("r", link, 1), F.lit("&amp;"), F.lit("&"))).alias("source_url"), F.lit("HKEX").alias("source"),
