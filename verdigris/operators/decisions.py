@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdigris.functions.numeric import plain_number, rounded
+from verdigris.operators.seals import merkle_leaves, merkle_roots
 from verdigris.schemas import KEY
 
 
@@ -147,8 +148,10 @@ def arbitrate(cases: DataFrame, rulings: DataFrame, key: str) -> DataFrame:
 
 
 def batch_ledger(items: DataFrame, batch: str, key: str, decided: Column) -> DataFrame:
-    """Per batch: size, digest of its sorted keys, decided count, completion rate and status."""
-    out = items.groupBy(batch).agg(F.count(F.lit(1)).alias("group_count"), F.sha2(F.array_join(F.sort_array(F.collect_list(key)), "\n"), 256).alias("keys_sha256"), F.count_if(decided).alias("decided_count"))
+    """Per batch: size, Merkle digest of its keys, decided count, completion rate and status."""
+    keys = items.select(batch, F.sha2(F.col(key), 256).alias("_digest"))
+    roots = merkle_roots(merkle_leaves(keys, [batch], "_digest"), [batch]).select(batch, F.col("root").alias("keys_sha256"))
+    out = items.groupBy(batch).agg(F.count(F.lit(1)).alias("group_count"), F.count_if(decided).alias("decided_count")).join(roots, batch)
     return out.withColumns({"completion_rate": rounded(F.col("decided_count") / F.col("group_count"), 6), "status": F.when(F.col("decided_count") == F.col("group_count"), "closed").otherwise("open")})
 
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from verdigris.functions.numeric import rounded
 from verdigris.operators import decisions as ops
+from verdigris.operators import seals
 from verdigris.plans.binding import CANDIDATES, IND, OBS, YEAR, candidates, indicators, observations, sql_round, sql_with, table
+from verdigris.schemas import KEY
+from verdigris.sources.shared import shared_dir, staged
 from verdigris.sources.sinks import latest_revisions, upsert_revisions
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -120,7 +125,14 @@ def arbitration(spark, d):
     return ops.arbitrate(_dual(spark, d), rulings, "o_orderkey").select("o_orderkey", "arbitration_state", "final_score")
 
 
-@query("batch_progress", f"SELECT o_custkey AS batch, count(*) AS group_count, sha256(string_agg(lpad(CAST(o_orderkey AS VARCHAR), 9, '0'), chr(10) ORDER BY lpad(CAST(o_orderkey AS VARCHAR), 9, '0'))) AS keys_sha256, count(*) FILTER (o_orderstatus = 'F') AS decided_count, {sql_round(chr(99) + 'ount(*) FILTER (o_orderstatus = ' + chr(39) + 'F' + chr(39) + ') / count(*)', 6)} AS completion_rate, CASE WHEN count(*) FILTER (o_orderstatus = 'F') = count(*) THEN 'closed' ELSE 'open' END AS status FROM orders GROUP BY 1")
+#: The Merkle root of digests `h` of each batch: leaves by four hexadecimal digits, then 256 at a time.
+MERKLE = """leaves AS (SELECT batch, substr(h, 1, 4) AS leaf, sha256(string_agg(h, '' ORDER BY h)) AS leaf_digest FROM keyed GROUP BY 1, 2),
+nodes AS (SELECT batch, substr(leaf, 1, 2) AS node, sha256(string_agg(leaf_digest, '' ORDER BY leaf)) AS node_digest FROM leaves GROUP BY 1, 2),
+roots AS (SELECT batch, sha256(string_agg(node_digest, '' ORDER BY node)) AS keys_sha256 FROM nodes GROUP BY 1)"""
+
+
+@query("batch_progress", sql_with("keyed AS (SELECT o_custkey AS batch, sha256(lpad(CAST(o_orderkey AS VARCHAR), 9, '0')) AS h, o_orderstatus = 'F' AS decided FROM orders)", MERKLE,
+    f"SELECT batch, count(*) AS group_count, any_value(keys_sha256) AS keys_sha256, count(*) FILTER (decided) AS decided_count, {sql_round('count(*) FILTER (decided) / count(*)', 6)} AS completion_rate, CASE WHEN count(*) FILTER (decided) = count(*) THEN 'closed' ELSE 'open' END AS status FROM keyed JOIN roots USING (batch) GROUP BY 1"))
 def batch_progress(spark, d):
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("batch"), F.lpad(F.col("o_orderkey").cast("string"), 9, "0").alias("k"), "o_orderstatus")
     return ops.batch_ledger(o, "batch", "k", F.col("o_orderstatus") == "F")
@@ -281,3 +293,55 @@ def qualitative_features(spark, d):
 def evidence_dedupe(spark, d):
     k = F.sha2(F.lower(F.regexp_replace("text", r"\s+", " ")), 256)
     return table(spark, d, "documents").groupBy(k.alias("k")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
+
+
+@query("sealed_changes", "SELECT o_orderkey, CASE o_orderkey % 8 WHEN 1 THEN 'lost' WHEN 3 THEN 'changed' ELSE 'added' END AS fault FROM (SELECT o_orderkey FROM orders WHERE o_orderkey % 8 IN (1, 3) UNION ALL SELECT -o_orderkey - 1 FROM orders WHERE o_orderkey % 8 = 2) "
+    "t(o_orderkey)")
+def sealed_changes(spark, d):
+    """Orders are sealed; then some are lost, some changed and some added."""
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
+    path = f"{shared_dir(spark)}/verdigris/seal-{uuid.uuid4().hex}"
+    seals.seal(orders, ["o_orderkey"], path)
+    now = orders.filter("o_orderkey % 8 <> 1").withColumn("o_custkey", F.when(F.col("o_orderkey") % 8 == 3, F.col("o_custkey") + 1).otherwise(F.col("o_custkey")))
+    new = orders.filter("o_orderkey % 8 = 2").withColumn("o_orderkey", -F.col("o_orderkey") - 1)
+    return seals.tampering(now.unionByName(new), ["o_orderkey"], path)
+
+
+@query("preview_faults", sql_with(CANDIDATES, ELIGIBLE, """SELECT company_code, report_year, indicator_code, CASE CAST(company_code AS INTEGER) % 6 WHEN 0 THEN 'missing_decision' WHEN 1 THEN 'count_differs'
+  ELSE CASE WHEN decision = 'auto_confirmed' THEN 'value_differs' ELSE 'candidates_drifted' END END AS fault FROM decisions WHERE CAST(company_code AS INTEGER) % 6 < 3"""))
+def preview_faults(spark, d):
+    """A preview whose decisions are lost for some companies, miscounted for others, and whose values or candidates have drifted."""
+    rows = candidates(spark, d)
+    k = F.col("company_code").cast("int") % 6
+    found = staged(ops.resolve(rows, POLICY), "decisions")
+    auto = found.filter("decision = 'auto_confirmed'")
+    confirmed = auto.select(*KEY, (F.col("selected_value") + F.when(k == 2, 1).otherwise(0)).alias("value"), F.lit("confirmed").alias("status"), F.concat("selected_evidence", F.lit(f" [auto-confirm:{POLICY.version}]")).alias("evidence_text"))
+    unresolved = rows.join(found.filter("decision <> 'auto_confirmed'").select(*KEY), KEY, "left_semi").withColumn("confidence", F.col("confidence") + F.when(k == 2, 0.5).otherwise(0.0))
+    decisions = found.filter(k != 0).withColumn("candidate_count", F.col("candidate_count") + F.when(k == 1, 1).otherwise(0))
+    return seals.preview_faults(rows, decisions, confirmed, unresolved, POLICY)
+
+
+@query("manual_candidates", sql_with(CANDIDATES, ELIGIBLE, "SELECT company_code, indicator_code, count(*) AS n FROM cand JOIN decisions USING (company_code, report_year, indicator_code) WHERE NOT (n_values <= 1 AND decision = 'auto_confirmed') GROUP BY 1, 2"))
+def manual_candidates(spark, d):
+    rows = candidates(spark, d)
+    manual, _ = seals.manual_candidates(rows, ops.review_tiers(ops.resolve(rows, POLICY)))
+    return manual.groupBy("company_code", "indicator_code").agg(F.count(F.lit(1)).alias("n"))
+
+
+def reviewed_orders(spark, d):
+    """Packets of orders and decisions on them: none, one that comes twice, a deferred and settled one, one too late, one on a stale item."""
+    items = table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    packets = staged(seals.prepare(items, "o_orderkey", 200), "packets")
+    k = F.col("o_orderkey")
+    say = lambda i, action, number, digest=F.col("item_digest"): F.struct(F.concat(k.cast("string"), F.lit(f"-{i}")).alias("decision_id"), (k * 10 + number).alias("number"), "packet", k.alias("o_orderkey"), F.lit(action).alias("action"), digest.alias("item_digest"), F.lit("reader").alias("reviewer"))
+    made = F.when(k % 5 == 1, F.array(say(1, "accept", 1), say(1, "accept", 1))).when(k % 5 == 2, F.array(say(1, "defer", 1), say(2, "reject", 2))).when(k % 5 == 3, F.array(say(1, "accept", 1), say(2, "reject", 2))).when(k % 5 == 4, F.array(say(1, "accept", 1, F.lit("old"))))
+    return packets, packets.select(F.inline(made))
+
+
+@query("packet_review", """SELECT o_orderkey, ['open', 'accepted', 'rejected', 'accepted', 'open'][o_orderkey % 5 + 1] AS state, [0, 1, 2, 1, 0][o_orderkey % 5 + 1]::BIGINT AS applied,
+  [0, 0, 0, 1, 1][o_orderkey % 5 + 1]::BIGINT AS faults, [0, 1, 0, 0, 0][o_orderkey % 5 + 1]::BIGINT AS repeats FROM orders""")
+def packet_review(spark, d):
+    packets, said = reviewed_orders(spark, d)
+    outcomes = staged(seals.evaluate(packets, said, "o_orderkey"), "outcomes")
+    counts = outcomes.groupBy("o_orderkey").agg(F.count_if(F.col("outcome") == "applied").alias("applied"), F.count_if(F.col("outcome") != "applied").alias("faults"), F.sum("repeats").alias("repeats"))
+    return seals.apply_decisions(packets, outcomes, "o_orderkey").join(counts, "o_orderkey", "left").select("o_orderkey", "state", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("applied", "faults", "repeats")])
