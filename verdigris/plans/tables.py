@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from verdigris.operators import tables as ops
-from verdigris.operators import totals
+from verdigris.operators import statements, totals
 from verdigris.plans.binding import sql_with, table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -201,3 +201,37 @@ def english_year_rows(spark, d):
     values = F.when(k % 3 == 0, F.concat_ws(" ", now, before)).when(k % 3 == 1, F.concat_ws(" ", before, now)).otherwise(now)
     pages = table(spark, d, "supplier").select("s_suppkey", F.lit(1).alias("page"), F.concat(header, F.lit("\n"), F.concat_ws(" ", pick(0), pick(1), values)).alias("page_text"))
     return ops.year_rows(pages, ["s_suppkey"], YEAR, ops.ENGLISH_ROWS).select("s_suppkey", "indicator_code", F.round("value", 9).alias("value"), "mode")
+
+
+def return_pages(spark, d):
+    """Two pages of each supplier: a summary row or a transposed table of returns on equity, and a balance sheet without the names of its totals."""
+    k = F.col("s_suppkey")
+    now = F.concat((k % 50 - 20).cast("string"), F.lit(".5"))
+    rows = (
+        F.when(k % 6 == 0, F.concat(F.lit("主要会计数据\n加权平均净资产\n收益率\n"), now, F.lit("% 0.93% 0.12%\n"))).when(k % 6 == 1, F.concat(F.lit("加权平均净资产收益率（%） "), now, F.lit(" 3.10 2.00\n扣除非经常性损益后的加权平均净资产收益率（%） 9.99 1.00\n")))
+        .when(k % 6 == 2, F.concat(F.lit("加权平均净资产收益率 "), now, F.lit(" 3.10\n"))).when(k % 6 == 3, F.lit("加权平均净资产收益率 不适用 3.10%\n"))
+        .when(k % 6 == 4, F.concat(F.lit("报告期利润 加权平均净资产收益率 每股收益\n归属于公司普通股股东的净利润 "), now, F.lit("% 0.5 0.5\n扣除非经常性损益后归属于公司普通股股东的净利润 7.77% 0.1 0.1\n"))).otherwise(F.concat(F.lit("归属于公司普通股股东的净利润 "), now, F.lit("% 0.5 0.5\n")))
+    )
+    whole = lambda x: F.format_number(x.cast("double"), 0)
+    debt, other = k * 3 + 200, k * 5 + 100
+    equity = k * 7 + 1000 + F.when(k % 5 == 0, 50 + k).otherwise(0)
+    net = k * 12 + 1100
+    line = lambda x, y: F.concat(x, F.lit(" "), y, F.lit("\n"))
+    minus = lambda x: F.concat(F.lit("("), whole(x), F.lit(")"))
+    sheet = F.concat(
+        F.lit("Consolidated Statement of Financial Position\n2024 2023\nCurrent assets\n"), line(whole(k * 2 + 50), whole(k + 50)), F.lit("Current liabilities\n"), line(minus(debt), minus(debt)), F.lit("Net current liabilities (5) (6)\n"),
+        F.lit("Total assets less current liabilities "), line(whole(net), whole(net)), F.lit("Equity\n"), line(whole(equity), whole(k * 7 + 1000)), F.lit("Non-current liabilities\n"), line(whole(other), whole(other)), F.lit("Equity and non-current liabilities 1 1\n"),
+    )
+    return table(spark, d, "supplier").select("s_suppkey", F.inline(F.array(F.struct(F.lit(1).alias("page"), rows.alias("page_text")), F.struct(F.lit(2).alias("page"), sheet.alias("page_text")))))
+
+
+@query("roe_values", "SELECT s_suppkey, CAST(CASE WHEN s_suppkey % 50 < 20 THEN s_suppkey % 50 - 20 - 0.5 ELSE s_suppkey % 50 - 20 + 0.5 END AS DOUBLE) AS value, CASE WHEN s_suppkey % 6 = 4 THEN 'transposed' ELSE 'summary' END AS form FROM supplier WHERE s_suppkey % 6 IN (0, 1, 4)")
+def roe_values(spark, d):
+    return statements.roe_values(return_pages(spark, d), ["s_suppkey"]).select("s_suppkey", "value", "form")
+
+
+@query("implicit_balances", """SELECT s_suppkey, fact, CAST(value AS DOUBLE) AS value FROM (
+  SELECT s_suppkey, unnest(['assets', 'liabilities', 'current_assets', 'current_liabilities', 'equity']) AS fact,
+    unnest([s_suppkey * 15 + 1300, s_suppkey * 8 + 300, s_suppkey * 2 + 50, s_suppkey * 3 + 200, s_suppkey * 7 + 1000]) AS value FROM supplier WHERE s_suppkey % 5 <> 0)""")
+def implicit_balances(spark, d):
+    return statements.implicit_balances(return_pages(spark, d), ["s_suppkey"]).select("s_suppkey", "fact", F.col("current").alias("value"))
