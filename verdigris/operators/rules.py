@@ -3,24 +3,26 @@
 Four tables: rules with a unit, rules that read the number at the end of a page's text, phrases with a number, and English
 intensities per revenue. The engine works on normalised text (white space as one space), per page:
 
-1. a rule is tried only on pages that hold its hint, a literal that any match has in it;
-2. its matches come from one pass; the numbers and units are then read out of the short matches;
-3. the text between the matches (a split by the same pattern) gives each match's surroundings, which tell false positives
-   and give the evidence;
-4. values that are implausible for their indicator go, and of equal values on a page the surest evidence stays.
+1. one pass of an automaton over a page names the rules whose literals it holds (matcher.py), and only they are tried;
+2. each match gives its number and unit, and the text around it, which tells false positives and gives the evidence;
+3. values that are implausible for their indicator go, and of equal values on a page the surest evidence stays.
 
 Rows are (keep columns, page, indicator_code, value, evidence_text, confidence, rule).
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from functools import reduce
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.functions.text import normal_text, number
+from verdigris.functions.text import normal_text
+from verdigris.operators.matcher import Matcher
 
 N = r"[+-]?[\d,]+(?:\.\d+)?"
 EVIDENCE = 45
@@ -363,59 +365,82 @@ def generated(row: list[str | Column], fields) -> Column:
     return F.inline(F.transform(F.array(F.struct(*row)), fields))
 
 
-def by_rule(rules: list[Rule], rule: Column, of) -> Column:
-    """The column that `of` gives for a row's rule."""
-    out = F
-    for i, r in enumerate(rules):
-        out = out.when(rule == i, of(r))
-    return out
-
-
-def hits(rules: list[Rule], text: Column, low: Column) -> Column:
-    """Of each rule that matches a page: struct(rule, matches, pieces between them)."""
-    out = []
-    for i, r in enumerate(rules):
-        if r.family == "end":
-            # from the label's first place to the end of the text, where that ends with a number
-            own = F.regexp_substr(text, F.lit(r.pattern + ".*$"))
-            found = F.regexp_replace(own, f"^{r.pattern}", "").rlike(rf"{N}\s*{r.row.suffix}\s*$")
-            one = F.struct(F.lit(i).alias("rule"), F.array(own).alias("found"), F.array(F.left(text, F.length(text) - F.length(own)), F.lit("")).alias("pieces"))
-        else:
-            found = text.rlike(r.pattern)
-            one = F.struct(F.lit(i).alias("rule"), F.regexp_extract_all(text, F.lit(r.pattern), F.lit(0)).alias("found"), F.split(text, r.pattern).alias("pieces"))
-        out.append(F.when(F.contains(low, F.lit(r.hint.lower())) & found if r.hint else found, one))
-    return F.array_compact(F.array(*out))
-
-
-def number_in(r: Rule, own: Column) -> Column:
-    if r.family == "end":
-        return F.regexp_extract(F.regexp_replace(own, f"^{r.pattern}", ""), rf"({N})\s*{r.row.suffix}\s*$", 1)
-    return F.regexp_extract(own, r.pattern, 1)
-
-
-def unit_factor(unit: Column, kind: str) -> Column:
+def unit_factor(unit: str, kind: str) -> float | None:
     """What one unit is in the indicator's own: kilograms or grams per 10,000 yuan, or by the kind's table."""
-    x = F.lower(F.translate(F.regexp_replace(unit, r"\s+", ""), "／", "/"))
+    x = re.sub(r"\s+", "", unit).replace("／", "/").lower()
     if kind in ("kg/money", "g/money"):
-        mass = F.regexp_replace(F.split(x, "/")[0], "二氧化碳当量|co2e?|co₂|标准煤|标煤|tce", "")
-        money = F.regexp_replace(F.split(x, "/")[1], "(营业收入|营收|收入|产值)$", "")
-        return lookup(mass, MASS) * lookup(money, MONEY) * F.lit(1000.0 if kind == "g/money" else 1.0)
-    return lookup(x, KINDS[kind])
+        mass, _, money = x.partition("/")
+        mass = re.sub("二氧化碳当量|co2e?|co₂|标准煤|标煤|tce", "", mass)
+        money = re.sub("(营业收入|营收|收入|产值)$", "", money)
+        if mass not in MASS or money not in MONEY:
+            return None
+        return MASS[mass] * MONEY[money] * (1000.0 if kind == "g/money" else 1.0)
+    return KINDS[kind].get(x)
 
 
-def english_factor(r: English, own: Column) -> Column:
+def english_factor(r: English, own: str) -> float | None:
     """Kilograms or grams per 10,000 yuan for one of the match's mass unit per its amount of money."""
-    scale = F.regexp_replace(F.lower(F.regexp_substr(F.regexp_substr(own, F.lit(f"(?i){PER[r.per]}")), F.lit(f"(?i)100\\s+million|{SCALE}"))), r"\s+", " ")
-    mass = F.when(F.regexp_extract(own, rf"(?i)({r.mass})\s*{PER[r.per]}", 1).rlike("(?i)^(kg|kilogram)"), 1.0).otherwise(1000.0)
-    return mass * 10_000 / lookup(scale, AMOUNTS) * F.lit(1000.0 if r.code in GRAMS else 1.0)
-
-
-def factor_in(r: Rule, own: Column) -> Column:
-    if r.family == "unit":
-        return unit_factor(F.regexp_extract(own, r.pattern, 2), r.row.kind)
-    if r.family == "english":
-        return english_factor(r.row, own)
-    return F.lit(float(r.row.factor if r.family == "phrase" else 1.0))
+    per = re.search(PER[r.per], own, re.I)
+    scale = re.search(rf"100\s+million|{SCALE}", per.group(0), re.I) if per else None
+    amount = AMOUNTS.get(re.sub(r"\s+", " ", scale.group(0).lower())) if scale else None
+    if amount is None:
+        return None
+    mass = re.search(rf"({r.mass})\s*{PER[r.per]}", own, re.I)
+    kilos = 1.0 if mass and re.match("kg|kilogram", mass.group(1), re.I) else 1000.0
+    return kilos * 10_000 / amount * (1000.0 if r.code in GRAMS else 1.0)
+
+
+def value_of(r: Rule, own: str, raw: str, unit: str) -> float | None:
+    plain = re.sub(r"[,\s]", "", raw)
+    try:
+        x = float(plain)
+    except ValueError:
+        return None
+    factor = unit_factor(unit, r.row.kind) if r.family == "unit" else english_factor(r.row, own) if r.family == "english" else float(r.row.factor if r.family == "phrase" else 1.0)
+    return None if factor is None else x * factor
+
+
+FOUND = "rule int, own string, before string, after string, family string, indicator_code string, confidence double, value double"
+
+
+def matches(text: str, rules: list[Rule], matcher: Matcher) -> Iterator[tuple]:
+    """FOUND of every match of the rules in a text in normal form."""
+    for i in matcher.named(text):
+        r, pattern = rules[i], matcher.patterns[i]
+        if r.family == "end":  # from the label's first place to the end of the text, where that ends with a number
+            at = pattern.search(text)
+            last = re.search(rf"({N})\s*{r.row.suffix}\s*$", text[at.end() :]) if at else None
+            found = [(at.start(), len(text), last.group(1), "")] if last else []
+        else:
+            found = [(m.start(), m.end(), m.group(1) if m.re.groups else "", m.group(2) if r.family == "unit" else "") for m in pattern.finditer(text)]
+        for start, end, raw, unit in found:
+            own = text[start:end]
+            value = value_of(r, own, raw or "", unit or "")
+            if value is not None:
+                yield i, own, text[max(0, start - EVIDENCE) : start], text[end : end + EVIDENCE], r.family, r.code, float(r.confidence), value
+
+
+def found_in(pages: DataFrame, keep: list[str], text: str, rules: list[Rule]) -> DataFrame:
+    """keep, page and FOUND of all matches, by one pass over each text in Python, batch by batch."""
+    own = pages.select(*keep, "page", text)
+    names = [*keep, "page"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher([r.pattern for r in rules], [r.hint for r in rules])
+        for batch in batches:
+            at, rows = [], []
+            for k, x in enumerate(batch.column(text)):
+                for row in matches(x.as_py() or "", rules, matcher):
+                    at.append(k)
+                    rows.append(row)
+            if rows:
+                kept = pa.array(at, pa.int64())
+                types = [pa.int32(), *[pa.string()] * 5, pa.float64(), pa.float64()]
+                columns = [batch.column(c).take(kept) for c in names] + [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, [*names, *[f.split()[0] for f in FOUND.split(", ")]])
+
+    kinds = dict(own.dtypes)
+    return own.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", " + FOUND)
 
 
 def plausible(code: Column, value: Column) -> Column:
@@ -455,25 +480,12 @@ def false_positive(m: Column) -> Column:
 def rule_candidates(pages: DataFrame, keep: list[str], families: tuple[str, ...] = ("unit", "end", "phrase", "english")) -> DataFrame:
     """Candidates of all rules of the families: one row for each value of an indicator on a page, the surest evidence of each.
 
-    A null or empty page has none; pages without any rule's match are dropped before the numbers are read.
+    A null or empty page has none. Rules are tried only on pages that hold a literal that they need (Matcher); what matches
+    is judged by its surroundings in columns.
     """
     rules = rules_of(families)
-    text = pages.select(*keep, "page", normal_text(F.col("page_text")).alias("_t")).withColumn("_l", F.lower("_t"))
-    every = F.flatten(F.transform(F.array(F.struct("_t", "_l")), lambda p: hits(rules, p["_t"], p["_l"])))
-    found = text.select(*keep, "page", F.inline(every))
-    each = found.select(*keep, "page", "rule", "found", "pieces", F.posexplode("found").alias("i", "own"))
-    per_rule = lambda rule, of: F.element_at(F.array(*[F.lit(of(r)) for r in rules]), rule + 1)
-
-    def read(m):
-        earlier = F.when(m["i"] > 0, F.get(m["found"], m["i"] - 1)).otherwise(F.lit(""))
-        later = F.coalesce(F.get(m["found"], m["i"] + 1), F.lit(""))
-        value = number(by_rule(rules, m["rule"], lambda r: number_in(r, m["own"]))) * by_rule(rules, m["rule"], lambda r: factor_in(r, m["own"]))
-        return F.struct(
-            m["rule"].alias("rule"), m["own"].alias("own"), F.right(F.concat(earlier, F.get(m["pieces"], m["i"])), F.lit(EVIDENCE)).alias("before"), F.left(F.concat(F.get(m["pieces"], m["i"] + 1), later), F.lit(EVIDENCE)).alias("after"),
-            per_rule(m["rule"], lambda r: r.family).alias("family"), per_rule(m["rule"], lambda r: r.code).alias("indicator_code"), per_rule(m["rule"], lambda r: float(r.confidence)).alias("confidence"), value.alias("value"),
-        )
-
-    named = each.select(*keep, "page", generated(["rule", "found", "pieces", "i", "own"], read)).filter(plausible(F.col("indicator_code"), F.col("value")))
+    text = pages.select(*keep, "page", normal_text(F.col("page_text")).alias("_t")).filter("_t <> ''")
+    named = found_in(text, keep, "_t", rules).filter(plausible(F.col("indicator_code"), F.col("value")))
     parts = ["rule", "own", "before", "after", "family", "indicator_code", "confidence", "value"]
     judged = named.select(
         *keep, "page", "indicator_code", "value", "confidence", "rule", "own",
