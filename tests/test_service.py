@@ -42,3 +42,13 @@ def test_commands(spark, tmp_path):
     assert run("extract-text", "--in", f"pages={tmp_path}/p.txt") == 0
     got = {r.indicator_code: (r.value, r.page) for r in spark.read.parquet(f"{tmp_path}/out-extract-text").collect()}
     assert got == {"Q_G_DEBT_ASSET_RATE": (45.5, 3), "Q_E_GHG_INTENSITY": (2500.0, 3)}
+    pages = spark.createDataFrame([("a", "f", 1, "指标 单位 2024年 2025年\n温室气体排放总量 万吨 2.0 3.0\n加权平均净资产收益率（%） 4.5 3.1\n")], "company_code string, file string, page int, page_text string")
+    pages.write.parquet(f"{tmp_path}/pages")
+    spark.createDataFrame([("a", 1e9)], "company_code string, revenue double").write.parquet(f"{tmp_path}/revenue")
+    assert run("derive-total-intensities", "--in", f"pages={tmp_path}/pages", "--in", f"revenue={tmp_path}/revenue") == 0
+    assert [r.value for r in spark.read.parquet(f"{tmp_path}/out-derive-total-intensities").collect()] == [300.0]
+    assert run("extract-returns", "--in", f"pages={tmp_path}/pages") == 0
+    assert [r.value for r in spark.read.parquet(f"{tmp_path}/out-extract-returns").collect()] == [4.5]
+    assert run("prepare-review-packets", "--in", f"items={tmp_path}/cand", "--set", "key=source_file", "--set", "size=10") == 0
+    packets = spark.read.parquet(f"{tmp_path}/out-prepare-review-packets")
+    assert packets.count() == candidates(spark, SF).count()

@@ -12,9 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.operators import analysis, coverage, decisions, enrich, gaps, governance, graph, rules, scoring, tables, text, universe
+from verdigris.operators import analysis, coverage, decisions, enrich, gaps, governance, graph, rules, scoring, seals, statements, tables, text, totals, universe
 from verdigris.schemas import INDICATOR, OBSERVATION, methodology
-from verdigris.sources import announcements, readers, sinks
+from verdigris.sources import announcements, listings, readers, sinks, workbooks
 
 
 class Inputs:
@@ -31,6 +31,8 @@ class Inputs:
             return readers.typed(readers.read_csv(self.spark, path, ["company_code", "indicator_code", "value"]), OBSERVATION).withColumn("_ord", F.monotonically_increasing_id())
         if path.endswith(".csv"):
             return readers.read_csv(self.spark, path, [])
+        if path.endswith(".xlsx"):
+            return workbooks.workbook_table(workbooks.read_workbooks(self.spark, path))
         if path.endswith(".txt"):
             return readers.read_page_texts(self.spark, path)
         return self.spark.read.parquet(path)
@@ -102,7 +104,21 @@ COMMANDS: dict[str, Callable[[Inputs], DataFrame]] = {
     "extract-summary-revenue": lambda i: tables.summary_revenue(i["pages"], ["file"]),
     "derive-investment-rates": lambda i: tables.investment_rates(i["pages"], tables.summary_revenue(i["pages"], ["file"]), ["file"], i.number("year", 2025)),
     "derive-payments-per-head": lambda i: tables.payments_per_head(i["pages"], ["file"]),
-    "diagnose-gaps": lambda i: gaps.gap_diagnosis(i["tasks"], i["documents"], ["company_code"]),
+    "diagnose-gaps": lambda i: gaps.gap_diagnosis(i["tasks"], i["documents"], ["company_code"], "source_file" if "source_file" in i["documents"].columns else None),
+    "audit-resolution-closure": lambda i: seals.preview_faults(i["candidates"], i["decisions"], i["confirmed"], i["unresolved"], i.policy()),
+    "select-manual-review": lambda i: seals.manual_candidates(i["candidates"], i["tiers"])[0],
+    "prepare-review-packets": lambda i: seals.prepare(i["items"], i.text("key", "id"), i.number("size", 50)),
+    "evaluate-review-packets": lambda i: seals.evaluate(i["packets"], i["decisions"], i.text("key", "id")),
+    "apply-review-packets": lambda i: seals.apply_decisions(i["packets"], seals.evaluate(i["packets"], i["decisions"], i.text("key", "id")), i.text("key", "id")),
+    "review-packet-states": lambda i: seals.packet_states(i["packets"], seals.evaluate(i["packets"], i["decisions"], i.text("key", "id")), i.text("key", "id")),
+    "extract-totals": lambda i: totals.page_totals(i["pages"], ["file"], i.number("year", 2025)),
+    "derive-total-intensities": lambda i: totals.derived_intensities(totals.page_totals(i["pages"], ["company_code", "file"], i.number("year", 2025)), i["revenue"], totals.stated_intensities(i["pages"], ["company_code"]), ["company_code"]),
+    "extract-returns": lambda i: statements.roe_values(i["pages"], ["file"]),
+    "extract-implicit-balances": lambda i: statements.implicit_balances(i["pages"], ["file"]),
+    "extract-collapsed-revenue": lambda i: statements.collapsed_growth(i["pages"], ["file"]),
+    "import-historical": lambda i: workbooks.historical_evaluations(workbooks.read_workbooks(i.spark, i.paths["workbook"]))[1],
+    "historical-faults": lambda i: workbooks.historical_evaluations(workbooks.read_workbooks(i.spark, i.paths["workbook"]))[2],
+    "parse-listings": lambda i: listings.listing_rows(listings.listing_pages(i["pages"], "payload", "page", []), i.text("exchange", "SSE"), []),
     "accept-key-candidates": lambda i: decisions.accept_key_candidates(i["observations"], i["candidates"], i["methodology"]),
     "parse-sse-announcements": lambda i: announcements.parse_announcements(i["answers"], "payload", "SSE", []),
     "parse-szse-announcements": lambda i: announcements.parse_announcements(i["answers"], "payload", "SZSE", []),

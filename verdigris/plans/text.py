@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from verdigris.operators import text as ops
 from verdigris.operators.rules import rule_candidates
 from verdigris.plans.binding import sql_with, table
-from verdigris.sources import readers
+from verdigris.sources import listings, readers
+from verdigris.sources.shared import staged
 from verdigris.streaming import events as stream
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -206,6 +207,31 @@ def listing_pages(spark, d):
     return readers.parse_listings(pages, "p")
 
 
+def listing_snapshots(spark, d):
+    """A snapshot for each nation: its customers on pages of JSON, in one of four layouts; every fifth states one row too many, every seventh repeats a page's number."""
+    c = table(spark, d, "customer").select(F.col("c_nationkey").alias("snapshot"), (F.col("c_custkey") % 3 + 1).cast("int").alias("page"), F.struct(F.col("c_custkey").cast("string").alias("ZQDM"), F.concat(F.lit("<u>"), F.col("c_name"), F.lit("</u> &amp; Co")).alias("name"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).alias("sshymc")).alias("r"))
+    total = c.groupBy("snapshot").agg((F.count(F.lit(1)) + F.when(F.first("snapshot") % 5 == 0, 1).otherwise(0)).alias("total"), F.count_distinct("page").alias("pageCount"))
+    rows = c.groupBy("snapshot", "page").agg(F.collect_list("r").alias("rows")).join(total, "snapshot")
+    k, at = F.col("snapshot"), F.when((F.col("snapshot") % 7 == 3) & (F.col("page") == 2), 9).otherwise(F.col("page")).alias("pageNo")
+    json = (
+        F.when(k % 4 == 0, F.to_json(F.struct("rows", "total", "pageCount", at))).when(k % 4 == 1, F.to_json(F.struct(F.struct(F.col("rows").alias("list"), "total", "pageCount", at).alias("data"))))
+        .when(k % 4 == 2, F.to_json(F.struct(F.struct(F.col("rows").alias("data"), F.lit("x").alias("x")).alias("pageHelp"), "total", "pageCount", at))).otherwise(F.to_json(F.array(F.struct(F.col("rows").alias("result"), F.struct(F.col("total").alias("recordcount"), F.col("pageCount").alias("pagecount"), at).alias("metadata")))))
+    )
+    return listings.listing_pages(rows.select("snapshot", "page", json.alias("p")), "p", "page", ["snapshot"])
+
+
+@query("listing_snapshot_rows", "SELECT c_nationkey AS snapshot, CAST(c_custkey % 3 + 1 AS INTEGER) AS page_no, lpad(CAST(c_custkey AS VARCHAR), 6, '0') || '.SZ' AS stock_code, c_name || ' & Co' AS company_name, "
+    "CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE '待分类' END AS industry FROM customer WHERE NOT (c_nationkey % 7 = 3 AND c_custkey % 3 = 1)")
+def listing_snapshot_rows(spark, d):
+    return listings.listing_rows(listing_snapshots(spark, d), "SZSE", ["snapshot"]).select("snapshot", "page_no", "stock_code", "company_name", "industry")
+
+
+@query("listing_snapshot_faults", "WITH n AS (SELECT DISTINCT c_nationkey AS snapshot FROM customer) SELECT snapshot, 'row_count_differs' AS fault FROM n WHERE snapshot % 5 = 0 OR snapshot % 7 = 3 UNION ALL SELECT snapshot, 'page_mismatch' FROM n WHERE snapshot % 7 = 3")
+def listing_snapshot_faults(spark, d):
+    pages = staged(listing_snapshots(spark, d), "listing-pages")
+    return listings.snapshot_faults(pages, listings.listing_rows(pages, "SZSE", ["snapshot"]), ["snapshot"])
+
+
 W = "CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT)"
 
 
