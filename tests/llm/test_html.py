@@ -52,6 +52,25 @@ def test_lists_of_links_in_an_article_stay_out():
     assert main_text(page) == "\n\n".join(["Head", p, "Short.", "one", "two"])
 
 
+def test_names_of_topics_are_no_marks():
+    p = PARAGRAPH.strip()
+    parts = [f'<div class="social-history"><p>{p} One.</p></div>', f'<section id="related-work"><p>{p} Two.</p></section>', f'<p class="share-price">{p} Three.</p>', f'<p class="search-algorithm">{p} Four.</p>']
+    assert main_text(f"<body><nav><a href=1>a</a></nav><article><h1>Head</h1>{''.join(parts)}</article>") == "\n\n".join(["Head", f"{p} One.", f"{p} Two.", f"{p} Three.", f"{p} Four."])
+
+
+def test_names_of_layout_are_marks():
+    p = PARAGRAPH.strip()
+    for name in ("comments-area", "post-comments", "site-footer", "related-posts-list", "shareButtons", "cookie-notice", "widget_area", "top-banner"):
+        page = f'<body><article><h1>Head</h1><p>{p} {p}</p><p>{p}</p></article><div class="{name}"><p>{p} Not this, though.</p></div>'
+        assert main_text(page) == "\n\n".join(["Head", f"{p} {p}", p]), name
+
+
+def test_a_comment_is_no_article():
+    p = PARAGRAPH.strip()
+    page = f'<body><article class="post related"><h1>Head</h1><p>{p} {p}</p></article><article class="comment"><p>{p}</p></article><article id="comment-7"><p>{p}</p></article>'
+    assert main_text(page) == f"Head\n\n{p} {p}"
+
+
 def test_quotes_and_headers_drop_nothing():
     assert main_text("<p title=don't>Alpha, beta, gamma delta.</p><p>Next one's here, also.</p>") == "Alpha, beta, gamma delta.\n\nNext one's here, also."
     page = f'<body><div class="post-header"><h1>Title</h1></div><div class=text><p>{PARAGRAPH * 3}</p></div><div class="site-header"><p>{PARAGRAPH}</p></div>'

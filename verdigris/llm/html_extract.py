@@ -67,6 +67,11 @@ ASIDE = frozenset("nav footer aside menu dialog form fieldset legend label".spli
 MARKS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notification alert popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs pagination pager sidebar aside widget footer masthead topbar toolbar related recommended recommendations share sharing social newsletter subscribe subscription signup login comment comments disqus respond reply replies toc skip copyright contentinfo complementary search".split())
 HEADS = frozenset("header banner masthead".split())
 OWN = frozenset("post entry article story content news blog section title chapter".split())
+#: Words that say where or how a part is laid out, not what it is about: a name of these and of MARKS alone is a mark, but
+#: one with any other word (social-history, share-price) is a topic.
+LAYOUT = frozenset("site page main top bottom left right center box bar container wrapper wrap block blocks list lists link links button buttons icon icons item items area zone region col column row grid inner outer panel group set global primary secondary fixed sticky slot unit module component text body form info bg full small large mobile desktop wp js is the author posts articles stories entries chapters sections".split())
+#: What an article element may be named to be no article: a reader's comment.
+REPLIES = frozenset("comment comments disqus respond reply replies".split())
 #: Factors of the fusion: text never shown has none, elements beside the article neither; a class word is but a hint
 #: (it may stand on what wraps the whole page).
 PRIORS = {"unseen": 0.0, "aside": 0.0, "marked": 0.02}
@@ -100,11 +105,13 @@ class Block:
 
 
 def marked(tag: str, value: str) -> bool:
-    """Whether a class, id or role names what is no part of an article."""
-    if tag in ("body", "html", "article", "main"):
+    """Whether a class, id or role names what is no part of an article: by all of its words, not by one of them."""
+    if tag in ("body", "html", "main"):
         return False
     for name in value.split():
         words = {w.lower() for w in WORDS.findall(name)}
+        if words - MARKS - HEADS - OWN - LAYOUT or (tag == "article" and not words & REPLIES):
+            continue
         if words & MARKS - HEADS or (words & HEADS and not words & OWN):
             return True
     return False
