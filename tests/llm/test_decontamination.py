@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+from verdigris.llm import decontamination
 from verdigris.llm.decontamination import WuManber, contamination, drop_contaminated
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -56,3 +57,23 @@ def test_contamination(spark):
         assert kept.columns == d.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r[0]) for r in brute(docs, items) if not r[5])
     assert contamination(d.limit(0), b).count() == 0
     assert {r.contaminated for r in contamination(d, b.limit(0)).collect()} == {False}
+
+
+def test_a_text_under_very_many_identifiers_is_dealt_in_bounded_blocks(spark, monkeypatch):
+    text = "one two three four five six seven eight nine ten eleven"
+    many = spark.range(100_000).selectExpr("id AS item_id", f"'{text}' AS text")
+    few = spark.createDataFrame([(-1, "another item of eleven words that is in the corpus, too"), (None, text)], "item_id long, text string")
+    items = many.unionByName(few)
+    docs = spark.createDataFrame([(1, f"so: {text.upper()} and"), (2, "another item of eleven words that is in the corpus, too"), (3, "neither of them")], "doc_id long, text string")
+    monkeypatch.setattr(decontamination, "PATTERN_BYTES", 400_000)
+    patterns = decontamination.windows(items, "item_id", "text")
+    assert patterns.selectExpr("max(size(items))").first()[0] < 1400
+    blocks, block = decontamination.pattern_blocks(items, "item_id", 200_000, 400_000)
+    sizes = [sum(len(w) + sum(len(i) + 8 for i in ids) for w, ids in block(k).value) for k in range(blocks)]
+    assert blocks > 4 and max(sizes) < 2 * 400_000
+    names = ",".join(sorted(map(str, range(100_000))))
+    monkeypatch.setattr(decontamination, "pattern_blocks", lambda b, i, n: (blocks, block))
+    got = {r.doc_id: r for r in contamination(docs, items).collect()}
+    assert (got[1].n_hit, got[1].n_items, got[1].items_sha256) == (11, 100_000, hashlib.sha256(names.encode()).hexdigest())
+    assert (got[2].n_items, got[3].contaminated) == (1, False)
+    assert [r.doc_id for r in drop_contaminated(docs, items).collect()] == [3]

@@ -7,9 +7,11 @@ looked at); where the shift is zero, a bucket chosen by the hash of the last blo
 direct comparison of all words confirms an occurrence. A document is read once and is never compared with
 another, so the search is a map.
 
-The distinct windows are counted first. Up to PATTERN_BLOCK of them are broadcast; more are dealt by hash into that
-many blocks, each searched over all documents, and the blocks' findings are merged per row: the broadcast stays
-bounded however large the benchmark is.
+The distinct windows are counted first, with their bytes. Up to PATTERN_BLOCK of them with PATTERN_BYTES in all are
+broadcast; more are dealt by hash into as many blocks as that takes, each searched over all documents, and the blocks'
+findings are merged per row. A window that very many items share has their identifiers in several parts of about
+ITEMS_A_PART, which are dealt out like windows of their own. So the broadcast stays bounded in rows and bytes, however
+large the benchmark is and whatever it repeats.
 
 Cases: null text has no words (no windows, no hits); an item repeated under one identifier counts once; items whose
 identifier is null mark words but are not listed; empty tables on either side give rows without hits or none.
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from verdigris.llm.common import durable, map_batches
 
 WINDOW = 10
-PATTERN_BLOCK = 200_000
+PATTERN_BLOCK, PATTERN_BYTES, ITEMS_A_PART = 200_000, 64 << 20, 1000
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 SPARK_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
@@ -80,7 +82,9 @@ class Screen:
     """All windows of one block, by length; what a document holds of them."""
 
     def __init__(self, windows: list[tuple[str, list[str]]]):
-        items = {tuple(w.encode().split(b" ")): ids for w, ids in windows}
+        items: dict[tuple, list[str]] = {}
+        for w, ids in windows:
+            items.setdefault(tuple(w.encode().split(b" ")), []).extend(ids)
         by_length = defaultdict(list)
         for window in items:
             by_length[len(window)].append(window)
@@ -108,15 +112,21 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def windows(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
-    """Distinct windows (words joined by spaces) with the sorted identifiers of their items."""
+    """window (words joined by spaces), part and items: the identifiers of the items that hold it, about ITEMS_A_PART in each part.
+
+    Every window has a part 0, without identifiers where its items have none.
+    """
     lower = F.translate(F.coalesce(F.col(text_col), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     words = benchmark.select(F.col(item_col).cast("string").alias("item"), F.regexp_extract_all(lower, F.lit(SPARK_WORD), F.lit(0)).alias("w")).filter(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - (WINDOW - 1)))
-    return (
-        words.select("item", "w", F.explode(starts).alias("at"))
-        .select("item", F.array_join(F.slice("w", F.col("at"), F.lit(WINDOW)), " ").alias("window"))
-        .groupBy("window").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    )
+    pairs = words.select("item", "w", F.explode(starts).alias("at")).select("item", F.array_join(F.slice("w", F.col("at"), F.lit(WINDOW)), " ").alias("window")).distinct()
+    pairs = durable(pairs, "window-items")
+    counts = pairs.groupBy("window").agg(F.count("item").alias("_n"))
+    crowded = durable(counts.filter(F.col("_n") > ITEMS_A_PART), "crowded-windows")
+    # few windows have more items than a part, and a window's rows may be very many: they are told apart by broadcast only
+    # where that is small, which the optimizer checks
+    parted = pairs.join(crowded, "window", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("item"), F.ceil(F.col("_n") / ITEMS_A_PART).cast("long")), F.lit(0)))
+    return parted.groupBy("window", "part").agg(F.collect_list("item").alias("items"))
 
 
 def summarise(n_words: int, spans: list[tuple[int, int]], items) -> tuple:
@@ -131,13 +141,15 @@ def _screened(batch, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
 
-def pattern_blocks(benchmark: DataFrame, item_col: str, pattern_block: int):
-    """The number of blocks of patterns, and a function that broadcasts one of them (about pattern_block rows)."""
+def pattern_blocks(benchmark: DataFrame, item_col: str, pattern_block: int, pattern_bytes: int = PATTERN_BYTES):
+    """The number of blocks of patterns, and a function that broadcasts one of them (about pattern_block rows and pattern_bytes)."""
     patterns = durable(windows(benchmark, item_col, "text"), "windows")
-    blocks = max(1, -(-patterns.count() // pattern_block))
+    size = F.octet_length("window") + F.aggregate("items", F.lit(0), lambda n, i: n + F.octet_length(i) + 8)
+    total = patterns.agg(F.count("*").alias("rows"), F.coalesce(F.sum(size.cast("long")), F.lit(0)).alias("bytes")).first()
+    blocks = max(1, -(-total["rows"] // pattern_block), -(-total["bytes"] // pattern_bytes))
 
     def block(k: int):
-        own = patterns.filter(F.pmod(F.xxhash64("window"), F.lit(blocks)) == k).collect()
+        own = patterns.filter(F.pmod(F.xxhash64("window", "part"), F.lit(blocks)) == k).collect()
         return benchmark.sparkSession.sparkContext.broadcast([(r["window"], r["items"]) for r in own])
 
     return blocks, block
