@@ -25,9 +25,9 @@ def query(name, sql=None):
     return register
 
 
-@query("weight_alignment", sql_with(IND, f"SELECT kind, dimension, {sql_round('sum(weight)', 4)} AS weight, count(*) AS indicators, CASE dimension WHEN 'E' THEN 45.0 WHEN 'S' THEN 20.0 ELSE 35.0 END::DOUBLE AS wanted, abs({sql_round('sum(weight)', 4)} - CASE dimension WHEN 'E' THEN 45.0 WHEN 'S' THEN 20.0 ELSE 35.0 END) <= 0.01 AS aligned FROM ind GROUP BY 1, 2"))
+@query("weight_alignment", sql_with(IND, f"SELECT kind, dimension, {sql_round('sum(weight)', 4)} AS weight, count(*) AS indicators, CASE dimension WHEN 'E' THEN 45.0 WHEN 'S' THEN 20.0 ELSE 35.0 END::DOUBLE AS wanted, abs({sql_round('sum(weight)', 4)} - CASE dimension WHEN 'E' THEN 45.0 WHEN 'S' THEN 20.0 ELSE 35.0 END) <= 0.01 AS aligned FROM ind WHERE indicator_code IN (SELECT p_brand FROM part) GROUP BY 1, 2"))
 def weight_alignment(spark, d):
-    return ops.alignment(indicators(spark))
+    return ops.alignment(indicators(spark).join(table(spark, d, "part").select(F.col("p_brand").alias("code")).distinct(), "code", "left_semi"))
 
 
 INTAKE = "SELECT 'Brand#1' AS indicator_code, 30.0D AS benchmark, 'positive' AS direction, 200D / 42 AS weight UNION ALL SELECT 'Brand#2', NULL, 'negative', 300D / 42 UNION ALL SELECT 'Brand#3', 10D, 'negative', 400D / 42 UNION ALL SELECT 'Brand#5', 11D, 'positive', 1D UNION ALL SELECT 'Brand#99', 1D, 'positive', 1D UNION ALL SELECT 'Brand#4', 1D, 'bidirectional', 100D / 42 UNION ALL SELECT 'Brand#4', 2D, 'bidirectional', 100D / 42"

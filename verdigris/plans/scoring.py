@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from verdigris.functions.numeric import erf_text, normal_cdf_text, plain_number, rounded
 from verdigris.operators import analysis, scoring
 from verdigris.operators.cache import CHANGE_COLUMNS, ScoreCache
-from verdigris.plans.binding import IND, OBS, YEAR, indicators, observations, sql_erf, sql_round, sql_with
+from verdigris.plans.binding import IND, OBS, YEAR, indicators, observations, sql_erf, sql_round, sql_with, table
 from verdigris.schemas import STRATEGIES, methodology_faults
 from verdigris.sources.shared import staged
 from verdigris.streaming.rescoring import rescored
@@ -80,20 +80,39 @@ def obs_binding(spark, d):
     return observations(spark, d)
 
 
-@query("indicator_table", sql_with(IND, f"SELECT indicator_code AS code, dimension, kind, {sql_round('weight', 6)} AS weight, direction, benchmark, key_indicator FROM ind"))
-def indicator_table(spark, d):
-    return indicators(spark).select("code", "dimension", "kind", rounded(F.col("weight"), 6).alias("weight"), "direction", "benchmark", "key_indicator")
+BRANDS = "brands AS (SELECT p_brand AS indicator_code, count(*) AS parts FROM part GROUP BY 1)"
 
 
-@query("methodology_faults", "SELECT 'x' AS fault, 'x' AS detail WHERE false")
+@query("indicator_table", sql_with(IND, BRANDS, f"SELECT indicator_code AS code, dimension, kind, {sql_round('weight', 6)} AS weight, direction, benchmark, key_indicator, parts FROM ind JOIN brands USING (indicator_code)"))
+def indicator_table(spark, d):
+    """The indicators that parts have, with how many."""
+    brands = table(spark, d, "part").groupBy(F.col("p_brand").alias("code")).agg(F.count(F.lit(1)).alias("parts"))
+    return indicators(spark).join(brands, "code").select("code", "dimension", "kind", rounded(F.col("weight"), 6).alias("weight"), "direction", "benchmark", "key_indicator", "parts")
+
+
+@query("methodology_faults", """WITH m AS (
+  SELECT b, o, n, CASE WHEN b > 40 THEN 'B' || b ELSE 'B' || b || '-' || o END AS code, CASE WHEN b % 11 = 0 THEN 'X' ELSE 'E' END AS dimension, CASE WHEN o = 0 THEN 'quantitative' WHEN b = 13 THEN 'third' ELSE 'qualitative' END AS kind,
+    CASE WHEN b % 7 = 0 THEN 'sideways' ELSE 'positive' END AS direction FROM (SELECT CAST(substr(p_brand, 7) AS INTEGER) AS b, p_size % 2 AS o, count(*) AS n FROM part GROUP BY 1, 2)
+), w AS (SELECT *, CASE WHEN kind = 'quantitative' THEN 100.0 * n / sum(n) OVER (PARTITION BY kind) ELSE n END AS weight FROM m)
+SELECT 'repeated_code' AS fault, code AS detail FROM w GROUP BY code HAVING count(*) > 1
+UNION ALL SELECT 'weights_not_100', kind FROM w GROUP BY kind HAVING abs(sum(weight) - 100) > 0.01
+UNION ALL SELECT 'unknown_dimension', code FROM w WHERE dimension = 'X' UNION ALL SELECT 'unknown_kind', code FROM w WHERE kind = 'third' UNION ALL SELECT 'unknown_direction', code FROM w WHERE direction = 'sideways'""")
 def faults(spark, d):
-    return methodology_faults(indicators(spark))
+    """A methodology made from parts, by brand and parity of size: some codes come twice, some words are unknown, one kind's weights are counts."""
+    b, o = F.substr("p_brand", F.lit(7)).cast("int").alias("b"), (F.col("p_size") % 2).alias("o")
+    made = table(spark, d, "part").groupBy(b, o).agg(F.count(F.lit(1)).alias("n"))
+    named = made.selectExpr("n", "CASE WHEN b > 40 THEN concat('B', b) ELSE concat('B', b, '-', o) END AS code", "CASE WHEN b % 11 = 0 THEN 'X' ELSE 'E' END AS dimension",
+        "CASE WHEN o = 0 THEN 'quantitative' WHEN b = 13 THEN 'third' ELSE 'qualitative' END AS kind", "CASE WHEN b % 7 = 0 THEN 'sideways' ELSE 'positive' END AS direction")
+    total = named.groupBy("kind").agg(F.sum("n").alias("total"))
+    return methodology_faults(named.join(total, "kind").withColumn("weight", F.expr("CASE WHEN kind = 'quantitative' THEN 100.0D * n / total ELSE CAST(n AS DOUBLE) END")))
 
 
-@query("erf_table", f"SELECT i, {sql_round(sql_erf('((i - 400) / 100.0)'), 9)} AS erf, {sql_round('0.5 * (1 + ' + sql_erf('((i - 400) / 100.0 / sqrt(2.0))') + ')', 9)} AS cdf FROM (SELECT CAST(range AS BIGINT) AS i FROM range(0, 801))")
+@query("erf_table", f"SELECT i, {sql_round(sql_erf('((i - 400) / 100.0)'), 9)} AS erf, {sql_round('0.5 * (1 + ' + sql_erf('((i - 400) / 100.0 / sqrt(2.0))') + ')', 9)} AS cdf FROM (SELECT DISTINCT c_custkey % 801 AS i FROM customer)")
 def erf_table(spark, d):
+    """The error function and the normal distribution at places that customers' keys give."""
     x = "((i - 400) / 100.0D)"
-    return spark.range(0, 801).withColumnRenamed("id", "i").select("i", rounded(F.expr(erf_text(x)), 9).alias("erf"), rounded(F.expr(normal_cdf_text(x)), 9).alias("cdf"))
+    places = table(spark, d, "customer").select((F.col("c_custkey") % 801).alias("i")).distinct()
+    return places.select("i", rounded(F.expr(erf_text(x)), 9).alias("erf"), rounded(F.expr(normal_cdf_text(x)), 9).alias("cdf"))
 
 
 @query("population_stats", sql_with(OBS, IND, ONE_YEAR, STATS, f"SELECT indicator_code, population_count, {sql_round('mean', 6)} AS mean, {sql_round('stddev', 6)} AS stddev, thin_population FROM stats"))
@@ -325,6 +344,4 @@ def stream_rescoring(spark, d):
 @query("number_format", "SELECT s_suppkey, CASE WHEN x LIKE '%.%' THEN regexp_replace(regexp_replace(x, '0+$', ''), '\\.$', '') ELSE x END AS shown "
     "FROM (SELECT s_suppkey, printf('%.4f', s_acctbal) AS x FROM supplier)")
 def number_format(spark, d):
-    from verdigris.plans.binding import table
-
     return table(spark, d, "supplier").select("s_suppkey", plain_number(F.col("s_acctbal")).alias("shown"))
