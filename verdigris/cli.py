@@ -70,6 +70,7 @@ COMMANDS: dict[str, Callable[[Inputs], DataFrame]] = {
     "merge-confirmed-observations": lambda i: decisions.merge_first(i["observations"], "_ord"),
     "merge-conflicts": lambda i: decisions.merge_conflicts(i["observations"]),
     "derive-financial": lambda i: enrich.derive_financial(i["facts"]),
+    "derive-formulas": lambda i: enrich.derive_formulas(i["observations"]),
     "predict": lambda i: enrich.predict(i["observations"], i.number("year", 2025)),
     "industry-benchmarks": lambda i: enrich.industry_benchmarks(i["observations"], i["industries"]),
     "impute": lambda i: enrich.impute(i["observations"], i["industries"], i.number("year", 2025), i.list("allowed"), i.list("barred")),

@@ -73,7 +73,28 @@ def repeated_facts(facts: DataFrame) -> DataFrame:
     return facts.groupBy("company_code", "report_year", "fact_code").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
-def derive_formulas(obs: DataFrame, rules: list[tuple[str, str, str, float, float]]) -> DataFrame:
+# Indicators as one indicator over another, with the bounds of the result: totals over revenue, amounts over
+# employees, profits over revenue and assets.
+FORMULA_RULES = [
+    ("Q_E_ENERGY_INTENSITY", "Q_E_ENERGY_TOTAL", "Q_G_REVENUE", 0.0, 100.0),
+    ("Q_E_WATER_INTENSITY", "Q_E_WATER_TOTAL", "Q_G_REVENUE", 0.0, 50.0),
+    ("Q_E_GHG_INTENSITY", "Q_E_GHG_TOTAL", "Q_G_REVENUE", 0.0, 100.0),
+    ("Q_E_SO2_INTENSITY", "Q_E_SO2_TOTAL", "Q_G_REVENUE", 0.0, 10.0),
+    ("Q_E_NOX_INTENSITY", "Q_E_NOX_TOTAL", "Q_G_REVENUE", 0.0, 10.0),
+    ("Q_E_SOLID_WASTE_INTENSITY", "Q_E_SOLID_WASTE_TOTAL", "Q_G_REVENUE", 0.0, 50.0),
+    ("Q_E_HAZ_WASTE_INTENSITY", "Q_E_HAZ_WASTE_TOTAL", "Q_G_REVENUE", 0.0, 5.0),
+    ("Q_E_WASTEWATER_INTENSITY", "Q_E_WASTEWATER_TOTAL", "Q_G_REVENUE", 0.0, 50.0),
+    ("Q_E_PM_INTENSITY", "Q_E_PM_TOTAL", "Q_G_REVENUE", 0.0, 10.0),
+    ("Q_S_PAY_PER_EMPLOYEE", "Q_S_PAY_TOTAL", "Q_S_EMPLOYEE_COUNT", 1.0, 500.0),
+    ("Q_S_BENEFIT_PER_EMPLOYEE", "Q_S_BENEFIT_TOTAL", "Q_S_EMPLOYEE_COUNT", 0.5, 100.0),
+    ("Q_S_EDU_PER_EMPLOYEE", "Q_S_EDU_TOTAL", "Q_S_EMPLOYEE_COUNT", 0.01, 10.0),
+    ("Q_G_OPERATING_MARGIN", "Q_G_OPERATING_PROFIT", "Q_G_REVENUE", -1.0, 1.0),
+    ("Q_G_ROA", "Q_G_NET_PROFIT", "Q_G_TOTAL_ASSETS", -0.5, 0.5),
+]
+# End of fixed values.
+
+
+def derive_formulas(obs: DataFrame, rules: list[tuple[str, str, str, float, float]] = FORMULA_RULES) -> DataFrame:
     """Each rule (target, numerator, denominator, low, high) for each company and year: value, confidence, reason.
 
     Reasons, the first that applies: missing_sources, low_confidence, non_positive_denominator, out_of_range, derived.

@@ -85,6 +85,22 @@ def derive_failures(spark, d):
     return ops.derive_formulas(observations(spark, d), RULES).filter("reason <> 'derived'").groupBy("indicator_code", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Brands as the indicators of the shipped rules: the totals and amounts first, then what they are divided by, then some targets.
+SOURCES = list(dict.fromkeys([r[1] for r in ops.FORMULA_RULES] + [r[2] for r in ops.FORMULA_RULES] + ["Q_E_GHG_INTENSITY", "Q_G_ROA"]))
+NAMED = ", ".join(f"('Brand#{i}', '{c}')" for i, c in enumerate(SOURCES, 1))
+SHIPPED = "WITH " + ",\n".join([
+    OBS.replace("obs AS", "obs0 AS"), f"obs AS (SELECT o.* REPLACE (c AS indicator_code) FROM obs0 o JOIN (VALUES {NAMED}) AS n(b, c) ON o.indicator_code = n.b)", CONF, "r AS (" + " UNION ALL ".join(map(_rule_sql, ops.FORMULA_RULES)) + ")",
+    "rr AS (SELECT *, CASE WHEN num IS NULL OR den IS NULL THEN 'missing_sources' WHEN sure < 0.5 THEN 'low_confidence' WHEN den <= 0 THEN 'non_positive_denominator' WHEN num / den < lo OR num / den > hi THEN 'out_of_range' ELSE 'derived' END AS reason FROM r WHERE own IS NULL)"])
+
+
+@query("derive_shipped_rules", SHIPPED + f"\nSELECT company_code, report_year, indicator_code, reason, CASE WHEN reason = 'derived' THEN {sql_round('num / den', 6)} END AS value FROM rr")
+def derive_shipped_rules(spark, d):
+    """The fourteen shipped rules over observations whose brands stand for their indicators."""
+    names = F.create_map(*[F.lit(x) for i, c in enumerate(SOURCES, 1) for x in (f"Brand#{i}", c)])
+    obs = observations(spark, d).withColumn("indicator_code", F.try_element_at(names, F.col("indicator_code"))).filter("indicator_code IS NOT NULL")
+    return ops.derive_formulas(obs).drop("confidence")
+
+
 UNITS = "VALUES ('view', 'u1', 1000.0, 0.0, 50000.0), ('click', 'u2', 0.001, 0.0, 1.0), ('error', 'u1', 10.0, 0.0, 1e9), ('purchase', 'u0', 1.0, 5.0, 20.0)"
 
 
