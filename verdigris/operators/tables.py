@@ -172,6 +172,10 @@ def scientific(x: Column) -> Column:
 
 
 CELL = r"[+-]?\d[\d,]*(?:\.\d+)?(?:E-\d+)?"
+#: Words of a header line, in plain and traditional characters.
+HEADER_WORDS = "年|指标|单位|项目|指標|單位|項目|(?i)unit|indicator"
+#: Lines of a block that a page has set one under another: numbers and units, no words of a label.
+BARE, BLOCK_LINES = r"^[\d,.\sE%％/\-—–()吨千克公斤百万亿元营业收入立方米标准煤二氧化碳当量小时人次kgtCO₂em³³]{1,24}$", 6
 
 
 def column_years(lines: Column) -> Column:
@@ -183,7 +187,7 @@ def column_years(lines: Column) -> Column:
         years = F.transform(F.regexp_extract_all(line, F.lit(r"(?<![\d.])(20\d{2})(?![\d.])"), F.lit(1)), lambda y: y.cast("int"))
         ordered = (years == F.array_sort(years)) | (years == F.reverse(F.array_sort(years)))
         clear = (F.size(years) > 0) & (F.size(F.array_distinct(years)) == F.size(years)) & ordered & ~F.regexp_replace(line, r"20\d{2}", "").rlike(r"\d") & ~line.rlike(r"20\d{2} ?[-—–至] ?20\d{2}")
-        return F.when(clear & line.rlike("年|指标|单位|项目|(?i)unit|indicator"), F.struct(i.alias("at"), years.alias("years")))
+        return F.when(clear & line.rlike(HEADER_WORDS), F.struct(i.alias("at"), years.alias("years")))
 
     return F.get(F.array_compact(F.transform(lines, one)), F.lit(0))
 
@@ -218,12 +222,20 @@ def year_rows(pages: DataFrame, keep: list[str], report_year: int, table: tuple[
     and that of the year before, if the header has it.
 
     A row's unit stands before or after its values or in brackets at its label; a row that a line break splits goes on in
-    the next two lines. Rows need a value for each year; percent rows need no unit where the label's line has the sign.
+    the next two lines, and one that is set vertically, a cell a line, in as many lines as hold nothing but cells. Rows need
+    a value for each year; percent rows need no unit where the label's line has the sign.
     """
     text = scientific(line_text(F.col("page_text")))
     lined = pages.select(*keep, "page", F.split(text, "\n").alias("lines")).withColumn("header", column_years(F.col("lines")))
     below = lined.filter("header IS NOT NULL").filter(F.array_contains("header.years", report_year))
-    every = F.transform(F.col("lines"), lambda line, i: F.struct(i.alias("i"), line.alias("line"), F.concat_ws("\n", F.get("lines", i + 1), F.get("lines", i + 2)).alias("rest")))
+
+    def following(i):
+        """The next two lines, and those after them as long as all of them hold nothing but cells."""
+        after = F.slice("lines", i + 2, BLOCK_LINES)
+        other = F.array_position(F.transform(after, lambda line: ~line.rlike(BARE)), F.lit(True)).cast("int")
+        return F.array_join(F.slice(after, 1, F.greatest(F.lit(2), F.when(other == 0, BLOCK_LINES).otherwise(other - 1))), "\n")
+
+    every = F.transform(F.col("lines"), lambda line, i: F.struct(i.alias("i"), line.alias("line"), following(i).alias("rest")))
     rows = below.select(*keep, "page", "header", F.explode(every).alias("r")).filter(F.col("r.i") > F.col("header.at"))
     any_label = "|".join(r.label for r in table)
     rows = rows.select(*keep, "page", "header", "r.line", "r.rest").filter(F.col("line").rlike(f"(?i){any_label}"))
