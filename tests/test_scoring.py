@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from verdigris.functions.numeric import erf_text
 from verdigris.functions.quantiles import order_statistics, quantiles, upper_medians
-from verdigris.operators import analysis, scoring
+from verdigris.operators import analysis, coverage, scoring
 from verdigris.operators.cache import CHANGE_COLUMNS, ScoreCache
 from verdigris.schemas import KEY, STRATEGIES, methodology, methodology_faults
 from verdigris.sources.shared import staged
@@ -180,6 +180,14 @@ def test_quantiles_equal_sorting(spark):
     assert quantiles(frame.filter("false"), ["g"], "x", [0.5]).count() == 0
 
 
+def test_impact_ranks_go_through_all_ranges(spark):
+    rows = [(f"c{i % 97}", f"i{i}", float(i * 7919 % 50)) for i in range(1000)]
+    df = spark.createDataFrame(rows, "company_code string, indicator_code string, impact_score double").repartition(5)
+    want = {(c, i): k for k, (c, i, _) in enumerate(sorted(rows, key=lambda r: (-r[2], r[0], r[1])), 1)}
+    assert {(r.company_code, r.indicator_code): r.impact_rank for r in coverage.impact_ranks(df).collect()} == want
+    assert coverage.impact_ranks(df.filter("false")).count() == 0
+
+
 def test_erf(spark):
     got = spark.range(-700, 701).select((F.col("id") / 100.0).alias("x")).select("x", F.expr(erf_text("x")).alias("e")).collect()
     assert max(abs(r.e - math.erf(r.x)) for r in got) < 2e-15

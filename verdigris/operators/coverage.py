@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from verdigris.functions.numeric import ratio, rounded
 from verdigris.schemas import KEY, STATUSES
+from verdigris.sources.shared import staged
 
 BEST_ORDER = ("confirmed", "derived", "predicted", "imputed", "pending", "not_applicable", "missing")
 ACTIONS = {"confirmed": "done", "pending": "review", "derived": "verify", "predicted": "collect", "imputed": "collect", "not_applicable": "none", "missing": "collect"}
@@ -137,6 +138,22 @@ def qualitative_gap_impact(gaps: DataFrame, sensitivity: DataFrame, coverage: Da
     return both.select("company_code", "indicator_code", rounded(impact, 6).alias("impact_score"), missing.alias("missing_esg_document"))
 
 
+def impact_ranks(impacts: DataFrame, by: tuple[str, ...] = ("company_code", "indicator_code"), score: str = "impact_score") -> DataFrame:
+    """impacts with impact_rank: 1, 2, ... over all rows by falling score, then by the keys.
+
+    Rows are dealt out by ranges of that order and numbered where they lie; a row for each range tells how many come before.
+    So no task sorts them all.
+    """
+    order = [F.desc(score), *by]
+    number = F.monotonically_increasing_id()  # the range in the upper bits, the place in it in the lower 33
+    placed = staged(impacts.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", number), "ranked")
+    span = F.shiftright("_at", 33).alias("_span")
+    sizes = placed.groupBy(span).agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1))).drop("_n")  # one row for each range
+    place = F.coalesce("_before", F.lit(0)) + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return placed.withColumn("_span", span).join(F.broadcast(before), "_span").withColumn("impact_rank", place).drop("_span", "_at", "_before")
+
+
 def company_batch(impacts: DataFrame, companies: int = 25, tasks: int = 10) -> tuple[DataFrame, DataFrame]:
     """(companies of the largest impact, their largest tasks): impact is the maximum plus a tenth of the five largest."""
     w = Window.partitionBy("company_code").orderBy(F.desc("impact_score"), "indicator_code")

@@ -142,6 +142,11 @@ def quant_gap_impact(spark, d):
     return quant(spark, d)
 
 
+@query("impact_ranks", sql_with(*SENS, TASKS, CANDIDATES, COVER, POP, QUANT, "SELECT company_code, indicator_code, impact_score, row_number() OVER (ORDER BY impact_score DESC, company_code, indicator_code) AS impact_rank FROM qi"))
+def impact_ranks(spark, d):
+    return ops.impact_ranks(quant(spark, d)).select("company_code", "indicator_code", "impact_score", "impact_rank")
+
+
 BATCH = f"""rk AS (SELECT *, row_number() OVER (PARTITION BY company_code ORDER BY impact_score DESC, indicator_code) AS i FROM qi),
 bat AS (SELECT company_code, {sql_round('max(impact_score) + sum(CASE WHEN i <= 5 THEN impact_score ELSE 0 END) / 10', 6)} AS company_impact_score, count(*) AS gap_count, count(*) FILTER (impact_score >= 75) AS high_impact_gap_count, string_agg(indicator_code, '|' ORDER BY i) FILTER (i <= 5) AS top_indicator_codes
   FROM rk
