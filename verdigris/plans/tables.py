@@ -137,7 +137,7 @@ TOTALS_SQL = f"""kinds AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{c}', {kilo
 limits AS (SELECT * FROM (VALUES {", ".join(f"('{c}', {low!r}::DOUBLE, {high!r}::DOUBLE)" for _, _, _, c, low, high in KINDS)}, ('Q_E_NOX_INTENSITY', 0.001, 1e5)) AS t(code, low, high)),
 totals AS (
   SELECT c_custkey AS company, code, (c_custkey * 10 + CASE WHEN c_custkey % 7 = 0 THEN i ELSE 0 END) * kilos AS kg, false AS named FROM customer CROSS JOIN range(2) AS r(i) JOIN kinds ON c_custkey % {len(KINDS)} = kinds.slot WHERE c_custkey > 0 OR i > 0
-  UNION ALL SELECT c_custkey, 'Q_E_GHG_INTENSITY', c_custkey * 8000.0, c_custkey % 6 <> 1 FROM customer WHERE c_custkey % 6 IN (0, 1, 4)
+  UNION ALL SELECT c_custkey, 'Q_E_GHG_INTENSITY', c_custkey * 8000.0, c_custkey % 6 <> 1 FROM customer WHERE c_custkey % 6 IN (0, 1, 4) AND c_custkey > 0
   UNION ALL SELECT c_custkey, 'Q_E_NOX_INTENSITY', 0.0, false FROM customer WHERE c_custkey % 6 = 5
 ), told AS (
   SELECT company, code, CASE WHEN max(kg) - min(kg) <= 1e-4 * greatest(max(kg), 1) THEN min(kg)
