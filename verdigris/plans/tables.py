@@ -129,7 +129,8 @@ def emission_pages(spark, d):
         .when(c % 6 == 4, F.concat(F.lit("范围一排放 "), one, F.lit(" 吨\n范围二排放基于市场 1 吨\n范围二排放基于位置 "), two, F.lit(" 吨\n")))
         .otherwise(F.concat(header, F.lit("气体污染物排放\n氮氧化物 千克 5 0\n二氧化硫 千克 4 0\n")))
     )
-    documents = table(spark, d, "customer").select("c_custkey", F.explode(F.array(F.lit(0), F.lit(1))).alias("document"))
+    # a small file is one task; the texts made of it are dealt out to all cores
+    documents = table(spark, d, "customer").select("c_custkey", F.explode(F.array(F.lit(0), F.lit(1))).alias("document")).repartition(spark.sparkContext.defaultParallelism, "c_custkey")
     return documents.select(c.alias("company"), "document", F.inline(F.array(F.struct(F.lit(1).alias("page"), table_page.alias("page_text")), F.struct(F.lit(2).alias("page"), scopes.alias("page_text")))))
 
 
