@@ -172,3 +172,17 @@ def test_quiet_bounds_edges_and_all_digits():
     codes = np.array([sec.token_class("a")])
     assert made.decode(made.scores(codes, np.zeros(sec.FILE_FEATURES))) and not made.quiet()
     assert sec.loud("the x² y", "the x² y")
+
+
+def test_a_field_that_is_not_quiet_costs_no_search_for_signs(monkeypatch):
+    made = sec.Field.empty()
+    made.own[0, sec.B] = 1
+    monkeypatch.setattr(sec, "loud", lambda text, low: pytest.fail("searched in vain"))
+    assert not made.quiet() and sec.scan_text("plain words", made, sec.Classes())[0] == []
+
+
+def test_classes_keep_long_words_and_texts_without_gains_meet_no_sums(monkeypatch):
+    classes = sec.Classes()
+    assert classes["Donaudampfschiffe"] == sec.token_class("Donaudampfschiffe") and "Donaudampfschiffe" in classes
+    monkeypatch.setattr(np, "cumsum", lambda *_: pytest.fail("summed in vain"))
+    assert sec.Field.empty().decode(np.array([[0.0, -1.0, -2.0]] * 5)) == []
