@@ -164,3 +164,36 @@ def test_words_of_a_group_sum_to_one():
     vector = rng.normal(size=lm.DIM)
     got = np.exp(tail.scores(np.arange(n), np.tile(vector, (n, 1))))
     assert got[: lm.GROUP].sum() == pytest.approx(1, abs=1e-5) and got[lm.GROUP :].sum() == pytest.approx(1, abs=1e-5)
+
+
+@pytest.mark.parametrize("shard", [4_000_000, 20_000])
+def test_the_net_learns_from_every_training_row(spark, monkeypatch, shard):
+    """Each c-word stands in one row of 24,000: its context vector moves from the start, whatever the number of rows."""
+    monkeypatch.setattr(lm, "SHARD_TOKENS", shard, raising=False)
+    rows = [(i, False, f"c{i} c{i} c{i} a b" if i % 80 == 0 else "a b") for i in range(24_000)]
+    frame = spark.createDataFrame(rows, "doc_id long, held_out boolean, text string").repartition(4)
+    trained = lm.Trained(frame)
+    trained.learn(lm.durable(lm.tokenised(frame.selectExpr("monotonically_increasing_id() AS rid", "*"), trained.hot, trained.n, trained.v), "every"))
+    start = lm.Model.start(trained.unigram, trained.own)
+    at = [k for w, _, k in trained.hot.value if w.startswith(b"c")]
+    moved = np.abs(trained.model.r[at] - start.r[at]).max(axis=1)
+    assert len(at) == 300 and moved.min() > 1e-4
+
+
+def test_shards_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 8000)
+    rows = [*corpus(), *corpus()[:50]]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    one, two = (sorted((str(r.doc_id), r.n_tokens, round(r.score, 3)) for r in lm.score_documents(d, vocabulary=50).collect()) for d in (df.coalesce(1), df.repartition(7)))
+    assert [x[:2] for x in one] == [x[:2] for x in two] and [x[2] for x in one] == pytest.approx([x[2] for x in two], abs=2e-2)
+
+
+def test_pieces_and_cut_texts_lose_no_triple(monkeypatch):
+    """Texts longer than a piece are cut, and every token is trained on once with the words before it."""
+    numbers, unigram, rng = lm.Numbers(8, np.zeros(0, np.int64)), np.full(8, 1 / 8), np.random.default_rng(4)
+    texts = [rng.integers(0, 8, n).astype(np.uint32) for n in (5, 1, 23, 10, 7, 64)]
+    met = Counter()
+    monkeypatch.setattr(lm, "train", lambda model, u, one, two, target, weight, passes, seed: met.update({(*map(int, x[:3]),): x[3] for x in zip(one, two, target, weight, strict=True)}))
+    lm.fit(texts, unigram, numbers, piece=10)
+    want = Counter((int(t[i - 1]) if i else 8, int(t[i - 2]) if i > 1 else 8, int(t[i])) for t in texts for i in range(len(t)))
+    assert met == want

@@ -13,10 +13,11 @@ words that occur LEAST times (the tail, in the order of their endings), and ENDI
 the last two bytes, so rare and unseen words have a class that says something, too. The two words before a token give a vector
 r = c1 * R[w1] + c2 * R[w2] (words beyond the vocabulary have the R of their ending); a class w scores r . Q[w] + b[w].
 
-R, Q, b, c1, c2 are trained by noise-contrastive estimation (noise: the unigram distribution) on at most SAMPLE_TOKENS
-tokens of at most SAMPLE_ROWS training rows, those with the smallest hashes of identifier and text, in that order: the result does
-not depend on how rows are partitioned. All else is gathered from every training row: counts, noise, the classes' masses, and
-the tail's vectors. Scores are normalised: the sum of exponentials over all classes is computed by batched matrix
+R, Q, b, c1, c2 are trained by noise-contrastive estimation (noise: the unigram distribution) on every token of every training
+row. A hash of identifier and text deals rows to shards of about SHARD_TOKENS tokens, however many that gives; a task goes over
+its shards in the order of hashes, TRAINED tokens at a time. The first shard starts the model, all others go on from there side
+by side, and their parameters are averaged in fixed point: the result does not depend on how rows are partitioned. Counts,
+noise, the classes' masses and the tail's vectors come from every training row, too. Scores are normalised: the sum of exponentials over all classes is computed by batched matrix
 products for each distinct pair of context words, once a task.
 
 Inside its group, a tail word has a vector and a bias of its own, normalised over the group: from sums over
@@ -26,13 +27,16 @@ context can gain. A word of an ENDINGS class has its share of the base mass of t
 counted. So the probabilities of all words, one unseen word of each ending, and the end sum to one after any context.
 
 Cases: null text counts as empty (one token, the end); a null identifier is not held out; without training rows all
-classes are equally likely; repeated rows count each time (in the sample once); an empty table gives an empty result.
+classes are equally likely; repeated rows count each time (rows equal in identifier and text meet in one shard, and pass
+through it in pieces); an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections import Counter
+from collections.abc import Iterable
+from itertools import groupby
 from zlib import crc32
 
 import numpy as np
@@ -47,11 +51,12 @@ LONGEST = 64
 VOCABULARY = 1000
 ENDINGS = 128
 GROUP, LEAST = 256, 10
-SAMPLE_ROWS, SAMPLE_TOKENS = 20_000, 1_500_000
+#: Tokens of a shard, and tokens whose triples are trained on at once.
+SHARD_TOKENS, TRAINED = 4_000_000, 400_000
 #: Training rows that a tail word's mean vector is drawn to its group's by.
 DRAWN = 20
-DIM, NOISE, BATCH, EPOCHS, RATE = 16, 64, 4096, 3, 0.1
-#: A small sample is gone over more often.
+DIM, NOISE, BATCH, EPOCHS, RATE = 16, 64, 2048, 3, 0.1
+#: A corpus of one piece is gone over EPOCHS times, or more often until it made these steps.
 LEAST_STEPS = 200
 END = 0  # classes: the end, ENDINGS classes of rare words, words of the vocabulary, groups of the tail
 END_WORD = b""
@@ -59,6 +64,8 @@ FLUSH = 200_000
 #: Tokens whose vectors are held at once.
 PIECE = 100_000
 FIXED = 1 << 24
+#: Exponents between this and its negative need no shift.
+SAFE = 60.0
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -114,20 +121,52 @@ def frequent(counts: DataFrame, most: int) -> tuple[list[tuple[bytes, int]], int
     return sorted(found, key=lambda x: (-x[1], x[0])), cut
 
 
+def log_sums(z: np.ndarray, most: float) -> np.ndarray:
+    """Natural log of the sums of exp over the rows of z, which is used up; most: no entry is further from 0."""
+    if most < SAFE:
+        return np.log(np.exp(z, out=z).sum(axis=1))
+    top = z.max(axis=1)
+    z -= top[:, None]
+    return top + np.log(np.exp(z, out=z).sum(axis=1))
+
+
+def highest(vectors: np.ndarray, q: np.ndarray, b: np.ndarray) -> float:
+    """No vectors . q + b is further from 0."""
+    longest = lambda x: float(np.sqrt(np.einsum("ij,ij->i", x, x).max(initial=0)))
+    return longest(vectors) * longest(q) + float(np.abs(b).max(initial=0))
+
+
 class Model:
-    """Parameters R (own + 1 contexts, the last the start of a text), Q, b (classes), c1, c2, and normalised scores."""
+    """Parameters R (own + 1 contexts, the last the start of a text), Q, b (classes), c1, c2, and normalised scores.
 
-    def __init__(self, r, q, b, c1, c2):
-        self.r, self.q, self.b, self.c1, self.c2 = r, q, b, c1, c2
+    While it learns it holds the sums of squared gradients of each, too.
+    """
+
+    def __init__(self, r, q, b, c1, c2, squares=None):
+        self.r, self.q, self.b, self.c1, self.c2, self.squares = r, q, b, c1, c2, squares
 
     @classmethod
     def start(cls, unigram: np.ndarray, own: int, seed: int = 5) -> Model:
         rng, n = np.random.default_rng(seed), len(unigram)
-        return cls(rng.normal(size=(own + 1, DIM)) * 0.1, rng.normal(size=(n, DIM)) * 0.1, np.log(unigram), np.ones(DIM), np.ones(DIM) * 0.5)
+        every = rng.normal(size=(own + 1, DIM)) * 0.1, rng.normal(size=(n, DIM)) * 0.1, np.log(unigram), np.ones(DIM), np.ones(DIM) * 0.5
+        return cls(*(p.astype(np.float32) for p in every), [np.full(p.shape, 1e-2, np.float32) for p in every])
 
     def parameters(self) -> list[np.ndarray]:
         return [self.r, self.q, self.b, self.c1, self.c2]
 
+    def flat(self) -> np.ndarray:
+        """Parameters and squares in rows of DIM numbers, in fixed point: sums of them do not depend on their order."""
+        every = np.concatenate([p.ravel().astype(np.float64) for p in [*self.parameters(), *self.squares]])
+        return np.round(np.pad(every, (0, -len(every) % DIM)) * FIXED).astype(np.int64).reshape(-1, DIM)
+
+    @classmethod
+    def mean(cls, like: Model, sums: np.ndarray, models: int) -> Model:
+        """The model whose parameters are those of `models` models on average; sums: of their flat() rows."""
+        shapes = [p.shape for p in like.parameters()] * 2
+        values = np.split((sums.ravel() / (FIXED * models)).astype(np.float32), np.cumsum([int(np.prod(x)) for x in shapes]))
+        parts = [v.reshape(x) for v, x in zip(values, shapes, strict=False)]
+        return cls(*parts[:5], parts[5:])
+
     def vectors(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         return self.c1 * self.r[one] + self.c2 * self.r[two]
 
@@ -136,12 +175,10 @@ class Model:
         out = np.empty(len(one))
         q, b = self.q.T.astype(np.float32), self.b.astype(np.float32)
         for a in range(0, len(one), 2048):
-            z = self.vectors(one[a : a + 2048], two[a : a + 2048]).astype(np.float32) @ q
+            vectors = self.vectors(one[a : a + 2048], two[a : a + 2048]).astype(np.float32)
+            z = vectors @ q
             z += b
-            top = z.max(axis=1)
-            z -= top[:, None]
-            np.exp(z, out=z)
-            out[a : a + 2048] = top + np.log(z.sum(axis=1))
+            out[a : a + 2048] = log_sums(z, highest(vectors, q.T, b))
         return out
 
 
@@ -166,10 +203,12 @@ class Numbers:
         two[second[second < len(ids)]] = self.own
         return one, two
 
-    def triples(self, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Distinct (context, target class) triples with how often each occurs."""
+    def triples(self, ids: np.ndarray, starts: np.ndarray, dropped: list[int] | None = None) -> tuple[np.ndarray, ...]:
+        """Distinct (context, target class) triples with how often each occurs; places in `dropped` are contexts alone."""
         one, two = self.contexts(ids, starts)
         base, target = self.own + 1, self.classes(ids)
+        if dropped:
+            one, two, target = (np.delete(x, dropped) for x in (one, two, target))
         most = int(target.max(initial=0)) + 1
         packed, weight = np.unique((two.astype(np.int64) * base + one) * most + target, return_counts=True)
         return (packed // most) % base, packed // (base * most), packed % most, weight.astype(np.float64)
@@ -177,36 +216,68 @@ class Numbers:
 
 def gather(index: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     """Sums of the rows of values by index."""
-    return np.stack([np.bincount(index, weights=values[:, j], minlength=n) for j in range(values.shape[1])], axis=1)
+    wide = values.shape[1]
+    return np.bincount((index[:, None] * wide + np.arange(wide)).ravel(), weights=values.ravel(), minlength=n * wide).reshape(n, wide)
 
 
-def train(model: Model, unigram: np.ndarray, one: np.ndarray, two: np.ndarray, target: np.ndarray, weight: np.ndarray, seed: int = 3) -> None:
+def train(model: Model, unigram: np.ndarray, one: np.ndarray, two: np.ndarray, target: np.ndarray, weight: np.ndarray, passes: int, seed: tuple[int, ...]) -> None:
     """Noise-contrastive estimation by Adagrad over weighted (context, target) triples; each batch shares its noise."""
     rng, n = np.random.default_rng(seed), len(unigram)
-    log_noise = np.log(NOISE * unigram)
-    squares = [np.full_like(p, 1e-2) for p in model.parameters()]
+    log_noise = np.log(NOISE * unigram).astype(np.float32)
     cumulative = np.cumsum(unigram)
-    batches = max(1, -(-len(target) // BATCH))
-    for _ in range(max(EPOCHS, -(-LEAST_STEPS // batches))):
+    for _ in range(passes):
         order = rng.permutation(len(target))
         for a in range(0, len(order), BATCH):
             at = order[a : a + BATCH]
-            i, j, w, share = one[at], two[at], target[at], weight[at] / weight[at].sum()
+            i, j, w = one[at], two[at], target[at]
+            share = (weight[at] / weight[at].sum()).astype(np.float32)
             noise = np.minimum(np.searchsorted(cumulative, rng.random(NOISE) * cumulative[-1]), n - 1)
-            ri, rj = model.r[i], model.r[j]
+            ri, rj, qw, qn = model.r[i], model.r[j], model.q[w], model.q[noise]
             vector = model.c1 * ri + model.c2 * rj
-            true = (vector * model.q[w]).sum(axis=1) + model.b[w] - log_noise[w]
-            false = vector @ model.q[noise].T + model.b[noise] - log_noise[noise]
-            up = share / (1 + np.exp(np.clip(true, -30, 30)))  # gradient of log sigmoid(true)
-            down = -share[:, None] / (1 + np.exp(-np.clip(false, -30, 30)))
-            g_vector = up[:, None] * model.q[w] + down @ model.q[noise]
-            g_q = gather(w, up[:, None] * vector, n) + gather(noise, down.T @ vector, n)
+            true = (vector * qw).sum(axis=1) + model.b[w] - log_noise[w]
+            false = vector @ qn.T + (model.b[noise] - log_noise[noise])
+            with np.errstate(over="ignore"):  # beyond the range of exp the gradient is 0
+                up = share / (1 + np.exp(true))  # gradient of log sigmoid(true)
+                down = np.exp(np.negative(false, out=false), out=false)
+            down += 1
+            np.divide(-share[:, None], down, out=down)
+            g_vector = up[:, None] * qw + down @ qn
+            g_q = gather(np.concatenate([w, noise]), np.concatenate([up[:, None] * vector, down.T @ vector]), n)
             g_b = np.bincount(w, weights=up, minlength=n) + np.bincount(noise, weights=down.sum(axis=0), minlength=n)
-            g_r = gather(i, g_vector * model.c1, len(model.r)) + gather(j, g_vector * model.c2, len(model.r))
+            g_r = gather(np.concatenate([i, j]), np.concatenate([g_vector * model.c1, g_vector * model.c2]), len(model.r))
             grads = [g_r, g_q, g_b, (g_vector * ri).sum(axis=0), (g_vector * rj).sum(axis=0)]
-            for p, g, s in zip(model.parameters(), grads, squares, strict=True):
-                s += (g * 20) ** 2
-                p += RATE * g * 20 / np.sqrt(s)
+            for p, g, s in zip(model.parameters(), grads, model.squares, strict=True):
+                g = (g * 20).astype(np.float32)
+                s += g * g
+                p += RATE * g / np.sqrt(s)
+
+
+def fit(texts: Iterable[np.ndarray], unigram: np.ndarray, numbers: Numbers, model: Model | None = None, shard: int = 0, piece: int = TRAINED) -> Model:
+    """Train on the numbers of the words of all texts, `piece` tokens at a time; longer texts are cut, with the two words before.
+
+    Without a model to go on from, texts of one piece are gone over several times; else each is met once.
+    """
+    alone, model = model is None, model or Model.start(unigram, numbers.own)
+    held, dropped, size, done = [], [], 0, 0
+
+    def learn(last: bool) -> None:
+        lengths = np.array([len(x) for x in held])
+        triples = numbers.triples(np.concatenate(held).astype(np.int64), np.cumsum(lengths) - lengths, dropped)
+        passes = max(EPOCHS, -(-LEAST_STEPS // -(-len(triples[0]) // BATCH))) if alone and last and not done else 1
+        train(model, unigram, *triples, passes, (3, shard, done))
+
+    for ids in texts:
+        for a in range(0, len(ids), piece):
+            if size >= piece:
+                learn(False)
+                held, dropped, size, done = [], [], 0, done + 1
+            first = max(0, a - 2)
+            dropped += range(size, size + a - first)
+            held.append(ids[first : a + piece])
+            size += len(held[-1])
+    if held:
+        learn(True)
+    return model
 
 
 TOKENS = "rid long, doc_id long, held_out boolean, n_tokens long, known long, base double, inside double, classes binary, words array<binary>, times array<int>"
@@ -250,28 +321,33 @@ def tokenised(docs: DataFrame, hot, n: int, v: int) -> DataFrame:
     return map_batches(docs.select("rid", "doc_id", "held_out", "text"), run, TOKENS)
 
 
-def sample_of(tokens: DataFrame, rows: int, most: int) -> list[np.ndarray]:
-    """Numbers of the words of training rows in the order of their hashes, `most` tokens and `rows` rows at most.
+def fit_shards(rows: DataFrame, shards: int, unigram: np.ndarray, numbers: Numbers, model: Model | None) -> Model:
+    """The mean of the models that `shards` shards at most give, each from `model` on; rows: shard, h, k, classes.
 
-    Rows that do not fit are passed over; rows equal in identifier and text count once.
+    A task adds up its shards' models, so what reaches the driver is one row for each DIM parameters.
     """
-    named = tokens.filter("NOT held_out").select(F.xxhash64("doc_id").alias("h"), F.xxhash64("classes").alias("k"), "n_tokens", "classes")
-    left, taken = most, []
-    for r in named.select("h", "k", "n_tokens").distinct().orderBy("h", "k").limit(rows).collect():
-        if r.n_tokens <= left:
-            left -= r.n_tokens
-            taken.append((r.h, r.k))
-    chosen = named.sparkSession.createDataFrame(taken, "h long, k long")  # `rows` rows at most
-    found = named.join(F.broadcast(chosen), ["h", "k"]).groupBy("h", "k").agg(F.first("classes").alias("classes")).collect()
-    return [np.frombuffer(bytes(r.classes), np.uint32).astype(np.int64) for r in sorted(found, key=lambda r: (r.h, r.k))]
-
-
-def fit(sample: list[np.ndarray], unigram: np.ndarray, numbers: Numbers) -> Model:
-    model = Model.start(unigram, numbers.own)
-    if sample:
-        lengths = np.array([len(x) for x in sample])
-        train(model, unigram, *numbers.triples(np.concatenate(sample), np.cumsum(lengths) - lengths))
-    return model
+    names = ["at", "n", *(f"s{j}" for j in range(DIM))]
+    start = Model.start(unigram, numbers.own)
+    going = None if model is None else (model.parameters(), model.squares)
+    shipped = rows.sparkSession.sparkContext.broadcast((unigram, numbers.own, numbers.endings, going))
+
+    def run(batches):
+        unigram, own, endings, going = shipped.value
+        numbers = Numbers(own, endings)
+        each = (pair for batch in batches for pair in zip(batch.column(0).to_pylist(), batch.column(1), strict=True))
+        total, n = None, 0
+        for shard, texts in groupby(each, key=lambda x: x[0]):
+            own_start = None if going is None else Model(*(p.copy() for p in going[0]), [s.copy() for s in going[1]])
+            found = fit((np.frombuffer(b.as_py(), np.uint32) for _, b in texts), unigram, numbers, own_start, shard).flat()
+            total, n = found if total is None else total + found, n + 1
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.arange(len(total)), np.full(len(total), n), *total.T)], names=names)
+
+    dealt = rows.repartition(shards, "shard").sortWithinPartitions("shard", "h", "k").select("shard", "classes")
+    got = map_batches(dealt, run, ", ".join(f"{x} long" for x in names)).groupBy("at").agg(*(F.sum(x).alias(x) for x in names[1:])).orderBy("at").toArrow()
+    if not got.num_rows:
+        return model or start
+    return Model.mean(start, np.stack([got.column(x).to_numpy() for x in names[2:]], axis=1), got.column("n")[0].as_py())
 
 
 class Tail:
@@ -299,14 +375,14 @@ class Tail:
         groups = words[order] // GROUP
         cuts = np.flatnonzero(np.diff(groups)) + 1
         vectors = vectors.astype(np.float32)
+        most = highest(vectors, self.q, self.b)
         for part in np.split(order, cuts) if len(order) else []:
             first = words[part[0]] // GROUP * GROUP
             for a in range(0, len(part), 4096):
                 at = part[a : a + 4096]
                 z = vectors[at] @ self.q[first : first + GROUP].T + self.b[first : first + GROUP]
-                z -= z.max(axis=1, keepdims=True)
                 own = z[np.arange(len(at)), words[at] - first]
-                out[at] = own - np.log(np.exp(z).sum(axis=1))
+                out[at] = own - log_sums(z, most)
         return out
 
 
@@ -425,7 +501,12 @@ class Trained:
 
     def learn(self, tokens: DataFrame) -> None:
         """Fit the model; tokens: the tokenised training rows, durable."""
-        self.model = fit(sample_of(tokens, SAMPLE_ROWS, SAMPLE_TOKENS), self.unigram, self.numbers)
+        shards = max(1, -(-self.n // SHARD_TOKENS))
+        h = F.xxhash64("doc_id", "classes")
+        rows = tokens.filter("NOT held_out").select(F.pmod(h, F.lit(shards)).cast("int").alias("shard"), h.alias("h"), F.xxhash64("classes").alias("k"), "classes")
+        self.model = fit_shards(rows.filter("shard = 0"), 1, self.unigram, self.numbers, None)
+        if shards > 1:
+            self.model = fit_shards(rows.filter("shard > 0"), shards - 1, self.unigram, self.numbers, self.model)
         shipped = tokens.sparkSession.sparkContext.broadcast(self.parts())
         self.tail = fit_tail(tokens, shipped, self.tail_counts)
 
