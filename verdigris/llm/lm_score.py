@@ -52,11 +52,13 @@ VOCABULARY = 1000
 ENDINGS = 128
 GROUP, LEAST = 256, 10
 #: Tokens of a shard, and tokens whose triples are trained on at once.
-SHARD_TOKENS, TRAINED = 4_000_000, 400_000
+SHARD_TOKENS, TRAINED = 4_000_000, 700_000
 #: Training rows that a tail word's mean vector is drawn to its group's by.
 DRAWN = 20
 DIM, NOISE, BATCH, EPOCHS, RATE = 16, 64, 2048, 3, 0.1
-#: A corpus of one piece is gone over EPOCHS times, or more often until it made these steps.
+#: Passes over each piece of the shard that starts the model.
+FIRST = 2
+#: If that is a single piece, it is gone over EPOCHS times, or more often until it made these steps.
 LEAST_STEPS = 200
 END = 0  # classes: the end, ENDINGS classes of rare words, words of the vocabulary, groups of the tail
 END_WORD = b""
@@ -66,6 +68,8 @@ PIECE = 100_000
 FIXED = 1 << 24
 #: Exponents between this and its negative need no shift.
 SAFE = 60.0
+#: Pairs whose classes are scored at once, few enough for a core's cache.
+ROWS = 256
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -121,21 +125,15 @@ def frequent(counts: DataFrame, most: int) -> tuple[list[tuple[bytes, int]], int
     return sorted(found, key=lambda x: (-x[1], x[0])), cut
 
 
-def log_sums(z: np.ndarray, most: float) -> np.ndarray:
-    """Natural log of the sums of exp over the rows of z, which is used up; most: no entry is further from 0."""
-    if most < SAFE:
+def log_sums(z: np.ndarray) -> np.ndarray:
+    """Natural log of the sums of exp over the rows of z, which is used up."""
+    if not z.size or (z.max() < SAFE and z.min() > -SAFE):
         return np.log(np.exp(z, out=z).sum(axis=1))
     top = z.max(axis=1)
     z -= top[:, None]
     return top + np.log(np.exp(z, out=z).sum(axis=1))
 
 
-def highest(vectors: np.ndarray, q: np.ndarray, b: np.ndarray) -> float:
-    """No vectors . q + b is further from 0."""
-    longest = lambda x: float(np.sqrt(np.einsum("ij,ij->i", x, x).max(initial=0)))
-    return longest(vectors) * longest(q) + float(np.abs(b).max(initial=0))
-
-
 class Model:
     """Parameters R (own + 1 contexts, the last the start of a text), Q, b (classes), c1, c2, and normalised scores.
 
@@ -174,11 +172,10 @@ class Model:
         """Natural log of the sum over all classes, for each pair of context words, by batched matrix products."""
         out = np.empty(len(one))
         q, b = self.q.T.astype(np.float32), self.b.astype(np.float32)
-        for a in range(0, len(one), 2048):
-            vectors = self.vectors(one[a : a + 2048], two[a : a + 2048]).astype(np.float32)
-            z = vectors @ q
+        for a in range(0, len(one), ROWS):
+            z = self.vectors(one[a : a + ROWS], two[a : a + ROWS]).astype(np.float32) @ q
             z += b
-            out[a : a + 2048] = log_sums(z, highest(vectors, q.T, b))
+            out[a : a + ROWS] = log_sums(z)
         return out
 
 
@@ -255,7 +252,7 @@ def train(model: Model, unigram: np.ndarray, one: np.ndarray, two: np.ndarray, t
 def fit(texts: Iterable[np.ndarray], unigram: np.ndarray, numbers: Numbers, model: Model | None = None, shard: int = 0, piece: int = TRAINED) -> Model:
     """Train on the numbers of the words of all texts, `piece` tokens at a time; longer texts are cut, with the two words before.
 
-    Without a model to go on from, texts of one piece are gone over several times; else each is met once.
+    Without a model to go on from, pieces are gone over FIRST times, a single one more often; else each is met once.
     """
     alone, model = model is None, model or Model.start(unigram, numbers.own)
     held, dropped, size, done = [], [], 0, 0
@@ -263,8 +260,8 @@ def fit(texts: Iterable[np.ndarray], unigram: np.ndarray, numbers: Numbers, mode
     def learn(last: bool) -> None:
         lengths = np.array([len(x) for x in held])
         triples = numbers.triples(np.concatenate(held).astype(np.int64), np.cumsum(lengths) - lengths, dropped)
-        passes = max(EPOCHS, -(-LEAST_STEPS // -(-len(triples[0]) // BATCH))) if alone and last and not done else 1
-        train(model, unigram, *triples, passes, (3, shard, done))
+        several = FIRST if done or not last else max(EPOCHS, -(-LEAST_STEPS // -(-len(triples[0]) // BATCH)))
+        train(model, unigram, *triples, several if alone else 1, (3, shard, done))
 
     for ids in texts:
         for a in range(0, len(ids), piece):
@@ -375,14 +372,13 @@ class Tail:
         groups = words[order] // GROUP
         cuts = np.flatnonzero(np.diff(groups)) + 1
         vectors = vectors.astype(np.float32)
-        most = highest(vectors, self.q, self.b)
         for part in np.split(order, cuts) if len(order) else []:
             first = words[part[0]] // GROUP * GROUP
             for a in range(0, len(part), 4096):
                 at = part[a : a + 4096]
                 z = vectors[at] @ self.q[first : first + GROUP].T + self.b[first : first + GROUP]
                 own = z[np.arange(len(at)), words[at] - first]
-                out[at] = own - log_sums(z, most)
+                out[at] = own - log_sums(z)
         return out
 
 
