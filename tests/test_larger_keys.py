@@ -6,6 +6,7 @@ import pytest
 from test_queries import PLANS, SQL, rows
 
 SUPPLIERS = [0, 7, 999, 1000, 1018, 1234, 59_999, 123_456]
+CUSTOMERS = [*range(0, 60), *range(10_000, 10_010), *range(99_990, 100_110), *range(123_450, 123_460), 1_000_003, 1_000_004]
 LINES = [(1, 1_000_005, 3, 10.0), (1, 4, 3, 10.0), (1, 7, 3, 11.0), (2, 1_199_999, 1, 20.0), (2, 50, 1, 21.0), (3, 5, 250, 9.0), (3, 5, 120, 9.0), (4, 8, 2, None)]
 
 
@@ -13,11 +14,12 @@ LINES = [(1, 1_000_005, 3, 10.0), (1, 4, 3, 10.0), (1, 7, 3, 11.0), (2, 1_199_99
 def folder(tmp_path_factory):
     path = tmp_path_factory.mktemp("larger")
     pd.DataFrame({"s_suppkey": SUPPLIERS, "s_name": [f"Supplier#{k:09d}" for k in SUPPLIERS]}).to_parquet(path / "supplier.parquet")
+    pd.DataFrame({"c_custkey": CUSTOMERS, "c_name": [f"Customer#{k % 100_000:09d}" for k in CUSTOMERS], "c_nationkey": [3 if k % 3 else k % 4 for k in CUSTOMERS], "c_mktsegment": "MACHINERY"}).to_parquet(path / "customer.parquet")
     pd.DataFrame(LINES, columns=["l_orderkey", "l_partkey", "l_suppkey", "l_quantity"]).to_parquet(path / "lineitem.parquet")
     return path
 
 
-@pytest.mark.parametrize("name", ["dedupe_documents"])
+@pytest.mark.parametrize("name", ["dedupe_documents", "migration_plan"])
 def test_larger_keys(spark, folder, name):
     con = duckdb.connect()
     for file in folder.glob("*.parquet"):

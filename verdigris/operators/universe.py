@@ -90,10 +90,10 @@ def reconcile(registry: DataFrame, universe: DataFrame) -> DataFrame:
 
 
 def migrate(history: DataFrame, aliases: DataFrame, universe: DataFrame) -> DataFrame:
-    """Historical rows with their current code (through an alias map) and whether the universe still holds it."""
-    a = aliases.select(F.col("old_code").alias("stock_code"), "new_code")
+    """Historical rows with their current code (through an alias map) and whether the universe still holds it; repeated aliases and codes count once."""
+    a = aliases.select(F.col("old_code").alias("stock_code"), "new_code").distinct()
     moved = history.join(a, "stock_code", "left").withColumn("current_code", F.coalesce("new_code", "stock_code"))
-    held = universe.select(F.col("stock_code").alias("current_code"), F.lit(True).alias("held"))
+    held = universe.select(F.col("stock_code").alias("current_code"), F.lit(True).alias("held")).distinct()
     return moved.join(held, "current_code", "left").select("stock_code", "current_code", F.when(F.col("held") & F.col("new_code").isNotNull(), "moved").when(F.col("held"), "kept").otherwise("gone").alias("state"))
 
 
