@@ -98,11 +98,32 @@ def migrate(history: DataFrame, aliases: DataFrame, universe: DataFrame) -> Data
 
 
 def bind_provenance(universe: DataFrame, snapshot: DataFrame) -> DataFrame:
-    """Universe rows with the snapshot's source where theirs is blank: matched, name_difference, entity_conflict, unmatched."""
-    s = snapshot.select("stock_code", F.col("company_name").alias("s_name"), F.col("entity_id").alias("s_entity"), F.col("source_url").alias("s_url"))
-    both = universe.join(s, "stock_code", "left")
-    status = F.when(F.col("s_name").isNull(), "unmatched").when(F.col("entity_id") != F.col("s_entity"), "entity_conflict").when(normal_name(F.col("company_name")) != normal_name(F.col("s_name")), "name_difference").otherwise("matched")
-    return both.select("stock_code", status.alias("status"), F.coalesce(F.nullif(F.trim("source_url"), F.lit("")), "s_url").alias("source_url"))
+    """Universe rows, each once, with the snapshot's source where theirs is blank: matched, name_difference, entity_conflict, unmatched.
+
+    Of several snapshot rows of a code those that agree best count, and of these the first source; a missing entity agrees with any.
+    The rows meet by equal keys only, so a code that very many rows share makes no pairs.
+    """
+    s = snapshot.select("stock_code", F.col("entity_id").alias("_e"), normal_name(F.col("company_name")).alias("_n"), F.col("company_name").isNotNull().alias("_named"), F.col("source_url").alias("_url"))
+    nobody = F.col("_e").isNull()
+
+    def seen(rows: DataFrame, name: str, *by: str) -> DataFrame:
+        url, free_url = F.min("_url").alias("url"), F.min(F.when(nobody, F.col("_url"))).alias("free_url")
+        return rows.groupBy("stock_code", *by).agg(F.struct(url, F.bool_or(nobody).alias("free"), free_url).alias(name))
+
+    def found(exact: str, wide: str) -> tuple[Column, Column]:
+        anyone = F.col("_e").isNull()
+        hit = F.col(exact).isNotNull() | F.col(f"{wide}.free") | (anyone & F.col(wide).isNotNull())
+        return hit, F.when(anyone, F.col(f"{wide}.url")).otherwise(F.least(f"{exact}.url", f"{wide}.free_url"))
+
+    named = s.filter("_named")
+    both = universe.select("stock_code", F.col("entity_id").alias("_e"), normal_name(F.col("company_name")).alias("_n"), "source_url")
+    for name, *by in (("_both", "_e", "_n"), ("_name", "_n"), ("_entity", "_e"), ("_code",)):
+        both = both.join(seen(named, name, *by), ["stock_code", *by], "left")
+    both = both.join(seen(s.filter("NOT _named"), "_nameless"), "stock_code", "left")
+    (matched, url), (same_entity, entity_url) = found("_both", "_name"), found("_entity", "_code")
+    status = F.when(F.col("_code").isNull(), "unmatched").when(matched, "matched").when(same_entity, "name_difference").otherwise("entity_conflict")
+    s_url = F.when(F.col("_code").isNull(), F.col("_nameless.url")).when(matched, url).when(same_entity, entity_url).otherwise(F.col("_code.url"))
+    return both.select("stock_code", status.alias("status"), F.coalesce(F.nullif(F.trim("source_url"), F.lit("")), s_url).alias("source_url"))
 
 
 def merge_snapshots(snapshots: list[DataFrame], code: str = "stock_code") -> tuple[DataFrame, DataFrame]:
