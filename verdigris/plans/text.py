@@ -151,7 +151,7 @@ def kpi_pages(spark, d):
     """Pages made from suppliers: an intensity with a unit, a rate, a table of years and a balance sheet."""
     s = table(spark, d, "supplier")
     k = F.col("s_suppkey").cast("string")
-    number = F.concat(F.lit("1,"), F.lpad(k, 3, "0"), F.lit(".5"))
+    number = F.concat(F.lit("1,"), F.lpad((F.col("s_suppkey") % 1000).cast("string"), 3, "0"), F.lit(".5"))
     unit = F.when(F.col("s_suppkey") % 2 == 0, " 吨/万元").otherwise(" kg/百万元")
     lines = F.concat_ws("\n", F.concat(F.lit("温室气体排放强度为 "), number, unit), F.concat(F.lit("氮氧化物排放强度："), k, F.lit("  克/万元")), F.concat(F.lit("资产负债率 "), (F.col("s_suppkey") % 150).cast("string"), F.lit("%")), F.lit("指标 2024年 2023年"), F.concat(F.lit("energy use  "), k, F.lit("  "), number),
                         F.concat(F.lit("Total assets 1,000 900 Total liabilities "), (F.col("s_suppkey") % 600).cast("string"), F.lit(" 1 Total equity "), (1000 - F.col("s_suppkey") % 600 + F.col("s_suppkey") % 7 * 20).cast("string"), F.lit(" 5")))
