@@ -19,7 +19,7 @@ def folder(tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("name", ["dedupe_documents", "migration_plan", "provenance_bind", "year_tables", "registry_reconcile", "unit_rules"])
+@pytest.mark.parametrize("name", ["dedupe_documents", "migration_plan", "provenance_bind", "year_tables", "registry_reconcile", "unit_rules", "universe_augment"])
 def test_larger_keys(spark, folder, name):
     con = duckdb.connect()
     for file in folder.glob("*.parquet"):

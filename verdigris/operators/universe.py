@@ -145,7 +145,8 @@ def key_differences(left: DataFrame, right: DataFrame, key: list[str]) -> DataFr
 
 
 def augment(universe: DataFrame, additions: DataFrame) -> DataFrame:
-    return universe.unionByName(additions.join(universe.select("stock_code"), "stock_code", "left_anti"), allowMissingColumns=True)
+    """The universe with the additions whose codes it lacks; equal rows stay once."""
+    return universe.unionByName(additions.join(universe.select("stock_code"), "stock_code", "left_anti"), allowMissingColumns=True).distinct()
 
 
 def pair_rows(rows: DataFrame, group: str, order: str, value: str) -> DataFrame:
