@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from verdigris.operators.totals import derived_intensities, page_totals, stated_intensities
+from verdigris.operators.matcher import headed
+from verdigris.operators.totals import SCOPE_PAIR, STATED, TOTALS, company_totals, derived_intensities, page_totals, stated_intensities
 
 YEAR, REVENUE = 2025, 1.705e10
 GHG, ENERGY, CLEAN, WATER = (f"Q_E_{x}_INTENSITY" for x in ("GHG", "ENERGY", "CLEAN_ENERGY", "WATER"))
@@ -73,3 +74,26 @@ def test_differing_revenues_leave_a_company_without(spark):
     assert derived_intensities(totals, two, none, ["company"]).count() == 0
     assert derived_intensities(totals, two.filter("revenue < 1.5e9"), none, ["company"]).count() == 1
     assert page_totals(pages.filter(F.lit(False)), ["company"], YEAR).count() == 0
+
+
+def test_pages_are_read_once(spark, tmp_path):
+    spark.createDataFrame([("a", 1, "温室气体排放总量 9.00 万吨二氧化碳当量\n")], "company string, page int, page_text string").write.parquet(str(tmp_path / "pages"))
+    totals = page_totals(spark.read.parquet(str(tmp_path / "pages")), ["company"], YEAR)
+    assert company_totals(totals, ["company"])._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+
+
+def test_basis_of_company_totals(spark):
+    rows = [("all", 5.0, "single", 1), ("all", 5.0001, "current-last", 3), ("last", 5.0, "single", 1), ("last", 6.0, "current-last", 2), ("last", 6.0, "current-last", 3), ("named", 5.0, "single", 1), ("named", 7.0, "scope 1 + scope 2", 1)]
+    rows += [("widest", 5.0, "current-last", 2), ("widest", 6.0, "current-last", 3), ("widest", 7.0, "current-first", 4), ("two columns", 5.0, "current-last", 2), ("two columns", 6.0, "single", 1), ("two columns", 7.0, "current-last", 2), ("none", 5.0, "current-last", 3), ("none", 6.0, "current-last", 3)]
+    totals = spark.createDataFrame([(n, "x", k, form, cells, "") for n, k, form, cells in rows], "company string, indicator_code string, kilos double, form string, cells int, evidence string")
+    got = {r.company: (r.kilos, r.basis) for r in company_totals(totals, ["company"]).collect()}
+    assert got == {"all": (5.0, "all"), "last": (6.0, "last"), "named": (7.0, "named"), "widest": (6.0, "widest")}
+
+
+def test_a_look_at_the_first_character_changes_no_match(spark):
+    texts = [text for group, _ in CASES.values() for text in group]
+    df = spark.createDataFrame([(t,) for t in texts] + [(t.upper(),) for t in texts], "t string")
+    patterns = [t.label for t in TOTALS] + [*STATED.values(), SCOPE_PAIR]
+    assert all(headed(p) != f"(?:{p})" for p in patterns) and headed("a?b?") == "(?:a?b?)"
+    both = df.select(*[(F.regexp_extract_all("t", F.lit(f"(?i){p}"), F.lit(0)) == F.regexp_extract_all("t", F.lit(f"(?i){headed(p)}"), F.lit(0))).alias(str(i)) for i, p in enumerate(patterns)])
+    assert all(all(r) for r in both.collect())

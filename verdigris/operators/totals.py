@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdigris.functions.text import number
+from verdigris.operators.matcher import headed, required
 from verdigris.operators.rules import generated, lookup
 from verdigris.operators.tables import column_years, line_text, scientific
 
@@ -108,8 +109,17 @@ def _units(rule: Total) -> str:
     return "|".join(u.replace("(", r"\(").replace(")", r"\)") for u in sorted(rule.units, key=len, reverse=True))
 
 
-def _factor(rule: Total, unit: Column) -> Column:
-    return lookup(F.lower(F.regexp_replace(unit, r"\s+", " ")), {k.lower(): v for k, v in rule.units.items()})
+def _let(values: dict[str, Column], then) -> Column:
+    """What follows from named values, each of them computed once; a column that is used again is otherwise computed again."""
+    return F.get(F.transform(F.array(F.struct(*[x.alias(name) for name, x in values.items()])), then), F.lit(0))
+
+
+def _plain(unit: Column) -> Column:
+    return F.lower(F.regexp_replace(unit, r"\s+", " "))
+
+
+def _factor(rule: Total, plain: Column) -> Column:
+    return lookup(plain, {k.lower(): v for k, v in rule.units.items()})
 
 
 def _table(rule: Total) -> str:
@@ -118,13 +128,28 @@ def _table(rule: Total) -> str:
     return rf"(?im)^[ \t]*(?:{rule.label}){before}(?:\(?({unit})\)?\s*)?({CELL}(?:[ \t]+{CELL})*)[ \t]*({unit})?(?:[ \t]+(?:0|[/—–-]))?[ \t]*[。；;,，、]?[ \t]*$"
 
 
+def _stated(rule: Total) -> str:
+    """A total with its value in a sentence. Groups: between, value, unit."""
+    return rf"{headed(rule.label)}(\s*(?:为|达到|:)?\s*)({N})\s*({_units(rule)})(?![ \t]*(?:{N}|%))(?=\s*(?:$|[；;，,。、]))"
+
+
 def _sentence(rule: Total) -> str:
     """What stands before a total in its sentence, up to 120 characters, and the total. Groups: before, between, value, unit."""
-    return rf"(?m)([^。；;]{{0,120}}?)(?:{rule.label})(\s*(?:为|达到|:)?\s*)({N})\s*({_units(rule)})(?![ \t]*(?:{N}|%))(?=\s*(?:$|[；;，,。、]))"
+    return rf"(?m)([^。；;]{{0,120}}?){_stated(rule)}"
+
 
+def _holds(low: Column, pattern: str) -> Column:
+    """Whether a text in lower case holds a literal that every match of the pattern needs: no pattern is tried on a text without."""
+    out = F.lit(True) if (needs := required(pattern)) is None else F.lit(False)
+    for literal in sorted(needs or ()):
+        out = out | low.contains(literal)
+    return out
 
-def _matches(rule: Total, text: Column, pattern: str, fields) -> Column:
-    return F.transform(F.when(text.rlike(f"(?i){rule.label}"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))), fields)
+
+def _matches(rule: Total, text: Column, low: Column, pattern: str, fields, once: str | None = None) -> Column:
+    """The fields of all matches; `once` is a cheaper pattern that each of them holds."""
+    tried = _holds(low, rule.label) if once is None else _holds(low, rule.label) & text.rlike(once)
+    return F.transform(F.when(tried, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))), fields)
 
 
 def _in_column(cells: Column, years: Column, report_year: int) -> Column:
@@ -141,12 +166,14 @@ def _row(rule: Total, years: Column, report_year: int, english: bool = False, ze
     def fields(m: Column) -> Column:
         unit = F.coalesce(F.nullif(F.regexp_extract(m, pattern, 1), F.lit("")), F.nullif(F.regexp_extract(m, pattern, 3), F.lit("")))
         cells = F.regexp_extract_all(F.regexp_extract(m, pattern, 2), F.lit(CELL), F.lit(0))
-        kilos = number(_in_column(cells, years, report_year)) * _factor(rule, unit)
-        bad = (m.rlike(BAD_ENGLISH) | (F.size(cells) != F.coalesce(F.size(years), F.lit(-1)))) if english else F.regexp_replace(m, rf"(?i)(?:{rule.label})", "").rlike(BAD_BETWEEN)
+        return _let({"unit": _plain(unit), "cells": cells}, lambda p: _let({"factor": _factor(rule, p["unit"]), "cell": _in_column(p["cells"], years, report_year), "cells": p["cells"]}, lambda p: _let({"kilos": number(p["cell"]) * p["factor"], "factor": p["factor"], "cells": p["cells"]}, lambda p: row(m, **{c: p[c] for c in ("kilos", "factor", "cells")}))))
+
+    def row(m: Column, kilos: Column, factor: Column, cells: Column) -> Column:
         kept = kilos > 0 if zero is None else (kilos > 0) | (zero & (kilos == 0))
+        bad = (m.rlike(BAD_ENGLISH) | (F.size(cells) != F.coalesce(F.size(years), F.lit(-1)))) if english else F.regexp_replace(m, rf"(?i)(?:{rule.label})", "").rlike(BAD_BETWEEN)
         last = (F.size(cells) > 1) & (F.element_at(years, -1) == report_year)
         form = F.when(last, "current-last").when(F.size(cells) > 1, "current-first").otherwise("single")
-        return F.when(~bad & kept, F.struct(F.lit(rule.code).alias("code"), kilos.alias("kilos"), form.alias("form"), F.size(cells).alias("cells"), F.trim(F.regexp_replace(m, r"\s+", " ")).alias("evidence"), (F.transform(cells, lambda c: number(c) * _factor(rule, unit))).alias("all")))
+        return F.when(kept & ~bad, F.struct(F.lit(rule.code).alias("code"), kilos.alias("kilos"), form.alias("form"), F.size(cells).alias("cells"), F.trim(F.regexp_replace(m, r"\s+", " ")).alias("evidence"), F.transform(cells, lambda c: number(c) * factor).alias("all")))
 
     return pattern, fields
 
@@ -155,7 +182,10 @@ def _spoken(rule: Total):
     pattern = _sentence(rule)
 
     def fields(m: Column) -> Column:
-        before, kilos = F.regexp_extract(m, pattern, 1), number(F.regexp_extract(m, pattern, 3)) * _factor(rule, F.regexp_extract(m, pattern, 4))
+        values = {"before": F.regexp_extract(m, pattern, 1), "amount": number(F.regexp_extract(m, pattern, 3)), "unit": _plain(F.regexp_extract(m, pattern, 4))}
+        return _let(values, lambda p: _let({"before": p["before"], "kilos": p["amount"] * _factor(rule, p["unit"])}, lambda p: row(m, p["before"], p["kilos"])))
+
+    def row(m: Column, before: Column, kilos: Column) -> Column:
         fine = ~before.rlike(BAD_PREFIX) & ~before.rlike(PARTIAL) & (kilos > 0)
         whole = F.trim(F.regexp_replace(F.substr(m, F.length(before) + 1), r"\s+", " "))
         return F.when(fine, F.struct(F.lit(rule.code).alias("code"), kilos.alias("kilos"), F.lit("sentence").alias("form"), F.lit(1).alias("cells"), whole.alias("evidence"), F.array(kilos).alias("all")))
@@ -165,31 +195,34 @@ def _spoken(rule: Total):
 
 def page_totals(pages: DataFrame, keep: list[str], report_year: int) -> DataFrame:
     """keep, page, indicator_code, kilos, form, cells, evidence: each page's totals, those of greenhouse gas closed by scopes."""
-    text = scientific(line_text(F.col("page_text")))
-    text = F.regexp_replace(text, r"/(?=[/\d\s]|$)", " / ")  # a stroke in a value's place, not in a unit
-    text = F.regexp_replace(text, r"(百万|万)\s*\n\s*(吨(?:二氧化碳当量|标准煤|标煤)?)", "$1$2")
+    def normal(m: Column) -> Column:
+        text = scientific(line_text(m["page_text"]))
+        text = F.regexp_replace(text, r"/(?=[/\d\s]|$)", " / ")  # a stroke in a value's place, not in a unit
+        return F.struct(F.regexp_replace(text, r"(百万|万)\s*\n\s*(吨(?:二氧化碳当量|标准煤|标煤)?)", "$1$2").alias("_x"))
+
     any_label = "|".join(t.label for t in (*TOTALS, *SCOPES, *POLLUTANTS, *ENGLISH))
-    near = pages.select(*keep, "page", text.alias("_x")).filter(F.col("_x").rlike(f"(?i){any_label}|{SCOPE_PAIR}"))
-    lined = near.withColumn("_years", column_years(F.split("_x", "\n"))["years"])
+    near = pages.select(*keep, "page", generated(["page_text"], normal)).filter(F.col("_x").rlike(f"(?i){headed(f'{any_label}|{SCOPE_PAIR}')}"))
+    lined = near.withColumns({"_years": column_years(F.split("_x", "\n"))["years"], "_low": F.lower("_x")})
 
     def read(m: Column) -> Column:
-        x, years = m["_x"], m["_years"]
-        found = [_matches(t, x, *_row(t, years, report_year)) for t in (*TOTALS, *SCOPES)] + [_matches(t, x, *_spoken(t)) for t in TOTALS]
-        found += [_matches(t, x, *_row(t, years, report_year, english=True)) for t in ENGLISH]
+        x, low, years = m["_x"], m["_low"], m["_years"]
+        found = [_matches(t, x, low, *_row(t, years, report_year)) for t in (*TOTALS, *SCOPES)] + [_matches(t, x, low, *_spoken(t), once=f"(?m){_stated(t)}") for t in TOTALS]
+        found += [_matches(t, x, low, *_row(t, years, report_year, english=True)) for t in ENGLISH]
         # names alone count in a table of pollutants or under a header of years
         section = x.rlike("气体污染物排放")
         matrix = x.rlike(rf"废气污染物种类\s*{report_year}\s*年度?\s*单位") | (F.array_position(years, F.lit(report_year)) > 0)
-        found += [F.when(matrix, _matches(t, x, *_row(t, years, report_year, zero=section & F.lit(t.code != "Q_E_SO2_INTENSITY")))) for t in POLLUTANTS]
-        pairs = F.transform(F.regexp_extract_all(x, F.lit(rf"([\s\S]{{0,40}}?){SCOPE_PAIR}"), F.lit(0)), _pair(x))
-        others = F.regexp_extract_all(x, F.lit(SCOPE_3), F.lit(1))
-        english = [F.regexp_extract_all(F.regexp_extract(x, rf"(?im)^\s*{label}\s*(?:tCO2e|tCO₂e|tonnes)?\s*({N}(?:\s+{N}){{0,3}})\s*$", 1), F.lit(N), F.lit(0)) for label in ENGLISH_SCOPES]
+        found += [F.when(matrix, _matches(t, x, low, *_row(t, years, report_year, zero=section & F.lit(t.code != "Q_E_SO2_INTENSITY")))) for t in POLLUTANTS]
+        nothing = F.array().cast("array<string>")
+        pairs = F.transform(F.when(_holds(low, SCOPE_PAIR) & x.rlike(headed(SCOPE_PAIR)), F.regexp_extract_all(x, F.lit(rf"([\s\S]{{0,40}}?){headed(SCOPE_PAIR)}"), F.lit(0))).otherwise(nothing), _pair(x))
+        others = F.when(_holds(low, SCOPE_3), F.regexp_extract_all(x, F.lit(SCOPE_3), F.lit(1))).otherwise(nothing)
+        english = [F.when(_holds(low, label), F.regexp_extract_all(F.regexp_extract(x, rf"(?im)^\s*{label}\s*(?:tCO2e|tCO₂e|tonnes)?\s*({N}(?:\s+{N}){{0,3}})\s*$", 1), F.lit(N), F.lit(0))).otherwise(nothing) for label in ENGLISH_SCOPES]
         return F.struct(
             F.array_compact(F.flatten(F.array_compact(F.array(*found)))).alias("rows"), F.filter(pairs, lambda p: p["kilos"].isNotNull()).alias("pairs"), F.exists(others, lambda v: number(v) > 0).alias("s3"),
             F.transform(english[0], lambda v: number(v)).alias("e1"), F.transform(english[1], lambda v: number(v)).alias("e2"),
         )
 
     # rows and pairs are generated once; what follows from them are columns over them
-    facts = lined.select(*keep, "page", generated(["_x", "_years"], read))
+    facts = lined.select(*keep, "page", generated(["_x", "_low", "_years"], read))
     scope = lambda name: F.get(F.filter("rows", lambda r: r["code"] == name), F.lit(0))["kilos"]
     own = lambda n: F.filter("pairs", lambda p: p["scope"] == n)
     located = F.filter("second", lambda p: p["evidence"].contains("基于位置"))
@@ -208,10 +241,10 @@ def page_totals(pages: DataFrame, keep: list[str], report_year: int) -> DataFram
         return F.when(same & (F.size(closing) > 1), F.lit(None)).when(same & (F.size(closing) == 1), closing[0]).otherwise(r["kilos"])
 
     rows = F.filter(F.transform(F.filter("rows", lambda r: ~r["code"].startswith("scope") & closed(r)), lambda r: F.struct(r["code"].alias("indicator_code"), aligned(r).alias("kilos"), r["form"].alias("form"), r["cells"].alias("cells"), r["evidence"].alias("evidence"))), lambda r: r["kilos"].isNotNull())
-    gas = F.exists(rows, lambda r: r["indicator_code"] == "Q_E_GHG_INTENSITY")
     both = F.col("p1.kilos") + F.col("p2.kilos")
-    summed = F.when(~gas & (both > 0), F.array(F.struct(F.lit("Q_E_GHG_INTENSITY").alias("indicator_code"), both.alias("kilos"), F.lit("scope 1 + scope 2").alias("form"), F.lit(1).alias("cells"), F.concat_ws(" + ", "p1.evidence", "p2.evidence").alias("evidence"))))
-    return facts.select(*keep, "page", F.inline(F.concat(rows, F.coalesce(summed, F.slice(rows, 1, 0)))))
+    summed = F.array(F.struct(F.lit("Q_E_GHG_INTENSITY").alias("indicator_code"), both.alias("kilos"), F.lit("scope 1 + scope 2").alias("form"), F.lit(1).alias("cells"), F.concat_ws(" + ", "p1.evidence", "p2.evidence").alias("evidence")))
+    gas = lambda rows: F.exists(rows, lambda r: r["indicator_code"] == "Q_E_GHG_INTENSITY")
+    return facts.select(*keep, "page", F.inline(_let({"rows": rows}, lambda p: F.when(~gas(p["rows"]) & (both > 0), F.concat(p["rows"], summed)).otherwise(p["rows"]))))
 
 
 def _pair(x: Column):
@@ -219,11 +252,14 @@ def _pair(x: Column):
     whole = rf"([\s\S]{{0,40}}?){SCOPE_PAIR}"
 
     def fields(m: Column) -> Column:
-        before, label, unit = (F.regexp_extract(m, whole, i) for i in (1, 2, 4))
-        factor = F.coalesce(lookup(F.lower(F.regexp_replace(unit, r"\s+", "")), {k.lower(): v for k, v in GAS_UNITS.items()}), F.when((unit == "") & x.rlike("(?i)tCO2e|tCO₂e|吨二氧化碳当量"), 1000.0))
+        values = {name: F.regexp_extract(m, whole, i) for i, name in enumerate(("before", "label", "amount", "unit"), 1)}
+        return _let({**values, "plain": F.lower(F.regexp_replace(values["unit"], r"\s+", ""))}, lambda p: pair(m, *[p[c] for c in (*values, "plain")]))
+
+    def pair(m: Column, before: Column, label: Column, amount: Column, unit: Column, plain: Column) -> Column:
+        factor = F.coalesce(lookup(plain, {k.lower(): v for k, v in GAS_UNITS.items()}), F.when((unit == "") & x.rlike("(?i)tCO2e|tCO₂e|吨二氧化碳当量"), 1000.0))
         fine = ~before.rlike(BAD_PREFIX) & ~before.rlike("范围三|范畴三")
         scope = F.when(label.rlike(r"[一1]|直接"), 1).otherwise(2)
-        return F.struct(scope.alias("scope"), F.when(fine, number(F.regexp_extract(m, whole, 3)) * factor).alias("kilos"), F.trim(F.regexp_replace(F.substr(m, F.length(before) + 1), r"\s+", " ")).alias("evidence"))
+        return F.struct(scope.alias("scope"), F.when(fine, number(amount) * factor).alias("kilos"), F.trim(F.regexp_replace(F.substr(m, F.length(before) + 1), r"\s+", " ")).alias("evidence"))
 
     return fields
 
@@ -244,13 +280,15 @@ def company_totals(totals: DataFrame, key: list[str]) -> DataFrame:
     named = F.col("evidence").rlike(ANNOTATED) | (F.col("form") == "scope 1 + scope 2")
     last = F.col("form") == "current-last"
     by = [*key, "indicator_code"]
-    most = totals.groupBy(*by).agg(F.max(F.when(last, F.col("cells"))).alias("_most"))
-    kinds = {"all": F.lit(True), "named": named, "last": last, "widest": last & (F.col("cells") == F.col("_most")) & (F.col("_most") >= 3)}
-    marked = totals.join(most, by)
-    ranges = [f(F.when(on, F.col("kilos"))).alias(f"{kind}_{name}") for kind, on in kinds.items() for name, f in (("low", F.min), ("high", F.max))]
-    wide = marked.groupBy(*by).agg(*ranges)
+    kinds = {"all": F.lit(True), "named": named, "last": last}
+    ends = [(kind, name, f) for kind in kinds for name, f in (("low", F.min), ("high", F.max))]
+    # by columns first, then over them: the totals are read once, where the greatest number of columns joined back reads the pages twice
+    sized = totals.groupBy(*by, "cells").agg(*[f(F.when(kinds[kind], F.col("kilos"))).alias(f"{kind}_{name}") for kind, name, f in ends], F.bool_or(last).alias("_last"))
+    widest = F.max(F.when(F.col("_last"), F.struct("cells", "last_low", "last_high")))
+    wide = sized.groupBy(*by).agg(*[f(f"{kind}_{name}").alias(f"{kind}_{name}") for kind, name, f in ends], widest.alias("_widest"))
+    wide = wide.withColumns({f"widest_{name}": F.when(F.col("_widest.cells") >= 3, F.col(f"_widest.last_{name}")) for name in ("low", "high")})
     kilos, basis = F, F
-    for kind in kinds:
+    for kind in (*kinds, "widest"):
         fits = F.coalesce(_agree(F.col(f"{kind}_low"), F.col(f"{kind}_high")), F.lit(False))
         kilos, basis = kilos.when(fits, F.col(f"{kind}_low")), basis.when(fits, F.lit(kind))
     return wide.select(*by, kilos.alias("kilos"), basis.alias("basis")).filter("kilos IS NOT NULL")
@@ -258,13 +296,13 @@ def company_totals(totals: DataFrame, key: list[str]) -> DataFrame:
 
 def stated_intensities(pages: DataFrame, key: list[str]) -> DataFrame:
     """key, indicator_code of companies that state an intensity over revenue; of greenhouse gas by location and market does not count."""
-    def stated(x: Column, code: str, pattern: str) -> Column:
-        hit = F.regexp_extract(x, rf"(?i)(?:{pattern})[\s\S]{{0,120}}", 0)
+    def stated(x: Column, low: Column, code: str, pattern: str) -> Column:
+        hit = F.when(_holds(low, pattern), F.regexp_extract(x, rf"(?i){headed(pattern)}[\s\S]{{0,120}}", 0)).otherwise("")
         both = hit.rlike("(?i)基于地理位置|基于市场|location-based|market-based") if code == "Q_E_GHG_INTENSITY" else F.lit(False)
         return F.when((hit != "") & ~both, F.lit(code))
 
-    text = line_text(F.col("page_text"))
-    rows = pages.select(*key, text.alias("_x")).select(*key, generated(["_x"], lambda m: F.struct(F.array_compact(F.array(*[stated(m["_x"], c, p) for c, p in STATED.items()])).alias("codes"))))
+    text = pages.select(*key, generated(["page_text"], lambda m: F.struct(line_text(m["page_text"]).alias("_x")))).withColumn("_low", F.lower("_x"))
+    rows = text.select(*key, generated(["_x", "_low"], lambda m: F.struct(F.array_compact(F.array(*[stated(m["_x"], m["_low"], c, p) for c, p in STATED.items()])).alias("codes"))))
     return rows.select(*key, F.explode("codes").alias("indicator_code")).distinct()
 
 
