@@ -9,6 +9,8 @@ scopes must, or those of tables that end with the current year.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -118,8 +120,14 @@ def _plain(unit: Column) -> Column:
     return F.lower(F.regexp_replace(unit, r"\s+", " "))
 
 
+def _entry(plain: Column, table: dict[str, float]) -> Column:
+    """The table's entry, null for what it does not hold; the table is one SQL text, which is parsed in one call."""
+    entries = {k.lower(): v for k, v in table.items()}
+    return F.expr("map(" + ", ".join(f"'{k}', {v!r}D" for k, v in entries.items()) + ")")[plain]
+
+
 def _factor(rule: Total, plain: Column) -> Column:
-    return lookup(plain, {k.lower(): v for k, v in rule.units.items()})
+    return _entry(plain, rule.units)
 
 
 def _table(rule: Total) -> str:
@@ -140,15 +148,13 @@ def _sentence(rule: Total) -> str:
 
 def _holds(low: Column, pattern: str) -> Column:
     """Whether a text in lower case holds a literal that every match of the pattern needs: no pattern is tried on a text without."""
-    out = F.lit(True) if (needs := required(pattern)) is None else F.lit(False)
-    for literal in sorted(needs or ()):
-        out = out | low.contains(literal)
-    return out
+    needs = required(pattern)
+    return F.lit(True) if needs is None else reduce(or_, [low.contains(literal) for literal in sorted(needs)])
 
 
-def _matches(rule: Total, text: Column, low: Column, pattern: str, fields, once: str | None = None) -> Column:
-    """The fields of all matches; `once` is a cheaper pattern that each of them holds."""
-    tried = _holds(low, rule.label) if once is None else _holds(low, rule.label) & text.rlike(once)
+def _matches(rule: Total, text: Column, low: Column, pattern: str, fields, also: Column | None = None) -> Column:
+    """The fields of all matches, where `also` holds."""
+    tried = _holds(low, rule.label) if also is None else _holds(low, rule.label) & also
     return F.transform(F.when(tried, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))), fields)
 
 
@@ -170,7 +176,7 @@ def _row(rule: Total, years: Column, report_year: int, english: bool = False, ze
 
     def row(m: Column, kilos: Column, factor: Column, cells: Column) -> Column:
         kept = kilos > 0 if zero is None else (kilos > 0) | (zero & (kilos == 0))
-        bad = (m.rlike(BAD_ENGLISH) | (F.size(cells) != F.coalesce(F.size(years), F.lit(-1)))) if english else F.regexp_replace(m, rf"(?i)(?:{rule.label})", "").rlike(BAD_BETWEEN)
+        bad = (m.rlike(BAD_ENGLISH) | (F.size(cells) != F.coalesce(F.size(years), F.lit(-1)))) if english else F.regexp_replace(m, rf"(?i){headed(rule.label)}", "").rlike(headed(BAD_BETWEEN))
         last = (F.size(cells) > 1) & (F.element_at(years, -1) == report_year)
         form = F.when(last, "current-last").when(F.size(cells) > 1, "current-first").otherwise("single")
         return F.when(kept & ~bad, F.struct(F.lit(rule.code).alias("code"), kilos.alias("kilos"), form.alias("form"), F.size(cells).alias("cells"), F.trim(F.regexp_replace(m, r"\s+", " ")).alias("evidence"), F.transform(cells, lambda c: number(c) * factor).alias("all")))
@@ -206,12 +212,12 @@ def page_totals(pages: DataFrame, keep: list[str], report_year: int) -> DataFram
 
     def read(m: Column) -> Column:
         x, low, years = m["_x"], m["_low"], m["_years"]
-        found = [_matches(t, x, low, *_row(t, years, report_year)) for t in (*TOTALS, *SCOPES)] + [_matches(t, x, low, *_spoken(t), once=f"(?m){_stated(t)}") for t in TOTALS]
+        found = [_matches(t, x, low, *_row(t, years, report_year)) for t in (*TOTALS, *SCOPES)] + [_matches(t, x, low, *_spoken(t), also=x.rlike(f"(?m){_stated(t)}")) for t in TOTALS]
         found += [_matches(t, x, low, *_row(t, years, report_year, english=True)) for t in ENGLISH]
         # names alone count in a table of pollutants or under a header of years
         section = x.rlike("气体污染物排放")
         matrix = x.rlike(rf"废气污染物种类\s*{report_year}\s*年度?\s*单位") | (F.array_position(years, F.lit(report_year)) > 0)
-        found += [F.when(matrix, _matches(t, x, low, *_row(t, years, report_year, zero=section & F.lit(t.code != "Q_E_SO2_INTENSITY")))) for t in POLLUTANTS]
+        found += [_matches(t, x, low, *_row(t, years, report_year, zero=section & F.lit(t.code != "Q_E_SO2_INTENSITY")), also=matrix) for t in POLLUTANTS]
         nothing = F.array().cast("array<string>")
         pairs = F.transform(F.when(_holds(low, SCOPE_PAIR) & x.rlike(headed(SCOPE_PAIR)), F.regexp_extract_all(x, F.lit(rf"([\s\S]{{0,40}}?){headed(SCOPE_PAIR)}"), F.lit(0))).otherwise(nothing), _pair(x))
         others = F.when(_holds(low, SCOPE_3), F.regexp_extract_all(x, F.lit(SCOPE_3), F.lit(1))).otherwise(nothing)
@@ -256,7 +262,7 @@ def _pair(x: Column):
         return _let({**values, "plain": F.lower(F.regexp_replace(values["unit"], r"\s+", ""))}, lambda p: pair(m, *[p[c] for c in (*values, "plain")]))
 
     def pair(m: Column, before: Column, label: Column, amount: Column, unit: Column, plain: Column) -> Column:
-        factor = F.coalesce(lookup(plain, {k.lower(): v for k, v in GAS_UNITS.items()}), F.when((unit == "") & x.rlike("(?i)tCO2e|tCO₂e|吨二氧化碳当量"), 1000.0))
+        factor = F.coalesce(_entry(plain, GAS_UNITS), F.when((unit == "") & x.rlike("(?i)tCO2e|tCO₂e|吨二氧化碳当量"), 1000.0))
         fine = ~before.rlike(BAD_PREFIX) & ~before.rlike("范围三|范畴三")
         scope = F.when(label.rlike(r"[一1]|直接"), 1).otherwise(2)
         return F.struct(scope.alias("scope"), F.when(fine, number(amount) * factor).alias("kilos"), F.trim(F.regexp_replace(F.substr(m, F.length(before) + 1), r"\s+", " ")).alias("evidence"))
